@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op3_bpe
 from .packing import op9_packing
+from .wordpiece import op5_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_packing,)}
+    return {f.__name__: f for f in (op3_bpe, op5_token_counts, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
