@@ -104,3 +104,29 @@ class WordCache(dict):
         for w, x in zip(missing, found, strict=True):
             (self if len(w) <= self.longest else long_ones)[w] = x
         return {**{w: self[w] for w in words if w not in long_ones}, **long_ones} if long_ones else self
+
+
+def bounded_sample(df: DataFrame, stratum: str, id_col: str, n: int) -> DataFrame:
+    """At most n rows of each non-null value of stratum, chosen by a hash of the id.
+
+    Two passes: counts, then the rows whose hash is below a share that leaves about 1.5 n of each
+    value; the final choice sorts no more than those. Values are assumed to be few (labels, languages).
+    """
+    from pyspark.sql import Window
+
+    df = df.filter(F.col(stratum).isNotNull())
+    counts = {r[0]: r[1] for r in df.groupBy(stratum).count().collect()}
+    if not counts:
+        return df
+    unit = (F.xxhash64(id_col).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).alias("unit")
+    share = F.lit(0.0)
+    for value, count in counts.items():
+        share = F.when(F.col(stratum) == F.lit(value), min(1.0, (1.5 * n + 50) / count)).otherwise(share)
+    near = df.filter(unit < share)
+    ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(id_col), id_col)))
+    return ranked.filter(F.col("_rank") <= n).drop("_rank")
+
+
+def crc_mod(id_col: str, modulus: int):
+    """crc32 of the id written as text, modulo modulus."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
