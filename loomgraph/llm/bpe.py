@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import common
-from .packing import vocabulary_path
+from .common import byte_alphabet, vocabulary_path
 
 #: The widest tree that is built for many words at once.
 TREE_LEAVES = 64
@@ -38,13 +38,6 @@ SINGLE = re.compile(r"(?<=\S) (?=\S)")
 RUN = re.compile(r"\s\s")
 
 
-def byte_alphabet() -> list[str]:
-    """The printable character that stands for each byte in the vocabulary file."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
-
-
 class Vocabulary:
     """Merges by rank, bytes by id, and added tokens, from a tokenizers file."""
 

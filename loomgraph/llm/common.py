@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Documents that one step of a Python pass holds as Python objects.
-SLICE_ROWS = 256
-#: Distinct words whose results a Python worker keeps; beyond it the cache starts again.
-CACHE_WORDS = 300_000
+#: Bytes of text that one step of a Python pass works on, or one document if it is longer.
+SLICE_BYTES = 6 << 20
+#: Distinct words whose results a Python worker keeps in each of two generations.
+CACHE_WORDS = 200_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,15 +57,41 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def vocabulary_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def byte_alphabet() -> list[str]:
+    """The printable character that stands for each byte in the vocabulary file."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Just doc_id (long) and text (string); whatever else the rows hold is left out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def map_texts(docs: DataFrame, make: Callable[[], Callable[[list, list], dict]], schema: str) -> DataFrame:
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch of (doc_id, text) in runs of at most about `most` bytes of text, and at least one row."""
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def map_arrow(docs: DataFrame, make: Callable[[], Callable[[pa.Array, pa.Array], dict]], schema: str) -> DataFrame:
     """One Python pass over (doc_id, text) in Arrow batches, a bounded slice of rows at a time.
 
-    make() runs once for each task and returns a function of (ids, texts) that gives columns by name.
+    make() runs once for each task and returns a function of (ids, texts), Arrow arrays, that gives columns by name.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -72,38 +101,104 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list, list], dict]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                cols = step(part.column(0).to_pylist(), part.column(1).to_pylist())
+            for part in slices(batch):
+                cols = step(part.column(0), part.column(1))
                 yield pa.RecordBatch.from_arrays([as_arrow(cols[f.name], f.type) for f in out], schema=out)
 
     return id_and_text(docs).mapInArrow(run, schema)
 
 
+def map_texts(docs: DataFrame, make: Callable[[], Callable[[list, list], dict]], schema: str) -> DataFrame:
+    """map_arrow() for functions of Python lists."""
+
+    def lists():
+        step = make()
+        return lambda ids, texts: step(ids.to_pylist(), texts.to_pylist())
+
+    return map_arrow(docs, lists, schema)
+
+
+class Words(NamedTuple):
+    """The words `[^\\x20\\x09-\\x0D]+` of some texts: which distinct word each is, and where each text's begin."""
+
+    distinct: list[bytes]
+    codes: np.ndarray
+    starts: np.ndarray
+
+    def sums(self, per_word: np.ndarray) -> np.ndarray:
+        """For each text the sum of a value, or a row of values, that each distinct word has."""
+        total = np.zeros((len(self.codes) + 1, *per_word.shape[1:]), dtype=np.float64 if per_word.dtype.kind == "f" else np.int64)
+        np.cumsum(per_word[self.codes], axis=0, out=total[1:])
+        return total[self.starts[1:]] - total[self.starts[:-1]]
+
+
+def words_of(texts: pa.Array) -> Words:
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+    starts = lists.offsets.to_numpy().astype(np.int64)
+    flat = lists.flatten().cast(pa.large_binary())
+    there = pc.greater(pc.binary_length(flat), 0)
+    if not pc.all(there).as_py():  # white space at an end gives empty words
+        kept = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])
+        starts, flat = kept[starts - starts[0]], flat.filter(there)
+    coded = flat.dictionary_encode()
+    return Words(coded.dictionary.to_pylist(), coded.indices.to_numpy(), starts - starts[0])
+
+
 def as_arrow(values, kind: pa.DataType) -> pa.Array:
     return values if isinstance(values, pa.Array) else pa.array(values, type=kind)
 
 
-class WordCache(dict):
-    """word -> result, filled for many words at once by fill(words), and bounded."""
+def gather(results: list[bytes], words: Words) -> list[np.ndarray]:
+    """For each text, the 32-bit integers of its words in turn; results holds those of each distinct word."""
+    flat = np.frombuffer(b"".join(results), dtype="<u4")
+    sizes = np.fromiter(map(len, results), dtype=np.int64, count=len(results)) >> 2
+    firsts = (np.cumsum(sizes) - sizes)[words.codes]
+    sizes = sizes[words.codes]
+    ends = np.cumsum(sizes)
+    at = np.repeat(firsts - (ends - sizes), sizes)
+    at += np.arange(len(at))
+    cuts = np.concatenate([[0], ends])[words.starts]
+    out = flat[at]
+    return [out[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+class WordCache:
+    """word -> result, filled for many words at once by fill(words), and bounded.
+
+    Two generations: words that are asked for again move to the young one; when that is full it becomes
+    the old one, and what hasn't been asked for since is forgotten.
+    """
 
     def __init__(self, fill: Callable[[list], list], limit: int = CACHE_WORDS, longest: int = 64):
-        super().__init__()
         self.fill, self.limit, self.longest = fill, limit, longest
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def of(self, words: list) -> list:
+        """The result of each of the words, which are distinct."""
+        known = self.load(set(words))
+        return list(map(known.__getitem__, words))
 
     def load(self, words: set) -> dict:
         """A mapping that holds each of the words; words that are too long stay out of the cache."""
-        missing = [w for w in words if w not in self]
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        missing = words - young.keys()
+        if old and missing:
+            again = missing & old.keys()
+            young.update(zip(again, map(old.__getitem__, again), strict=True))
+            missing -= again
         if not missing:
-            return self
-        if len(self) + len(missing) > self.limit:
-            self.clear()
-            missing = list(words)
-        found = self.fill(missing)
-        long_ones = {}
-        for w, x in zip(missing, found, strict=True):
-            (self if len(w) <= self.longest else long_ones)[w] = x
-        return {**{w: self[w] for w in words if w not in long_ones}, **long_ones} if long_ones else self
+            return young
+        new = list(missing)
+        results = self.fill(new)
+        if max(map(len, new)) <= self.longest:
+            young.update(zip(new, results, strict=True))
+            return young
+        found = dict(zip(new, results, strict=True))
+        young.update((w, x) for w, x in found.items() if len(w) <= self.longest)
+        return found | {w: young[w] for w in words if w not in found}
 
 
 def bounded_sample(df: DataFrame, stratum: str, id_col: str, n: int) -> DataFrame:

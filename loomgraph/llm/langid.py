@@ -16,9 +16,9 @@ rows. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -151,46 +151,32 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, steps:
 
 
 class Reader:
-    """Sums over the positions of a word, by row of a table; words are cached as rows."""
+    """Sums of the probabilities over the positions of a word, and their number; cached by word."""
 
     def __init__(self, net: Network):
         self.net = net
-        self.table = np.zeros((1, len(net.langs) + 1), dtype="f4")
-        self.used = 0
         self.cache = common.WordCache(self._fill)
 
-    def _fill(self, words: list[bytes]) -> list[int]:
-        if not self.cache:  # it has just been emptied
-            self.used = 0
+    def _fill(self, words: list[bytes]) -> list[bytes]:
         pieces = [(k, s) for k, w in enumerate(words) for s in spans(w)]
         pieces.sort(key=lambda x: len(x[1]))
-        sums = np.zeros((len(words), self.table.shape[1]), dtype="f4")
+        sums = np.zeros((len(words), len(self.net.langs) + 1), dtype="f4")
         for at in range(0, len(pieces), 2048):
             part = pieces[at : at + 2048]
             text, there = padded([s for _, s in part])
             own = np.where(there[:, :, None], self.net.probabilities(text, there), 0).sum(axis=0)
             np.add.at(sums, [k for k, _ in part], np.concatenate([own, there.sum(axis=0)[:, None]], axis=1))
-        if self.used + len(words) > len(self.table):
-            self.table = np.concatenate([self.table[: self.used], np.zeros((len(words) + len(self.table), self.table.shape[1]), dtype="f4")])
-        self.table[self.used : self.used + len(words)] = sums
-        rows = list(range(self.used, self.used + len(words)))
-        self.used += len(words)
-        return rows
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        words = [t.encode().split() if t and LETTER.search(t) else [] for t in texts]
-        get = self.cache.load(set(chain.from_iterable(words))).__getitem__
-        langs, scores = [], []
-        for own in words:
-            if not own:
-                langs.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            total = self.table[np.fromiter(map(get, own), dtype=np.int64, count=len(own))].sum(axis=0, dtype="f8")
-            best = int(np.argmax(total[:-1]))
-            langs.append(self.net.langs[best])
-            scores.append(float(min(1.0, total[best] / total[-1])))
-        return langs, scores
+        flat, size = sums.tobytes(), 4 * sums.shape[1]
+        return [flat[i : i + size] for i in range(0, len(flat), size)]
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+        words = common.words_of(texts)
+        sums = np.frombuffer(b"".join(self.cache.of(words.distinct)), dtype="f4").reshape(-1, len(self.net.langs) + 1)
+        totals = words.sums(sums)
+        best = np.argmax(totals[:, :-1], axis=1)
+        scores = np.clip(totals[np.arange(len(best)), best] / np.maximum(totals[:, -1], 1), 0, 1)
+        known = [bool(t and LETTER.search(t)) for t in texts.to_pylist()]
+        return [self.net.langs[b] if k else UNKNOWN for b, k in zip(best.tolist(), known, strict=True)], np.where(known, scores, 0.0).tolist()
 
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -205,7 +191,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 
         return step
 
-    return common.map_texts(docs, make, "doc_id long, lang_pred string, score double")
+    return common.map_arrow(docs, make, "doc_id long, lang_pred string, score double")
 
 
 def learnable(docs: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Packing documents into training windows (operator 9).
 
 Order-preserving dynamic programming. The documents of a partition form one stream of tokens, in
-their order; cut points are the ends of documents and sentences, one full window after each of
-these, and every WINDOW tokens inside a longer sentence. With c the cut points in order,
+their order; cut points are the ends of documents and sentences, up to FULL full windows after the end
+of a document, and every WINDOW tokens inside a longer sentence. With c the cut points in order,
 
     f(j) = min over i with c[j] - c[i] <= WINDOW of f(i) + padding(c[j] - c[i]) + penalty(j)
 
@@ -20,31 +20,32 @@ as often as they occur. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import common
+from .common import byte_alphabet, vocabulary_path
 
 WINDOW = 2048
 SENTENCE_COST = 4
 HARD_COST = 12
 END_ID = 1
+FULL = 6
 BLOCK_TOKENS = 1 << 20
+#: Letters of ASCII and Latin-1 in UTF-8.
+PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def vocabulary_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 class WordTokenizer:
     """The ids of texts by the tokenizers library, word by word.
 
@@ -54,6 +55,7 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -63,15 +65,32 @@ class WordTokenizer:
         ends = [t for w, t in self.library.get_vocab().items() if w.removesuffix("</w>") and not w.removesuffix("</w>").strip(".!?")]
         self.is_end = np.zeros(self.library.get_vocab_size(), dtype=bool)
         self.is_end[ends] = True
+        self.shown = dict(enumerate(byte_alphabet()))
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.library.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").encode().split() for t in texts]
-        get = self.cache.load(set(chain.from_iterable(words))).__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        """Words of plain letters are one word to the tokenizer too, so they go straight to its model."""
+        out: list[bytes | None] = [None] * len(words)
+        model, shown = self.library.model.tokenize, self.shown
+        for k, w in enumerate(words):
+            if w.isalpha():
+                out[k] = array("I", [t.id for t in model(w.lower().decode())]).tobytes()
+            elif PLAIN.fullmatch(w):
+                out[k] = array("I", [t.id for t in model(w.decode().lower().encode().decode("latin-1").translate(shown))]).tobytes()
+        rest = [k for k, x in enumerate(out) if x is None]
+        if rest:
+            found = self.library.encode_batch([words[k].decode() for k in rest], add_special_tokens=False)
+            for k, e in zip(rest, found, strict=True):
+                out[k] = array("I", e.ids).tobytes()
+        return out
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        texts = pc.fill_null(texts, "")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # the added tokens tell upper case
+            texts = pc.ascii_lower(texts)
+        # A letter and a mark before a space are never in one word of the tokenizer; told apart, they make fewer words.
+        words = common.words_of(pc.replace_substring_regex(texts, "([a-zà-öø-ÿ])([.,])([ \n])", r"\1 \2\3"))
+        return common.gather(self.cache.of(words.distinct), words)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -118,25 +137,27 @@ class Packer:
         self.docs: list[list] = []  # doc_id, ids, where its pending ids start, where they start in the stream
         self.length = 0
 
-    def add(self, doc_id, ids: bytes) -> None:
-        self.docs.append([doc_id, np.frombuffer(ids, dtype="<u4"), 0])
-        self.length += len(self.docs[-1][1])
+    def add(self, doc_id, ids: np.ndarray) -> None:
+        self.docs.append([doc_id, ids, 0])
+        self.length += len(ids)
 
     def _points(self) -> tuple[list[int], list[float]]:
-        parts, ends, at = [np.zeros(1, dtype=np.int64)], [0], 0
-        for _, ids, start in self.docs:
-            pending = ids[start:]
-            parts.append(np.flatnonzero(self.is_end[np.minimum(pending, len(self.is_end) - 1)]) + at + 1)
-            at += len(pending)
-            ends.append(at)
-        ends = np.asarray(ends, dtype=np.int64)
-        soft = np.union1d(np.concatenate(parts), ends)
-        gaps = np.flatnonzero(np.diff(soft) > self.window)
-        hard = [np.arange(soft[g] + self.window, soft[g + 1], self.window) for g in gaps]
-        full = soft + self.window
-        points = np.union1d(soft, np.concatenate([full[full < at], *hard]))
-        cost = np.where(np.isin(points, ends), 0.0, np.where(np.isin(points, soft), *self.costs))
-        return points.tolist(), cost.tolist()
+        """Cut points of the pending stream, and what a cut there costs."""
+        n, w = self.length, self.window
+        kind = np.full(n + 1, 3, dtype=np.int8)
+        stream = np.concatenate([ids[start:] for _, ids, start in self.docs])
+        ends = np.cumsum([len(ids) - start for _, ids, start in self.docs])
+        kind[1:][self.is_end[np.minimum(stream, len(self.is_end) - 1)]] = 1
+        kind[ends] = 0
+        kind[0] = 0
+        soft = np.flatnonzero(kind < 2)
+        gaps = np.flatnonzero(np.diff(soft) > w)
+        starts = np.concatenate([[0], ends])
+        hard = np.concatenate([(starts[:, None] + w * np.arange(1, FULL + 1)).ravel(), *(np.arange(soft[g] + w, soft[g + 1], w) for g in gaps)])
+        hard = hard[hard < n]
+        kind[hard[kind[hard] == 3]] = 2
+        points = np.flatnonzero(kind < 3)
+        return points.tolist(), np.array([0.0, *self.costs])[kind[points]].tolist()
 
     def flush(self, last: bool) -> list[tuple]:
         """Rows of the windows up to the last cut; the last window stays pending unless this is the end."""
@@ -155,7 +176,7 @@ class Packer:
             while offset < size:
                 doc_id, ids, start = self.docs[d]
                 n = min(size - offset, len(ids) - start)
-                rows.append((doc_id, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), self.sequence, offset))
+                rows.append((doc_id, start, n, zlib.crc32(ids[start : start + n]), len(ids), self.sequence, offset))
                 offset += n
                 self.docs[d][2] = start + n
                 d += start + n == len(ids)
@@ -168,16 +189,15 @@ class Packer:
 def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, sentence_cost: float = SENTENCE_COST, hard_cost: float = HARD_COST, end_id: int = END_ID) -> DataFrame:
     """A row for each piece of a document: where it starts in the document and where it lies in its sequence."""
     path = tokenizer_path or vocabulary_path("word_bpe_49k.json")
-    closing = np.asarray([end_id], dtype="<u4").tobytes()
+    closing = np.asarray([end_id], dtype="<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(path)
         packer = Packer(words.is_end, window, sentence_cost, hard_cost, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for at in range(0, batch.num_rows, common.SLICE_ROWS):
-                part = batch.slice(at, common.SLICE_ROWS)
-                for doc_id, ids in zip(part.column(0).to_pylist(), words.ids(part.column(1).to_pylist()), strict=True):
-                    packer.add(doc_id, ids + closing)
+            for part in common.slices(batch):
+                for doc_id, ids in zip(part.column(0).to_pylist(), words.ids(part.column(1)), strict=True):
+                    packer.add(doc_id, np.concatenate([ids, closing]))
                 if packer.length >= BLOCK_TOKENS:
                     yield table(packer.flush(last=False))
         yield table(packer.flush(last=True))

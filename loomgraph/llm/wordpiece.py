@@ -20,13 +20,11 @@ no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 from pyspark.sql import DataFrame
 
 from . import common
-from .packing import vocabulary_path
+from .common import vocabulary_path
 
 #: Failure links: no link, for a word without a split.
 DEAD = -1
@@ -158,13 +156,13 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
         _, cache = automaton(path)
 
         def step(ids, texts):
-            words = [(t or "").encode().split() for t in texts]
-            get = cache.load(set(chain.from_iterable(words))).__getitem__
-            return {"doc_id": ids, "n_words": [len(w) for w in words], "n_tokens": [sum(map(get, w)) for w in words]}
+            words = common.words_of(texts)
+            counts = np.array(cache.of(words.distinct), dtype=np.int64)
+            return {"doc_id": ids, "n_words": np.diff(words.starts), "n_tokens": words.sums(counts)}
 
         return step
 
-    return common.map_texts(docs, make, "doc_id long, n_words long, n_tokens long")
+    return common.map_arrow(docs, make, "doc_id long, n_words long, n_tokens long")
 
 
 def op5_token_counts(spark, sf_dir) -> DataFrame:
