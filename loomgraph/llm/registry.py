@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .fingerprints import op2_fingerprints
 from .langid import op6_language_id
 from .packing import op9_packing
 from .quality import op4_quality_rules
+from .toxicity import op10_toxicity
 from .wordpiece import op5_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_bpe, op4_quality_rules, op5_token_counts, op6_language_id, op9_packing)}
+    return {f.__name__: f for f in (op2_fingerprints, op3_bpe, op4_quality_rules, op5_token_counts, op6_language_id, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
