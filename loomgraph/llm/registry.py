@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op3_bpe
 from .fingerprints import op2_fingerprints
 from .langid import op6_language_id
+from .minhash import op1_minhash_dedup
 from .packing import op9_packing
 from .quality import op4_quality_rules
 from .toxicity import op10_toxicity
@@ -12,7 +13,7 @@ from .wordpiece import op5_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_fingerprints, op3_bpe, op4_quality_rules, op5_token_counts, op6_language_id, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_fingerprints, op3_bpe, op4_quality_rules, op5_token_counts, op6_language_id, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
