@@ -8,12 +8,13 @@ from .langid import op6_language_id
 from .minhash import op1_minhash_dedup
 from .packing import op9_packing
 from .quality import op4_quality_rules
+from .substrings import op8_substring_dedup
 from .toxicity import op10_toxicity
 from .wordpiece import op5_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_fingerprints, op3_bpe, op4_quality_rules, op5_token_counts, op6_language_id, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_fingerprints, op3_bpe, op4_quality_rules, op5_token_counts, op6_language_id, op8_substring_dedup, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
