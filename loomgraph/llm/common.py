@@ -88,7 +88,7 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
         at = stop
 
 
-def map_arrow(docs: DataFrame, make: Callable[[], Callable[[pa.Array, pa.Array], dict]], schema: str) -> DataFrame:
+def map_arrow(docs: DataFrame, make: Callable[[], Callable[[pa.Array, pa.Array], dict]], schema: str, most: int = SLICE_BYTES) -> DataFrame:
     """One Python pass over (doc_id, text) in Arrow batches, a bounded slice of rows at a time.
 
     make() runs once for each task and returns a function of (ids, texts), Arrow arrays, that gives columns by name.
@@ -101,7 +101,7 @@ def map_arrow(docs: DataFrame, make: Callable[[], Callable[[pa.Array, pa.Array],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most):
                 cols = step(part.column(0), part.column(1))
                 yield pa.RecordBatch.from_arrays([as_arrow(cols[f.name], f.type) for f in out], schema=out)
 

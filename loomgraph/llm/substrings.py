@@ -51,6 +51,8 @@ HOT = 1000
 SEEDS = LENGTH - SEED + 1
 #: Positions that are searched for anchors at once; their number fits the lowest COLUMN_BITS bits.
 ROW, COLUMN_BITS = 4096, 13
+#: Bytes whose seeds are hashed at once; arrays are eight times as large.
+SLICE_BYTES = 1 << 20
 U = np.uint64
 BYTE_VALUES = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=U) | U(1)
 STEPS = np.random.default_rng(21).integers(0, 1 << 64, 16, dtype=U) | U(1)
@@ -158,7 +160,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
         return step
 
-    return common.map_arrow(common.id_and_text(docs).filter("doc_id is not null"), make, "a long, c long, doc_id long, at long")
+    return common.map_arrow(common.id_and_text(docs).filter("doc_id is not null"), make, "a long, c long, doc_id long, at long", SLICE_BYTES)
 
 
 def intervals(lcp: list[int], least: int) -> list[tuple[int, int, int, int]]:
