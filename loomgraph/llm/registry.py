@@ -5,6 +5,8 @@ from __future__ import annotations
 from .bpe import op3_bpe
 from .fingerprints import op2_fingerprints
 from .langid import op6_language_id
+from .lines import ORACLE_SQL as OP7_SQL
+from .lines import op7_line_dedup
 from .minhash import op1_minhash_dedup
 from .packing import op9_packing
 from .quality import op4_quality_rules
@@ -14,8 +16,8 @@ from .wordpiece import op5_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_fingerprints, op3_bpe, op4_quality_rules, op5_token_counts, op6_language_id, op8_substring_dedup, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_fingerprints, op3_bpe, op4_quality_rules, op5_token_counts, op6_language_id, op7_line_dedup, op8_substring_dedup, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": OP7_SQL}
