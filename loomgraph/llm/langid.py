@@ -15,6 +15,7 @@ rows. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -194,6 +195,21 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     return common.map_arrow(docs, make, "doc_id long, lang_pred string, score double")
 
 
+def drop_unknown(docs: DataFrame, net: Network | None, least: float = 0.0) -> DataFrame:
+    """The rows of docs whose language is known, with a score of at least `least`."""
+    text_at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(net) if net else None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                langs, scores = reader.predict(part.column(text_at)) if reader else ([], [])
+                yield part.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(langs, scores, strict=True)] if reader else [False] * part.num_rows, type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learnable(docs: DataFrame) -> DataFrame:
     """The documents that the language model may learn from."""
     return docs.filter(common.crc_mod("doc_id", 4) != 2)

@@ -41,6 +41,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common
 
@@ -335,17 +336,16 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(ends, [*(a for a, _ in spans), len(raw)], strict=True))
 
 
-def map_kept(docs: DataFrame, columns: list[str], row, schema: str, hot: int = HOT) -> DataFrame:
-    """Rows that row(values of columns and text, bytes, spans lost) gives for each document."""
+def map_kept(docs: DataFrame, columns: list[str], row, schema: StructType, hot: int = HOT) -> DataFrame:
+    """The rows that row(values of the columns, bytes, spans lost) gives for each document, if any."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
     lost = lost_starts(docs, hot)
     runs = lost.groupBy("doc_id").agg(F.collect_list("first").alias("_first"), F.collect_list("last").alias("_last"))
     runs = common.stored(runs, "runs")
     release(docs)
     joined = docs.join(runs, "doc_id", "left").select(*columns, "_first", "_last")
-    out = to_arrow_schema(StructType.fromDDL(schema))
+    out = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -354,7 +354,9 @@ def map_kept(docs: DataFrame, columns: list[str], row, schema: str, hot: int = H
                 rows = []
                 for *values, first, last in zip(*(part.column(k).to_pylist() for k in range(part.num_columns)), strict=True):
                     raw = (values[columns.index("text")] or "").encode()
-                    rows.append(row(values, raw, merged(first or [], last or [], len(raw))))
+                    made = row(values, raw, merged(first or [], last or [], len(raw)))
+                    if made is not None:
+                        rows.append(made)
                 cells = zip(*rows, strict=True) if rows else [()] * len(out)
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cells, out, strict=True)], schema=out)
 
@@ -367,7 +369,23 @@ def removed_bytes(docs: DataFrame, hot: int = HOT) -> DataFrame:
     def row(values, raw, spans):
         return values[0], len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(without(raw, spans)).hexdigest()
 
-    return map_kept(common.id_and_text(docs), ["doc_id", "text"], row, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", hot)
+    return map_kept(common.id_and_text(docs), ["doc_id", "text"], row, StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), hot)
+
+
+def delete_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """docs with the text that is left; characters that were cut apart go too. Texts left without a word go with their rows."""
+    columns = docs.columns
+    text_at = columns.index("text")
+
+    def row(values, raw, spans):
+        kept = without(raw, spans)
+        if spans and not kept.split():
+            return None
+        if spans:
+            values[text_at] = kept.decode("utf-8", errors="ignore")
+        return tuple(values)
+
+    return map_kept(docs, columns, row, docs.schema, hot)
 
 
 def op8_substring_dedup(spark, sf_dir) -> DataFrame:
