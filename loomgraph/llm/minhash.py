@@ -10,7 +10,8 @@ coefficient is SIMILARITY or more.
 2. The sketch is cut into BANDS bands of ROWS bins. Classes that agree in a band share a bucket. At the
    threshold a pair misses all bands with probability below 4e-6.
 3. In each bucket every member is a candidate with the bucket's smallest member only, so pairs are linear
-   in the bucket. Candidates are checked on their full sets; the links give components.
+   in the bucket: first each class with the smallest of these over all its buckets, then, where they are
+   still in different components, with the others. Candidates are checked on their full sets.
 4. Where a bucket still holds several components, its members are compared in blocks of BLOCK by their
    sketches, and pairs of different components whose sketches agree in FLOOR of the bins or more (a true
    link is below it with probability under 1e-9) are checked on full sets as well. No pair within a
@@ -42,6 +43,8 @@ BLOCK = 256
 FLOOR = 0.6
 #: Hash values that are worked on at once while sketching.
 LOT = 4096
+#: Pairs up to which their ids are broadcast: 24 MB.
+BROADCAST_PAIRS = 1_000_000
 U = np.uint64
 
 
@@ -126,19 +129,26 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough. The ids of a pair name documents of docs."""
-    pairs = common.stored(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
-    texts = common.id_and_text(docs).join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
-
-    def make():
-        return lambda ids, texts: {"doc_id": ids, "set": [s.view(np.int64) for s in shingle_sets(texts, shingle)]}
+    """The pairs (a, b) whose full sets are alike enough. The ids of a pair name documents of docs.
 
-    sets = common.stored(common.map_arrow(texts, make, "doc_id long, set array<long>").dropDuplicates(["doc_id"]), "sets")
-    own = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
-    both = own.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
-    common_size = F.size(F.array_intersect("sa", "sb"))
-    enough = 100 * common_size >= percent * (F.size("sa") + F.size("sb") - common_size)
+    Sets are computed where the texts are read and move once, to the b they are compared with. The ids are
+    broadcast if they are few, which is counted; else both sides are shuffled.
+    """
+    pairs = common.stored(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("_id"), "b").unionByName(pairs.select(F.col("b").alias("_id"), "b").distinct())
+    wanted = F.broadcast(wanted) if pairs.count() <= BROADCAST_PAIRS else wanted
+    texts = common.id_and_text(docs).join(wanted, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch):
+                sets = [s.view(np.int64) for s in shingle_sets(part.column(1), shingle)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sets, type=pa.list_(pa.int64()))], names=["a", "b", "set"])
+
+    sets = common.stored(texts.mapInArrow(run, "a long, b long, set array<long>").dropDuplicates(["a", "b"]), "sets")
+    both = sets.filter("a <> b").join(sets.filter("a = b").select("b", F.col("set").alias("other")), "b")
+    common_size = F.size(F.array_intersect("set", "other"))
+    enough = 100 * common_size >= percent * (F.size("set") + F.size("other") - common_size)
     return common.stored(both.filter(enough).select("a", "b"), "links")
 
 
@@ -161,22 +171,40 @@ def alike_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
 
+def labelled(buckets: DataFrame, near: DataFrame) -> DataFrame:
+    """Bucket rows with the component of the member."""
+    joined = buckets.join(near.withColumnRenamed("node", "rep"), "rep", "left")
+    return common.stored(joined.select("band", "rep", "leader", F.coalesce("component", "rep").alias("comp")), "members")
+
+
+def mixed_buckets(members: DataFrame) -> DataFrame:
+    """The buckets that hold several components: band, leader_comp and size."""
+    found = members.groupBy("band").agg(F.min(F.when(F.col("rep") == F.col("leader"), F.col("comp"))).alias("leader_comp"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
+    return common.stored(found.filter("low <> high").select("band", "leader_comp", "size"), "mixed")
+
+
 def links(reps: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Components (node, component) of the classes reps (rep, n, bands, sketch)."""
     banded = reps.select("rep", F.explode("bands").alias("band"))
     leaders = common.stored(banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1"), "leaders")
     buckets = common.stored(banded.join(leaders, "band"), "buckets")
-    pairs = buckets.filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    found = verified(pairs, docs, shingle, percent)
+    # Each member with the smallest of its leaders first: one pair a class joins up most of a group.
+    stars = common.stored(buckets.filter("rep <> leader").groupBy(F.col("rep").alias("a")).agg(F.min("leader").alias("b")), "stars")
+    found = verified(stars, docs, shingle, percent)
+    # Then with its other leaders, where they are in another component still.
+    members = labelled(buckets, common.stored(components(found), "components"))
+    mixed = mixed_buckets(members)
+    others = common.stored(members.join(mixed, "band").filter("rep <> leader and comp <> leader_comp").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "others")
+    found = common.stored(found.unionByName(verified(others, docs, shingle, percent)), "links")
     near = common.stored(components(found), "components")
-    # Buckets of two are done: their one pair has been checked.
-    members = buckets.filter("size > 2").join(near.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
-    members = common.stored(members, "members")
-    mixed = common.stored(members.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low <> high").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).select("band", "blocks"), "mixed")
+    # Last with all members of other components. In a bucket of two the one pair has been checked.
+    members = labelled(buckets.filter("size > 2"), near)
+    mixed = mixed_buckets(members).withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).select("band", "blocks")
     rest = members.join(mixed, "band").join(reps.select("rep", "n", "sketch"), "rep")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     grouped = rest.groupBy("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("rep", "comp", "n", "sketch", "block")).alias("members"))
-    more = grouped.select("i", "j", "members").mapInArrow(alike_in_blocks, "a long, b long").distinct().join(found, ["a", "b"], "left_anti")
+    tried = stars.unionByName(others)
+    more = grouped.select("i", "j", "members").mapInArrow(alike_in_blocks, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
     extra = verified(more, docs, shingle, percent)
     return components(found.unionByName(extra)) if extra.take(1) else near
 
