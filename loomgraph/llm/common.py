@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python pass works on, or one document if it is longer.
 SLICE_BYTES = 6 << 20
+#: Bytes of an Arrow batch on its way to Python.
+BATCH_BYTES = 8 << 20
 #: Distinct words whose results a Python worker keeps in each of two generations.
 CACHE_WORDS = 200_000
 
@@ -71,7 +73,11 @@ def byte_alphabet() -> list[str]:
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
-    """Just doc_id (long) and text (string); whatever else the rows hold is left out."""
+    """Just doc_id (long) and text (string); whatever else the rows hold is left out.
+
+    Rows go to Python in batches of BATCH_BYTES, so that long texts don't make large ones.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

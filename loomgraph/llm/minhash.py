@@ -9,13 +9,13 @@ coefficient is SIMILARITY or more.
    after 2 T rounds every bin is filled; bins keep the smallest. Equal sets become one class.
 2. The sketch is cut into BANDS bands of ROWS bins. Classes that agree in a band share a bucket. At the
    threshold a pair misses all bands with probability below 4e-6.
-3. In each bucket every member is a candidate with the bucket's smallest member only, so pairs are linear
-   in the bucket: first each class with the smallest of these over all its buckets, then, where they are
-   still in different components, with the others. Candidates are checked on their full sets.
-4. Where a bucket still holds several components, its members are compared in blocks of BLOCK by their
-   sketches, and pairs of different components whose sketches agree in FLOOR of the bins or more (a true
-   link is below it with probability under 1e-9) are checked on full sets as well. No pair within a
-   component is made, and no bucket is capped.
+3. Each class is checked on the full sets with one candidate, the smallest of the smallest members of its
+   buckets: a pair a class, and the links join up most of a group of copies.
+4. Where a bucket still holds several components, its members are compared in blocks of BLOCK: pairs of
+   different components whose sketches agree in FLOOR of the bins or more (a true link is below it with
+   probability under 1e-9) are checked on the full sets, in place, by a product of 0/1 matrices; only
+   links that join components leave the block. No pair within a component is made, no pair is written
+   that isn't such a link, and no bucket is capped. This is done for FIRST_BANDS bands first.
 
 Nulls: a null text has an empty set; a null doc_id can't be linked to but is found a copy of others.
 Documents with an empty set are linked with nothing. Repeated rows give repeated rows; equal doc_ids are
@@ -39,7 +39,8 @@ from .components import components
 SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 64, 6
-BLOCK = 256
+BLOCK = 128
+FIRST_BANDS = 8
 FLOOR = 0.6
 #: Hash values that are worked on at once while sketching.
 LOT = 4096
@@ -128,15 +129,13 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows:
     return common.map_arrow(docs, make, "doc_id long, n_shingles long, key binary, bands array<long>, sketch binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough. The ids of a pair name documents of docs.
+def sets_of(wanted: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """The full sets of documents: wanted (_id, b) becomes (a, b, set).
 
-    Sets are computed where the texts are read and move once, to the b they are compared with. The ids are
-    broadcast if they are few, which is counted; else both sides are shuffled.
+    Sets are computed where the texts are read. The ids are broadcast if they are few, which is counted;
+    else both sides are shuffled.
     """
-    pairs = common.stored(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("_id"), "b").unionByName(pairs.select(F.col("b").alias("_id"), "b").distinct())
-    wanted = F.broadcast(wanted) if pairs.count() <= BROADCAST_PAIRS else wanted
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_PAIRS else wanted
     texts = common.id_and_text(docs).join(wanted, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,68 +144,131 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
                 sets = [s.view(np.int64) for s in shingle_sets(part.column(1), shingle)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sets, type=pa.list_(pa.int64()))], names=["a", "b", "set"])
 
-    sets = common.stored(texts.mapInArrow(run, "a long, b long, set array<long>").dropDuplicates(["a", "b"]), "sets")
+    return common.stored(texts.mapInArrow(run, "a long, b long, set array<long>").dropDuplicates(["a", "b"]), "sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are alike enough. A set moves once, to the b that it is compared with."""
+    pairs = common.stored(pairs, "pairs")
+    wanted = common.stored(pairs.select(F.col("a").alias("_id"), "b").unionByName(pairs.select(F.col("b").alias("_id"), "b").distinct()), "wanted")
+    sets = sets_of(wanted, docs, shingle)
     both = sets.filter("a <> b").join(sets.filter("a = b").select("b", F.col("set").alias("other")), "b")
     common_size = F.size(F.array_intersect("set", "other"))
     enough = 100 * common_size >= percent * (F.size("set") + F.size("other") - common_size)
     return common.stored(both.filter(enough).select("a", "b"), "links")
 
 
-def alike_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in a block, or between two blocks, whose sketches agree enough."""
-    for batch in batches:
-        left, right = [], []
-        for i, j, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            s = np.frombuffer(b"".join(m["sketch"] for m in members), dtype=np.uint8).reshape(len(members), -1)
-            rep, comp, n, block = (np.array([m[k] for m in members], dtype=np.int64) for k in ("rep", "comp", "n", "block"))
-            for k in range(len(members)):
-                other = (comp > comp[k]) & (100 * np.minimum(n, n[k]) >= PERCENT * np.maximum(n, n[k]))
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all pairs of sets, by products of 0/1 matrices."""
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, counts = np.unique(values, return_inverse=True, return_counts=True)
+    several = counts[column] > 1
+    _, column = np.unique(column[several], return_inverse=True)
+    owner = owner[several]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    width = 8192
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [first, first + width])
+        part = np.zeros((len(sets), width), dtype=np.float32)
+        part[owner[a:b], column[a:b] - first] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+def joined_up(rep: np.ndarray, comp: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
+    """Of linked pairs of indices as few as join the same components."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    out = []
+    for i, j in pairs.tolist():
+        a, b = top(int(comp[i])), top(int(comp[j]))
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((int(rep[i]), int(rep[j])))
+    return out
+
+
+def links_in_blocks(percent: int):
+    """For rows (i, j, members) of a block, or of two, links that join its components; checked on the full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for i, j, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                rows = members.values
+                rep, comp, block = (rows.field(k).to_numpy() for k in ("rep", "comp", "block"))
+                sets = rows.field("set")
+                cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(sets).to_numpy())])
+                flat = sets.flatten().to_numpy()
+                n = np.diff(cuts)
+                small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
+                tried = (comp[:, None] < comp[None, :]) & (100 * small >= percent * large)
                 if i != j:
-                    other &= block != block[k]
-                at = np.flatnonzero(other)
-                at = at[(s[at] == s[k]).mean(axis=1) >= FLOOR]
-                left += [int(rep[k])] * len(at)
-                right += rep[at].tolist()
-        a, b = np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+                    tried &= block[:, None] != block[None, :]
+                sketch = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), dtype=np.uint8).reshape(len(rep), -1)
+                for k in np.flatnonzero(tried.any(axis=1)):
+                    at = np.flatnonzero(tried[k])
+                    tried[k, at] = (sketch[at] == sketch[k]).mean(axis=1) >= FLOOR
+                used = np.flatnonzero(tried.any(axis=0) | tried.any(axis=1))
+                if not len(used):
+                    continue
+                shared = shared_counts([flat[cuts[k] : cuts[k + 1]] for k in used])
+                own = np.ix_(used, used)
+                linked = tried[own] & (100 * shared >= percent * (n[used][:, None] + n[used][None, :] - shared))
+                found += joined_up(rep[used], comp[used], np.argwhere(linked))
+            a, b = (np.array([p[k] for p in found], dtype=np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+    return run
 
 
 def labelled(buckets: DataFrame, near: DataFrame) -> DataFrame:
     """Bucket rows with the component of the member."""
     joined = buckets.join(near.withColumnRenamed("node", "rep"), "rep", "left")
-    return common.stored(joined.select("band", "rep", "leader", F.coalesce("component", "rep").alias("comp")), "members")
+    return common.stored(joined.select("band", "rep", F.coalesce("component", "rep").alias("comp")), "members")
 
 
-def mixed_buckets(members: DataFrame) -> DataFrame:
-    """The buckets that hold several components: band, leader_comp and size."""
-    found = members.groupBy("band").agg(F.min(F.when(F.col("rep") == F.col("leader"), F.col("comp"))).alias("leader_comp"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
-    return common.stored(found.filter("low <> high").select("band", "leader_comp", "size"), "mixed")
+def in_mixed_buckets(members: DataFrame, block: int) -> DataFrame:
+    """The members (band, rep, comp, blocks) of buckets that hold several components."""
+    found = members.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low <> high")
+    mixed = common.stored(found.select("band", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "mixed")
+    return common.stored(members.join(mixed, "band"), "rest")
 
 
 def links(reps: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Components (node, component) of the classes reps (rep, n, bands, sketch)."""
-    banded = reps.select("rep", F.explode("bands").alias("band"))
-    leaders = common.stored(banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1"), "leaders")
+    banded = reps.select("rep", F.posexplode("bands").alias("b", "band"))
+    leaders = common.stored(banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1").select("band", "leader"), "leaders")
     buckets = common.stored(banded.join(leaders, "band"), "buckets")
     # Each member with the smallest of its leaders first: one pair a class joins up most of a group.
-    stars = common.stored(buckets.filter("rep <> leader").groupBy(F.col("rep").alias("a")).agg(F.min("leader").alias("b")), "stars")
+    stars = buckets.filter("rep <> leader").groupBy(F.col("rep").alias("a")).agg(F.min("leader").alias("b"))
     found = verified(stars, docs, shingle, percent)
-    # Then with its other leaders, where they are in another component still.
-    members = labelled(buckets, common.stored(components(found), "components"))
-    mixed = mixed_buckets(members)
-    others = common.stored(members.join(mixed, "band").filter("rep <> leader and comp <> leader_comp").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "others")
-    found = common.stored(found.unionByName(verified(others, docs, shingle, percent)), "links")
     near = common.stored(components(found), "components")
-    # Last with all members of other components. In a bucket of two the one pair has been checked.
-    members = labelled(buckets.filter("size > 2"), near)
-    mixed = mixed_buckets(members).withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).select("band", "blocks")
-    rest = members.join(mixed, "band").join(reps.select("rep", "n", "sketch"), "rep")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    grouped = rest.groupBy("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("rep", "comp", "n", "sketch", "block")).alias("members"))
-    tried = stars.unionByName(others)
-    more = grouped.select("i", "j", "members").mapInArrow(alike_in_blocks, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    extra = verified(more, docs, shingle, percent)
-    return components(found.unionByName(extra)) if extra.take(1) else near
+    # Then all members of a bucket, where it still holds several components; the first bands leave little for the others.
+    sets = None
+    for part in (buckets.filter(F.col("b") < FIRST_BANDS), buckets):
+        rest = in_mixed_buckets(labelled(part, near), block)
+        if not rest.take(1):
+            continue
+        have = rest.select(F.col("rep").alias("_id"), F.lit(0).cast("long").alias("b")).distinct()
+        have = have if sets is None else have.join(sets.select(F.col("a").alias("_id")), "_id", "left_anti")
+        new = sets_of(common.stored(have, "wanted"), docs, shingle)
+        sets = new if sets is None else sets.unionByName(new)
+        full = reps.select("rep", "sketch").join(sets.select(F.col("a").alias("rep"), "set"), "rep")
+        rows = rest.join(full, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        grouped = rows.groupBy("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("rep", "comp", "block", "sketch", "set")).alias("members"))
+        more = grouped.select("i", "j", "members").mapInArrow(links_in_blocks(percent), "a long, b long").distinct()
+        found = common.stored(found.unionByName(more), "links")
+        near = common.stored(components(found), "components")
+    return near
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -225,24 +225,53 @@ def later_starts(group: list[tuple[bytes, bytes, tuple, int]]) -> list[tuple[int
     return out
 
 
-def contexts(rest: DataFrame, docs: DataFrame) -> DataFrame:
-    """The context bytes of occurrences (a, doc_id, at)."""
-    listed = rest.groupBy("doc_id").agg(F.collect_list(F.struct("a", "at")).alias("places"))
-    joined = listed.join(common.id_and_text(docs).dropDuplicates(["doc_id"]), "doc_id").select("doc_id", "text", "places")
+def places_in_texts(rest: DataFrame, docs: DataFrame, step, schema: str) -> DataFrame:
+    """One pass over the documents that hold occurrences (a, doc_id, at): step(a, doc_id, at, left bytes reversed, right bytes) of each adds rows."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    listed = rest.groupBy("doc_id").agg(F.collect_list("a").alias("as"), F.collect_list("at").alias("ats"))
+    joined = listed.join(common.id_and_text(docs).dropDuplicates(["doc_id"]), "doc_id").select("doc_id", "text", "as", "ats")
+    out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch):
-                rows: list[tuple] = []
-                for doc_id, text, places in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                    raw = text.encode()
-                    for place in places:
-                        p = place["at"] >> 14
-                        rows.append((place["a"], doc_id, place["at"], raw[max(0, p - (LENGTH - SEED)) : p][::-1], raw[p : p + LENGTH]))
-                columns = zip(*rows, strict=True) if rows else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(),) * 3 + (pa.binary(),) * 2, strict=True)], names=["a", "doc_id", "at", "l", "r"])
+            for part in common.slices(batch, SLICE_BYTES):
+                columns: list[list] = [[] for _ in out]
+                for doc_id, text, hashes, ats in zip(*part.columns, strict=True):
+                    raw, doc_id = text.as_py().encode(), doc_id.as_py()
+                    for a, at in zip(hashes.values.to_pylist(), ats.values.to_pylist(), strict=True):
+                        p = at >> 14
+                        step(columns, a, doc_id, at, raw[max(0, p - (LENGTH - SEED)) : p][::-1], raw[p : p + LENGTH])
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+    return joined.mapInArrow(run, schema)
+
+
+def contexts(rest: DataFrame, docs: DataFrame) -> DataFrame:
+    """The context bytes of occurrences (a, doc_id, at)."""
+
+    def step(columns, *row):
+        for c, x in zip(columns, row, strict=True):
+            c.append(x)
+
+    return places_in_texts(rest, docs, step, "a long, doc_id long, at long, l binary, r binary")
+
+
+def string_hashes(rest: DataFrame, docs: DataFrame) -> DataFrame:
+    """The hash h of each string of occurrences (a, doc_id, at), doc_id and the string's start."""
 
-    return joined.mapInArrow(run, "a long, doc_id long, at long, l binary, r binary")
+    def step(columns, a, doc_id, at, left, right):
+        position, far, near = unpacked(at)
+        seeds = seed_hashes(np.frombuffer(left[::-1] + right, dtype=np.uint8))
+        first = len(left) - np.arange(near, far + 1)
+        v = mix(seeds[first] + STEPS[11])
+        for k in (SEED, 2 * SEED, LENGTH - SEED):
+            v = mix(v * STEPS[12] + seeds[first + k])
+        columns[0] += v.view(np.int64).tolist()
+        columns[1] += [doc_id] * len(first)
+        columns[2] += range(position - near, position - far - 1, -1)
+
+    return places_in_texts(rest, docs, step, "h long, doc_id long, start long")
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,24 +295,6 @@ def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield table(later_starts(group) if len(group) > 1 else [])
 
 
-def string_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hash of each string of each occurrence (a, doc_id, at, l, r): h, doc_id and its start."""
-    for batch in batches:
-        h, ids, starts = [], [], []
-        for doc_id, at, left, right in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
-            position, far, near = unpacked(at)
-            seeds = seed_hashes(np.frombuffer(left[::-1] + right, dtype=np.uint8))
-            first = len(left) - np.arange(near, far + 1)
-            v = mix(seeds[first] + STEPS[11])
-            for k in (SEED, 2 * SEED, LENGTH - SEED):
-                v = mix(v * STEPS[12] + seeds[first + k])
-            h.append(v.view(np.int64))
-            ids += [doc_id] * len(first)
-            starts.append(position - np.arange(near, far + 1))
-        none = [np.zeros(0, dtype=np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + h)), pa.array(ids, type=pa.int64()), pa.array(np.concatenate(none + starts))], names=["h", "doc_id", "start"])
-
-
 def release(df: DataFrame) -> None:
     """Let Spark drop the shuffle files of plans that are no longer referred to."""
     gc.collect()
@@ -312,7 +323,7 @@ def lost_starts(docs: DataFrame, hot: int = HOT) -> DataFrame:
     out = whole.unionByName(trees)
     warm = rest.filter(F.col("m") > hot)
     if warm.take(1):
-        strings = common.stored(contexts(warm, docs).mapInArrow(string_hashes, "h long, doc_id long, start long"), "strings")
+        strings = common.stored(string_hashes(warm, docs), "strings")
         known = common.stored(strings.groupBy("h").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first"), "known")
         again = strings.join(known, "h").filter(F.struct("doc_id", "start") > F.col("first"))
         out = out.unionByName(again.select("doc_id", F.col("start").alias("first"), F.col("start").alias("last")))
