@@ -92,7 +92,9 @@ def with_flags(docs: DataFrame, min_chars: int) -> DataFrame:
     found = flags(docs, min_chars)
     if found is None:
         return docs.withColumn("_gone", F.lit(None).cast("array<boolean>"))
-    return docs.join(found.select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone")), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    # The flags grow with the documents, so they are never broadcast, whatever their size here.
+    own = found.select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone")).hint("merge")
+    return docs.join(own, F.col("doc_id") == F.col("_id"), "left").drop("_id")
 
 
 def kept_text() -> Column:

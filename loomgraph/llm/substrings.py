@@ -355,7 +355,7 @@ def map_kept(docs: DataFrame, columns: list[str], row, schema: StructType, hot:
     runs = lost.groupBy("doc_id").agg(F.collect_list("first").alias("_first"), F.collect_list("last").alias("_last"))
     runs = common.stored(runs, "runs")
     release(docs)
-    joined = docs.join(runs, "doc_id", "left").select(*columns, "_first", "_last")
+    joined = docs.join(runs.hint("merge"), "doc_id", "left").select(*columns, "_first", "_last")
     out = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
