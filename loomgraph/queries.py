@@ -640,7 +640,7 @@ def warning_summary(spark, sf_dir):
 @query(
     PARSED
     + """, ranks AS (SELECT *, CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'moderate' THEN 2 WHEN 'low' THEN 1 ELSE 0 END AS rank FROM parsed WHERE package IS NOT NULL)
-SELECT r.package, r.version, CAST(count(DISTINCT coalesce(concat('url:', url), concat('sev:', severity))) AS BIGINT) AS advisories,
+SELECT r.package, r.version, CAST(count(DISTINCT coalesce('url:' || url, 'sev:' || severity)) AS BIGINT) AS advisories,
   (SELECT string_agg(severity, ', ' ORDER BY rank DESC, severity) FROM (SELECT DISTINCT severity, rank FROM ranks x WHERE x.package = r.package AND x.version = r.version)) AS severities,
   coalesce(string_agg(DISTINCT url, ', ' ORDER BY url), '') AS urls, coalesce(string_agg(DISTINCT project, ', ' ORDER BY project), '') AS projects
 FROM ranks r GROUP BY r.package, r.version"""
