@@ -11,7 +11,7 @@ coefficient is SIMILARITY or more.
    threshold a pair misses all bands with probability below 4e-6.
 3. Each class is checked on the full sets with one candidate, the smallest of the smallest members of its
    buckets: a pair a class, and the links join up most of a group of copies.
-4. Where a bucket still holds several components, its members are compared in blocks of BLOCK: pairs of
+4. Where a bucket still holds several components, its members are compared in blocks of BLOCK (fewer where they are long): pairs of
    different components whose sketches agree in FLOOR of the bins or more (a true link is below it with
    probability under 1e-9) are checked on the full sets, in place, by a product of 0/1 matrices; only
    links that join components leave the block. No pair within a component is made, no pair is written
@@ -39,7 +39,7 @@ from .components import components
 SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 64, 6
-BLOCK = 128
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 FIRST_BANDS = 8
 FLOOR = 0.6
 #: Hash values that are worked on at once while sketching.
@@ -233,19 +233,20 @@ def links_in_blocks(percent: int):
 def labelled(buckets: DataFrame, near: DataFrame) -> DataFrame:
     """Bucket rows with the component of the member."""
     joined = buckets.join(near.withColumnRenamed("node", "rep"), "rep", "left")
-    return common.stored(joined.select("band", "rep", F.coalesce("component", "rep").alias("comp")), "members")
+    return common.stored(joined.select("band", "rep", "n", F.coalesce("component", "rep").alias("comp")), "members")
 
 
 def in_mixed_buckets(members: DataFrame, block: int) -> DataFrame:
     """The members (band, rep, comp, blocks) of buckets that hold several components."""
-    found = members.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low <> high")
-    mixed = common.stored(found.select("band", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "mixed")
-    return common.stored(members.join(mixed, "band"), "rest")
+    found = members.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), F.sum("n").alias("shingles")).filter("low <> high")
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    mixed = common.stored(found.select("band", blocks.alias("blocks")), "mixed")
+    return common.stored(members.drop("n").join(mixed, "band"), "rest")
 
 
 def links(reps: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Components (node, component) of the classes reps (rep, n, bands, sketch)."""
-    banded = reps.select("rep", F.posexplode("bands").alias("b", "band"))
+    banded = reps.select("rep", "n", F.posexplode("bands").alias("b", "band"))
     leaders = common.stored(banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1").select("band", "leader"), "leaders")
     buckets = common.stored(banded.join(leaders, "band"), "buckets")
     # Each member with the smallest of its leaders first: one pair a class joins up most of a group.
@@ -254,7 +255,7 @@ def links(reps: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int
     near = common.stored(components(found), "components")
     # Then all members of a bucket, where it still holds several components; the first bands leave little for the others.
     sets = None
-    for part in (buckets.filter(F.col("b") < FIRST_BANDS), buckets):
+    for part in (buckets.filter(F.col("b") < FIRST_BANDS), buckets.filter(F.col("b") >= FIRST_BANDS)):
         rest = in_mixed_buckets(labelled(part, near), block)
         if not rest.take(1):
             continue
