@@ -67,7 +67,7 @@ def mutual() -> Builder:
     return b
 
 
-def tested() -> Builder:
+def with_tests() -> Builder:
     b = Builder()
     for p in ("Foo", "FooTests"):
         b.add("Project", p, f"C:/repo/{p}/{p}.csproj")

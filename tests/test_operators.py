@@ -1,5 +1,5 @@
 import pytest
-from graphs import Builder, chain, mutual, node, shapes, tested
+from graphs import Builder, chain, mutual, node, shapes, with_tests
 from pyspark.sql import functions as F
 
 from loomgraph import schema
@@ -344,4 +344,4 @@ def test_stream_goes_on_after_a_failed_batch(spark, tmp_path):
 def test_tests_of_a_symbol(spark):
     from loomgraph.queries import tests_of
 
-    assert fqns(tests_of(tested().graph(spark), "Foo.Bar.Do()")) == ["FooTests.BarTests.Do_Works()"]
+    assert fqns(tests_of(with_tests().graph(spark), "Foo.Bar.Do()")) == ["FooTests.BarTests.Do_Works()"]
