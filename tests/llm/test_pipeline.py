@@ -43,7 +43,7 @@ def test_stages(spark, small):
 def test_characters_that_are_cut_apart_go(spark):
     r = random.Random(1)
     passage = "".join(r.choice("éèêàüñçö") for _ in range(120))
-    rows = [(1, passage + " first"), (2, "x" + passage + " second"), (3, passage)]
+    rows = [(1, passage + "é first"), (2, "x" + passage + "è second"), (3, passage)]
     kept = {r.doc_id: r.text for r in substrings.delete_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert kept == {1: passage + " first", 2: "x second"}
+    assert kept == {1: passage + "é first", 2: "x second"}
     assert substrings.delete_repeats(spark.createDataFrame(rows, "doc_id long, text string").withColumn("extra", F.lit(1))).columns == ["doc_id", "text", "extra"]
