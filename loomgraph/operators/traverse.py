@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import symbols
 from ..schema import Graph
-from ..sources.scratch import sized, stored
+from ..sources.scratch import BROADCAST_ROWS, sized, stored
 from .scan import by_kind, dependency_edges
 
 MAX_DEPTH, MAX_RESULTS = 5, 500
@@ -33,16 +33,18 @@ def levels(edges: DataFrame, seeds: DataFrame, direction: str, depth: int | None
     if depth is not None and depth <= 0:
         raise ValueError("depth must be positive")
     near, far = ("source_id", "target_id") if direction == "outgoing" else ("target_id", "source_id")
-    steps = edges.select(F.col(near).alias("at"), F.col(far).alias("next")).distinct()
+    steps = edges.select(F.col(near).alias("at"), F.col(far).alias("next"))
     start = stored(seeds.select(F.col("id").alias("seed"), F.col("id"), F.lit(0).alias("depth")).distinct(), "frontier")
-    found, frontier, level = [start], start, 0
-    while (depth is None or level < depth) and frontier.take(1):
+    found, frontier, level, size = [start], start, 0, start.count()
+    while (depth is None or level < depth) and size:
         level += 1
-        after = sized(frontier).select("seed", F.col("id").alias("at")).join(steps, "at").select("seed", F.col("next").alias("id")).distinct()
+        near_rows = frontier.select("seed", F.col("id").alias("at"))
+        after = (F.broadcast(near_rows) if size <= BROADCAST_ROWS else near_rows).join(steps, "at").select("seed", F.col("next").alias("id")).distinct()
         if seen := found[1:] if keep_seeds else found:
             after = after.join(reduce(DataFrame.unionByName, seen).select("seed", "id"), ["seed", "id"], "left_anti")
         frontier = stored(after.withColumn("depth", F.lit(level)), "frontier")
         found.append(frontier)
+        size = frontier.count()
     return reduce(DataFrame.unionByName, found[1:]) if len(found) > 1 else start.limit(0)
 
 
@@ -156,6 +158,8 @@ def prune_shown(rows: DataFrame) -> DataFrame:
     while True:
         marked = stored(kept.withColumn("already_shown", F.row_number().over(order) > 1), "shown")
         again = marked.filter("already_shown").select(F.col("path").alias("_again"))
+        if not again.take(1):
+            return marked
         below = marked.join(sized(again), (F.size("_again") < F.size("path")) & (F.slice("path", F.lit(1), F.size("_again")) == F.col("_again")), "left_anti")
         kept_now = stored(below, "shown")
         if kept_now.count() == marked.count():

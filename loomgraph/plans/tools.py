@@ -249,6 +249,13 @@ class Tools:
             sites = sites.join(listed, "call_id", "left").withColumn(column, F.coalesce("_names", F.array().cast("array<string>"))).drop("_names")
         return sites
 
+    def stale_note(self) -> str:
+        """A note if the stored links are older than what they link."""
+        meta = self.store.meta()
+        newest = max(meta.get("last_analyzed", ""), meta.get("frontend_last_analyzed", ""))
+        linked = meta.get("linker_last_run")
+        return "The stored links are older than the graph; run link again." if linked and linked < newest else ""
+
     def find_orphan_calls(self, category: str | None = None) -> Result:
         orphans = ("NoSkeletonMatch", "VerbMismatch", "UnknownVerb")
         if category is not None and category.strip():
@@ -263,7 +270,7 @@ class Tools:
         rows = sites.withColumn("_k", F.row_number().over(Window.partitionBy("outcome").orderBy("fqn", "call_id"))).filter(F.col("_k") <= CALL_SITES)
         counts = {r.outcome: r.n for r in sites.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
         unresolved = scan.by_kind(g.nodes, "UnresolvedCallSite").count()
-        return Result({"orphans": rows.select("outcome", "fqn", "name", "conflicts").orderBy("outcome", "fqn")}, counts | {"unresolved_call_sites": unresolved}, any(n > CALL_SITES for n in counts.values()))
+        return Result({"orphans": rows.select("outcome", "fqn", "name", "conflicts").orderBy("outcome", "fqn")}, counts | {"unresolved_call_sites": unresolved}, any(n > CALL_SITES for n in counts.values()), self.stale_note())
 
     def list_frontend_callsites(self, verb: str | None = None, prefix: str | None = None) -> Result:
         wanted = None if verb is not None and verb.strip().upper() == "UNKNOWN" else self.verb(verb, ("verb", "prefix"))
@@ -273,7 +280,7 @@ class Tools:
         if prefix:
             sites = sites.filter(routes.skeleton(F.col("name")).startswith(routes.skeleton(F.lit(prefix))))
         rows, more = capped(sites.select("fqn", "name", "outcome", "endpoints").orderBy("fqn"), CALL_SITES)
-        return Result({"call_sites": rows}, more=more)
+        return Result({"call_sites": rows}, more=more, text=self.stale_note())
 
     # ------------------------------------------------------------ source
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import schema, testgraphs
 from .functions import routes
-from .operators import attribute, containers, endpoints, export, incremental, linker, report, scan, source_text, traverse
+from .operators import attribute, containers, endpoints, export, extraction, incremental, linker, report, scan, source_text, traverse
 from .schema import Graph
 from .sources import artifact, files, store
 from .streaming import watch
@@ -666,6 +666,70 @@ def artifact_stats(spark, sf_dir):
     return artifact.statistics(sites).withColumn("by_category", text)
 
 
+# ---------------------------------------------------------------- extraction
+
+
+@query(
+    """
+WITH types AS (SELECT kind, fqn, regexp_replace(fqn, '\\.[^.]*$', '') AS space FROM part_types),
+pairs AS (
+  SELECT 'Namespace' AS sk, space AS sf, kind AS tk, fqn AS tf FROM types UNION SELECT 'Namespace', 'Parts', 'Namespace', space FROM types UNION SELECT 'Project', 'Catalog', 'Namespace', 'Parts' FROM types)
+SELECT s.id AS source_id, t.id AS target_id, 'Contains' AS kind FROM pairs p JOIN nodes s ON s.kind = p.sk AND s.fqn = p.sf JOIN nodes t ON t.kind = p.tk AND t.fqn = p.tf""",
+    "part_types",
+    "nodes",
+)
+def containment_edges(spark, sf_dir):
+    own = testgraphs.graph(spark, sf_dir).nodes.filter(F.col("fqn").rlike(r"^Parts\.[^.]+\.T\d+$"))
+    none = F.lit(None).cast("string")
+    return extraction.containment(own.select("kind", "fqn", F.regexp_replace("fqn", r"\.[^.]*$", "").alias("namespace"), F.lit("Catalog").alias("project"), none.alias("outer_kind"), none.alias("outer_fqn")))
+
+
+@query("""
+WITH docs AS (SELECT CAST(doc_id AS VARCHAR) AS file FROM documents WHERE doc_id % 10 = 0),
+members AS (
+  SELECT file, 0 AS s, 1000 AS e, 'all' AS id FROM docs
+  UNION ALL SELECT file, 100 * j, 100 * j + 90, concat('a', j) FROM docs, unnest(range(0, 10)) AS r(j)
+  UNION ALL SELECT file, 100 * j + 20, 100 * j + 60, concat('b', j) FROM docs, unnest(range(0, 10)) AS r(j)),
+uses AS (SELECT CAST(doc_id AS VARCHAR) AS file, CAST(u * 37 % 1100 AS INTEGER) AS at_place FROM documents, unnest(range(0, 40)) AS r(u) WHERE doc_id % 10 = 0)
+SELECT u.file, u.at_place AS place, arg_min(m.id, m.e - m.s) AS member_id FROM uses u LEFT JOIN members m ON m.file = u.file AND m.s <= u.at_place AND u.at_place < m.e GROUP BY ALL""")
+def enclosing_members(spark, sf_dir):
+    docs = testgraphs.table(spark, sf_dir, "documents").filter("doc_id % 10 = 0").select(F.col("doc_id").cast("string").alias("file"))
+    parts = docs.select("file", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j"))
+    span = lambda df, a, b, name: df.select("file", a.cast("int").alias("span_start"), b.cast("int").alias("span_end"), name.alias("id"))
+    j = F.col("j")
+    members = span(docs, F.lit(0), F.lit(1000), F.lit("all")).unionByName(span(parts, 100 * j, 100 * j + 90, F.concat(F.lit("a"), j))).unionByName(span(parts, 100 * j + 20, 100 * j + 60, F.concat(F.lit("b"), j)))
+    uses = docs.select("file", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("u")).select("file", (F.col("u") * 37 % 1100).cast("int").alias("at"))
+    return extraction.enclosing_members(uses, members).select("file", F.col("at").alias("place"), "member_id")
+
+
+@query("""
+WITH RECURSIVE paths(k, prefix) AS (
+  SELECT n_nationkey, concat('s', n_nationkey) FROM nation WHERE n_nationkey = 0
+  UNION ALL SELECT n.n_nationkey, concat(p.prefix, '/s', n.n_nationkey) FROM nation n JOIN paths p ON n.n_nationkey > 0 AND p.k = n.n_nationkey // 2)
+SELECT n_name AS name, prefix FROM nation LEFT JOIN paths ON k = n_nationkey""")
+def group_prefixes(spark, sf_dir):
+    nation = testgraphs.table(spark, sf_dir, "nation")
+    key = F.col("n_nationkey")
+    above = F.when(key > 0, F.concat(F.lit("NATION_"), F.floor(key / 2).cast("string")))
+    return extraction.group_prefixes(nation.select(F.col("n_name").alias("name"), above.alias("receiver"), F.concat(F.lit("s"), key.cast("string")).alias("segment")))
+
+
+@query("""
+WITH calls AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'fetch' ELSE 'client' END AS callee, CASE page_id % 5 WHEN 0 THEN 'get' WHEN 1 THEN 'del' WHEN 2 THEN 'head' WHEN 3 THEN NULL ELSE 'post' END AS method, page_id % 4 = 1 AS failed, regexp_extract(url, '^https?:/(/[^?#]*)', 1) AS path FROM pages),
+verbs AS (SELECT *, CASE WHEN callee = 'fetch' THEN coalesce(upper(method), 'GET') ELSE CASE method WHEN 'get' THEN 'GET' WHEN 'del' THEN 'DELETE' WHEN 'post' THEN 'POST' END END AS verb FROM calls)
+SELECT concat('p', page_id) AS file, CASE WHEN failed THEN 'UnresolvedCallSite' ELSE 'FrontendCallSite' END AS kind, verb, CASE WHEN NOT failed THEN concat(path, '/{*}') END AS template, CASE WHEN failed THEN 'dynamic' END AS category FROM verbs WHERE verb IS NOT NULL""")
+def classified_calls(spark, sf_dir):
+    pages = testgraphs.table(spark, sf_dir, "pages")
+    k = F.col("page_id")
+    part = lambda text, hole, failure: F.struct(text.cast("string").alias("text"), F.lit(hole).alias("is_hole"), failure.cast("string").alias("failure"))
+    none = F.lit(None)
+    failed = F.when(k % 4 == 1, "dynamic")
+    parts = F.array(part(F.concat(F.regexp_extract("url", "^https?:/(/[^?#]*)", 1), F.lit("/")), False, none), part(none, True, failed))
+    method = F.when(k % 5 == 0, "get").when(k % 5 == 1, "del").when(k % 5 == 2, "head").when(k % 5 == 3, none.cast("string")).otherwise("post")
+    calls = pages.select(F.when(k % 3 == 0, "fetch").otherwise("client").alias("callee"), method.alias("method"), F.lit(True).alias("method_is_literal"), parts.alias("parts"), F.concat(F.lit("p"), k.cast("string")).alias("file"), *[F.lit(1).alias(c) for c in ("line", "column", "span_start", "span_end")])
+    return extraction.classified_calls(calls).select("file", "kind", "verb", "template", "category")
+
+
 # ---------------------------------------------------------------- export
 
 ROOTS = PROJECTS + """, roots AS (SELECT id, kind, coalesce(project, '(unattributed)') AS root FROM of_node WHERE kind <> 'Namespace'),
