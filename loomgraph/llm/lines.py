@@ -89,32 +89,33 @@ def flags(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame | None:
 
 
 def with_flags(docs: DataFrame, min_chars: int) -> DataFrame:
-    found = flags(docs, min_chars)
+    """Each row of docs as a struct, row, so that its columns can't clash with others, and gone: its flags or null."""
+    found, whole = flags(docs, min_chars), docs.select(F.struct(*docs.columns).alias("row"))
     if found is None:
-        return docs.withColumn("_gone", F.lit(None).cast("array<boolean>"))
+        return whole.withColumn("gone", F.lit(None).cast("array<boolean>"))
     # The flags grow with the documents, so they are never broadcast, whatever their size here.
-    own = found.select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone")).hint("merge")
-    return docs.join(own, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    return whole.join(found.hint("merge"), F.col("row.doc_id") == F.col("doc_id"), "left").select("row", "gone")
 
 
 def kept_text() -> Column:
-    kept = F.filter(lines_of("text"), lambda line, at: ~F.element_at("_gone", at + 1))
-    return F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    text = F.col("row.text")
+    kept = F.filter(lines_of(text), lambda line, at: ~F.element_at("gone", at + 1))
+    return F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
 def delete_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the text that is left."""
-    return with_flags(docs, min_chars).withColumn("text", kept_text()).drop("_gone").select(docs.columns)
+    return with_flags(docs, min_chars).select(*[kept_text().alias(c) if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns])
 
 
 def op7_line_dedup(spark, sf_dir) -> DataFrame:
     """For each document its lines, how many are deleted in how many runs, and a digest of what is left."""
     docs = with_flags(common.id_and_text(common.documents(spark, sf_dir)), MIN_CHARS)
-    gone = F.coalesce("_gone", F.array().cast("array<boolean>"))
+    gone, text = F.coalesce("gone", F.array().cast("array<boolean>")), F.col("row.text")
     starts = F.filter(gone, lambda x, at: x & ((at == 0) | ~F.element_at(gone, F.greatest(at, F.lit(1)))))
     return docs.select(
-        "doc_id",
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines_of("text"))).cast("long").alias("n_lines"),
+        "row.doc_id",
+        F.when(text.isNull(), 0).otherwise(F.size(lines_of(text))).cast("long").alias("n_lines"),
         F.size(F.filter(gone, lambda x: x)).cast("long").alias("n_removed"),
         F.size(starts).cast("long").alias("n_runs"),
         F.sha2(F.coalesce(kept_text(), F.lit("")), 256).alias("kept_sha256"),

@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from loomgraph.llm import bpe, common, fingerprints, langid, lines, minhash, packing, quality, registry, substrings, toxicity, wordpiece
 
 ODD_TEXTS = [None, "", " ", "a", "The", "x" * 3000, "ab " * 900, "é\x85ü 日本語 🙂", "a<|endoftext|>b", "line\n\nline\n", "\t\x0b lead and trail \r\n", "1234 5678", "one two three four", "one two three four"]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, id string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, id string, gone string, first long, last long, row string, bands string, part string, rep long"
 
 
 def table(spark, texts, first=0):
     """Rows of documents, with extra columns and names that operators use inside."""
-    rows = [(first + k, t, ("en", "de", None)[k % 3], "s", len(t or ""), "k", "i") for k, t in enumerate(texts)]
+    rows = [(first + k, t, ("en", "de", None)[k % 3], "s", len(t or ""), "k", "i", "g", 1, 2, "r", "b", "p", 3) for k, t in enumerate(texts)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
@@ -344,6 +344,9 @@ def test_line_runs_equal_brute_force(spark, empty):
     assert (None, "a\nbb") in got
     assert lines.delete_repeats(empty).collect() == []
     assert lines.delete_repeats(empty).columns == empty.columns
+    clash = table(spark, ["a line of more than forty characters, surely\nx", "y\na line of more than forty characters, surely"])
+    assert sorted((row.text, row.gone, row.row) for row in lines.delete_repeats(clash).collect()) == [("a line of more than forty characters, surely\nx", "g", "r"), ("y", "g", "r")]
+    assert substrings.delete_repeats(table(spark, ["z" * 300])).select("first", "row").collect() == [(1, "r")]
 
 
 # ---------------------------------------------------------------- 8
@@ -369,7 +372,7 @@ def test_passages_equal_brute_force(spark, docs, odd, empty):
     bases = ["".join(r.choice("abcdé ") for _ in range(400)) for _ in range(4)]
     cut = lambda b: b[(a := r.randint(0, 300)) : a + r.randint(20, 300)]
     mixed = table(spark, [*ODD_TEXTS, *("".join(cut(r.choice(bases)) if r.random() < 0.7 else "".join(r.choice("abc ") for _ in range(r.randint(1, 80))) for _ in range(r.randint(1, 6))) for _ in range(90))])
-    for frame, hot in ((docs, substrings.HOT), (mixed, substrings.HOT), (mixed, 2)):
+    for frame, hot in ((docs, substrings.HOT), (mixed, substrings.HOT), (mixed, 2), (mixed, 1000)):
         got = {r.doc_id: tuple(r)[1:] for r in substrings.removed_bytes(frame, hot).collect()}
         assert got == plain_bytes(texts_of(frame))
     assert substrings.removed_bytes(empty).collect() == []
