@@ -19,8 +19,8 @@ the same anchor need comparing, by their context: 68 bytes to the left and 100 f
    are shared, and where they divide the extension is diverse. A right and a left interval that together
    span LENGTH bytes or more are a maximal repeat (within the context); all its members are occurrences,
    and all but the first lose the strings that the pair of intervals accounts for.
-4. An anchor with more than HOT contexts is not sorted in one place: each string of its occurrences is
-   hashed, and the first of each hash stays.
+4. An anchor with more than HOT contexts is not sorted in one place, as one may have as many as there are
+   documents: each string of its occurrences is hashed, and the first of each hash stays.
 
 Hashes have 64 bits and are taken for the bytes they stand for. Every step is an aggregation with a
 partial sum before the shuffle or a join that Spark splits where a key is frequent.
@@ -47,7 +47,7 @@ from . import common
 
 LENGTH = 100
 SEED = 32
-HOT = 1000
+HOT = 20
 #: Seeds in a string.
 SEEDS = LENGTH - SEED + 1
 #: Positions that are searched for anchors at once; their number fits the lowest COLUMN_BITS bits.
@@ -136,7 +136,7 @@ def packed(position: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndar
     return (position << 14) | ((position - first) << 7) | (position - last)
 
 
-def unpacked(at: int) -> tuple[int, int, int]:
+def unpacked(at):
     """Position, farthest and nearest distance of a start before it."""
     return at >> 14, (at >> 7) & 127, at & 127
 
@@ -226,7 +226,7 @@ def later_starts(group: list[tuple[bytes, bytes, tuple, int]]) -> list[tuple[int
 
 
 def places_in_texts(rest: DataFrame, docs: DataFrame, step, schema: str) -> DataFrame:
-    """One pass over the documents that hold occurrences (a, doc_id, at): step(a, doc_id, at, left bytes reversed, right bytes) of each adds rows."""
+    """One pass over the documents that hold occurrences (a, doc_id, at): step(columns, doc_id, bytes, all a, all at) adds the rows of a document."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     listed = rest.groupBy("doc_id").agg(F.collect_list("a").alias("as"), F.collect_list("at").alias("ats"))
@@ -238,10 +238,7 @@ def places_in_texts(rest: DataFrame, docs: DataFrame, step, schema: str) -> Data
             for part in common.slices(batch, SLICE_BYTES):
                 columns: list[list] = [[] for _ in out]
                 for doc_id, text, hashes, ats in zip(*part.columns, strict=True):
-                    raw, doc_id = text.as_py().encode(), doc_id.as_py()
-                    for a, at in zip(hashes.values.to_pylist(), ats.values.to_pylist(), strict=True):
-                        p = at >> 14
-                        step(columns, a, doc_id, at, raw[max(0, p - (LENGTH - SEED)) : p][::-1], raw[p : p + LENGTH])
+                    step(columns, doc_id.as_py(), text.as_py().encode(), hashes.values, ats.values)
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
     return joined.mapInArrow(run, schema)
@@ -250,9 +247,11 @@ def places_in_texts(rest: DataFrame, docs: DataFrame, step, schema: str) -> Data
 def contexts(rest: DataFrame, docs: DataFrame) -> DataFrame:
     """The context bytes of occurrences (a, doc_id, at)."""
 
-    def step(columns, *row):
-        for c, x in zip(columns, row, strict=True):
-            c.append(x)
+    def step(columns, doc_id, raw, hashes, ats):
+        for a, at in zip(hashes.to_pylist(), ats.to_pylist(), strict=True):
+            p = at >> 14
+            for c, x in zip(columns, (a, doc_id, at, raw[max(0, p - (LENGTH - SEED)) : p][::-1], raw[p : p + LENGTH]), strict=True):
+                c.append(x)
 
     return places_in_texts(rest, docs, step, "a long, doc_id long, at long, l binary, r binary")
 
@@ -260,16 +259,17 @@ def contexts(rest: DataFrame, docs: DataFrame) -> DataFrame:
 def string_hashes(rest: DataFrame, docs: DataFrame) -> DataFrame:
     """The hash h of each string of occurrences (a, doc_id, at), doc_id and the string's start."""
 
-    def step(columns, a, doc_id, at, left, right):
-        position, far, near = unpacked(at)
-        seeds = seed_hashes(np.frombuffer(left[::-1] + right, dtype=np.uint8))
-        first = len(left) - np.arange(near, far + 1)
-        v = mix(seeds[first] + STEPS[11])
+    def step(columns, doc_id, raw, hashes, ats):
+        seeds = seed_hashes(np.frombuffer(raw, dtype=np.uint8))
+        position, far, near = unpacked(ats.to_numpy(zero_copy_only=False))
+        counts = far - near + 1
+        starts = np.repeat(position - far - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        h = mix(seeds[starts] + STEPS[11])
         for k in (SEED, 2 * SEED, LENGTH - SEED):
-            v = mix(v * STEPS[12] + seeds[first + k])
-        columns[0] += v.view(np.int64).tolist()
-        columns[1] += [doc_id] * len(first)
-        columns[2] += range(position - near, position - far - 1, -1)
+            h = mix(h * STEPS[12] + seeds[starts + k])
+        columns[0] += h.view(np.int64).tolist()
+        columns[1] += [doc_id] * len(starts)
+        columns[2] += starts.tolist()
 
     return places_in_texts(rest, docs, step, "h long, doc_id long, start long")
 
@@ -317,6 +317,7 @@ def lost_starts(docs: DataFrame, hot: int = HOT) -> DataFrame:
     rest = firsts.join(several, "a").select("a", "m", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at"))
     rest = common.stored(rest, "rest")
     release(docs)
+    used = [repeated, found, firsts, several, rest]
     cold = contexts(rest.filter(F.col("m") <= hot), docs)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     trees = cold.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(sorted_groups, "doc_id long, first long, last long")
@@ -325,9 +326,13 @@ def lost_starts(docs: DataFrame, hot: int = HOT) -> DataFrame:
     if warm.take(1):
         strings = common.stored(string_hashes(warm, docs), "strings")
         known = common.stored(strings.groupBy("h").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first"), "known")
+        used += [strings, known]
         again = strings.join(known, "h").filter(F.struct("doc_id", "start") > F.col("first"))
         out = out.unionByName(again.select("doc_id", F.col("start").alias("first"), F.col("start").alias("last")))
-    return common.stored(out, "lost")
+    lost = common.stored(out, "lost")
+    for table in used:
+        common.drop_stored(table)
+    return lost
 
 
 def merged(first: list[int], last: list[int], n: int) -> list[tuple[int, int]]:
@@ -352,20 +357,23 @@ def map_kept(docs: DataFrame, columns: list[str], row, schema: StructType, hot:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     lost = lost_starts(docs, hot)
-    runs = lost.groupBy("doc_id").agg(F.collect_list("first").alias("_first"), F.collect_list("last").alias("_last"))
-    runs = common.stored(runs, "runs")
+    runs = common.stored(lost.groupBy("doc_id").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last")), "runs")
     release(docs)
-    joined = docs.join(runs.hint("merge"), "doc_id", "left").select(*columns, "_first", "_last")
+    # Each row goes as a struct, so that its columns can't clash with others.
+    whole = docs.select(F.struct(*columns).alias("row"))
+    joined = whole.join(runs.hint("merge"), F.col("row.doc_id") == F.col("doc_id"), "left").select("row", "first", "last")
     out = to_arrow_schema(schema)
+    text_at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows = []
-                for *values, first, last in zip(*(part.column(k).to_pylist() for k in range(part.num_columns)), strict=True):
-                    raw = (values[columns.index("text")] or "").encode()
-                    made = row(values, raw, merged(first or [], last or [], len(raw)))
+                cells = [x.to_pylist() for x in part.column(0).flatten()]
+                for values, first, last in zip(zip(*cells, strict=True), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    raw = (values[text_at] or "").encode()
+                    made = row(list(values), raw, merged(first or [], last or [], len(raw)))
                     if made is not None:
                         rows.append(made)
                 cells = zip(*rows, strict=True) if rows else [()] * len(out)
