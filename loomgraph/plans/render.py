@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from .failures import Failure
 from .tools import Result
 
 BUDGET = 12_000
 
 
+def friendly_time(raw: str, now: datetime | None = None) -> str:
+    """A stored timestamp with its age; what isn't one stays as it is."""
+    try:
+        when = datetime.fromisoformat(raw)
+    except ValueError:
+        return raw
+    when = (when if when.tzinfo else when.replace(tzinfo=UTC)).astimezone(UTC)
+    age = ((now or datetime.now(UTC)) - when).total_seconds()
+    if age < 60:
+        ago = "just now"
+    elif age < 3600:
+        ago = f"{int(age // 60)}m ago"
+    elif age < 86_400:
+        ago = f"{int(age // 3600)}h ago"
+    elif age < 30 * 86_400:
+        ago = f"{int(age // 86_400)}d ago"
+    else:
+        ago = when.strftime("%d %b %Y")
+    return f"{when.strftime('%d %b %Y, %H:%M')} UTC — {ago}"
+
+
 def cell(value) -> str:
     if value is None:
         return "?"

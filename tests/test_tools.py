@@ -1,4 +1,5 @@
 import json
+from datetime import UTC, datetime
 
 import pytest
 from graphs import Builder, mutual, node, shapes, with_tests
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph import schema
 from loomgraph.plans import jobs
 from loomgraph.plans.failures import Failure, is_failure
-from loomgraph.plans.render import BUDGET, render
+from loomgraph.plans.render import BUDGET, friendly_time, render
 from loomgraph.plans.tools import NOT_BUILT, PARAMETERS, Result, Tools
 from loomgraph.schema import Graph
 from loomgraph.sources.store import GraphStore
@@ -141,6 +142,15 @@ def test_caps_and_budget(spark, tmp_path):
         assert len(render(got)) <= BUDGET
 
 
+def test_friendly_times():
+    now = datetime(2026, 7, 18, 9, 52, tzinfo=UTC)
+    assert friendly_time("2026-07-18T06:52:00Z", now) == "18 Jul 2026, 06:52 UTC — 3h ago"
+    assert friendly_time("2026-07-18T09:51:30+00:00", now).endswith("just now")
+    assert friendly_time("2026-07-01T09:52:00Z", now).endswith("17d ago")
+    assert friendly_time("2025-07-01T09:52:00Z", now).endswith("01 Jul 2025")
+    assert friendly_time("never", now) == "never"
+
+
 def test_without_a_graph(spark, tmp_path):
     assert Tools(GraphStore(spark, f"file://{tmp_path}/none")).call("find_symbol", {"query": "x"}).text == NOT_BUILT
 
