@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one step of a Python pass works on, or one document if it is longer.
 SLICE_BYTES = 6 << 20
 #: Bytes of an Arrow batch on its way to Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Distinct words whose results a Python worker keeps in each of two generations.
 CACHE_WORDS = 200_000
 
@@ -35,9 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    import atexit
+    import shutil
     import tempfile
 
-    spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='loomgraph-')}")
+    made = tempfile.mkdtemp(prefix="loomgraph-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
     return spark.conf.get("spark.checkpoint.dir")
 
 
@@ -110,6 +114,7 @@ def map_arrow(docs: DataFrame, make: Callable[[], Callable[[pa.Array, pa.Array],
             for part in slices(batch, most):
                 cols = step(part.column(0), part.column(1))
                 yield pa.RecordBatch.from_arrays([as_arrow(cols[f.name], f.type) for f in out], schema=out)
+            pa.default_memory_pool().release_unused()
 
     return id_and_text(docs).mapInArrow(run, schema)
 

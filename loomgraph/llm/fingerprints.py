@@ -23,6 +23,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,7 +138,7 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """Documents dealt out by ranges of ids; the first of the next lower range (after the lowest, the highest document) stands in as a guest."""
     docs = common.id_and_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     cuts = ranges(docs, parts)
-    part_of = F.pandas_udf(lambda ids: ids.map(lambda x: int(np.searchsorted(cuts, x))).astype("int32"), "int")
+    part_of = F.pandas_udf(lambda ids: pd.Series(np.searchsorted(cuts, ids.to_numpy()).astype("int32")), "int")
     # One row for each range: bounded by parts, so it may be collected and broadcast.
     tops = {r.part: r.top for r in docs.select("doc_id").withColumn("part", part_of("doc_id")).groupBy("part").agg(F.max("doc_id").alias("top")).collect()}
     there = sorted(tops)

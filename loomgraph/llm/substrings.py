@@ -53,7 +53,7 @@ SEEDS = LENGTH - SEED + 1
 #: Positions that are searched for anchors at once; their number fits the lowest COLUMN_BITS bits.
 ROW, COLUMN_BITS = 4096, 13
 #: Bytes whose seeds are hashed at once; arrays are eight times as large.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 U = np.uint64
 BYTE_VALUES = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=U) | U(1)
 STEPS = np.random.default_rng(21).integers(0, 1 << 64, 16, dtype=U) | U(1)
@@ -240,6 +240,7 @@ def places_in_texts(rest: DataFrame, docs: DataFrame, step, schema: str) -> Data
                 for doc_id, text, hashes, ats in zip(*part.columns, strict=True):
                     step(columns, doc_id.as_py(), text.as_py().encode(), hashes.values, ats.values)
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+            pa.default_memory_pool().release_unused()
 
     return joined.mapInArrow(run, schema)
 
