@@ -73,26 +73,38 @@ def containers(graph: Graph, members: DataFrame, kinds: tuple[str, ...]) -> Data
     return found.filter(F.col("fqn").startswith(F.col("t.type_fqn"))).select("id", "t.type_id", "t.type_fqn")
 
 
+def held_members(graph: Graph, members: DataFrame, container_kinds: tuple[str, ...]) -> DataFrame:
+    """(member_id, kind, type_id, suffix) of members (rows of nodes) that lie in a type of the kinds and are named after it."""
+    held = containers(graph, members, container_kinds).withColumnRenamed("id", "member_id")
+    named = held.join(members.select(F.col("id").alias("member_id"), F.col("fqn"), F.col("kind")), "member_id")
+    return stored(named.select("member_id", "kind", "type_id", symbols.member_suffix(F.col("fqn"), F.col("type_fqn")).alias("suffix")), "members")
+
+
+def overriding(graph: Graph, held: DataFrame, derived: DataFrame) -> DataFrame:
+    """(member_id, id): members of the same kind and suffix on the types (seed, id) that derive from the types of held_members()."""
+    below = derived.select(F.col("seed").alias("type_id"), F.col("id").alias("derived_id"))
+    names = graph.nodes.select(F.col("id").alias("derived_id"), F.col("fqn").alias("derived_fqn"))
+    wanted = held.join(below, "type_id").join(names, "derived_id").select("member_id", "kind", F.concat("derived_fqn", "suffix").alias("fqn"))
+    return graph.nodes.select("id", "kind", "fqn").join(wanted.distinct(), ["kind", "fqn"]).select("member_id", "id").distinct()
+
+
 def member_implementations(graph: Graph, members: DataFrame, container_kinds: tuple[str, ...] = ("Interface", "Class")) -> DataFrame:
     """(member_id, id): members of the same kind and suffix on the types that derive from the member's type.
 
     members: rows of nodes.
     """
-    held = containers(graph, members, container_kinds).withColumnRenamed("id", "member_id")
-    held = stored(held.join(members.select(F.col("id").alias("member_id"), F.col("fqn"), F.col("kind")), "member_id").withColumn("suffix", symbols.member_suffix(F.col("fqn"), F.col("type_fqn"))), "members")
-    derived = closure(graph, held.select(F.col("type_id").alias("id"))).select(F.col("seed").alias("type_id"), F.col("id").alias("derived_id"))
-    names = graph.nodes.select(F.col("id").alias("derived_id"), F.col("fqn").alias("derived_fqn"))
-    wanted = held.join(derived, "type_id").join(names, "derived_id").select("member_id", "kind", F.concat("derived_fqn", "suffix").alias("fqn"))
-    return graph.nodes.select("id", "kind", "fqn").join(wanted.distinct(), ["kind", "fqn"]).select("member_id", "id").distinct()
+    held = held_members(graph, members, container_kinds)
+    return overriding(graph, held, closure(graph, held.select(F.col("type_id").alias("id"))))
 
 
 def implementations(graph: Graph, fqn: str) -> DataFrame:
     """Nodes that implement, derive from or override what has this name."""
     targets = stored(graph.nodes.filter(F.col("fqn") == fqn), "targets")
-    types = targets.filter(F.col("kind").isin(*schema.TYPE_KINDS))
-    members = targets.filter(F.col("kind").isin(*schema.MEMBER_KINDS))
-    ids = closure(graph, types).select("id").unionByName(member_implementations(graph, members).select("id")).distinct()
-    return graph.nodes.join(sized(ids), "id", "left_semi")
+    types = targets.filter(F.col("kind").isin(*schema.TYPE_KINDS)).select("id")
+    held = held_members(graph, targets.filter(F.col("kind").isin(*schema.MEMBER_KINDS)), ("Interface", "Class"))
+    derived = closure(graph, types.unionByName(held.select(F.col("type_id").alias("id"))))
+    of_types = derived.join(types.withColumnRenamed("id", "seed"), "seed", "left_semi").select("id")
+    return graph.nodes.join(sized(of_types.unionByName(overriding(graph, held, derived).select("id")).distinct()), "id", "left_semi")
 
 
 def impact(graph: Graph, fqn: str, depth: int = MAX_DEPTH, cap: int = IMPACT_CAP) -> DataFrame:
@@ -108,8 +120,10 @@ def impact(graph: Graph, fqn: str, depth: int = MAX_DEPTH, cap: int = IMPACT_CAP
     own_members = graph.nodes.join(inside.distinct(), "id", "left_semi")
     changing = stored(targets.select("id").unionByName(own_members.select("id")).distinct(), "changing")
     members = targets.filter(F.col("kind") != "Interface").unionByName(own_members).filter(F.col("kind").isin(*schema.MEMBER_KINDS, "Field")).dropDuplicates(["id"])
-    member_ids = member_implementations(graph, members, ("Interface",)).select("id")
-    type_ids = closure(graph, interfaces).select("id")
+    held = held_members(graph, members, ("Interface",))
+    derived = closure(graph, interfaces.unionByName(held.select(F.col("type_id").alias("id"))))
+    member_ids = overriding(graph, held, derived).select("id")
+    type_ids = derived.join(interfaces.withColumnRenamed("id", "seed"), "seed", "left_semi").select("id")
     implementers = stored(member_ids.unionByName(type_ids).distinct().join(changing, "id", "left_anti"), "implementers")
     seeds = changing.unionByName(implementers)
     reached = levels(dependency_edges(graph.edges), seeds, "incoming", depth)

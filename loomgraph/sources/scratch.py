@@ -18,9 +18,13 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    import atexit
+    import shutil
     import tempfile
 
-    spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='loomgraph-')}")
+    made = tempfile.mkdtemp(prefix="loomgraph-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
     return spark.conf.get("spark.checkpoint.dir")
 
 
