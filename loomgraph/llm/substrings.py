@@ -94,7 +94,8 @@ def anchors(seeds: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     at = np.empty(rows * ROW, dtype=np.int64)
     columns = np.arange(wide, dtype=U)
     full = np.full(rows * ROW + SEEDS, np.iinfo(U).max, dtype=U)
-    full[: len(seeds)] = seeds
+    kept = min(len(seeds), len(full))  # texts that are too short may follow the last long one
+    full[:kept] = seeds[:kept]
     for first in range(0, rows, 32):
         count = min(32, rows - first)
         part = np.lib.stride_tricks.as_strided(full[first * ROW :], (count, wide), (8 * ROW, 8))
