@@ -54,7 +54,7 @@ def word_value(word: bytes) -> tuple[int, bool]:
     return int.from_bytes(hashlib.blake2b(bare, digest_size=8).digest(), "little"), bare.decode() in COMMON_WORDS
 
 
-_cache = common.WordCache(lambda words: [word_value(w) for w in words])
+_cache = common.WordCache(lambda words: [word_value(w) for w in words], 80_000)
 
 
 def signature_sets(texts: pa.Array, chain: int = CHAIN) -> list[np.ndarray]:

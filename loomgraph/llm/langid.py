@@ -156,7 +156,7 @@ class Reader:
 
     def __init__(self, net: Network):
         self.net = net
-        self.cache = common.WordCache(self._fill)
+        self.cache = common.WordCache(self._fill, 150_000)
 
     def _fill(self, words: list[bytes]) -> list[bytes]:
         pieces = [(k, s) for k, w in enumerate(words) for s in spans(w)]

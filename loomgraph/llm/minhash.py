@@ -63,7 +63,7 @@ def word_hashes(words: list[bytes]) -> list[int]:
     return [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in words]
 
 
-_words = common.WordCache(word_hashes)
+_words = common.WordCache(word_hashes, 60_000)  # a hash is cheap to make again
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:

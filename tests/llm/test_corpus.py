@@ -378,6 +378,18 @@ def test_passages_equal_brute_force(spark, docs, odd, empty):
     assert substrings.removed_bytes(empty).collect() == []
 
 
+def test_short_texts_after_a_long_one():
+    r = random.Random(9)
+    texts = ["".join(r.choice("abc ") for _ in range(4090)), *("short" * 15 for _ in range(80))]
+    data, starts = substrings.buffers(pa.array(texts))
+    doc, position, first, last = substrings.anchors(substrings.seed_hashes(data), starts)
+    assert set(doc.tolist()) == {0}
+    assert first[0] == 0
+    assert last[-1] == 4090 - substrings.LENGTH
+    assert (first[1:] == last[:-1] + 1).all()
+    assert ((position >= last) & (position <= first + substrings.LENGTH - substrings.SEED)).all()
+
+
 def test_intervals_of_a_suffix_array():
     words = sorted(["banana"[k:] for k in range(6)])
     lcp = [0, *(substrings.common_prefix(a.encode(), b.encode()) for a, b in zip(words, words[1:], strict=False))]
