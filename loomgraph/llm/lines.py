@@ -1,18 +1,23 @@
 """Repeated runs of lines (operator 7), with DataFrame operations only.
 
-A document is the sequence of its lines (split at newlines), each named by a hash. Prefix doubling ranks
-the suffixes of all sequences: the class of a suffix by its first 2^(h+1) lines is named from the classes
-of its own first 2^h lines and of those of the suffix 2^h lines on. A class at level h is a
-common-prefix interval of the suffix array of depth 2^h or more; suffixes alone in their class have no
-equal and leave, so levels shrink, and doubling ends when none is left. A suffix that isn't the first of
-its class (smaller doc_id, or same document and earlier line) starts a later copy of a run of 2^h lines.
+A document is the sequence of its lines (split at newlines), each named by a hash. Deleted is each line of a
+later copy of a run of lines, of any number, with MIN_CHARS characters or more: of a run that occurs before
+(smaller doc_id, or same document and earlier line; the two may overlap).
 
-Deleted is each line of a later copy of a run of 2^h lines, for any h, with MIN_CHARS characters or more.
-A longer run of n lines is two such runs that overlap, so repeated runs go up to their maximal extent.
+Such a run, up to its maximal extent, is the union of the least windows in it: from each of its lines on the
+fewest lines that have MIN_CHARS characters, and up to each of its lines the fewest that have. A line j of a run
+that begins at a lies in the least window from a on, or else a..j has MIN_CHARS characters and the least window
+up to j lies in it. Both windows depend on their own lines alone, so each copy of a run has the same ones, and
+two windows a line decide runs of every length.
+
+Windows are compared by prefix doubling: the class of a suffix by its first 2^(h+1) lines is named from the
+classes of its own first 2^h lines and of those of the suffix 2^h lines on; suffixes alone in their class have no
+equal and leave. A window of n lines is named by n and the classes of its first and last 2^h lines, with 2^h the
+greatest power of two up to n. Doubling ends when no window needs more. No suffix array is sorted.
 
 Classes are found by aggregations with a partial result before the shuffle; suffixes learn about their
 class by joins of two stored tables, which Spark splits where a class is large. Each level is written to
-the shared folder.
+the shared folder. Where windows begin and end is found by windowed sums over the repeated lines of a document.
 
 Nulls: a null text has no lines and stays null; a row without doc_id loses nothing. Repeated rows (equal
 doc_id) count as one document. Empty lines are lines of no characters. An empty table gives no rows.
@@ -21,7 +26,7 @@ Other columns are kept by delete_repeats() and ignored by the query.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -42,48 +47,78 @@ def sequences(docs: DataFrame) -> DataFrame:
 
 
 def repeated(suffixes: DataFrame) -> DataFrame | None:
-    """Of suffixes (doc_id, i, r, chars) those whose class has others, and whether each is a later one; None if there are none."""
+    """Of suffixes (doc_id, i, r, ...) those whose class has others, and whether each is a later one; None if there are none."""
     classes = suffixes.groupBy("r").agg(F.min(F.struct("doc_id", "i")).alias("first"), F.max(F.struct("doc_id", "i")).alias("last"))
     classes = common.stored(classes.filter("first < last").select("r", "first"), "classes")
     if not classes.take(1):
         return None
-    return common.stored(suffixes.join(classes, "r").select("doc_id", "i", "r", "chars", (F.struct("doc_id", "i") > F.col("first")).alias("later")), "level")
-
-
-def levels(lines: DataFrame) -> list[DataFrame]:
-    """For h = 0, 1, ...: the suffixes that share their first 2^h lines with others (doc_id, i, r, chars, later)."""
-    out: list[DataFrame] = []
-    now = repeated(lines)
-    while now is not None:
-        out.append(now)
+    return common.stored(suffixes.join(classes, "r").select(*suffixes.columns, (F.struct("doc_id", "i") > F.col("first")).alias("later")), "level")
+
+
+def least_windows(found: DataFrame, min_chars: int) -> DataFrame:
+    """The least windows of min_chars characters among repeated lines that follow each other: doc_id, first line i, number of lines n.
+
+    found: the repeated lines (doc_id, i, chars), each once.
+    """
+    by_doc = Window.partitionBy("doc_id").orderBy("i")
+    runs = found.select("doc_id", "i", "chars", (F.col("i") - F.row_number().over(by_doc)).alias("run"))
+    own = Window.partitionBy("doc_id", "run")
+    runs = runs.withColumn("end", F.sum("chars").over(own.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("chars"))
+    more = max(min_chars, 1) - 1
+    on = own.orderBy("start").rangeBetween(0, more)
+    back = own.orderBy("end").rangeBetween(-more, 0)
+    runs = runs.select("doc_id", "i", "start", "end", F.max("i").over(on).alias("last"), F.max("end").over(on).alias("last_end"), F.min("i").over(back).alias("first"), F.min("start").over(back).alias("first_start"))
+    onward = runs.filter(F.col("last_end") - F.col("start") >= min_chars).select("doc_id", "i", (F.col("last") - F.col("i") + 1).alias("n"))
+    backward = runs.filter(F.col("end") - F.col("first_start") >= min_chars).select("doc_id", F.col("first").alias("i"), (F.col("i") - F.col("first") + 1).alias("n"))
+    return onward.unionByName(backward).distinct().withColumn("h", F.length(F.bin("n")) - 1)
+
+
+def levels(now: DataFrame, most: int) -> list[DataFrame]:
+    """For h = 0, 1, ..., most: the suffixes that share their first 2^h lines with others (doc_id, i, r, later); now is that for h = 0."""
+    out = [now.select("doc_id", "i", "r", "later")]
+    while now is not None and len(out) <= most:
         step = 1 << (len(out) - 1)
-        after = now.select("doc_id", (F.col("i") - step).alias("i"), F.col("r").alias("r2"), F.col("chars").alias("chars2"))
-        longer = now.join(after, ["doc_id", "i"]).select("doc_id", "i", F.xxhash64("r", "r2").alias("r"), (F.col("chars") + F.col("chars2")).alias("chars"))
+        after = now.select("doc_id", (F.col("i") - step).alias("i"), F.col("r").alias("r2"))
+        longer = now.join(after, ["doc_id", "i"]).select("doc_id", "i", F.xxhash64("r", "r2").alias("r"))
         now = repeated(common.stored(longer, "longer"))
+        if now is not None:
+            out.append(now)
     return out
 
 
-def deleted(found: list[DataFrame], min_chars: int) -> DataFrame | None:
-    """Lines (doc_id, i) of later copies; a run of a level is the two halves that it has on the level below."""
-    runs = None
-    for h in range(len(found) - 1, -1, -1):
-        own = found[h].filter(F.col("later") & (F.col("chars") >= min_chars)).select("doc_id", "i")
-        if runs is not None:
-            half = 1 << h
-            own = own.unionByName(runs.select("doc_id", F.explode(F.array(F.col("i"), F.col("i") + half)).alias("i")))
-        runs = own.distinct()
-    return runs
+def deleted(lines: DataFrame, min_chars: int) -> DataFrame | None:
+    """Later copies of least windows: doc_id, first line i, and stop, the line after the last; None if there are none."""
+    found = repeated(lines)
+    if found is None:
+        return None
+    # Rows with equal doc_id are one document.
+    found = common.stored(found.groupBy("doc_id", "i").agg(F.min(F.struct("r", "chars", "later")).alias("x")).select("doc_id", "i", "x.*"), "repeated")
+    windows = common.stored(least_windows(found, min_chars), "windows")
+    most = windows.agg(F.max("h")).first()[0]
+    if most is None:
+        return None
+    known = levels(found, most)
+    named = known[0].select("doc_id", "i", F.lit(0).alias("h"), "r")
+    for h, level in enumerate(known[1:], 1):
+        named = named.unionByName(level.select("doc_id", "i", F.lit(h).alias("h"), "r"))
+    tail = named.select("doc_id", F.col("i").alias("at"), "h", F.col("r").alias("r2"))
+    both = windows.join(named, ["doc_id", "i", "h"]).withColumn("at", F.expr("i + n - shiftleft(1, h)")).join(tail, ["doc_id", "at", "h"])
+    copies = repeated(common.stored(both.select("doc_id", "i", F.xxhash64("n", "r", "r2").alias("r"), "n"), "named"))
+    if copies is None:
+        return None
+    return copies.filter("later").groupBy("doc_id", "i").agg(F.max(F.col("i") + F.col("n")).alias("stop"))
 
 
 def flags(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame | None:
     """For each document that loses lines an array that tells for each line whether it goes; None if none does."""
     lines = common.stored(sequences(docs), "lines")
-    gone = deleted(levels(lines), min_chars)
+    gone = deleted(lines, min_chars)
     if gone is None:
         return None
-    gone = common.stored(gone.withColumn("gone", F.lit(True)), "gone")
+    gone = common.stored(gone, "gone")
     some = lines.join(gone.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "i").distinct()
-    marked = some.join(gone, ["doc_id", "i"], "left").select("doc_id", "i", F.coalesce("gone", F.lit(False)).alias("gone"))
+    so_far = F.max("stop").over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    marked = some.join(gone, ["doc_id", "i"], "left").select("doc_id", "i", F.coalesce(so_far > F.col("i"), F.lit(False)).alias("gone"))
     listed = marked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "gone"))).alias("marks"))
     return common.stored(listed.select("doc_id", F.col("marks.gone").alias("gone")), "flags")
 

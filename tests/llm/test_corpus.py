@@ -349,6 +349,36 @@ def test_line_runs_equal_brute_force(spark, empty):
     assert substrings.delete_repeats(table(spark, ["z" * 300])).select("first", "row").collect() == [(1, "r")]
 
 
+def every_run(texts, least):
+    """As plain_lines(), with runs of every number of lines."""
+    split = {i: t.split("\n") for i, t in texts.items()}
+    gone = {i: set() for i in texts}
+    for n in range(1, max(map(len, split.values())) + 1):
+        seen = set()
+        for i in sorted(split):
+            for k in range(len(split[i]) - n + 1):
+                run = tuple(split[i][k : k + n])
+                if run in seen and sum(map(len, run)) >= least:
+                    gone[i] |= set(range(k, k + n))
+                seen.add(run)
+    return {i: "\n".join(x for k, x in enumerate(split[i]) if k not in gone[i]) for i in texts}
+
+
+def test_line_runs_of_every_length(spark):
+    r = random.Random(8)
+    texts = {k: "\n".join(r.choice(["a", "bb", "", "ccc", "d" * 9, f"u{k}{r.random()}"]) for _ in range(r.randint(1, 14))) for k in range(60)}
+    texts |= {60: "\n" * 40 + "ccc\nccc" + "\n" * 9, 61: "u\n" + "\n" * 50 + "ccc\nccc" + "\n" * 20, 62: "a\nbb\n" * 20}
+    rows = [*texts.items(), (7, texts[7])]
+    for least in (1, 6, 13):
+        got = lines.delete_repeats(spark.createDataFrame(rows, "doc_id long, text string"), least).collect()
+        assert len(got) == len(rows)
+        assert {(x.doc_id, x.text) for x in got} == set(every_run(texts, least).items())
+    for sizes in ([100, 5, 5, 5, 5], [19, 19, 19], [9] * 7):
+        run = "\n".join(chr(97 + k) * n for k, n in enumerate(sizes))
+        got = by_id(lines.delete_repeats(spark.createDataFrame([(1, "one\n" + run), (2, run + "\ntwo")], "doc_id long, text string")))
+        assert (got[1].text, got[2].text) == ("one\n" + run, "two")
+
+
 # ---------------------------------------------------------------- 8
 
 
