@@ -6,7 +6,8 @@ all positions of all its words. It is trained here, in numpy, by backpropagation
 word's labels depend on the word alone, those of frequent words are kept; whole texts are read.
 Words longer than SPAN bytes are read in spans of that length.
 
-It is fitted on at most DOCS_PER_LANGUAGE documents of each language, TRAIN_CHARS characters of each.
+It is fitted on the words of at most DOCS_PER_LANGUAGE documents of each language, whole texts, counted before
+they come to the driver.
 
 Nulls and texts without a letter are `und`, score 0. Rows without a language aren't learned from; if
 none has one, all are `und`. Ties go to the language that sorts first. Repeated rows give repeated
@@ -27,7 +28,6 @@ from pyspark.sql import functions as F
 from . import common
 
 DOCS_PER_LANGUAGE = 200
-TRAIN_CHARS = 4000
 SPAN = 30
 HIDDEN = 16
 STEPS = 250
@@ -119,13 +119,14 @@ class Network:
             grads |= {"x" + d: gx, "h" + d: gu, "c" + d: gc}
         return grads
 
-    def fit(self, words: list[bytes], targets: np.ndarray, steps: int, batch: int, seed: int, rate: float = 0.02) -> None:
-        """Adam over batches in which each language has the same share."""
+    def fit(self, words: list[bytes], targets: np.ndarray, steps: int, batch: int, seed: int, rate: float = 0.02, counts: np.ndarray | None = None) -> None:
+        """Adam over batches in which each language has the same share; counts tells how often each word occurs."""
         rng = np.random.default_rng(seed)
         own = [np.flatnonzero(targets == k) for k in range(len(self.langs))]
+        shares = [None if counts is None else counts[rows] / counts[rows].sum() for rows in own]
         mean, square = ({k: np.zeros_like(v) for k, v in self.weights.items()} for _ in range(2))
         for step in range(1, steps + 1):
-            pick = np.concatenate([rng.choice(rows, max(1, batch // len(own))) for rows in own])
+            pick = np.concatenate([rng.choice(rows, max(1, batch // len(own)), p=share) for rows, share in zip(own, shares, strict=True)])
             text, there = padded([words[i] for i in pick])
             pace = rate * min(1.0, 2 * (1 - step / (steps + 1)))
             for k, g in self.gradients(text, there, targets[pick]).items():
@@ -140,14 +141,15 @@ def spans(word: bytes, span: int = SPAN) -> list[bytes]:
 
 def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, steps: int = STEPS, seed: int = 7) -> Network | None:
     """A network from rows with doc_id, text and lang; None where nothing can be learned."""
-    sample = common.bounded_sample(labelled.select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text"), "lang").filter("text is not null"), "lang", "doc_id", docs_per_language)
-    rows = sorted((r.lang, r.doc_id, r.text) for r in sample.collect())
-    pairs = [(w, lang) for lang, _, text in rows for word in text.encode().split() for w in spans(word)]
-    langs = sorted({lang for _, lang in pairs})
+    sample = common.bounded_sample(labelled.select("doc_id", "text", "lang").filter("text is not null"), "lang", "doc_id", docs_per_language)
+    words = sample.select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).filter("word != ''")
+    rows = sorted((r[0], r[1], r[2]) for r in words.groupBy("lang", "word").count().collect())
+    pairs = [(s, lang, n) for lang, word, n in rows for s in spans(word.encode())]
+    langs = sorted({lang for _, lang, _ in pairs})
     if not langs:
         return None
     net = Network.fresh(langs, HIDDEN, seed)
-    net.fit([w for w, _ in pairs], np.array([langs.index(lang) for _, lang in pairs]), steps, BATCH, seed)
+    net.fit([w for w, _, _ in pairs], np.array([langs.index(lang) for _, lang, _ in pairs]), steps, BATCH, seed, counts=np.array([n for _, _, n in pairs], dtype=float))
     return net
 
 

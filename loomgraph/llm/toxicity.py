@@ -8,8 +8,9 @@ gains of the logistic loss; scores are calibrated by isotonic regression on fold
 fold haven't seen. A word or stem enters the lexicon if it is far more frequent among toxic documents
 than chance allows (Chernoff bound below CHANCE).
 
-It is fitted on at most LABELLED documents of each label, TRAIN_CHARS characters of each; rows are
-weighted so that the sample has the labels' true shares.
+It is fitted on the whole texts of at most LABELLED documents of each label: words and stems are counted and
+features made in distributed passes, and the driver gets counts and numbers. Rows are weighted so that the
+sample has the labels' true shares.
 
 Nulls: a null text scores as an empty one. Without labelled rows all scores are 0; with one label only
 they are that label. Repeated rows give repeated rows. An empty table gives no rows. Other columns are
@@ -18,7 +19,6 @@ ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from . import common
 
 LABELLED = 3000
-TRAIN_CHARS = 8000
 CHANCE = 1e-7
 STEM_LENGTHS = range(4, 9)
 STEM_PRECISION = 0.95
@@ -73,23 +72,37 @@ class Lexicon:
         return any(word[:k] in self.stems for k in STEM_LENGTHS)
 
     @classmethod
-    def learn(cls, texts: list[str], toxic: np.ndarray) -> Lexicon:
-        sets = [{p for w in t.split() if (p := plain(w))} for t in texts]
-        prior = min(max(toxic.mean(), 1e-6), 1 - 1e-6)
-
-        def chosen(names_of, precision: float) -> set:
-            inside = Counter(x for s, y in zip(sets, toxic, strict=True) if y for x in names_of(s))
-            inside = {x: k for x, k in inside.items() if k >= 3}
-            outside = Counter(x for s, y in zip(sets, toxic, strict=True) if not y for x in names_of(s) if x in inside)
-            if not inside:
-                return set()
-            names = list(inside)
-            k = np.array([inside[x] for x in names], dtype=float)
-            n = k + np.array([outside[x] for x in names])
-            return {x for x, ok in zip(names, (unlikely(k, n, prior) < CHANCE) & (k / n >= precision), strict=True) if ok}
-
-        words = chosen(lambda s: s, max(0.5, (1 + prior) / 2))
-        stems = chosen(lambda s: {w[:k] for w in s for k in STEM_LENGTHS if len(w) >= k}, max(STEM_PRECISION, (1 + prior) / 2))
+    def learn(cls, texts: DataFrame, labels: dict[int, list[int]], prior: float) -> Lexicon:
+        """From the texts of labelled ids; labels has the numbers of rows labelled 0 and 1 of each id."""
+
+        def make():
+            def step(ids, texts):
+                counts: dict[tuple[str, bool], list[int]] = {}
+                for i, t in zip(ids, texts, strict=True):
+                    clean, toxic = labels[i]
+                    words = {p for w in set((t or "").split()) if (p := plain(w))}
+                    stems = {w[:k] for w in words for k in STEM_LENGTHS if len(w) >= k}
+                    for name in [*((w, False) for w in words), *((x, True) for x in stems)]:
+                        n = counts.setdefault(name, [0, 0])
+                        n[0] += toxic
+                        n[1] += clean
+                return {"name": [x for x, _ in counts], "stem": [x for _, x in counts], "inside": [n for n, _ in counts.values()], "outside": [n for _, n in counts.values()]}
+
+            return step
+
+        counts = common.map_texts(texts, make, "name string, stem boolean, inside long, outside long").groupBy("name", "stem").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+        # A precision below a half is never enough.
+        found = counts.filter("inside >= 3 and inside >= outside").collect()
+        prior = min(max(prior, 1e-6), 1 - 1e-6)
+
+        def chosen(stem: bool, precision: float) -> set:
+            rows = [r for r in found if r.stem == stem]
+            k = np.array([r.inside for r in rows], dtype=float)
+            n = k + np.array([r.outside for r in rows], dtype=float)
+            return {r.name for r, ok in zip(rows, (unlikely(k, n, prior) < CHANCE) & (k / n >= precision), strict=True) if ok}
+
+        words = chosen(False, max(0.5, (1 + prior) / 2))
+        stems = chosen(True, max(STEM_PRECISION, (1 + prior) / 2))
         return cls(frozenset(words), frozenset(x for x in stems if not any(x[:k] in stems for k in STEM_LENGTHS if k < len(x))))
 
     def mark(self, raw: bytes) -> int:
@@ -224,12 +237,8 @@ class Scorer:
         return np.clip(0.98 * np.interp(raw, self.at, self.share) + 0.02 / (1 + np.exp(-raw)), 0, 1)
 
     @classmethod
-    def learn(cls, texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 5) -> Scorer:
-        none = np.zeros(0)
-        if len(set(toxic.tolist())) < 2:
-            return cls(Lexicon(frozenset(), frozenset()), None, none, none, float(toxic.mean()) if len(toxic) else 0.0)
-        lexicon = Lexicon.learn(texts, toxic)
-        x, y = features(lexicon, pa.array(texts, type=pa.string())), toxic.astype(float)
+    def learn(cls, lexicon: Lexicon, x: np.ndarray, toxic: np.ndarray, weight: np.ndarray, seed: int = 5) -> Scorer:
+        y = toxic.astype(float)
         fold = np.random.default_rng(seed).permutation(len(y)) % FOLDS
         held = np.zeros(len(y))
         for k in range(FOLDS):
@@ -237,17 +246,39 @@ class Scorer:
             held[~rest] = Boosted.fit(x[rest], y[rest], weight[rest]).raw(x[~rest])
         return cls(lexicon, Boosted.fit(x, y, weight), *isotonic(held, y, weight))
 
+    @classmethod
+    def always(cls, value: float) -> Scorer:
+        return cls(Lexicon(frozenset(), frozenset()), None, np.zeros(0), np.zeros(0), value)
+
+
+def featured(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """doc_id and x, the features of each whole text."""
+
+    def make():
+        cache = common.WordCache(lambda words: [lexicon.mark(w) for w in words], 150_000)
+        return lambda ids, texts: {"doc_id": ids, "x": features(lexicon, texts, cache).tolist()}
+
+    return common.map_arrow(texts, make, "doc_id long, x array<double>")
+
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Scorer:
-    """A scorer from labels (doc_id, toxic) of 0 and 1; no more than 2 x labelled ids are broadcast."""
+    """A scorer from labels (doc_id, toxic) of 0 and 1; no more than 2 x labelled ids come to the driver and are sent out."""
     labels = labels.select(F.col("doc_id").alias("_id"), "toxic").filter("_id is not null and toxic in (0, 1)")
-    sample = common.bounded_sample(labels, "toxic", "_id", labelled)
-    texts = common.id_and_text(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
-    rows = sorted((r.doc_id, r.toxic, r.text) for r in texts.select("doc_id", "toxic", F.coalesce(F.substring("text", 1, TRAIN_CHARS), F.lit("")).alias("text")).collect())
-    toxic = np.array([y for _, y, _ in rows], dtype=int)
     true = {r[0]: r[1] for r in labels.groupBy("toxic").count().collect()}
-    weight = np.array([true[y] / max(1, (toxic == y).sum()) for y in toxic.tolist()])
-    return Scorer.learn([t for _, _, t in rows], toxic, weight / weight.mean() if len(weight) else weight)
+    of_id: dict[int, list[int]] = {}
+    for r in common.bounded_sample(labels, "toxic", "_id", labelled).collect():
+        of_id.setdefault(r[0], [0, 0])[r[1]] += 1
+    ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(of_id)], "_id long")
+    texts = common.stored(common.id_and_text(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi"), "labelled")
+    there = [of_id[r[0]] for r in texts.select("doc_id").collect()]
+    clean, bad = (sum(n[y] for n in there) for y in (0, 1))
+    if not clean or not bad:
+        return Scorer.always(float(bad > 0))
+    lexicon = Lexicon.learn(texts, of_id, bad / (clean + bad))
+    rows = sorted((r.doc_id, y, r.x) for r in featured(texts, lexicon).collect() for y in (0, 1) for _ in range(of_id[r.doc_id][y]))
+    toxic = np.array([y for _, y, _ in rows], dtype=int)
+    weight = np.array([true[y] / (bad if y else clean) for y in toxic.tolist()])
+    return Scorer.learn(lexicon, np.array([x for _, _, x in rows]), toxic, weight / weight.mean())
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:

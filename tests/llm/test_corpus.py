@@ -515,3 +515,25 @@ def test_toxicity_of_held_out_documents(spark, odd, empty):
     assert toxicity.score(empty, scorer).collect() == []
     nothing = toxicity.fit(frame, frame.limit(0))
     assert {(x.score, x.predicted) for x in toxicity.score(odd, nothing).collect()} == {(0.0, 0)}
+
+
+def test_training_reads_whole_texts(spark):
+    r = random.Random(2)
+    words = [f"word{k}" for k in range(200)]
+    rows = []
+    for k in range(300):
+        t = [r.choice(words) for _ in range(1700)]
+        if k % 3 == 0:
+            for at in r.sample(range(1600, 1700), 3):
+                t[at] = r.choice(["scumbag", "scumbags", "scumling"])
+        assert len(" ".join(t[:1600])) > 8000
+        rows.append((k, " ".join(t), int(k % 3 == 0)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = by_id(toxicity.score(frame, toxicity.fit(frame, frame.filter("doc_id >= 100"))))
+    assert np.mean([got[k].predicted == y for k, _, y in rows[:100]]) > 0.97
+    own = {"aa": ["lorem", "ipsum", "dolor"], "bb": ["quick", "brown", "jumps"]}
+    named = [(k, "12 " * 1400 + " ".join(r.choice(own[lang]) for _ in range(2000)), lang) for k, lang in enumerate(["aa", "bb"] * 10)]
+    net = langid.fit(spark.createDataFrame(named, "doc_id long, text string, lang string"))
+    told = by_id(langid.predict(table(spark, [" ".join(x) for x in own.values()]), net))
+    assert [told[k].lang_pred for k in (0, 1)] == ["aa", "bb"]
+    assert min(told[k].score for k in (0, 1)) > 0.8
