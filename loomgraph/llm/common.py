@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
@@ -45,14 +46,37 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs a read."""
+#: Paths of the tables stored in each open scope of temporaries(), the innermost last.
+_scopes: list[list[str]] = []
+
+
+def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs a read.
+
+    Inside temporaries() the table goes with the scope, or, to be kept, with the scope around it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    around = _scopes[:-1] if keep else _scopes
+    if around:
+        around[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporaries(spark: SparkSession):
+    """Deletes the tables stored inside at the end."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        conf = spark._jsparkSession.sessionState().newHadoopConf()
+        for name in _scopes.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files behind a frame that stored() returned, when nothing reads it any more."""
     jvm = df.sparkSession._jvm
@@ -63,6 +87,30 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def one_text_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text), one row of each doc_id that isn't null: of rows that share one, the least text.
+
+    Also the ids whose rows differ in their texts, with the text that counts; None if there are none.
+    """
+    rows = id_and_text(docs).filter("doc_id is not null")
+    again = stored(rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again")
+    if not again.take(1):
+        return rows, None
+    several = rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("text").alias("most"))
+    several = stored(several, "several", keep=True)
+    differ = several.filter("text < most").select("doc_id", "text")
+    return rows.join(again, "doc_id", "left_anti").unionByName(several.select("doc_id", "text")), differ if differ.take(1) else None
+
+
+def where_counted(joined: DataFrame, differ: DataFrame | None, found: list[str]) -> DataFrame:
+    """The columns found of joined (row, *found) made null where row.text isn't the text that counts for its doc_id."""
+    if differ is None:
+        return joined
+    named = joined.join(differ.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), F.col("row.doc_id") == F.col("_id"), "left")
+    counts = F.col("_id").isNull() | F.col("row.text").eqNullSafe(F.col("_text"))
+    return named.select("row", *(F.when(counts, F.col(c)).alias(c) for c in found))
+
+
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
 

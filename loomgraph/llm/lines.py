@@ -1,27 +1,31 @@
 """Repeated runs of lines (operator 7), with DataFrame operations only.
 
-A document is the sequence of its lines (split at newlines), each named by a hash. Deleted is each line of a
-later copy of a run of lines, of any number, with MIN_CHARS characters or more: of a run that occurs before
-(smaller doc_id, or same document and earlier line; the two may overlap).
-
-Such a run, up to its maximal extent, is the union of the least windows in it: from each of its lines on the
-fewest lines that have MIN_CHARS characters, and up to each of its lines the fewest that have. A line j of a run
-that begins at a lies in the least window from a on, or else a..j has MIN_CHARS characters and the least window
-up to j lies in it. Both windows depend on their own lines alone, so each copy of a run has the same ones, and
-two windows a line decide runs of every length.
-
-Windows are compared by prefix doubling: the class of a suffix by its first 2^(h+1) lines is named from the
-classes of its own first 2^h lines and of those of the suffix 2^h lines on; suffixes alone in their class have no
-equal and leave. A window of n lines is named by n and the classes of its first and last 2^h lines, with 2^h the
-greatest power of two up to n. Doubling ends when no window needs more. No suffix array is sorted.
-
-Classes are found by aggregations with a partial result before the shuffle; suffixes learn about their
-class by joins of two stored tables, which Spark splits where a class is large. Each level is written to
-the shared folder. Where windows begin and end is found by windowed sums over the repeated lines of a document.
-
-Nulls: a null text has no lines and stays null; a row without doc_id loses nothing. Repeated rows (equal
-doc_id) count as one document. Empty lines are lines of no characters. An empty table gives no rows.
-Other columns are kept by delete_repeats() and ignored by the query.
+A document is the sequence of its lines (split at newlines). Deleted is each line of a later copy of a run of
+lines, of any number, with MIN_CHARS characters or more: of a run that occurs before (smaller doc_id, or same
+document and earlier line; the two may overlap).
+
+1. Suffix array by prefix doubling. Suffixes of the line sequences are ranked by their first line, then by their
+   first 2, 4, 8, ... lines: the key of a suffix is its own rank and that of the suffix 2^h lines on. Distinct
+   keys are counted (with a partial result before the shuffle), sorted by ranges over all tasks and numbered in
+   that order, and suffixes get the number of their key by a join. A suffix alone with its key has no common
+   prefix of so many lines with any other and leaves; doubling ends when none is left.
+2. Common-prefix lengths. A later suffix (one that isn't the first with its key) at 2^h lines but not at 2^(h+1)
+   has a common prefix of 2^h lines or more with an earlier one. The suffixes with that prefix, each standing
+   for those that share 2^(h+1) lines with it, are an interval of the suffix array, known by its first suffix
+   and its length. For k = h - 1, ..., 0 an interval is divided by the rank of what follows its prefix, 2^k
+   lines long: those with an equal rank are an interval inside it, 2^k lines deeper, which the first of them
+   stands for in the outer one. In the end each later suffix is in the deepest interval that holds an earlier
+   one: the depth is its longest common prefix with any earlier suffix, its maximal repeated run.
+3. A maximal run of MIN_CHARS characters or more goes. Any other run that occurs before lies in one of these.
+
+Lines are named by 128-bit digests, which are taken for the lines; runs are compared by ranks alone. Keys may be
+hot: they are aggregated in part first, and joined as stored tables, which Spark splits where a key is frequent.
+Windows are over the lines of one document.
+
+Nulls: a null text has no lines and stays null; a row without doc_id loses nothing. Rows with equal doc_id count
+as one document with the least of their texts, and a row with another text loses nothing. Empty lines are lines
+of no characters. An empty table gives no rows. Other columns are kept by delete_repeats() and ignored by the
+query.
 """
 
 from __future__ import annotations
@@ -40,96 +44,104 @@ def lines_of(text: str | Column) -> Column:
 
 
 def sequences(docs: DataFrame) -> DataFrame:
-    """doc_id, line number i, name r of the line and its length."""
-    rows = common.id_and_text(docs).filter("doc_id is not null and text is not null")
-    exploded = rows.select("doc_id", F.posexplode(lines_of("text")).alias("i", "line"))
-    return exploded.select("doc_id", "i", F.xxhash64("line").alias("r"), F.length("line").cast("long").alias("chars"))
+    """doc_id, line number i, name of the line and its length, of documents with one row each."""
+    exploded = docs.filter("text is not null").select("doc_id", F.posexplode(lines_of("text")).alias("i", "line"))
+    return exploded.select("doc_id", F.col("i").cast("long").alias("i"), F.unhex(F.md5("line")).alias("name"), F.length("line").cast("long").alias("chars"))
 
 
-def repeated(suffixes: DataFrame) -> DataFrame | None:
-    """Of suffixes (doc_id, i, r, ...) those whose class has others, and whether each is a later one; None if there are none."""
-    classes = suffixes.groupBy("r").agg(F.min(F.struct("doc_id", "i")).alias("first"), F.max(F.struct("doc_id", "i")).alias("last"))
-    classes = common.stored(classes.filter("first < last").select("r", "first"), "classes")
-    if not classes.take(1):
+def ranked(suffixes: DataFrame, *key: str) -> DataFrame | None:
+    """Of suffixes (doc_id, i, *key, ...) those whose key others share: r, the rank of the key, and its first suffix (fd, fi); None if there are none."""
+    classes = suffixes.groupBy(*key).agg(F.min(F.struct("doc_id", "i")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    ranks = common.stored(classes.orderBy(*key).select(*key, "first", F.monotonically_increasing_id().alias("rank")), "ranks")
+    if not ranks.take(1):
         return None
-    return common.stored(suffixes.join(classes, "r").select(*suffixes.columns, (F.struct("doc_id", "i") > F.col("first")).alias("later")), "level")
+    rest = [c for c in suffixes.columns if c not in key]
+    return suffixes.join(ranks, list(key)).select(*rest, F.col("rank").alias("r"), F.col("first.doc_id").alias("fd"), F.col("first.i").alias("fi"))
 
 
-def least_windows(found: DataFrame, min_chars: int) -> DataFrame:
-    """The least windows of min_chars characters among repeated lines that follow each other: doc_id, first line i, number of lines n.
+def suffix_array(lines: DataFrame) -> list[DataFrame]:
+    """For h = 0, 1, ...: the suffixes that share their first 2^h lines with others (doc_id, i, r, fd, fi), r in the order of those lines.
 
-    found: the repeated lines (doc_id, i, chars), each once.
+    That for h = 0 has also where the line starts and ends (start, end) among the characters of such lines of its document.
     """
-    by_doc = Window.partitionBy("doc_id").orderBy("i")
-    runs = found.select("doc_id", "i", "chars", (F.col("i") - F.row_number().over(by_doc)).alias("run"))
-    own = Window.partitionBy("doc_id", "run")
-    runs = runs.withColumn("end", F.sum("chars").over(own.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("chars"))
-    more = max(min_chars, 1) - 1
-    on = own.orderBy("start").rangeBetween(0, more)
-    back = own.orderBy("end").rangeBetween(-more, 0)
-    runs = runs.select("doc_id", "i", "start", "end", F.max("i").over(on).alias("last"), F.max("end").over(on).alias("last_end"), F.min("i").over(back).alias("first"), F.min("start").over(back).alias("first_start"))
-    onward = runs.filter(F.col("last_end") - F.col("start") >= min_chars).select("doc_id", "i", (F.col("last") - F.col("i") + 1).alias("n"))
-    backward = runs.filter(F.col("end") - F.col("first_start") >= min_chars).select("doc_id", F.col("first").alias("i"), (F.col("i") - F.col("first") + 1).alias("n"))
-    return onward.unionByName(backward).distinct().withColumn("h", F.length(F.bin("n")) - 1)
-
-
-def levels(now: DataFrame, most: int) -> list[DataFrame]:
-    """For h = 0, 1, ..., most: the suffixes that share their first 2^h lines with others (doc_id, i, r, later); now is that for h = 0."""
-    out = [now.select("doc_id", "i", "r", "later")]
-    while now is not None and len(out) <= most:
-        step = 1 << (len(out) - 1)
-        after = now.select("doc_id", (F.col("i") - step).alias("i"), F.col("r").alias("r2"))
-        longer = now.join(after, ["doc_id", "i"]).select("doc_id", "i", F.xxhash64("r", "r2").alias("r"))
-        now = repeated(common.stored(longer, "longer"))
-        if now is not None:
-            out.append(now)
-    return out
-
-
-def deleted(lines: DataFrame, min_chars: int) -> DataFrame | None:
-    """Later copies of least windows: doc_id, first line i, and stop, the line after the last; None if there are none."""
-    found = repeated(lines)
-    if found is None:
-        return None
-    # Rows with equal doc_id are one document.
-    found = common.stored(found.groupBy("doc_id", "i").agg(F.min(F.struct("r", "chars", "later")).alias("x")).select("doc_id", "i", "x.*"), "repeated")
-    windows = common.stored(least_windows(found, min_chars), "windows")
-    most = windows.agg(F.max("h")).first()[0]
-    if most is None:
-        return None
-    known = levels(found, most)
-    named = known[0].select("doc_id", "i", F.lit(0).alias("h"), "r")
-    for h, level in enumerate(known[1:], 1):
-        named = named.unionByName(level.select("doc_id", "i", F.lit(h).alias("h"), "r"))
-    tail = named.select("doc_id", F.col("i").alias("at"), "h", F.col("r").alias("r2"))
-    both = windows.join(named, ["doc_id", "i", "h"]).withColumn("at", F.expr("i + n - shiftleft(1, h)")).join(tail, ["doc_id", "at", "h"])
-    copies = repeated(common.stored(both.select("doc_id", "i", F.xxhash64("n", "r", "r2").alias("r"), "n"), "named"))
-    if copies is None:
+    now = ranked(lines, "name")
+    if now is None:
+        return []
+    so_far = F.sum("chars").over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    levels = [common.stored(now.withColumn("end", so_far).withColumn("start", F.col("end") - F.col("chars")).drop("chars"), "level")]
+    while True:
+        step = 1 << (len(levels) - 1)
+        after = F.first("r").over(Window.partitionBy("doc_id").orderBy("i").rangeBetween(step, step))
+        longer = levels[-1].select("doc_id", "i", "r", after.alias("r2")).filter("r2 is not null")
+        now = ranked(common.stored(longer, "longer"), "r", "r2")
+        if now is None:
+            return levels
+        levels.append(common.stored(now, "level"))
+
+
+def prefixes(levels: list[DataFrame]) -> DataFrame:
+    """For each suffix that shares its first line with an earlier one: doc_id, i, n (lines of the longest prefix that it shares so), fd, fi (where that occurs first), start."""
+    later = None
+    for h, level in enumerate(levels):
+        own = level.filter("fd < doc_id or (fd = doc_id and fi < i)").select("doc_id", "i", F.struct(F.lit(1 << h).cast("long").alias("n"), "fd", "fi").alias("s"), F.col("start") if h == 0 else F.lit(None).cast("long").alias("start"))
+        later = own if later is None else later.unionByName(own)
+    asking = common.stored(later.groupBy("doc_id", "i").agg(F.max("s").alias("s"), F.max("start").alias("start")).select("s.*", "doc_id", "i", "start"), "asking")
+    firsts = asking.select("n", "fd", "fi").distinct().select("n", "fd", "fi", F.col("fd").alias("doc_id"), F.col("fi").alias("i"), F.lit(None).cast("long").alias("start"))
+    now = common.stored(asking.unionByName(firsts), "intervals")
+    interval = ["n", "fd", "fi"]
+    for k in range(len(levels) - 2, -1, -1):
+        deep = now.filter(F.col("n") >= 2 << k).withColumn("at", F.col("i") + F.col("n"))
+        names = levels[k].select("doc_id", F.col("i").alias("at"), F.col("r").alias("x"))
+        deep = common.stored(deep.join(names, ["doc_id", "at"], "left").drop("at"), "followed")
+        inner = deep.filter("x is not null").groupBy(*interval, "x").agg(F.min(F.struct("doc_id", "i")).alias("g"), F.count("*").alias("m")).filter("m > 1").drop("m")
+        met = deep.filter("x is not null").join(common.stored(inner, "inner"), [*interval, "x"], "left")
+        stays = F.struct(*interval, "doc_id", "i", "start")
+        goes = F.struct((F.col("n") + (1 << k)).alias("n"), F.col("g.doc_id").alias("fd"), F.col("g.i").alias("fi"), "doc_id", "i", F.when(F.col("g") != F.struct("doc_id", "i"), F.col("start")).alias("start"))
+        places = F.when(F.col("g").isNull(), F.array(stays)).when(F.col("g") == F.struct("doc_id", "i"), F.array(stays, goes)).otherwise(F.array(goes))
+        moved = met.select(F.explode(places).alias("p")).select("p.*")
+        now = common.stored(moved.unionByName(deep.filter("x is null").select(moved.columns)).unionByName(now.filter(F.col("n") < 2 << k).select(moved.columns)), "intervals")
+    return now.filter("fd < doc_id or (fd = doc_id and fi < i)")
+
+
+def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame | None:
+    """Maximal later copies of runs of lines: doc_id, first line i, n lines, their characters, and where the run occurs first (fd, fi); None if no line repeats.
+
+    docs has one row a document.
+    """
+    levels = suffix_array(common.stored(sequences(docs), "lines"))
+    if not levels:
         return None
-    return copies.filter("later").groupBy("doc_id", "i").agg(F.max(F.col("i") + F.col("n")).alias("stop"))
+    ends = levels[0].select("doc_id", F.col("i").alias("at"), "end")
+    runs = prefixes(levels).withColumn("at", F.col("i") + F.col("n") - 1).join(ends, ["doc_id", "at"])
+    return runs.withColumn("chars", F.col("end") - F.col("start")).filter(F.col("chars") >= min_chars).select("doc_id", "i", "n", "chars", "fd", "fi")
 
 
 def flags(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame | None:
-    """For each document that loses lines an array that tells for each line whether it goes; None if none does."""
-    lines = common.stored(sequences(docs), "lines")
-    gone = deleted(lines, min_chars)
-    if gone is None:
+    """For each document (one row each) that loses lines an array that tells for each line whether it goes; None if none does."""
+    runs = repeated_runs(docs, min_chars)
+    if runs is None:
         return None
-    gone = common.stored(gone, "gone")
-    some = lines.join(gone.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "i").distinct()
+    gone = common.stored(runs.select("doc_id", "i", (F.col("i") + F.col("n")).alias("stop")), "gone")
+    some = docs.filter("text is not null").join(gone.select("doc_id").distinct(), "doc_id", "left_semi")
+    some = some.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.size(lines_of("text")).cast("long") - 1)).alias("i"))
     so_far = F.max("stop").over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     marked = some.join(gone, ["doc_id", "i"], "left").select("doc_id", "i", F.coalesce(so_far > F.col("i"), F.lit(False)).alias("gone"))
     listed = marked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "gone"))).alias("marks"))
-    return common.stored(listed.select("doc_id", F.col("marks.gone").alias("gone")), "flags")
+    return common.stored(listed.select("doc_id", F.col("marks.gone").alias("gone")), "flags", keep=True)
 
 
 def with_flags(docs: DataFrame, min_chars: int) -> DataFrame:
     """Each row of docs as a struct, row, so that its columns can't clash with others, and gone: its flags or null."""
-    found, whole = flags(docs, min_chars), docs.select(F.struct(*docs.columns).alias("row"))
+    with common.temporaries(docs.sparkSession):
+        single, differ = common.one_text_each(docs)
+        found = flags(single, min_chars)
+        differ = differ and common.stored(differ, "differ", keep=True)
+    whole = docs.select(F.struct(*docs.columns).alias("row"))
     if found is None:
         return whole.withColumn("gone", F.lit(None).cast("array<boolean>"))
     # The flags grow with the documents, so they are never broadcast, whatever their size here.
-    return whole.join(found.hint("merge"), F.col("row.doc_id") == F.col("doc_id"), "left").select("row", "gone")
+    joined = whole.join(found.hint("merge"), F.col("row.doc_id") == F.col("doc_id"), "left").select("row", "gone")
+    return common.where_counted(joined, differ, ["gone"])
 
 
 def kept_text() -> Column:
@@ -159,16 +171,14 @@ def op7_line_dedup(spark, sf_dir) -> DataFrame:
 
 ORACLE_SQL = f"""
 WITH docs AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS lines FROM documents),
-runs AS (
-  SELECT doc_id, i, n, list_slice(lines, i, i + n - 1) AS run
-  FROM docs, unnest(range(0, 16)) AS e(h), LATERAL (SELECT CAST(power(2, h) AS BIGINT) AS n) AS w, LATERAL (SELECT unnest(range(1, len(lines) - n + 2)) AS i) AS s
-),
-named AS (SELECT doc_id, i, n, md5(to_json(run)::VARCHAR) AS name, len(array_to_string(run, '')) AS chars FROM runs),
+starts AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM docs),
+runs AS (SELECT doc_id, i, lines, unnest(range(1, len(lines) - i + 2)) AS n FROM starts),
+named AS (SELECT doc_id, i, n, md5(to_json(list_slice(lines, i, i + n - 1))::VARCHAR) AS name, len(array_to_string(list_slice(lines, i, i + n - 1), '')) AS chars FROM runs),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY name, n ORDER BY doc_id, i) AS k FROM named),
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM ranked WHERE k > 1 AND chars >= {MIN_CHARS}),
 listed AS (SELECT doc_id, list(i) AS cut, count(*) AS n_removed FROM gone GROUP BY doc_id),
-starts AS (SELECT doc_id, count(*) AS n_runs FROM gone AS g WHERE NOT EXISTS (SELECT 1 FROM gone AS p WHERE p.doc_id = g.doc_id AND p.i = g.i - 1) GROUP BY doc_id)
+begun AS (SELECT doc_id, count(*) AS n_runs FROM gone AS g WHERE NOT EXISTS (SELECT 1 FROM gone AS p WHERE p.doc_id = g.doc_id AND p.i = g.i - 1) GROUP BY doc_id)
 SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs,
   sha256(coalesce(array_to_string(list_filter(lines, lambda x, j: NOT list_contains(coalesce(cut, []), j)), chr(10)), '')) AS kept_sha256
-FROM docs LEFT JOIN listed USING (doc_id) LEFT JOIN starts USING (doc_id)
+FROM docs LEFT JOIN listed USING (doc_id) LEFT JOIN begun USING (doc_id)
 """

@@ -320,17 +320,16 @@ def test_lines_equal_sql(spark, small, docs):
 
 
 def plain_lines(texts, least):
-    seen, gone = set(), {i: set() for i in texts}
-    split = {i: texts[i].split("\n") for i in texts}
-    n = 1
-    while n <= max(map(len, split.values())):
+    split = {i: t.split("\n") for i, t in texts.items()}
+    gone = {i: set() for i in texts}
+    for n in range(1, max(map(len, split.values())) + 1):
+        seen = set()
         for i in sorted(split):
             for k in range(len(split[i]) - n + 1):
                 run = tuple(split[i][k : k + n])
                 if run in seen and sum(map(len, run)) >= least:
                     gone[i] |= set(range(k, k + n))
                 seen.add(run)
-        n *= 2
     return {i: "\n".join(x for k, x in enumerate(split[i]) if k not in gone[i]) for i in texts}
 
 
@@ -349,21 +348,6 @@ def test_line_runs_equal_brute_force(spark, empty):
     assert substrings.delete_repeats(table(spark, ["z" * 300])).select("first", "row").collect() == [(1, "r")]
 
 
-def every_run(texts, least):
-    """As plain_lines(), with runs of every number of lines."""
-    split = {i: t.split("\n") for i, t in texts.items()}
-    gone = {i: set() for i in texts}
-    for n in range(1, max(map(len, split.values())) + 1):
-        seen = set()
-        for i in sorted(split):
-            for k in range(len(split[i]) - n + 1):
-                run = tuple(split[i][k : k + n])
-                if run in seen and sum(map(len, run)) >= least:
-                    gone[i] |= set(range(k, k + n))
-                seen.add(run)
-    return {i: "\n".join(x for k, x in enumerate(split[i]) if k not in gone[i]) for i in texts}
-
-
 def test_line_runs_of_every_length(spark):
     r = random.Random(8)
     texts = {k: "\n".join(r.choice(["a", "bb", "", "ccc", "d" * 9, f"u{k}{r.random()}"]) for _ in range(r.randint(1, 14))) for k in range(60)}
@@ -372,13 +356,51 @@ def test_line_runs_of_every_length(spark):
     for least in (1, 6, 13):
         got = lines.delete_repeats(spark.createDataFrame(rows, "doc_id long, text string"), least).collect()
         assert len(got) == len(rows)
-        assert {(x.doc_id, x.text) for x in got} == set(every_run(texts, least).items())
+        assert {(x.doc_id, x.text) for x in got} == set(plain_lines(texts, least).items())
     for sizes in ([100, 5, 5, 5, 5], [19, 19, 19], [9] * 7):
         run = "\n".join(chr(97 + k) * n for k, n in enumerate(sizes))
         got = by_id(lines.delete_repeats(spark.createDataFrame([(1, "one\n" + run), (2, run + "\ntwo")], "doc_id long, text string")))
         assert (got[1].text, got[2].text) == ("one\n" + run, "two")
 
 
+def test_repeated_rows_are_one_document(spark):
+    long = "\n".join(f"line {k} of a run with a good many lines" for k in range(33))
+    once = [(1, long), (2, "own\n" + long), (3, None), (None, long)]
+    contested = [(4, "zz\n" + long), (4, "an own text\n" + long)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(1, long), (2, "own"), (3, None), (None, long), (4, "an own text"), (4, "zz\n" + long)}
+    for times in (1, 2, 3):
+        got = lines.delete_repeats(frame(once * times + contested)).collect()
+        assert len(got) == 4 * times + 2
+        assert set(map(tuple, got)) == want
+    single, differ = common.one_text_each(frame(once * 3 + contested))
+    assert {tuple(r) for r in single.collect()} == {(1, long), (2, "own\n" + long), (3, None), (4, "an own text\n" + long)}
+    assert [r.doc_id for r in differ.collect()] == [4]
+    sizes = []
+    for times in (1, 2):
+        single, _ = common.one_text_each(frame(once * times))
+        sizes.append([x.count() for x in lines.suffix_array(common.stored(lines.sequences(single), "lines"))])
+    assert sizes[0] == sizes[1]
+
+
+def test_suffixes_are_ranked_in_order(spark):
+    texts = {1: "b\na\nb\na\nc", 2: "a\nb\na\nb\na", 3: "c\nb\na\nb"}
+    single = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    name = {r.doc_id * 100 + r.i: bytes(r.name) for r in lines.sequences(single).collect()}
+    for h, level in enumerate(lines.suffix_array(common.stored(lines.sequences(single), "lines"))):
+        rows = {(r.doc_id, r.i): r.r for r in level.collect()}
+        prefix = {(d, i): [name[d * 100 + i + k] for k in range(1 << h)] for d, i in rows}
+        for x in rows:
+            for y in rows:
+                assert (rows[x] < rows[y]) == (prefix[x] < prefix[y])
+    runs = {(r.doc_id, r.i): (r.n, r.fd, r.fi) for r in lines.repeated_runs(single, 1).collect()}
+    split = {d: t.split("\n") for d, t in texts.items()}
+    for d, own in split.items():
+        for i in range(len(own)):
+            shared = [next((k for k in range(min(len(own) - i, len(o) - j)) if own[i + k] != o[j + k]), min(len(own) - i, len(o) - j)) for e, o in split.items() for j in range(len(o)) if (e, j) < (d, i)]
+            assert runs.get((d, i), (0,))[0] == max(shared, default=0)
+
+
 # ---------------------------------------------------------------- 8
 
 
