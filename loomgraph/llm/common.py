@@ -46,6 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Paths of the tables stored in each open scope of temporaries(), the innermost last.
 _scopes: list[list[str]] = []
 
@@ -57,7 +58,12 @@ def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")  # shuffle files go with the write, which is the only use of this plan
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     around = _scopes[:-1] if keep else _scopes
     if around:
         around[-1].append(path)
@@ -124,20 +130,22 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
-def id_and_text(docs: DataFrame) -> DataFrame:
-    """Just doc_id (long) and text (string); whatever else the rows hold is left out.
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python in batches of BATCH_BYTES, so that long texts don't make large ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
-    Rows go to Python in batches of BATCH_BYTES, so that long texts don't make large ones.
-    """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+def id_and_text(docs: DataFrame) -> DataFrame:
+    """Just doc_id (long) and text (string), for passes in small batches; whatever else the rows hold is left out."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """A batch of (doc_id, text) in runs of at most about `most` bytes of text, and at least one row."""
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES, text_at: int = 1) -> Iterator[pa.RecordBatch]:
+    """A batch of rows with a text in runs of at most about `most` bytes of text, and at least one row."""
     if not batch.num_rows:
         return
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0
@@ -260,23 +268,21 @@ class WordCache:
         return found | {w: young[w] for w in words if w not in found}
 
 
-def bounded_sample(df: DataFrame, stratum: str, id_col: str, n: int) -> DataFrame:
-    """At most n rows of each non-null value of stratum, chosen by a hash of the id.
+def bounded_sample(df: DataFrame, stratum: str, id_col: str, n: int, values: int = 200) -> DataFrame:
+    """At most n rows of each non-null value of stratum, chosen by a hash of the id; of more values than `values` the most frequent.
 
     Two passes: counts, then the rows whose hash is below a share that leaves about 1.5 n of each
-    value; the final choice sorts no more than those. Values are assumed to be few (labels, languages).
+    value; the final choice sorts no more than those.
     """
     from pyspark.sql import Window
 
     df = df.filter(F.col(stratum).isNotNull())
-    counts = {r[0]: r[1] for r in df.groupBy(stratum).count().collect()}
+    counts = df.groupBy(stratum).count().orderBy(F.desc("count"), stratum).limit(values).collect()
     if not counts:
         return df
     unit = (F.xxhash64(id_col).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).alias("unit")
-    share = F.lit(0.0)
-    for value, count in counts.items():
-        share = F.when(F.col(stratum) == F.lit(value), min(1.0, (1.5 * n + 50) / count)).otherwise(share)
-    near = df.filter(unit < share)
+    shares = F.create_map(*(F.lit(x) for r in counts for x in (r[0], min(1.0, (1.5 * n + 50) / r[1]))))
+    near = df.filter(unit < F.coalesce(F.element_at(shares, F.col(stratum)), F.lit(0.0)))
     ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(id_col), id_col)))
     return ranked.filter(F.col("_rank") <= n).drop("_rank")
 

@@ -13,7 +13,7 @@ of the prefix that any partner must touch (the rarest n - ceil(t n) + 1 signatur
 is counted only for these.
 
 Nulls: a null text is an empty one; two empty fingerprints are alike (1.0), an empty and another are not
-(0.0). Rows of equal id follow in any order; a null id counts as the lowest. An empty table gives no rows. Other columns are ignored.
+(0.0). Rows of equal id follow in order of their texts; a null id counts as the lowest. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -104,6 +104,12 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     return common.map_arrow(docs, make, "doc_id long, signatures array<long>")
 
 
+def fingerprint_classes(prints: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n) of fingerprints(): class_id is the smallest doc_id with equal signatures, n their number."""
+    classes = prints.groupBy("signatures").agg(F.min("doc_id").alias("class_id"))
+    return prints.join(classes, "signatures").select("doc_id", "class_id", F.size("signatures").cast("long").alias("n"))
+
+
 def near_duplicates(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (doc_id, other_id, likeness) of classes of equal fingerprints that are at least so alike.
 
@@ -160,7 +166,7 @@ def edit(text: str, following: str) -> str:
 def fingerprint_edits(docs: DataFrame, parts: int) -> DataFrame:
     """Fingerprints of each document and of its edited text, and how alike they are to each other and to the next document's."""
     dealt = with_next(docs, RANGES * max(1, parts))
-    ordered = dealt.repartition(max(1, parts), "part").sortWithinPartitions("part", "guest", F.col("doc_id").desc()).select("doc_id", "text", "part", "guest")
+    ordered = dealt.repartition(max(1, parts), "part").sortWithinPartitions("part", "guest", F.col("doc_id").desc(), "text").select("doc_id", "text", "part", "guest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = None  # a document whose next one hasn't come yet: id, part, text, signatures

@@ -1,13 +1,16 @@
 """Language identification (operator 6).
 
-A bidirectional gated recurrent network reads the bytes of a word, with a space before and after it,
-and labels every position with language probabilities; a document's probabilities are the mean over
-all positions of all its words. It is trained here, in numpy, by backpropagation through time. As a
-word's labels depend on the word alone, those of frequent words are kept; whole texts are read.
-Words longer than SPAN bytes are read in spans of that length.
+A bidirectional gated recurrent network reads the bytes of a text, whatever they are, and labels every position
+with language probabilities; a document's probabilities are their mean over all its positions. It is trained
+here, in numpy, by backpropagation through time.
 
-It is fitted on the words of at most DOCS_PER_LANGUAGE documents of each language, whole texts, counted before
-they come to the driver.
+Whole texts are read, in windows of CORE positions side by side, so that many are read at once. Before and after
+these, the network runs over RUN_IN more bytes of the text, so its state at a position comes from that many
+bytes at least on both sides, across words and windows; beyond the text there are spaces.
+
+It is fitted on at most WINDOWS windows of TRAINED bytes of each of at most LANGUAGES languages (the most
+frequent), drawn by hash from the whole texts of at most DOCS_PER_LANGUAGE documents of each, before they come to
+the driver.
 
 Nulls and texts without a letter are `und`, score 0. Rows without a language aren't learned from; if
 none has one, all are `und`. Ties go to the language that sorts first. Repeated rows give repeated
@@ -21,18 +24,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-DOCS_PER_LANGUAGE = 200
-SPAN = 30
-HIDDEN = 16
-STEPS = 250
-BATCH = 384
+LANGUAGES, DOCS_PER_LANGUAGE, WINDOWS, TRAINED = 200, 200, 4000, 48
+CORE, RUN_IN = 120, 12
+#: Windows that are read at once.
+AT_ONCE = 1024
+HIDDEN = 12
+STEPS = 300
+BATCH = 256
 UNKNOWN = "und"
+#: Bytes of text that are cut into windows at once, or one document if it is longer.
+SLICE_BYTES = 1 << 20
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -40,17 +48,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
-def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Byte matrix (position, word) with spaces around each word, and where it holds a position."""
-    sizes = np.array([len(w) + 2 for w in words])
-    width = int(sizes.max())
-    text = np.frombuffer(b"".join((b" " + w + b" ").ljust(width, b"\0") for w in words), dtype=np.uint8)
-    return text.reshape(len(words), width).T, np.arange(width)[:, None] < sizes[None, :]
-
-
 @dataclass
 class Network:
-    """One GRU for each direction (input weights by byte, recurrent weights, bias of the candidate) and the output layer."""
+    """One GRU for each direction and the output layer.
+
+    Of a direction: input weights by byte of the update gate (z), the reset gate (r) and the candidate (m), the
+    recurrent ones (uz, ur, um) and a bias of the candidate's recurrent part (c).
+    """
 
     langs: list[str]
     weights: dict[str, np.ndarray]
@@ -60,154 +64,151 @@ class Network:
         rng = np.random.default_rng(seed)
         w = {}
         for d in "fb":
-            w["x" + d] = rng.normal(0, 0.3, (256, 3 * hidden)).astype("f4")
-            w["h" + d] = rng.normal(0, 1 / np.sqrt(hidden), (hidden, 3 * hidden)).astype("f4")
+            for gate in "zrm":
+                w[gate + d] = rng.normal(0, 0.3, (256, hidden)).astype("f4")
+                w["u" + gate + d] = rng.normal(0, 1 / np.sqrt(hidden), (hidden, hidden)).astype("f4")
             w["c" + d] = np.zeros(hidden, dtype="f4")
         w["o"] = rng.normal(0, 1 / np.sqrt(2 * hidden), (2 * hidden, len(langs))).astype("f4")
         w["b"] = np.zeros(len(langs), dtype="f4")
         return cls(langs, w)
 
-    def run(self, text: np.ndarray, there: np.ndarray, d: str, keep: bool = False):
-        """Hidden states of one direction at each position, and what its backward pass needs."""
-        x, u, c = (self.weights[k + d] for k in "xhc")
-        n = u.shape[0]
-        h = np.zeros((text.shape[1], n), dtype="f4")
-        out, steps = np.empty((*text.shape, n), dtype="f4"), []
+    def run(self, text: np.ndarray, d: str, keep: bool = False):
+        """Hidden states of one direction at each position of text (position, window), and what its backward pass needs."""
+        z_in, r_in, m_in, uz, ur, um, c = (self.weights[k + d] for k in ("z", "r", "m", "uz", "ur", "um", "c"))
+        h = np.zeros((text.shape[1], len(uz)), dtype=uz.dtype)
+        out, steps = np.empty((*text.shape, len(uz)), dtype=uz.dtype), []
         for t in range(len(text)) if d == "f" else range(len(text) - 1, -1, -1):
-            a, g = x[text[t]], h @ u
-            z, r = sigmoid(a[:, :n] + g[:, :n]), sigmoid(a[:, n : 2 * n] + g[:, n : 2 * n])
-            q = g[:, 2 * n :] + c
-            m = np.tanh(a[:, 2 * n :] + r * q)
-            new = np.where(there[t][:, None], m + z * (h - m), h)
+            z, r = sigmoid(z_in[text[t]] + h @ uz), sigmoid(r_in[text[t]] + h @ ur)
+            q = h @ um + c
+            m = np.tanh(m_in[text[t]] + r * q)
+            new = m + z * (h - m)
             if keep:
                 steps.append((t, h, z, r, q, m))
             out[t] = h = new
         return out, steps
 
-    def probabilities(self, text: np.ndarray, there: np.ndarray) -> np.ndarray:
-        """Of each language at each position, shaped (position, word, language)."""
-        y = np.concatenate([self.run(text, there, d)[0] for d in "fb"], axis=2) @ self.weights["o"] + self.weights["b"]
-        y = np.exp(y - y.max(axis=2, keepdims=True))
-        return y / y.sum(axis=2, keepdims=True)
+    def probabilities(self, text: np.ndarray, first: int = 0, last: int | None = None) -> np.ndarray:
+        """Of each language at positions first to last (exclusive), shaped (position, window, language)."""
+        y = np.concatenate([self.run(text, d)[0][first:last] for d in "fb"], axis=2) @ self.weights["o"] + self.weights["b"]
+        y = np.exp(np.clip(y, -80, 80))
+        return y / (y @ np.ones((y.shape[2], 1), dtype=y.dtype))
 
-    def gradients(self, text: np.ndarray, there: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
-        w, n = self.weights, self.weights["hf"].shape[0]
-        runs = {d: self.run(text, there, d, keep=True) for d in "fb"}
+    def gradients(self, text: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean loss over all positions; target: the language of each window."""
+        w, n = self.weights, len(self.weights["umf"])
+        runs = {d: self.run(text, d, keep=True) for d in "fb"}
         h = np.concatenate([runs[d][0] for d in "fb"], axis=2)
         y = h @ w["o"] + w["b"]
         y = np.exp(y - y.max(axis=2, keepdims=True))
         y /= y.sum(axis=2, keepdims=True)
         y[:, np.arange(text.shape[1]), target] -= 1
-        y *= there[:, :, None] / there.sum()
+        y /= text.size
         grads = {"o": h.reshape(-1, 2 * n).T @ y.reshape(-1, y.shape[2]), "b": y.sum(axis=(0, 1))}
         dh_out = y @ w["o"].T
         for k, d in enumerate("fb"):
-            u = w["h" + d]
-            gx, gu, gc = np.zeros_like(w["x" + d]), np.zeros_like(u), np.zeros(n, dtype="f4")
-            dh = np.zeros((text.shape[1], n), dtype="f4")
+            own = {name: np.zeros_like(w[name + d]) for name in ("z", "r", "m", "uz", "ur", "um", "c")}
+            dh = np.zeros((text.shape[1], n), dtype=h.dtype)
             for t, before, z, r, q, m in reversed(runs[d][1]):
                 dh = dh + dh_out[t][:, k * n : (k + 1) * n]
-                live = there[t][:, None]
-                dn = np.where(live, dh, 0)
-                dm = dn * (1 - z) * (1 - m * m)
-                da = np.concatenate([dn * (before - m) * z * (1 - z), dm * q * r * (1 - r), dm], axis=1)
-                dg = np.concatenate([da[:, : 2 * n], dm * r], axis=1)
-                np.add.at(gx, text[t], da)
-                gu += before.T @ dg
-                gc += dg[:, 2 * n :].sum(axis=0)
-                dh = np.where(live, dn * z + dg @ u.T, dh)
-            grads |= {"x" + d: gx, "h" + d: gu, "c" + d: gc}
+                dm = dh * (1 - z) * (1 - m * m)
+                dz, dr, dq = dh * (before - m) * z * (1 - z), dm * q * r * (1 - r), dm * r
+                for name, x in (("z", dz), ("r", dr), ("m", dm)):
+                    np.add.at(own[name], text[t], x)
+                for name, x in (("uz", dz), ("ur", dr), ("um", dq)):
+                    own[name] += before.T @ x
+                own["c"] += dq.sum(axis=0)
+                dh = dh * z + dz @ w["uz" + d].T + dr @ w["ur" + d].T + dq @ w["um" + d].T
+            grads |= {name + d: g for name, g in own.items()}
         return grads
 
-    def fit(self, words: list[bytes], targets: np.ndarray, steps: int, batch: int, seed: int, rate: float = 0.02, counts: np.ndarray | None = None) -> None:
-        """Adam over batches in which each language has the same share; counts tells how often each word occurs."""
+    def fit(self, windows: np.ndarray, targets: np.ndarray, steps: int, batch: int, seed: int, rate: float = 0.02) -> None:
+        """Adam over batches of windows (window, position) in which each language has the same share."""
         rng = np.random.default_rng(seed)
         own = [np.flatnonzero(targets == k) for k in range(len(self.langs))]
-        shares = [None if counts is None else counts[rows] / counts[rows].sum() for rows in own]
         mean, square = ({k: np.zeros_like(v) for k, v in self.weights.items()} for _ in range(2))
         for step in range(1, steps + 1):
-            pick = np.concatenate([rng.choice(rows, max(1, batch // len(own)), p=share) for rows, share in zip(own, shares, strict=True)])
-            text, there = padded([words[i] for i in pick])
+            pick = np.concatenate([rng.choice(rows, max(1, batch // len(own))) for rows in own])
             pace = rate * min(1.0, 2 * (1 - step / (steps + 1)))
-            for k, g in self.gradients(text, there, targets[pick]).items():
+            for k, g in self.gradients(windows[pick].T, targets[pick]).items():
                 mean[k] += 0.1 * (g - mean[k])
                 square[k] += 0.01 * (g * g - square[k])
                 self.weights[k] -= pace * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
 
 
-def spans(word: bytes, span: int = SPAN) -> list[bytes]:
-    return [word[i : i + span] for i in range(0, len(word), span)]
+def windows_of(texts: list[bytes], core: int, run_in: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The windows (window, position) of core bytes of texts side by side, with run_in bytes on both sides; and how many each text has."""
+    counts = np.array([-(-len(t) // core) for t in texts], dtype=np.int64)
+    edge = b" " * run_in
+    data = np.frombuffer(b"".join(edge + t.ljust(int(k) * core) + edge for t, k in zip(texts, counts, strict=True)), dtype=np.uint8)
+    firsts = np.cumsum(counts * core + 2 * run_in) - (counts * core + 2 * run_in)
+    starts = np.repeat(firsts - (np.cumsum(counts) - counts) * core, counts) + np.arange(counts.sum()) * core
+    return data[starts[:, None] + np.arange(core + 2 * run_in)], counts
 
 
 def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, steps: int = STEPS, seed: int = 7) -> Network | None:
     """A network from rows with doc_id, text and lang; None where nothing can be learned."""
-    sample = common.bounded_sample(labelled.select("doc_id", "text", "lang").filter("text is not null"), "lang", "doc_id", docs_per_language)
-    words = sample.select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).filter("word != ''")
-    rows = sorted((r[0], r[1], r[2]) for r in words.groupBy("lang", "word").count().collect())
-    pairs = [(s, lang, n) for lang, word, n in rows for s in spans(word.encode())]
-    langs = sorted({lang for _, lang, _ in pairs})
+    sample = common.bounded_sample(labelled.select("doc_id", "text", "lang").filter("text is not null"), "lang", "doc_id", docs_per_language, LANGUAGES)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found, _ = windows_of([text.encode()], TRAINED)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array([doc_id] * len(found), pa.int64()), pa.array(range(len(found)), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["lang", "doc_id", "k", "window"])
+
+    pieces = sample.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(cut, "lang string, doc_id long, k long, window binary")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "k"), "doc_id", "k", "window")
+    rows = pieces.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= WINDOWS).select("lang", "window").collect()
+    rows = sorted((r.lang, bytes(r.window)) for r in rows)
+    langs = sorted({lang for lang, _ in rows})
     if not langs:
         return None
     net = Network.fresh(langs, HIDDEN, seed)
-    net.fit([w for w, _, _ in pairs], np.array([langs.index(lang) for _, lang, _ in pairs]), steps, BATCH, seed, counts=np.array([n for _, _, n in pairs], dtype=float))
+    net.fit(np.frombuffer(b"".join(x for _, x in rows), dtype=np.uint8).reshape(len(rows), -1), np.array([langs.index(lang) for lang, _ in rows]), steps, BATCH, seed)
     return net
 
 
-class Reader:
-    """Sums of the probabilities over the positions of a word, and their number; cached by word."""
-
-    def __init__(self, net: Network):
-        self.net = net
-        self.cache = common.WordCache(self._fill, 150_000)
-
-    def _fill(self, words: list[bytes]) -> list[bytes]:
-        pieces = [(k, s) for k, w in enumerate(words) for s in spans(w)]
-        pieces.sort(key=lambda x: len(x[1]))
-        sums = np.zeros((len(words), len(self.net.langs) + 1), dtype="f4")
-        for at in range(0, len(pieces), 2048):
-            part = pieces[at : at + 2048]
-            text, there = padded([s for _, s in part])
-            own = np.where(there[:, :, None], self.net.probabilities(text, there), 0).sum(axis=0)
-            np.add.at(sums, [k for k, _ in part], np.concatenate([own, there.sum(axis=0)[:, None]], axis=1))
-        flat, size = sums.tobytes(), 4 * sums.shape[1]
-        return [flat[i : i + size] for i in range(0, len(flat), size)]
-
-    def predict(self, texts: pa.Array) -> tuple[list[str], list[float]]:
-        words = common.words_of(texts)
-        sums = np.frombuffer(b"".join(self.cache.of(words.distinct)), dtype="f4").reshape(-1, len(self.net.langs) + 1)
-        totals = words.sums(sums)
-        best = np.argmax(totals[:, :-1], axis=1)
-        scores = np.clip(totals[np.arange(len(best)), best] / np.maximum(totals[:, -1], 1), 0, 1)
-        known = [bool(t and LETTER.search(t)) for t in texts.to_pylist()]
-        return [self.net.langs[b] if k else UNKNOWN for b, k in zip(best.tolist(), known, strict=True)], np.where(known, scores, 0.0).tolist()
+def read(net: Network, texts: pa.Array) -> tuple[list[str], list[float]]:
+    """The language of each text, and its mean probability over all positions."""
+    raw = pc.fill_null(texts, "").cast(pa.large_binary()).to_pylist()
+    totals = np.zeros((len(raw), len(net.langs)))
+    windows, counts = windows_of(raw, CORE, RUN_IN)
+    owner = np.repeat(np.arange(len(raw)), counts)
+    sizes = np.array([len(t) for t in raw], dtype=np.int64)
+    # How many positions of each window are of the text.
+    inside = np.minimum(CORE, sizes[owner] - (np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner]) * CORE)
+    for at in range(0, len(windows), AT_ONCE):
+        p = net.probabilities(np.ascontiguousarray(windows[at : at + AT_ONCE].T), RUN_IN, RUN_IN + CORE)
+        p *= (np.arange(CORE)[:, None] < inside[at : at + AT_ONCE])[:, :, None]
+        np.add.at(totals, owner[at : at + AT_ONCE], p.sum(axis=0))
+    best = np.argmax(totals, axis=1)
+    scores = np.clip(totals[np.arange(len(raw)), best] / np.maximum(sizes, 1), 0, 1)
+    known = [bool(t and LETTER.search(t)) for t in texts.to_pylist()]
+    return [net.langs[b] if k else UNKNOWN for b, k in zip(best.tolist(), known, strict=True)], np.where(known, scores, 0.0).tolist()
 
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, lang_pred and score of each whole text."""
 
     def make():
-        reader = Reader(net) if net else None
-
         def step(ids, texts):
-            langs, scores = reader.predict(texts) if reader else ([UNKNOWN] * len(ids), [0.0] * len(ids))
+            langs, scores = read(net, texts) if net else ([UNKNOWN] * len(ids), [0.0] * len(ids))
             return {"doc_id": ids, "lang_pred": langs, "score": scores}
 
         return step
 
-    return common.map_arrow(docs, make, "doc_id long, lang_pred string, score double")
+    return common.map_arrow(docs, make, "doc_id long, lang_pred string, score double", SLICE_BYTES)
 
 
 def drop_unknown(docs: DataFrame, net: Network | None, least: float = 0.0) -> DataFrame:
     """The rows of docs whose language is known, with a score of at least `least`."""
+    common.small_batches(docs.sparkSession)
     text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(net) if net else None
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                langs, scores = reader.predict(part.column(text_at)) if reader else ([], [])
-                yield part.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(langs, scores, strict=True)] if reader else [False] * part.num_rows, type=pa.bool_()))
+            for part in common.slices(batch, SLICE_BYTES, text_at):
+                langs, scores = read(net, part.column(text_at)) if net else ([], [])
+                yield part.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(langs, scores, strict=True)] if net else [False] * part.num_rows, type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

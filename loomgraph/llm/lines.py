@@ -103,12 +103,12 @@ def prefixes(levels: list[DataFrame]) -> DataFrame:
     return now.filter("fd < doc_id or (fd = doc_id and fi < i)")
 
 
-def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame | None:
+def repeated_runs(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame | None:
     """Maximal later copies of runs of lines: doc_id, first line i, n lines, their characters, and where the run occurs first (fd, fi); None if no line repeats.
 
-    docs has one row a document.
+    lines: sequences(), stored.
     """
-    levels = suffix_array(common.stored(sequences(docs), "lines"))
+    levels = suffix_array(lines)
     if not levels:
         return None
     ends = levels[0].select("doc_id", F.col("i").alias("at"), "end")
@@ -118,12 +118,12 @@ def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame | No
 
 def flags(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame | None:
     """For each document (one row each) that loses lines an array that tells for each line whether it goes; None if none does."""
-    runs = repeated_runs(docs, min_chars)
+    lines = common.stored(sequences(docs), "lines")
+    runs = repeated_runs(lines, min_chars)
     if runs is None:
         return None
     gone = common.stored(runs.select("doc_id", "i", (F.col("i") + F.col("n")).alias("stop")), "gone")
-    some = docs.filter("text is not null").join(gone.select("doc_id").distinct(), "doc_id", "left_semi")
-    some = some.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.size(lines_of("text")).cast("long") - 1)).alias("i"))
+    some = lines.join(gone.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "i")
     so_far = F.max("stop").over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     marked = some.join(gone, ["doc_id", "i"], "left").select("doc_id", "i", F.coalesce(so_far > F.col("i"), F.lit(False)).alias("gone"))
     listed = marked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "gone"))).alias("marks"))
@@ -135,7 +135,6 @@ def with_flags(docs: DataFrame, min_chars: int) -> DataFrame:
     with common.temporaries(docs.sparkSession):
         single, differ = common.one_text_each(docs)
         found = flags(single, min_chars)
-        differ = differ and common.stored(differ, "differ", keep=True)
     whole = docs.select(F.struct(*docs.columns).alias("row"))
     if found is None:
         return whole.withColumn("gone", F.lit(None).cast("array<boolean>"))

@@ -11,15 +11,20 @@ coefficient is SIMILARITY or more.
    threshold a pair misses all bands with probability below 4e-6.
 3. Each class is checked on the full sets with one candidate, the smallest of the smallest members of its
    buckets: a pair a class, and the links join up most of a group of copies.
-4. Where a bucket still holds several components, its members are compared in blocks of BLOCK (fewer where they are long): pairs of
-   different components whose sketches agree in FLOOR of the bins or more (a true link is below it with
-   probability under 1e-9) are checked on the full sets, in place, by a product of 0/1 matrices; only
-   links that join components leave the block. No pair within a component is made, no pair is written
-   that isn't such a link, and no bucket is capped. This is done for FIRST_BANDS bands first.
-
-Nulls: a null text has an empty set; a null doc_id can't be linked to but is found a copy of others.
-Documents with an empty set are linked with nothing. Repeated rows give repeated rows; equal doc_ids are
-one node. An empty table gives no rows. Other columns are ignored.
+4. Where a bucket still holds several components, its members are compared with each other on the full sets, in
+   place, by a product of 0/1 matrices: pairs of different components whose sketches agree in FLOOR of the bins or
+   more (a true link is below it with probability under 1e-9). Only links that join components leave the task. No
+   pair within a component is made, no pair is written that isn't such a link, and no bucket is capped. This is
+   done for FIRST_BANDS bands first.
+5. A bucket of more than BLOCK members, or BLOCK_SHINGLES shingles, holds mostly documents that share a passage
+   without being alike. Its members are dealt out anew, each by the shingles that any set alike enough must share
+   one of: the n - ceil(0.75 n) + 1 rarest of its n, in one order for all, counted over all such members. Shingles
+   that no other of them has are passed over, so who differs in a quarter meets nobody, and rows grow with the
+   members. Groups that are still larger are compared block by block.
+
+Nulls: a null text has an empty set; a null doc_id can't be linked to but is found a copy of others. Documents
+with an empty set are linked with nothing. Rows with equal doc_id are one document, with the least of their texts,
+and one row; rows without doc_id have a row each. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -130,7 +135,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows:
 
 
 def sets_of(wanted: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """The full sets of documents: wanted (_id, b) becomes (a, b, set).
+    """The full sets of documents, which have one row each: wanted (_id, b) becomes (a, b, set).
 
     Sets are computed where the texts are read. The ids are broadcast if they are few, which is counted;
     else both sides are shuffled.
@@ -144,7 +149,7 @@ def sets_of(wanted: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
                 sets = [s.view(np.int64) for s in shingle_sets(part.column(1), shingle)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sets, type=pa.list_(pa.int64()))], names=["a", "b", "set"])
 
-    return common.stored(texts.mapInArrow(run, "a long, b long, set array<long>").dropDuplicates(["a", "b"]), "sets")
+    return common.stored(texts.mapInArrow(run, "a long, b long, set array<long>"), "sets")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -244,6 +249,19 @@ def in_mixed_buckets(members: DataFrame, block: int) -> DataFrame:
     return common.stored(members.drop("n").join(mixed, "band"), "rest")
 
 
+def by_rare_shingles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members (rep, comp) with each shingle, as band, of which sets that are alike enough share one; n is the size of the set."""
+    own = members.select("rep", "comp").distinct()
+    each = sets.select(F.col("a").alias("rep"), "set").join(own, "rep").select("rep", "comp", F.size("set").cast("long").alias("n"), F.explode("set").alias("band"))
+    each = common.stored(each, "shingles")
+    shared = common.stored(each.groupBy("band").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
+    of_set = Window.partitionBy("rep")
+    ranked = each.join(shared, "band").withColumn("k", F.row_number().over(of_set.orderBy("df", "band"))).withColumn("m", F.count("*").over(of_set))
+    # The n - m shingles that no other has are the rarest, and come before these.
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return common.stored(ranked.filter(F.col("n") - F.col("m") + F.col("k") <= first).select("band", "rep", "comp", "n"), "rare")
+
+
 def links(reps: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Components (node, component) of the classes reps (rep, n, bands, sketch)."""
     banded = reps.select("rep", "n", F.posexplode("bands").alias("b", "band"))
@@ -263,6 +281,10 @@ def links(reps: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int
         have = have if sets is None else have.join(sets.select(F.col("a").alias("_id")), "_id", "left_anti")
         new = sets_of(common.stored(have, "wanted"), docs, shingle)
         sets = new if sets is None else sets.unionByName(new)
+        large = rest.filter("blocks > 1")
+        if large.take(1):
+            rare = by_rare_shingles(large, sets, percent)
+            rest = rest.filter("blocks = 1").unionByName(in_mixed_buckets(rare, block))
         full = reps.select("rep", "sketch").join(sets.select(F.col("a").alias("rep"), "set"), "rep")
         rows = rest.join(full, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         grouped = rows.groupBy("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("rep", "comp", "block", "sketch", "set")).alias("members"))
@@ -272,15 +294,17 @@ def links(reps: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int
     return near
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links lead to) and kept of each document."""
-    made = common.stored(sketches(docs, shingle, bands, rows), "sketches")
-    classes = common.stored(made.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-    own = classes.withColumnRenamed("rep", "doc_id")
-    reps = made.join(own, ["key", "doc_id"], "left_semi").dropDuplicates(["key", "doc_id"])
-    reps = common.stored(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "sketch"), "reps")
-    near = common.stored(links(reps, docs, shingle, percent).withColumnRenamed("node", "rep"), "near")
-    named = common.stored(classes.join(near, "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id")), "named")
+    with common.temporaries(docs.sparkSession):
+        single, _ = common.one_text_each(docs)
+        made = common.stored(sketches(single.unionByName(common.id_and_text(docs).filter("doc_id is null")), shingle, bands, rows), "sketches", keep=True)
+        classes = common.stored(made.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
+        own = classes.withColumnRenamed("rep", "doc_id")
+        reps = made.join(own, ["key", "doc_id"], "left_semi")
+        reps = common.stored(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "sketch"), "reps")
+        near = common.stored(links(reps, single, shingle, percent, block).withColumnRenamed("node", "rep"), "near")
+        named = common.stored(classes.join(near, "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id")), "named", keep=True)
     joined = made.select("doc_id", "n_shingles", "key").join(named, "key", "left")
     component = F.coalesce("component_id", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

@@ -19,22 +19,28 @@ the same anchor need comparing, by their context: 68 bytes to the left and 100 f
    are shared, and where they divide the extension is diverse. A right and a left interval that together
    span LENGTH bytes or more are a maximal repeat (within the context); all its members are occurrences,
    and all but the first lose the strings that the pair of intervals accounts for.
-4. An anchor with more than HOT contexts is not sorted in one place, as one may have as many as there are
-   documents: each string of its occurrences is hashed, and the first of each hash stays.
-
-Hashes have 64 bits and are taken for the bytes they stand for. Every step is an aggregation with a
-partial sum before the shuffle or a join that Spark splits where a key is frequent.
-
-Nulls: a null text is empty. Rows of equal doc_id are one document, so repeated rows lose nothing to each
-other; a row without doc_id keeps all its bytes. Texts shorter than LENGTH lose nothing. An empty table
-gives no rows. Other columns are ignored.
+4. The contexts of an anchor that has more than GROUP of them may be as many as there are documents, so they
+   are dealt out by ranges of string starts before the scan. Strings that start lo to hi bytes before the anchor
+   need hi bytes to its left and LENGTH - lo from it on, and all share what lo bytes to the left and LENGTH - hi
+   from it on are. A range is halved; contexts cut to a half that are equal there are one (the later ones lose
+   its strings), and the others meet only those with the same shared bytes. Groups of up to GROUP contexts go to
+   the scan; larger ones are halved again, until a range is one start, whose equal contexts are equal strings. A
+   context is in about two ranges of each size, 14 in all, whatever its anchor's number of contexts.
+
+Anchors and contexts are named by hashes of 64 bits each, and contexts are taken for equal if both agree; the scan
+and the ranges compare bytes. Every step is an aggregation with a partial sum before the shuffle or a join that
+Spark splits where a key is frequent.
+
+Nulls: a null text is empty. Rows of equal doc_id count as one document with the least of their texts: rows with
+that text have the same result, and a row with another keeps all its bytes, as does one without doc_id. Texts
+shorter than LENGTH lose nothing. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +53,10 @@ from . import common
 
 LENGTH = 100
 SEED = 32
-HOT = 20
+GROUP = 64
 #: Seeds in a string.
 SEEDS = LENGTH - SEED + 1
+LOST = ["doc_id", "first", "last", "of_doc", "of_first"]
 #: Positions that are searched for anchors at once; their number fits the lowest COLUMN_BITS bits.
 ROW, COLUMN_BITS = 4096, 13
 #: Bytes whose seeds are hashed at once; arrays are eight times as large.
@@ -214,76 +221,50 @@ def repeats(group: list[tuple[bytes, bytes, tuple, int]]) -> Iterator[tuple[int,
                 yield near, far, sorted(lefts[i : j + 1], key=lambda k: group[k][2])
 
 
-def later_starts(group: list[tuple[bytes, bytes, tuple, int]]) -> list[tuple[int, int, int]]:
-    """For each later occurrence in a repeat: its doc_id, and first and last start of strings that it loses."""
+def later_starts(group: list[tuple[bytes, bytes, tuple, int]]) -> list[tuple[int, int, int, int, int]]:
+    """For each later occurrence in a repeat: its doc_id, first and last start of strings that it loses, and where the first of these occurs first."""
     out = []
     for near, far, members in repeats(group):
+        (of_doc, first_at), first_position = group[members[0]][2], unpacked(group[members[0]][3])[0]
         for k in members[1:]:
             position, own_far, own_near = unpacked(group[k][3])
             a, b = max(near, own_near), min(far, own_far)
-            if a <= b and group[k][2] != group[members[0]][2]:
-                out.append((group[k][2][0], position - b, position - a))
+            if a <= b and group[k][2] != (of_doc, first_at):
+                out.append((group[k][2][0], position - b, position - a, of_doc, first_position - b))
     return out
 
 
-def places_in_texts(rest: DataFrame, docs: DataFrame, step, schema: str) -> DataFrame:
-    """One pass over the documents that hold occurrences (a, doc_id, at): step(columns, doc_id, bytes, all a, all at) adds the rows of a document."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+def contexts(rest: DataFrame, docs: DataFrame) -> DataFrame:
+    """The context bytes of occurrences (a, doc_id, at): l to the left, backwards, and r from the anchor on."""
     listed = rest.groupBy("doc_id").agg(F.collect_list("a").alias("as"), F.collect_list("at").alias("ats"))
-    joined = listed.join(common.id_and_text(docs).dropDuplicates(["doc_id"]), "doc_id").select("doc_id", "text", "as", "ats")
-    out = to_arrow_schema(StructType.fromDDL(schema))
+    joined = listed.join(docs, "doc_id").select("doc_id", "text", "as", "ats")
+    names = ["a", "doc_id", "at", "l", "r"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, SLICE_BYTES):
-                columns: list[list] = [[] for _ in out]
+                columns: list[list] = [[] for _ in names]
                 for doc_id, text, hashes, ats in zip(*part.columns, strict=True):
-                    step(columns, doc_id.as_py(), text.as_py().encode(), hashes.values, ats.values)
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+                    raw, own = text.as_py().encode(), doc_id.as_py()
+                    for a, at in zip(hashes.values.to_pylist(), ats.values.to_pylist(), strict=True):
+                        p = at >> 14
+                        for c, x in zip(columns, (a, own, at, raw[max(0, p - (LENGTH - SEED)) : p][::-1], raw[p : p + LENGTH]), strict=True):
+                            c.append(x)
+                kinds = [pa.int64()] * 3 + [pa.binary()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=names)
             pa.default_memory_pool().release_unused()
 
-    return joined.mapInArrow(run, schema)
-
-
-def contexts(rest: DataFrame, docs: DataFrame) -> DataFrame:
-    """The context bytes of occurrences (a, doc_id, at)."""
-
-    def step(columns, doc_id, raw, hashes, ats):
-        for a, at in zip(hashes.to_pylist(), ats.to_pylist(), strict=True):
-            p = at >> 14
-            for c, x in zip(columns, (a, doc_id, at, raw[max(0, p - (LENGTH - SEED)) : p][::-1], raw[p : p + LENGTH]), strict=True):
-                c.append(x)
-
-    return places_in_texts(rest, docs, step, "a long, doc_id long, at long, l binary, r binary")
-
-
-def string_hashes(rest: DataFrame, docs: DataFrame) -> DataFrame:
-    """The hash h of each string of occurrences (a, doc_id, at), doc_id and the string's start."""
-
-    def step(columns, doc_id, raw, hashes, ats):
-        seeds = seed_hashes(np.frombuffer(raw, dtype=np.uint8))
-        position, far, near = unpacked(ats.to_numpy(zero_copy_only=False))
-        counts = far - near + 1
-        starts = np.repeat(position - far - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        h = mix(seeds[starts] + STEPS[11])
-        for k in (SEED, 2 * SEED, LENGTH - SEED):
-            h = mix(h * STEPS[12] + seeds[starts + k])
-        columns[0] += h.view(np.int64).tolist()
-        columns[1] += [doc_id] * len(starts)
-        columns[2] += starts.tolist()
-
-    return places_in_texts(rest, docs, step, "h long, doc_id long, start long")
+    return joined.mapInArrow(run, "a long, doc_id long, at long, l binary, r binary")
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """later_starts() of each run of equal a; rows (a, doc_id, at, l, r) come sorted by a."""
+    """later_starts() of each run of equal keys; rows (key, doc_id, at, l, r) come sorted by key."""
     group: list[tuple] = []
     now = None
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*rows, strict=True) if rows else [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["doc_id", "first", "last"])
+        columns = zip(*rows, strict=True) if rows else [()] * len(LOST)
+        return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=LOST)
 
     for batch in batches:
         rows: list[tuple] = []
@@ -297,44 +278,62 @@ def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield table(later_starts(group) if len(group) > 1 else [])
 
 
-def release(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of plans that are no longer referred to."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-
-
-def lost_starts(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """Runs of starts (doc_id, first, last) of strings that also start earlier."""
-    places = occurrences(docs)
-    repeated = common.stored(places.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "repeated")
-    release(docs)
+def distances(at: str = "at") -> tuple:
+    """Columns: an anchor's position, and the farthest and nearest distance of a start before it."""
+    return F.shiftright(at, 14), F.shiftright(at, 7).bitwiseAND(F.lit(127)), F.col(at).bitwiseAND(F.lit(127))
+
+
+def later_rows(rows: DataFrame, least, most) -> DataFrame:
+    """What rows (doc_id, at, first) that aren't the first lose: their strings at distances from least to most."""
+    position = distances()[0]
+    later = rows.filter(F.struct("doc_id", "at") > F.col("first"))
+    return later.select("doc_id", (position - most).alias("first"), (position - least).alias("last"), F.col("first.doc_id").alias("of_doc"), (F.shiftright("first.at", 14) - most).alias("of_first"))
+
+
+def dealt_out(rows: DataFrame, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Contexts (a, doc_id, at, l, r) by ranges of starts: what the later of equal ones lose, and groups (key, doc_id, at, l, r) of up to most that differ."""
+    _, far, near = distances()
+    lost, groups = [], []
+    now = rows.select("a", F.lit(0).alias("lo"), F.lit(LENGTH - SEED).alias("hi"), "doc_id", "at", "l", "r")
+    own = ["a", "lo", "hi", "l", "r"]
+    while True:
+        middle = F.expr("(lo + hi) div 2").cast("int")
+        half = F.explode(F.array(F.struct(F.col("lo").alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi").alias("hi"))))
+        cut = now.withColumn("half", half).select("a", "half.lo", "half.hi", "doc_id", "at", F.expr("substring(l, 1, half.hi)").alias("l"), F.expr(f"substring(r, 1, {LENGTH} - half.lo)").alias("r"))
+        cut = common.stored(cut.filter((far >= F.col("lo")) & (near <= F.col("hi"))), "ranges")
+        classes = common.stored(cut.groupBy(*own).agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")), "classes")
+        again = cut.join(classes.filter("n > 1").select(*own, "first"), own)
+        lost.append(common.stored(later_rows(again, F.greatest(near, F.col("lo")), F.least(far, F.col("hi"))), "again"))
+        key = F.xxhash64("a", "lo", "hi", F.expr("substring(l, 1, lo)"), F.expr(f"substring(r, 1, {LENGTH} - hi)"))
+        left = classes.filter("lo < hi").select(key.alias("key"), *own, "first.doc_id", "first.at")
+        sizes = left.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+        left = common.stored(left.join(sizes, "key"), "left")
+        groups.append(left.filter(F.col("m") <= most).select("key", "doc_id", "at", "l", "r"))
+        now = left.filter(F.col("m") > most).drop("key", "m")
+        if not now.take(1):
+            return lost, groups
+
+
+def lost_starts(docs: DataFrame, most: int = GROUP) -> DataFrame:
+    """Runs of starts (doc_id, first, last) of strings that also start earlier: the first at of_first in of_doc, and so on.
+
+    docs: (doc_id, text), one row a document. A string's occurrences are those that name the same earliest one, and that.
+    """
+    _, far, near = distances()
+    repeated = common.stored(occurrences(docs).groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "repeated")
     found = common.stored(occurrences(docs).join(repeated, "a"), "found")
-    release(docs)
-    firsts = common.stored(found.groupBy("c").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.min("a").alias("a"), F.count("*").alias("n")), "firsts")
-    copies = firsts.filter("n > 1").select("c", "first")
-    later = found.join(copies, "c").filter(F.struct("doc_id", "at") > F.col("first"))
-    position = F.shiftright("at", 14)
-    whole = later.select("doc_id", (position - F.shiftright("at", 7).bitwiseAND(F.lit(127))).alias("first"), (position - F.col("at").bitwiseAND(F.lit(127))).alias("last"))
+    firsts = common.stored(found.groupBy("a", "c").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")), "firsts")
+    whole = later_rows(found.join(firsts.filter("n > 1").select("a", "c", "first"), ["a", "c"]), near, far)
     several = common.stored(firsts.groupBy("a").agg(F.count("*").alias("m")).filter("m > 1"), "several")
-    rest = firsts.join(several, "a").select("a", "m", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at"))
-    rest = common.stored(rest, "rest")
-    release(docs)
-    used = [repeated, found, firsts, several, rest]
-    cold = contexts(rest.filter(F.col("m") <= hot), docs)
+    rest = common.stored(firsts.join(several, "a").select("a", "m", "first.doc_id", "first.at"), "rest")
+    few, many = rest.filter(F.col("m") <= most), rest.filter(F.col("m") > most)
+    lost, groups = [whole], [contexts(few, docs).withColumnRenamed("a", "key")]
+    if many.take(1):
+        for into, more in zip((lost, groups), dealt_out(contexts(many, docs), most), strict=True):
+            into += more
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    trees = cold.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(sorted_groups, "doc_id long, first long, last long")
-    out = whole.unionByName(trees)
-    warm = rest.filter(F.col("m") > hot)
-    if warm.take(1):
-        strings = common.stored(string_hashes(warm, docs), "strings")
-        known = common.stored(strings.groupBy("h").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first"), "known")
-        used += [strings, known]
-        again = strings.join(known, "h").filter(F.struct("doc_id", "start") > F.col("first"))
-        out = out.unionByName(again.select("doc_id", F.col("start").alias("first"), F.col("start").alias("last")))
-    lost = common.stored(out, "lost")
-    for table in used:
-        common.drop_stored(table)
-    return lost
+    trees = reduce(DataFrame.unionByName, groups).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(sorted_groups, ", ".join(f"{c} long" for c in LOST))
+    return common.stored(reduce(DataFrame.unionByName, [*lost, trees]), "lost")
 
 
 def merged(first: list[int], last: list[int], n: int) -> list[tuple[int, int]]:
@@ -354,16 +353,18 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(ends, [*(a for a, _ in spans), len(raw)], strict=True))
 
 
-def map_kept(docs: DataFrame, columns: list[str], row, schema: StructType, hot: int = HOT) -> DataFrame:
+def map_kept(docs: DataFrame, columns: list[str], row, schema: StructType, most: int = GROUP) -> DataFrame:
     """The rows that row(values of the columns, bytes, spans lost) gives for each document, if any."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    lost = lost_starts(docs, hot)
-    runs = common.stored(lost.groupBy("doc_id").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last")), "runs")
-    release(docs)
+    with common.temporaries(docs.sparkSession):
+        single, differ = common.one_text_each(docs)
+        lost = lost_starts(single, most)
+        runs = common.stored(lost.groupBy("doc_id").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last")), "runs", keep=True)
     # Each row goes as a struct, so that its columns can't clash with others.
     whole = docs.select(F.struct(*columns).alias("row"))
     joined = whole.join(runs.hint("merge"), F.col("row.doc_id") == F.col("doc_id"), "left").select("row", "first", "last")
+    joined = common.where_counted(joined, differ, ["first", "last"])
     out = to_arrow_schema(schema)
     text_at = columns.index("text")
 
@@ -384,16 +385,16 @@ def map_kept(docs: DataFrame, columns: list[str], row, schema: StructType, hot:
     return joined.mapInArrow(run, schema)
 
 
-def removed_bytes(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def removed_bytes(docs: DataFrame, most: int = GROUP) -> DataFrame:
     """For each document how many bytes it loses, in how many runs, and a digest of what is left."""
 
     def row(values, raw, spans):
         return values[0], len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(without(raw, spans)).hexdigest()
 
-    return map_kept(common.id_and_text(docs), ["doc_id", "text"], row, StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), hot)
+    return map_kept(common.id_and_text(docs), ["doc_id", "text"], row, StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), most)
 
 
-def delete_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def delete_repeats(docs: DataFrame, most: int = GROUP) -> DataFrame:
     """docs with the text that is left; characters that were cut apart go too. Texts left without a word go with their rows."""
     columns = docs.columns
     text_at = columns.index("text")
@@ -406,7 +407,7 @@ def delete_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
             values[text_at] = kept.decode("utf-8", errors="ignore")
         return tuple(values)
 
-    return map_kept(docs, columns, row, docs.schema, hot)
+    return map_kept(docs, columns, row, docs.schema, most)
 
 
 def op8_substring_dedup(spark, sf_dir) -> DataFrame:

@@ -112,11 +112,28 @@ def test_minhash_in_small_blocks(spark):
     check_components(minhash.near_duplicates(frame), {k: t or "" for k, t in enumerate(texts)})
 
 
+def test_many_unlinked_classes_of_a_bucket(spark):
+    """Documents that share a passage meet in buckets but not by their rare shingles; the few that are alike still do."""
+    r = random.Random(12)
+    words = [f"w{k}" for k in range(4000)]
+    passage = [r.choice(words) for _ in range(60)]
+    texts = [" ".join(passage + [r.choice(words) for _ in range(45)]) for _ in range(400)]
+    texts += [" ".join([*t.split()[:-3], r.choice(words)]) for t in texts[:20]]
+    frame = table(spark, texts)
+    check_components(minhash.near_duplicates(frame, block=16), {k: t for k, t in enumerate(texts)})
+    sets = common.stored(minhash.sets_of(frame.select(F.col("doc_id").alias("_id"), F.lit(0).cast("long").alias("b")), common.id_and_text(frame), 5), "sets")
+    sizes = []
+    for n in (200, 400):
+        members = sets.filter(F.col("a") < n).select(F.col("a").alias("rep"), F.col("a").alias("comp"))
+        sizes.append(minhash.in_mixed_buckets(minhash.by_rare_shingles(members, sets, 75), 16).count())
+    assert sizes[1] <= 2.5 * max(sizes[0], 20)
+
+
 def test_minhash_odd_rows(spark, empty):
     assert minhash.near_duplicates(empty).collect() == []
-    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "alone in the world"), (5, None)]
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "b c d e f g h"), (None, "a b c d e f"), (None, "alone in the world"), (5, None), (6, "b c d e f g h"), (6, None)]
     got = Counter(tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == Counter({(1, 2, 1, True): 2, (None, 2, 1, False): 1, (None, 1, None, True): 1, (5, 0, 5, True): 1})
+    assert got == Counter({(1, 2, 1, True): 1, (None, 2, 1, False): 1, (None, 1, None, True): 1, (5, 0, 5, True): 1, (6, 3, 6, True): 1})
 
 
 def test_sketch_estimates_similarity():
@@ -273,24 +290,67 @@ def test_automaton_on_random_vocabularies():
 # ---------------------------------------------------------------- 6
 
 
-def test_network_gradients():
-    net = langid.Network.fresh(["a", "b", "c"], 4, 1)
+def plain_probabilities(net, raw):
+    """Of each language at each byte, from the equations of the network, position by position."""
+    w, n = net.weights, len(net.weights["umf"])
+    squash = lambda x: 1 / (1 + np.exp(-x))
+    states = {}
+    for d in "fb":
+        h = np.zeros(n)
+        for t in range(len(raw)) if d == "f" else reversed(range(len(raw))):
+            z = squash(w["z" + d][raw[t]] + h @ w["uz" + d])
+            r = squash(w["r" + d][raw[t]] + h @ w["ur" + d])
+            m = np.tanh(w["m" + d][raw[t]] + r * (h @ w["um" + d] + w["c" + d]))
+            h = (1 - z) * m + z * h
+            states[d, t] = h
+    out = []
+    for t in range(len(raw)):
+        e = np.exp(np.concatenate([states["f", t], states["b", t]]) @ w["o"] + w["b"])
+        out.append(e / e.sum())
+    return np.array(out)
+
+
+def small_network(seed=1):
+    net = langid.Network.fresh(["a", "b", "c"], 4, seed)
     net.weights = {k: v.astype("f8") for k, v in net.weights.items()}
-    (text, there), target = langid.padded([b"ab", b"hello", b"q"]), np.array([0, 2, 1])
+    return net
 
-    def loss():
-        p = net.probabilities(text, there)
-        return -sum(np.log(p[t, i, target[i]]) for t in range(len(text)) for i in range(3) if there[t, i]) / there.sum()
 
-    grads = net.gradients(text, there, target)
-    for k, at in (("xf", (108, 1)), ("xb", (108, 9)), ("hf", (1, 2)), ("hb", (2, 5)), ("cf", (1,)), ("cb", (2,)), ("o", (3, 1)), ("b", (0,))):
+def test_network_gradients():
+    net = small_network()
+    text, target = np.frombuffer(b"hello ab, q all ", dtype=np.uint8).reshape(4, 4).T, np.array([0, 2, 1, 1])
+    loss = lambda: -np.mean([np.log(net.probabilities(text)[t, i, target[i]]) for t in range(4) for i in range(4)])
+    grads = net.gradients(text, target)
+    assert set(grads) == set(net.weights)
+    for k, g in grads.items():
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
         w = net.weights[k]
         w[at] += 1e-5
         up = loss()
         w[at] -= 2e-5
         down = loss()
         w[at] += 1e-5
-        assert abs((up - down) / 2e-5 - grads[k][at]) < 1e-4, k
+        assert abs((up - down) / 2e-5 - g[at]) < 1e-5, k
+
+
+def test_network_reads_across_words_and_windows():
+    net, r = small_network(3), random.Random(6)
+    texts = ["", "é", "a short one", "".join(r.choice("abc dé") for _ in range(700)), "x" * 500, "日本語のテキスト" * 40]
+    langs, scores = langid.read(net, pa.array([*texts, None]))
+    for text, lang, score in zip(texts, langs, scores, strict=False):
+        raw = text.encode()
+        total = np.zeros(3)
+        for first in range(0, len(raw), langid.CORE):
+            edge = b" " * langid.RUN_IN
+            around = (edge + raw.ljust(-(-len(raw) // langid.CORE) * langid.CORE) + edge)[first : first + langid.CORE + 2 * langid.RUN_IN]
+            p = plain_probabilities(net, around)[langid.RUN_IN :]
+            total += p[: min(langid.CORE, len(raw) - first)].sum(axis=0)
+        if text:
+            assert lang == net.langs[int(total.argmax())]
+            assert abs(score - total.max() / len(raw)) < 1e-6
+    assert (langs[0], langs[-1], scores[0], scores[-1]) == ("und", "und", 0.0, 0.0)
+    whole = plain_probabilities(net, b" " * 12 + texts[2].encode() + b" " * (langid.CORE - len(texts[2])) + b" " * 12)
+    assert np.abs(whole[12 : 12 + len(texts[2])].mean(axis=0).max() - scores[2]) < 1e-6
 
 
 def test_language_of_held_out_documents(spark, docs, small, odd, empty):
@@ -393,7 +453,7 @@ def test_suffixes_are_ranked_in_order(spark):
         for x in rows:
             for y in rows:
                 assert (rows[x] < rows[y]) == (prefix[x] < prefix[y])
-    runs = {(r.doc_id, r.i): (r.n, r.fd, r.fi) for r in lines.repeated_runs(single, 1).collect()}
+    runs = {(r.doc_id, r.i): (r.n, r.fd, r.fi) for r in lines.repeated_runs(common.stored(lines.sequences(single), "lines"), 1).collect()}
     split = {d: t.split("\n") for d, t in texts.items()}
     for d, own in split.items():
         for i in range(len(own)):
@@ -424,12 +484,35 @@ def test_passages_equal_brute_force(spark, docs, odd, empty):
     bases = ["".join(r.choice("abcdé ") for _ in range(400)) for _ in range(4)]
     cut = lambda b: b[(a := r.randint(0, 300)) : a + r.randint(20, 300)]
     mixed = table(spark, [*ODD_TEXTS, *("".join(cut(r.choice(bases)) if r.random() < 0.7 else "".join(r.choice("abc ") for _ in range(r.randint(1, 80))) for _ in range(r.randint(1, 6))) for _ in range(90))])
-    for frame, hot in ((docs, substrings.HOT), (mixed, substrings.HOT), (mixed, 2), (mixed, 1000)):
-        got = {r.doc_id: tuple(r)[1:] for r in substrings.removed_bytes(frame, hot).collect()}
+    for frame, most in ((docs, substrings.GROUP), (mixed, substrings.GROUP), (mixed, 2), (mixed, 1000)):
+        got = {r.doc_id: tuple(r)[1:] for r in substrings.removed_bytes(frame, most).collect()}
         assert got == plain_bytes(texts_of(frame))
     assert substrings.removed_bytes(empty).collect() == []
 
 
+def test_an_anchor_with_very_many_contexts(spark):
+    r = random.Random(14)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = word(190)
+    rows = [(k, word(r.randint(0, 90)) + passage[r.choice([0, 0, 0, 20, 45]) : r.choice([190, 190, 140, 120])] + word(r.randint(0, 90))) for k in range(2000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: tuple(x)[1:] for x in substrings.removed_bytes(frame).collect()} == plain_bytes(dict(rows))
+    texts = {d: t.encode() for d, t in rows}
+    lost = substrings.lost_starts(frame).collect()
+    assert len({x.doc_id for x in lost}) > 1500
+    for x in lost:
+        for k in range(x.last - x.first + 1):
+            assert (x.of_doc, x.of_first + k) < (x.doc_id, x.first + k)
+            assert texts[x.doc_id][x.first + k :][:100] == texts[x.of_doc][x.of_first + k :][:100]
+
+
+def test_passages_of_odd_rows(spark):
+    passage = "".join(random.Random(3).choice("abcdefgh ") for _ in range(300))
+    rows = [(1, "own " + passage), (1, "own " + passage), (2, "x"), (2, passage), (None, passage), (3, None), (3, passage), (4, None)]
+    got = Counter(tuple(x)[:4] for x in substrings.removed_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(1, 304, 0, 0): 2, (2, 1, 0, 0): 1, (2, 300, 300, 1): 1, (None, 300, 0, 0): 1, (3, 0, 0, 0): 1, (3, 300, 300, 1): 1, (4, 0, 0, 0): 1})
+
+
 def test_short_texts_after_a_long_one():
     r = random.Random(9)
     texts = ["".join(r.choice("abc ") for _ in range(4090)), *("short" * 15 for _ in range(80))]
