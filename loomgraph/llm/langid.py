@@ -35,9 +35,9 @@ LANGUAGES, DOCS_PER_LANGUAGE, WINDOWS, TRAINED = 200, 200, 4000, 48
 CORE, RUN_IN = 120, 12
 #: Windows that are read at once.
 AT_ONCE = 1024
-HIDDEN = 12
-STEPS = 300
-BATCH = 256
+HIDDEN = 8
+STEPS = 220
+BATCH = 192
 UNKNOWN = "und"
 #: Bytes of text that are cut into windows at once, or one document if it is longer.
 SLICE_BYTES = 1 << 20
