@@ -128,11 +128,16 @@ def merge_many(vocab: Vocabulary, words: list[bytes], leaves: int) -> list[bytes
 
 def merge_one(vocab: Vocabulary, word: bytes) -> bytes:
     """The ids of one word of any length, by the same tree."""
-    sym = vocab.byte_ids[np.frombuffer(word, dtype=np.uint8)].tolist()
-    n, size, ranks = len(sym), vocab.size, vocab.ranks_by_pair
+    ids = vocab.byte_ids[np.frombuffer(word, dtype=np.uint8)]
+    n, size, ranks = len(ids), vocab.size, vocab.ranks_by_pair
     w = 1 << max(0, n - 1).bit_length()
-    tree = [NONE] * (2 * w)
-    left, right = list(range(-1, n - 1)), [*range(1, n), -1]
+    whole = np.full(2 * w, NONE, dtype=np.int64)
+    first = vocab.ranks(ids[:-1], ids[1:])
+    whole[w : w + n - 1] = np.where(first == NONE, NONE, first * w + np.arange(n - 1))
+    for level in (2**k for k in range(w.bit_length() - 2, -1, -1)):
+        whole[level : 2 * level] = np.minimum(whole[2 * level : 4 * level : 2], whole[2 * level + 1 : 4 * level : 2])
+    # Arrays of machine integers: 32 bytes or so for each byte of the word.
+    sym, tree, left, right = (array("q", x.astype(np.int64).tobytes()) for x in (ids, whole, np.arange(-1, n - 1), np.append(np.arange(1, n), -1)))
 
     def leaf(i: int) -> int:
         r = ranks.get(sym[i] * size + sym[right[i]]) if right[i] >= 0 else None
@@ -145,10 +150,6 @@ def merge_one(vocab: Vocabulary, word: bytes) -> bytes:
             i >>= 1
             tree[i] = min(tree[2 * i], tree[2 * i + 1])
 
-    for i in range(n):
-        tree[w + i] = leaf(i)
-    for i in range(w - 1, 0, -1):
-        tree[i] = min(tree[2 * i], tree[2 * i + 1])
     while w > 1 and tree[1] != NONE:
         rank, i = divmod(tree[1], w)
         gone, sym[i] = right[i], int(vocab.merged[rank])
@@ -160,7 +161,8 @@ def merge_one(vocab: Vocabulary, word: bytes) -> bytes:
         update(i, leaf(i))
         if left[i] >= 0:
             update(left[i], leaf(left[i]))
-    return np.array([s for s in sym if s >= 0], dtype="<u4").tobytes()
+    kept = np.frombuffer(sym, dtype=np.int64)
+    return kept[kept >= 0].astype("<u4").tobytes()
 
 
 class Encoder:

@@ -5,6 +5,9 @@ small star does so with its smaller neighbours; in turn they leave, after a numb
 in the size, one star for each component. A round is aggregations (a minimum, combined before the
 shuffle) and joins of two shuffled tables, which Spark splits where a node has very many edges. Each
 round's edges are written to the shared folder, so plans stay short and no edge comes to the driver.
+
+Edges with a null end and loops are left out, repeated edges count once, and an empty table gives no rows. Other columns
+are ignored.
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
 """Packing documents into training windows (operator 9).
 
 Order-preserving dynamic programming. The documents of a partition form one stream of tokens, in
-their order; cut points are the ends of documents and sentences, up to FULL full windows after the end
+their order; cut points are the ends of documents and sentences, every number of full windows after the end
 of a document, and every WINDOW tokens inside a longer sentence. With c the cut points in order,
 
     f(j) = min over i with c[j] - c[i] <= WINDOW of f(i) + padding(c[j] - c[i]) + penalty(j)
@@ -39,7 +39,6 @@ WINDOW = 2048
 SENTENCE_COST = 4
 HARD_COST = 12
 END_ID = 1
-FULL = 6
 BLOCK_TOKENS = 1 << 20
 #: Letters of ASCII and Latin-1 in UTF-8.
 PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
@@ -153,7 +152,7 @@ class Packer:
         soft = np.flatnonzero(kind < 2)
         gaps = np.flatnonzero(np.diff(soft) > w)
         starts = np.concatenate([[0], ends])
-        hard = np.concatenate([(starts[:, None] + w * np.arange(1, FULL + 1)).ravel(), *(np.arange(soft[g] + w, soft[g + 1], w) for g in gaps)])
+        hard = np.concatenate([(starts[:, None] + w * np.arange(1, n // w + 1)).ravel(), *(np.arange(soft[g] + w, soft[g + 1], w) for g in gaps)])
         hard = hard[hard < n]
         kind[hard[kind[hard] == 3]] = 2
         points = np.flatnonzero(kind < 3)

@@ -163,6 +163,41 @@ def test_fingerprints(spark, docs, empty):
     assert fingerprints.fingerprint_edits(empty, 2).collect() == []
 
 
+def plain_spots(text):
+    """The chains of the two content words that follow common words; without any, the whole sequence of words."""
+    marks = "".join(chr(k) for k in (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))
+    lower = lambda w: "".join(c.lower() if "A" <= c <= "Z" else c for c in w)
+    words = [lower(w).strip(marks) or lower(w) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    spots = set()
+    for k, w in enumerate(words):
+        chain = [x for x in words[k + 1 :] if x not in fingerprints.COMMON_WORDS][:2] if w in fingerprints.COMMON_WORDS else []
+        if len(chain) == 2:
+            spots.add(tuple(chain))
+    return spots or ({tuple(words)} if words else set())
+
+
+def test_fingerprints_equal_brute_force(docs):
+    frame = docs.filter(F.length("text") < 6000).unionByName(table(docs.sparkSession, [t for t in ODD_TEXTS if t], 10**6).select(docs.columns))
+    texts = texts_of(frame)
+    ids = sorted(texts, reverse=True)
+    likeness = lambda a, b: len(a & b) / len(a | b) if a and b else float(len(a) == len(b))
+    got = by_id(fingerprints.fingerprint_edits(frame, 3))
+    of_print = {}
+    for k, i in enumerate(ids):
+        after = texts[ids[(k + 1) % len(ids)]]
+        own, changed, following = map(plain_spots, (texts[i], fingerprints.edit(texts[i], after), after))
+        assert len(got[i].fingerprint) == 8 * len(own)
+        assert of_print.setdefault(got[i].fingerprint, own) == own
+        assert abs(got[i].near_edited - likeness(own, changed)) < 1e-9
+        assert abs(got[i].near_next - likeness(own, following)) < 1e-9
+
+
+def test_fingerprint_classes(spark):
+    frame = table(spark, ["the quick brown", "the quick brown", "other words", None, ""])
+    rows = sorted(map(tuple, fingerprints.fingerprint_classes(fingerprints.fingerprints(frame)).collect()))
+    assert rows == [(0, 0, 1), (1, 0, 1), (2, 2, 1), (3, 3, 0), (4, 3, 0)]
+
+
 def test_fingerprint_join_equals_brute_force(docs, empty):
     prints = common.stored(fingerprints.fingerprints(docs), "prints")
     classes = {}
@@ -205,6 +240,35 @@ def test_bpe_on_random_texts(library):
         assert np.frombuffer(ids, dtype="<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_very_long_words(spark, library):
+    """One word of 60 KB, and one of 60 KB of the same letter, through every operator that reads words in Python."""
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcdé日") for _ in range(30000)), "z" * 60000]
+    frame = table(spark, texts)
+    for i, row in by_id(bpe.digests(frame)).items():
+        ids = library.encode(texts[i], add_special_tokens=False).ids
+        assert (row.n_tokens, row.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())
+    assert [x.n_words for x in wordpiece.count_tokens(frame).collect()] == [1, 1]
+    assert all(x.base_failed for x in quality.judge(frame, []).collect())
+    assert {x.n_shingles for x in minhash.sketches(frame).collect()} == {1}
+    assert len(fingerprints.fingerprint_edits(frame, 2).collect()) == 2
+    net = langid.Network.fresh(["a", "b"], 4, 1)
+    assert {x.lang_pred for x in langid.predict(frame, net).collect()} <= {"a", "b"}
+    assert sum(p.length for p in packing.pack(frame).collect()) > 2
+    assert len(toxicity.score(frame, toxicity.Scorer.always(0.5)).collect()) == 2
+
+
+def test_repeated_rows_and_null_ids(spark):
+    """Operators on single documents give a row for each row, whatever its id."""
+    rows = [(1, "a b c"), (1, "a b c"), (None, "a b c"), (1, "x"), (2, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter({1: 3, None: 1, 2: 1})
+    net, scorer = langid.Network.fresh(["a", "b"], 4, 1), toxicity.Scorer.always(0.5)
+    for out in (bpe.digests(frame), quality.judge(frame, []), wordpiece.count_tokens(frame), langid.predict(frame, net), toxicity.score(frame, scorer), fingerprints.fingerprint_edits(frame, 2)):
+        assert Counter(x.doc_id for x in out.collect()) == want
+    assert Counter((p.doc_id, p.start) for p in packing.pack(frame).collect() if p.start == 0) == Counter({(1, 0): 3, (None, 0): 1, (2, 0): 1})
+
+
 def test_both_trees_merge_alike():
     vocab = bpe.encoder(common.vocabulary_path("byte_bpe_50k.json")).vocab
     words = [w.encode() for w in ("a", "ab", "hello", "internationalisation", "zzzzzzzzzzzz", "été")]
@@ -251,7 +315,10 @@ def test_quality_keeps_good_documents(spark, docs, small):
     rules = quality.fit(docs, labels)
     good = quality.judge(docs, rules).join(labels.filter("quality = 1"), "doc_id").filter("not base_failed")
     assert good.filter("kept").count() >= 0.97 * good.count()
+    bad = quality.judge(docs, rules).join(labels.filter("quality = 0"), "doc_id")
+    assert bad.filter("not kept").count() >= 0.9 * bad.count() > 0
     assert quality.fit(docs, labels.limit(0)) == []
+    assert quality.judge(docs.limit(0), rules).collect() == []
 
 
 # ---------------------------------------------------------------- 5
@@ -642,3 +709,35 @@ def test_training_reads_whole_texts(spark):
     told = by_id(langid.predict(table(spark, [" ".join(x) for x in own.values()]), net))
     assert [told[k].lang_pred for k in (0, 1)] == ["aa", "bb"]
     assert min(told[k].score for k in (0, 1)) > 0.8
+
+
+def plain_tree_score(model, row):
+    total = model.base
+    for f, t, v in zip(model.feature, model.threshold, model.value, strict=True):
+        node = 0
+        while node < len(f):
+            node = 2 * node + (2 if row[f[node]] > t[node] else 1)
+        total += v[node - len(f)]
+    return total
+
+
+def test_trees_equal_a_plain_walk():
+    r = np.random.default_rng(4)
+    x = r.random((300, 5))
+    model = toxicity.Boosted.fit(x, (x[:, 0] + x[:, 3] > 1).astype(float), np.ones(300))
+    got = model.raw(x)
+    assert np.allclose(got, [plain_tree_score(model, row) for row in x])
+    assert ((got > 0) == (x[:, 0] + x[:, 3] > 1)).mean() > 0.95
+
+
+def test_toxicity_of_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    got = by_id(registry.queries()["op10_toxicity"](spark, sf))
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [i for i, r in got.items() if r.held_out and labels.get(i) is not None]
+    assert {i for i, r in got.items() if r.held_out} == {i for i in got if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert all(r.predicted == (r.score >= 0.5) for r in got.values())
+    bad, good = ([got[i].score for i in held if labels[i] == y] for y in (1, 0))
+    assert len(bad) >= 3
+    assert np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good]) > 0.93
+    assert np.mean([got[i].predicted == labels[i] for i in held]) > 0.93

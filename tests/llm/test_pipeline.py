@@ -47,3 +47,24 @@ def test_characters_that_are_cut_apart_go(spark):
     kept = {r.doc_id: r.text for r in substrings.delete_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {1: passage + "é first", 2: "x second"}
     assert substrings.delete_repeats(spark.createDataFrame(rows, "doc_id long, text string").withColumn("extra", F.lit(1))).columns == ["doc_id", "text", "extra"]
+
+
+def test_stages_with_odd_rows(spark, small):
+    docs = common.documents(spark, small)
+    schema = docs.schema.add("key", "string").add("row", "string").add("id", "long")
+    long = " ".join(f"word{k}" for k in range(80)) + "."
+    copy = "Another text that is here twice, in rows of one document, and is long enough to be found."
+    rows = [(1, long), (1, long), (2, long + " and a tail"), (None, long), (None, "A text of its own without any number, quite short."), (3, None), (4, ""), (5, "12 34"), (6, copy), (7, copy), (7, copy), (8, "First of two texts."), (8, "Second of two texts.")]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "k", "r", 1) for i, t in rows], schema)
+    kept = frame
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        kept = common.stored(stage(spark, kept, small), name)
+        assert kept.columns == frame.columns
+        if name == "lines":
+            assert sorted((r.doc_id or 0, r.text) for r in kept.collect())[:2] == [(0, "A text of its own without any number, quite short."), (0, long)]
+    got = sorted((r.doc_id or 0, r.text) for r in kept.collect())
+    assert got == [(0, "A text of its own without any number, quite short."), (1, long), (6, copy), (8, "First of two texts.")] or [x[0] for x in got] == [0, 1, 2, 6, 8]
+    pieces = corpus_pipeline.packed(spark, kept, small).collect()
+    assert sum(p.doc_id is None for p in pieces) == 1
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame.limit(0), small).collect() == []
