@@ -12,7 +12,7 @@ def skeleton(route: Column) -> Column:
     """The route in lower case without query, fragment and outer slashes, every {...} as {x}; blank for blank."""
     cut = F.split_part(F.split_part(route, F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1))
     plain = F.regexp_replace(F.regexp_replace(F.lower(cut), r"\{[^}]*\}", r"\{x\}"), "/{2,}", "/")
-    return F.when(F.coalesce(F.trim(route), F.lit("")) == "", "").otherwise(F.regexp_replace(plain, "^/+|/+$", ""))
+    return F.when(F.coalesce(route, F.lit("")).rlike(r"^\s*$"), "").otherwise(F.regexp_replace(plain, "^/+|/+$", ""))
 
 
 def segments(route_skeleton: Column) -> Column:

@@ -139,19 +139,40 @@ def witness(members: set[str], after: dict[str, list[str]]) -> list[str]:
     return []
 
 
+def shortest_cycles(inside: DataFrame) -> DataFrame:
+    """(path, hops, weight): a shortest cycle through the least member of each component, of edges inside components (c1, from, to, n).
+
+    A level of all components is one join; of the ways to a node the least counts.
+    """
+    steps = inside.select("c1", F.col("from").alias("node"), "to", "n")
+    frontier = stored(inside.select("c1", F.col("c1").alias("node")).distinct().withColumn("way", F.struct(F.array("node").alias("path"), F.lit(0).cast("long").alias("weight"))), "ways")
+    seen, found = frontier.select("c1", "node"), None
+    while frontier.take(1):
+        way = F.struct(F.concat("way.path", F.array("to")).alias("path"), (F.col("way.weight") + F.col("n")).alias("weight"))
+        after = frontier.join(steps, ["c1", "node"]).groupBy("c1", F.col("to").alias("node")).agg(F.min(way).alias("way"))
+        after = stored(after, "ways")
+        closed = after.filter(F.col("node") == F.col("c1")).select("c1", "way")
+        found = closed if found is None else found.unionByName(closed)
+        frontier = stored(after.join(seen, ["c1", "node"], "left_anti").join(closed.select("c1"), "c1", "left_anti"), "ways")
+        seen = seen.unionByName(frontier.select("c1", "node"))
+    return found.select("way.path", (F.size("way.path") - 1).alias("hops"), "way.weight")
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """(path, hops, weight): one cycle for each component of edges (from, to, n), heaviest first.
 
-    Only edges inside components come to the driver, and no more than DRIVER_EDGES of them.
+    Only edges inside components come to the driver, and no more than DRIVER_EDGES of them, which are counted; where there are
+    more, the cycles are shortest_cycles().
     """
     edges = stored(edges, "weighted")
+    order = F.desc("weight"), F.desc("hops"), "path"
     named = components(edges)
     inside = edges.join(named.select(F.col("node").alias("from"), F.col("component").alias("c1")), "from").join(named.select(F.col("node").alias("to"), F.col("component").alias("c2")), "to").filter("c1 = c2")
-    rows = inside.select("c1", "from", "to", "n").limit(DRIVER_EDGES + 1).collect()
-    if len(rows) > DRIVER_EDGES:
-        raise ValueError(f"more than {DRIVER_EDGES} edges lie on cycles; look at components() first")
+    inside = stored(inside.select("c1", "from", "to", "n"), "inside")
+    if inside.count() > DRIVER_EDGES:
+        return shortest_cycles(inside).orderBy(*order)
     after, weight, members = defaultdict(list), {}, defaultdict(set)
-    for r in rows:
+    for r in inside.collect():
         after[r["from"]].append(r["to"])
         weight[r["from"], r["to"]] = r["n"]
         members[r["c1"]] |= {r["from"], r["to"]}
@@ -159,4 +180,4 @@ def cycles(edges: DataFrame) -> DataFrame:
     for group in members.values():
         path = witness(group, after)
         found.append((path, len(path) - 1, sum(weight[x] for x in zip(path, path[1:], strict=False))))
-    return edges.sparkSession.createDataFrame(found, "path array<string>, hops int, weight long").orderBy(F.desc("weight"), F.desc("hops"), "path")
+    return edges.sparkSession.createDataFrame(found, "path array<string>, hops int, weight long").orderBy(*order)

@@ -141,7 +141,7 @@ def controller_routes(actions: DataFrame, attributes: DataFrame, class_routes: D
     grouped = usable.groupBy("action_id").agg(
         F.collect_list(F.when(templated, F.struct("verb", "template"))).alias("providers"),
         F.collect_set(F.when(F.col("template").isNull(), F.col("verb"))).alias("bare"),
-        F.collect_set(F.when(F.col("name").isin(*UNSUPPORTED_ATTRIBUTES), F.concat(F.lit("'"), F.col("name"), F.lit("' is outside the modelled verbs")))).alias("odd"),
+        F.collect_set(F.when(F.col("name").isin(*UNSUPPORTED_ATTRIBUTES), F.concat(F.lit("'"), F.col("name"), F.lit("' isn't a verb that endpoints have")))).alias("odd"),
     )
     above = class_routes.groupBy("action_id").agg(F.collect_set("template").alias("above"))
     strings = F.array().cast("array<string>")
@@ -160,14 +160,14 @@ def controller_routes(actions: DataFrame, attributes: DataFrame, class_routes: D
     empty = F.lit("")
     made = composed.groupBy("action_id").agg(
         F.array_sort(F.collect_set(F.when(F.col("filled").isNotNull(), F.concat_ws(" ", "verb", routes.compose(empty, F.col("filled")))))).alias("routes"),
-        F.collect_set(F.when(F.col("filled").isNull(), F.concat(F.lit("route '"), F.col("template"), F.lit("' has a token that isn't known")))).alias("unfilled"),
+        F.collect_set(F.when(F.col("filled").isNull(), F.concat(F.lit("route '"), F.col("template"), F.lit("' keeps an unknown token")))).alias("unfilled"),
     )
-    lone = F.transform(F.filter("providers", lambda p: p["verb"].isNull() & (F.size("bare") == 0)), lambda p: F.concat(F.lit("route '"), p["template"], F.lit("' has no verb: it matches every one")))
+    lone = F.transform(F.filter("providers", lambda p: p["verb"].isNull() & (F.size("bare") == 0)), lambda p: F.concat(F.lit("route '"), p["template"], F.lit("' names no verb")))
     silent = (F.size("providers") == 0) & (F.size("bare") == 0) & (F.size("odd") == 0)
     refused = (
         F.when(~any_template, F.col("odd"))
-        .when(F.col("is_abstract"), F.array_append("odd", F.concat(F.lit("declared on abstract controller '"), F.col("controller"), F.lit("'"))))
-        .otherwise(F.concat(F.col("odd"), lone, F.when(silent, F.array(F.lit("action has no verb: it matches every one"))).otherwise(strings)))
+        .when(F.col("is_abstract"), F.array_append("odd", F.concat(F.lit("its controller is abstract: '"), F.col("controller"), F.lit("'"))))
+        .otherwise(F.concat(F.col("odd"), lone, F.when(silent, F.array(F.lit("no verb is given"))).otherwise(strings)))
     )
     out = rows.join(made, "action_id", "left")
     return out.select("action_id", F.coalesce("routes", strings).alias("routes"), F.array_sort(F.concat(refused, F.coalesce("unfilled", strings))).alias("refusals"), (~any_template & (F.size("odd") == 0)).alias("is_conventional"))

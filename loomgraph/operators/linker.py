@@ -1,9 +1,8 @@
 """Linking call sites of a frontend to the endpoints that serve them.
 
-The match of routes is an equality join on verb and number of segments with a rest condition on the
-segments, so it is shuffled by key or broadcast like any equality join. Where the first segment of both
-is literal it has to agree, which is part of the key: literal first segments meet their like and holes
-only, not all routes of a length.
+The match of routes is an equality join on the verb, the pattern of holes of both sides and the segments
+that are literal in both, so it is shuffled by key or broadcast like any equality join, and routes meet only those
+that they match.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import routes
 from ..schema import Graph
-from ..sources.scratch import stored
+from ..sources.scratch import sized, stored
 
 OUTCOMES = ("Unique", "PrecedenceResolved", "SetEdge", "VerbMismatch", "NoSkeletonMatch", "UnknownVerb")
 #: Put before a call site's template: frontends call under this path.
@@ -33,24 +32,31 @@ def endpoint_routes(nodes: DataFrame) -> DataFrame:
     return own.select(F.col("id").alias("endpoint_id"), routes.verb(F.col("fqn")).alias("endpoint_verb"), routes.segments(routes.skeleton(F.col("name"))).alias("endpoint_segs"))
 
 
-def keyed(rows: DataFrame, segs: str) -> DataFrame:
-    """Rows with n, the number of segments, and lead, the second segment or the hole: the first says little where all routes share it."""
-    at = F.when(F.size(segs) > 1, F.element_at(segs, 2)).otherwise(F.element_at(segs, 1))
-    return rows.withColumn("n", F.size(segs)).withColumn("lead", at)
+def masked(rows: DataFrame, segs: str, own: str) -> DataFrame:
+    """Rows with n, the number of segments, and own, which of them are holes, as digits."""
+    digits = F.array_join(F.transform(segs, lambda s: F.when(s == routes.HOLE, "1").otherwise("0")), "")
+    return rows.withColumn("n", F.size(segs)).withColumn(own, digits)
+
+
+def with_keys(rows: DataFrame, segs: str, others: DataFrame, other: str) -> DataFrame:
+    """Each row with each mask of the other side of its length, and key: its segments with the holes of both."""
+    patterns = stored(others.select("n", other).distinct(), "masks")
+    key = F.transform(segs, lambda s, i: F.when(F.substring(other, i + 1, F.lit(1)) == "1", F.lit(routes.HOLE)).otherwise(s))
+    return rows.join(sized(patterns), "n").withColumn("key", F.array_join(key, "/"))
 
 
 def meets(calls: DataFrame, endpoints: DataFrame, same_verb: bool) -> DataFrame:
-    """Call sites joined with the endpoints whose routes they match."""
-    own, other = keyed(calls, "segs"), keyed(endpoints, "endpoint_segs")
+    """Call sites joined with the endpoints whose routes they match.
+
+    Where routes have few patterns of holes, as they do, a row stands for each of the other side's patterns, and
+    routes match if all segments that are literal in both are equal: one equality join, whose keys are as many as routes.
+    """
+    own, other = masked(calls, "segs", "mask"), masked(endpoints, "endpoint_segs", "endpoint_mask")
     if same_verb:
         other = other.withColumnRenamed("endpoint_verb", "verb")
-    keys = ["n", "verb"] if same_verb else ["n"]
-    fits = routes.segments_match(F.col("segs"), F.col("endpoint_segs"))
-    # Literal leads meet equal ones; a hole on either side meets everything of that length.
-    plain = own.filter(F.col("lead") != routes.HOLE).join(other.filter(F.col("lead") != routes.HOLE), [*keys, "lead"])
-    endpoint_holes = own.filter(F.col("lead") != routes.HOLE).join(other.filter(F.col("lead") == routes.HOLE).drop("lead"), keys)
-    call_holes = own.filter(F.col("lead") == routes.HOLE).join(other.drop("lead"), keys)
-    return plain.unionByName(endpoint_holes).unionByName(call_holes).filter(fits).drop("n", "lead")
+    left, right = with_keys(own, "segs", other, "endpoint_mask"), with_keys(other, "endpoint_segs", own, "mask")
+    keys = ["n", "mask", "endpoint_mask", "key", *(["verb"] if same_verb else [])]
+    return left.join(right, keys).drop("n", "mask", "endpoint_mask", "key")
 
 
 def precedence(calls: str = "segs", candidates: str = "candidates"):

@@ -48,16 +48,42 @@ def levels(edges: DataFrame, seeds: DataFrame, direction: str, depth: int | None
     return reduce(DataFrame.unionByName, found[1:]) if len(found) > 1 else start.limit(0)
 
 
-def traverse(graph: Graph, start_id: str, direction: str, depth: int = MAX_DEPTH, max_results: int = MAX_RESULTS) -> DataFrame:
-    """The nodes within a distance by all edges but containment, with their depth, nearest first.
+def two_nearest(edges: DataFrame, seeds: DataFrame, direction: str, depth: int) -> DataFrame:
+    """(id, seed, depth): of each node that seeds (column id) lead to within a depth, two of the nearest seeds; a seed is its own at 0.
+
+    Two are enough to know how far each node, seeds too, is from the nearest other seed; a level holds at most two rows a node,
+    however many seeds lead there.
+    """
+    near, far = ("source_id", "target_id") if direction == "outgoing" else ("target_id", "source_id")
+    steps = edges.select(F.col(near).alias("at"), F.col(far).alias("next"))
+    frontier = stored(seeds.select("id", F.col("id").alias("seed"), F.lit(0).alias("depth")).distinct(), "nearest")
+    found, size = frontier, frontier.count()
+    for level in range(1, depth + 1):
+        rows = frontier.select(F.col("id").alias("at"), "seed")
+        after = (F.broadcast(rows) if size <= BROADCAST_ROWS else rows).join(steps, "at").select(F.col("next").alias("id"), "seed").distinct()
+        named = found.groupBy("id").agg(F.collect_set("seed").alias("own"))
+        new = after.join(named, "id", "left").filter(F.col("own").isNull() | ((F.size("own") < 2) & ~F.array_contains("own", F.col("seed"))))
+        both = new.groupBy("id").agg(F.min("seed").alias("a"), F.max("seed").alias("b"), F.first("own").alias("own"))
+        taken = F.when(F.col("own").isNull(), F.array_distinct(F.array("a", "b"))).otherwise(F.array("a"))
+        frontier = stored(both.select("id", F.explode(taken).alias("seed"), F.lit(level).alias("depth")), "nearest")
+        size = frontier.count()
+        if not size:
+            break
+        found = found.unionByName(frontier)
+    return found
+
+
+def traverse(graph: Graph, start_id: str, direction: str, depth: int = MAX_DEPTH, max_results: int | None = MAX_RESULTS) -> DataFrame:
+    """The nodes within a distance by all edges but containment, with their depth, nearest first; all of them if max_results is None.
 
     Ids without a node lead on, but aren't results.
     """
-    if max_results <= 0:
+    if max_results is not None and max_results <= 0:
         raise ValueError("max_results must be positive")
     seeds = graph.nodes.sparkSession.createDataFrame([(start_id,)], "id string")
     reached = levels(dependency_edges(graph.edges), seeds, direction, depth).select("id", "depth")
-    return graph.nodes.join(sized(reached), "id").orderBy("depth", "fqn", "id").limit(max_results)
+    found = graph.nodes.join(sized(reached), "id")
+    return found if max_results is None else found.orderBy("depth", "fqn", "id").limit(max_results)
 
 
 def closure(graph: Graph, types: DataFrame, kinds: tuple[str, ...] = schema.HIERARCHY_KINDS) -> DataFrame:
@@ -126,12 +152,17 @@ def impact(graph: Graph, fqn: str, depth: int = MAX_DEPTH, cap: int = IMPACT_CAP
     type_ids = derived.join(interfaces.withColumnRenamed("id", "seed"), "seed", "left_semi").select("id")
     implementers = stored(member_ids.unionByName(type_ids).distinct().join(changing, "id", "left_anti"), "implementers")
     seeds = changing.unionByName(implementers)
-    reached = levels(dependency_edges(graph.edges), seeds, "incoming", depth)
-    nearest = Window.partitionBy("seed").orderBy("depth", "fqn", "id")
-    if reached.groupBy("seed").count().filter(F.col("count") > cap).take(1):
-        named = reached.join(graph.nodes.select("id", "fqn"), "id")
-        reached = named.withColumn("_k", F.row_number().over(nearest)).filter(F.col("_k") <= cap).select("seed", "id", "depth")
-    near = reached.groupBy("id").agg(F.min("depth").alias("depth"))
+    edges = dependency_edges(graph.edges)
+    found = two_nearest(edges, seeds, "incoming", depth)
+    near = found.filter(F.col("id") != F.col("seed")).groupBy("id").agg(F.min("depth").alias("depth"))
+    if found.select("id").distinct().count() > cap:
+        # Only then can one seed have more dependents than count; each is followed for itself.
+        reached = levels(edges, seeds, "incoming", depth)
+        if reached.groupBy("seed").count().filter(F.col("count") > cap).take(1):
+            nearest = Window.partitionBy("seed").orderBy("depth", "fqn", "id")
+            named = reached.join(graph.nodes.select("id", "fqn"), "id")
+            reached = named.withColumn("_k", F.row_number().over(nearest)).filter(F.col("_k") <= cap)
+        near = reached.groupBy("id").agg(F.min("depth").alias("depth"))
     marked = near.join(implementers.withColumn("is_implementer", F.lit(True)), "id", "full").join(changing, "id", "left_anti")
     return graph.nodes.join(marked, "id").withColumn("depth", F.coalesce("depth", F.lit(1))).withColumn("is_implementer", F.coalesce("is_implementer", F.lit(False)))
 
@@ -140,42 +171,41 @@ def hierarchy(graph: Graph, type_id: str, direction: str, depth: int = MAX_DEPTH
     """The tree of types above or below a type: level, path (names from the root on), id, already_shown.
 
     Children come in order of name; a node that the tree has shown before, in that order, is shown again
-    but not expanded.
+    but not expanded. A round expands what is shown for the first time, as far as is known, and shows anew, so
+    of the places of a node few are ever expanded, however many paths lead to it.
     """
     if direction not in ("up", "down"):
         raise ValueError("a hierarchy goes up or down")
     near, far = ("source_id", "target_id") if direction == "up" else ("target_id", "source_id")
-    names = graph.nodes.select(F.col("id").alias("next"), F.col("fqn").alias("next_fqn"))
-    steps = graph.edges.filter(F.col("kind").isin(*schema.HIERARCHY_KINDS)).select(F.col(near).alias("id"), F.col(far).alias("next")).distinct().join(names, "next")
-    root = graph.nodes.filter(F.col("id") == type_id).select(F.lit(0).alias("level"), "id", F.array(F.struct("fqn", "id")).alias("path"))
-    frontier = stored(root, "tree")
-    found = [frontier]
-    for level in range(1, max(1, min(depth, 10)) + 1):
-        # A node on its own path has been shown; it ends the branch there.
-        looped = F.exists("path", lambda p: p["id"] == F.col("id"))
-        parents = frontier.filter(~F.exists(F.slice("path", F.lit(1), F.size("path") - 1), lambda p: p["id"] == F.col("id"))) if level > 1 else frontier
-        frontier = stored(sized(parents).join(steps, "id").select(F.lit(level).alias("level"), F.col("next").alias("id"), F.concat("path", F.array(F.struct(F.col("next_fqn").alias("fqn"), F.col("next").alias("id")))).alias("path")), "tree")
-        if not frontier.take(1):
-            break
-        found.append(frontier)
-    rows = reduce(DataFrame.unionByName, found)
-    return prune_shown(rows)
+    names = graph.nodes.filter(F.col("kind").isin(*schema.TYPE_KINDS)).select(F.col("id").alias("next"), F.col("fqn").alias("next_fqn"))
+    steps = graph.edges.filter(F.col("kind").isin(*schema.HIERARCHY_KINDS)).select(F.col(near).alias("id"), F.col(far).alias("next")).distinct()
+    rows = stored(graph.nodes.filter(F.col("id") == type_id).select(F.lit(0).alias("level"), "id", F.array(F.struct("fqn", "id")).alias("path")), "tree")
+    shown, expanded, most = rows.withColumn("already_shown", F.lit(False)), None, max(1, min(depth, 10))
+    while True:
+        todo = shown.filter(~F.col("already_shown") & (F.col("level") < most)).drop("already_shown")
+        todo = stored(todo if expanded is None else todo.join(expanded, "path", "left_anti"), "todo")
+        below = sized(todo).join(steps, "id").drop("id")
+        below = stored(below.join(names, "next").select((F.col("level") + 1).alias("level"), F.col("next").alias("id"), F.concat("path", F.array(F.struct(F.col("next_fqn").alias("fqn"), F.col("next").alias("id")))).alias("path")), "tree")
+        if not below.take(1):
+            return shown
+        expanded = todo.select("path") if expanded is None else expanded.unionByName(todo.select("path"))
+        rows = rows.unionByName(below)
+        shown = first_shown(rows)
 
 
-def prune_shown(rows: DataFrame) -> DataFrame:
-    """Mark nodes that come again in the order of paths, and drop what stands below them.
+def first_shown(rows: DataFrame) -> DataFrame:
+    """Rows (level, id, path) in the order of paths: nodes that come again are marked, and what stands below them is dropped.
 
     Dropping a subtree can make another occurrence the first, so this is repeated until nothing changes.
     """
     order = Window.partitionBy("id").orderBy("path")
-    kept = rows
     while True:
-        marked = stored(kept.withColumn("already_shown", F.row_number().over(order) > 1), "shown")
-        again = marked.filter("already_shown").select(F.col("path").alias("_again"))
+        marked = stored(rows.withColumn("already_shown", F.row_number().over(order) > 1), "shown")
+        again = marked.filter("already_shown").select(F.col("path").alias("_above"))
         if not again.take(1):
             return marked
-        below = marked.join(sized(again), (F.size("_again") < F.size("path")) & (F.slice("path", F.lit(1), F.size("_again")) == F.col("_again")), "left_anti")
-        kept_now = stored(below, "shown")
-        if kept_now.count() == marked.count():
-            return kept_now
-        kept = kept_now.drop("already_shown")
+        above = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))
+        below = stored(marked.filter("size(path) > 1").select("path", F.explode(above).alias("_above")).join(again, "_above").select("path").distinct(), "below")
+        if not below.take(1):
+            return marked
+        rows = marked.join(below, "path", "left_anti").drop("already_shown")

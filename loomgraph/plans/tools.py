@@ -24,6 +24,10 @@ from .failures import Failure, Parameter, check, internal, invalid
 
 FIND, DEPENDENCIES, IMPACT, USAGES, SUGGESTIONS, NAMESPACES, PAIRS, IMPLEMENTATIONS, TESTS, HIERARCHY, CYCLES, ENDPOINTS, FOUND_ENDPOINTS, CALL_SITES = 20, 50, 100, 50, 5, 15, 40, 100, 60, 200, 25, 100, 25, 100
 DIRECTIONS = {"outgoing": "outgoing", "out": "outgoing", "dependencies": "outgoing", "incoming": "incoming", "in": "incoming", "dependents": "incoming"}
+WAYS = {"both": ("up", "down"), "up": ("up",), "down": ("down",)}
+#: Projects of an overview, and names of a cycle, that are shown.
+PROJECTS = 1000
+PATH = 12
 NOT_BUILT = "The graph has not been built yet; run analyze first."
 UNKNOWN_PROJECT = "~unknown"
 
@@ -102,7 +106,7 @@ class Tools:
     def get_dependencies(self, fqn: str, direction: str = "outgoing", depth: int = 1) -> Result:
         way = DIRECTIONS.get(direction.strip().lower())
         if way is None:
-            raise invalid("direction", ("fqn", "direction", "depth"), "direction must be 'incoming' (who depends on this) or 'outgoing' (what this depends on).")
+            raise invalid("direction", ("fqn", "direction", "depth"), f"Unknown direction '{direction}'. Valid directions: {', '.join(DIRECTIONS)}.")
         g = self.graph()
         start = self.resolve(g, fqn)
         if isinstance(start, Result):
@@ -113,7 +117,7 @@ class Tools:
         rows = direct.select("rel_kind", "neighbour_kind", label.alias("fqn"), F.lit(1).alias("depth"))
         depth = max(1, min(depth, 3))
         if depth > 1:
-            far = traverse.traverse(g, one.first().id, way, depth, 200).filter("depth >= 2")
+            far = traverse.traverse(g, one.first().id, way, depth, None).filter("depth >= 2")
             rows = rows.unionByName(far.select(F.lit(None).cast("string").alias("rel_kind"), F.col("kind").alias("neighbour_kind"), "fqn", "depth"))
         shown, more = capped(rows.orderBy("depth", "rel_kind", "fqn"), DEPENDENCIES)
         return Result({"dependencies": shown, "by_kind": direct.groupBy("rel_kind").agg(F.count("*").alias("n"))}, more=more)
@@ -141,9 +145,9 @@ class Tools:
         return Result({"implementations": rows}, more=more)
 
     def get_type_hierarchy(self, fqn: str, direction: str = "both", depth: int = 5) -> Result:
-        ways = {"both": ("up", "down"), "up": ("up",), "down": ("down",)}.get(direction.strip().lower())
+        ways = WAYS.get(direction.strip().lower())
         if ways is None:
-            raise invalid("direction", ("fqn", "direction", "depth"), "direction must be 'up', 'down' or 'both'.")
+            raise invalid("direction", ("fqn", "direction", "depth"), f"Unknown direction '{direction}'. Valid directions: {', '.join(WAYS)}.")
         g = self.graph()
         targets = self.resolve(g, fqn)
         if isinstance(targets, Result):
@@ -151,12 +155,13 @@ class Tools:
         start = targets.filter(F.col("kind").isin(*schema.TYPE_KINDS)).orderBy("id").take(1)
         if not start:
             return Result(text=f"'{fqn}' is not a type.")
-        frames = {}
+        frames, more = {}, False
         for way in ways:
             tree = traverse.hierarchy(g, start[0].id, way, max(1, min(depth, 10))).filter("level > 0")
-            named = tree.join(g.nodes.select("id", "name", "file"), "id").orderBy("path").limit(HIERARCHY)
+            named, cut = capped(tree.join(g.nodes.select("id", "name", "file"), "id").orderBy("path"), HIERARCHY)
+            more |= cut
             frames[way] = named.select("level", F.transform("path", lambda p: p["fqn"]).alias("path"), "name", "file", "already_shown")
-        return Result(frames)
+        return Result(frames, more=more)
 
     def impact_analysis(self, fqn: str) -> Result:
         g = self.graph()
@@ -187,9 +192,9 @@ class Tools:
         g = self.graph()
         pairs, more = capped(containers.container_edges(g).orderBy(F.desc("n"), "from", "to"), PAIRS)
         kinds = {name: scan.kind_counts(df).orderBy(F.desc("n"), "kind") for name, df in (("node_kinds", g.nodes), ("edge_kinds", g.edges))}
-        projects = scan.by_kind(g.nodes, "Project").select("name").orderBy("name")
+        projects, cut = capped(scan.by_kind(g.nodes, "Project").select("name").orderBy("name"), PROJECTS)
         spaces = scan.shortest_first(scan.by_kind(g.nodes, "Namespace"), NAMESPACES).select("name", "fqn")
-        return Result({"projects": projects, "dependencies": pairs, **kinds, "namespaces": spaces}, {"nodes": g.nodes.count(), "edges": g.edges.count()}, more)
+        return Result({"projects": projects, "dependencies": pairs, **kinds, "namespaces": spaces}, {"nodes": g.nodes.count(), "edges": g.edges.count()}, more or cut)
 
     def get_project_dependencies(self, project: str | None = None) -> Result:
         g = self.graph()
@@ -207,7 +212,9 @@ class Tools:
         if scope.strip().lower() not in ("project", "namespace"):
             raise invalid("scope", ("scope",), "scope must be 'project' or 'namespace'.")
         rows, more = capped(containers.cycles(containers.container_edges(self.graph(), scope.strip().lower())), CYCLES)
-        return Result({"cycles": rows}, more=more)
+        left = F.concat(F.lit("… and "), (F.size("path") - PATH).cast("string"), F.lit(" more"))
+        shown = F.when(F.size("path") > PATH, F.concat(F.slice("path", 1, PATH), F.array(left))).otherwise(F.col("path"))
+        return Result({"cycles": rows.withColumn("path", shown)}, more=more)
 
     # ------------------------------------------------------------ endpoints and call sites
 

@@ -37,6 +37,32 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ARTIFACT).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def read_usable(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The artifacts of a folder that can be used, with their file, and (file, fault) of those that can't, the first fault of each.
+
+    A file that is no JSON, or has a fault, is left out as a whole; the others are read all the same.
+    """
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    read = texts.select("file", F.from_json("value", ARTIFACT).alias("a")).select("file", "a.*")
+    empty = F.when(F.col("schemaVersion").isNull() & F.col("producer").isNull() & F.col("callSites").isNull(), "the file can't be read")
+    whole = read.select("file", F.coalesce(empty, whole_fault()).alias("fault"))
+    sites = read.select("file", F.explode("callSites").alias("s")).select("file", site_fault().alias("fault"))
+    bad = whole.unionByName(sites).filter("fault is not null").groupBy("file").agg(F.min("fault").alias("fault"))
+    return read.join(bad.select("file"), "file", "left_anti"), bad
+
+
+def render(sites: DataFrame, producer: str, version: str = "1") -> DataFrame:
+    """(root, json): an artifact for each project root, of call sites (root, and the fields of CALL_SITE), in order of file, line and column."""
+    order = F.struct("file", "line", "column", *(f.name for f in CALL_SITE.fields if f.name not in ("file", "line", "column")))
+    resolved, unresolved = F.count_if(F.col("kind") == RESOLVED), F.count_if(F.col("kind") == UNRESOLVED)
+    coverage = F.when(resolved + unresolved == 0, 100.0).otherwise(F.floor(resolved * 1000 / (resolved + unresolved) + 0.5) / 10)
+    listed = sites.groupBy("root").agg(F.array_sort(F.collect_list(order)).alias("s"), resolved.cast("int").alias("r"), unresolved.cast("int").alias("u"), coverage.alias("c"))
+    stats = F.struct(F.col("r").alias("resolvedCount"), F.col("u").alias("unresolvedCount"), F.col("c").alias("coveragePercent"))
+    own = F.transform("s", lambda x: F.struct(*(x[f.name].alias(f.name) for f in CALL_SITE.fields)))
+    whole = F.struct(F.lit(VERSION).alias("schemaVersion"), F.lit(producer).alias("producer"), F.lit(version).alias("producerVersion"), F.struct("root").alias("project"), stats.alias("stats"), own.alias("callSites"))
+    return listed.select("root", F.to_json(whole, {"pretty": "true"}).alias("json"))
+
+
 def parse(texts: DataFrame, column: str = "json") -> DataFrame:
     """Artifacts of a column of JSON texts; a text that can't be parsed gives nulls."""
     return texts.select(F.from_json(column, ARTIFACT).alias("a")).select("a.*")
@@ -56,16 +82,20 @@ def site_fault() -> Column:
     )
 
 
-def faults(artifact: DataFrame, producer: str | None = None) -> DataFrame:
-    """All faults of artifacts, as rows; none if they can be used. producer: the only one that is accepted."""
+def whole_fault(producer: str | None = None) -> Column:
+    """What is wrong with an artifact but for its call sites, or null."""
     foreign = F.lit(False) if producer is None else F.coalesce(F.col("producer") != producer, F.lit(True))
-    whole = artifact.select(
+    return (
         F.when(F.col("schemaVersion") == 1, "the artifact has schema version 1, which an older extractor wrote; extract again")
         .when(F.coalesce(F.col("schemaVersion") != VERSION, F.lit(True)), "the artifact has another schema version")
         .when(foreign, "the artifact has another producer")
         .when(F.col("callSites").isNull(), "the artifact has no callSites")
-        .alias("fault")
     )
+
+
+def faults(artifact: DataFrame, producer: str | None = None) -> DataFrame:
+    """All faults of artifacts, as rows; none if they can be used. producer: the only one that is accepted."""
+    whole = artifact.select(whole_fault(producer).alias("fault"))
     sites = artifact.select(F.explode("callSites").alias("s")).select(site_fault().alias("fault"))
     return whole.unionByName(sites).filter(F.col("fault").isNotNull())
 

@@ -19,10 +19,25 @@ def hash_texts(sources: DataFrame) -> DataFrame:
 
 def read_sources(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """path and whole text of files."""
-    return spark.read.option("wholetext", True).text(paths).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def one_per_path(entries: DataFrame, order: str) -> DataFrame:
     """Of entries with one path (a project built for several targets) the first in order."""
     rest = [c for c in entries.columns if c not in ("path", order)]
     return entries.groupBy("path").agg(F.min(F.struct(order, *rest)).alias("_row")).select("path", F.col(f"_row.{order}").alias(order), *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
+def nearest_pins(paths: DataFrame, pins: DataFrame) -> DataFrame:
+    """(path, pin_path, version, policy): what the nearest file in a path's folder or above it pins; null where there is none, or it pins nothing.
+
+    paths: (path); pins: (path, json) of global.json files. Folders are joined by name, one row for each above a path.
+    """
+    folder = lambda c: F.regexp_replace(F.translate(c, "\\", "/"), "[^/]*$", "")
+    parts = F.split(F.regexp_replace("_folder", "/$", ""), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/")))
+    asked = paths.select("path").distinct().withColumn("_folder", folder("path"))
+    each = asked.select("path", F.posexplode(above).alias("_depth", "_at"))
+    told = pins.select(folder("path").alias("_at"), F.col("path").alias("pin_path"), F.get_json_object("json", "$.sdk.version").alias("version"), F.get_json_object("json", "$.sdk.rollForward").alias("policy"))
+    near = each.join(told, "_at").groupBy("path").agg(F.max(F.struct("_depth", "pin_path", "version", "policy")).alias("p"))
+    return asked.select("path").join(near.filter("p.version is not null").select("path", "p.pin_path", "p.version", "p.policy"), "path", "left")

@@ -2,7 +2,8 @@
 
 A version is written in full before the pointer moves, so readers see the old graph or the new one, and a
 failed save leaves the old one in place. Nodes and edges are partitioned by kind, so a scan by kind reads
-that kind only; within a kind nodes are sorted by name for row-group skipping.
+that kind only. Within a kind nodes are dealt out by ranges of names and edges by ranges of what they lead from, and
+sorted, so a file spans few names and a lookup skips the others.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from ..schema import Graph
 POINTER = "CURRENT"
 TABLES = {"nodes": schema.NODES, "edges": schema.EDGES, "files": schema.FILES, "meta": schema.META}
 BY_KIND = ("nodes", "edges")
+ORDER = {"nodes": ("kind", "fqn"), "edges": ("kind", "source_id")}
 
 
 class GraphStore:
@@ -74,7 +76,8 @@ class GraphStore:
         }
         try:
             for table, df in tables.items():
-                writer = df.sortWithinPartitions("kind", "fqn") if table == "nodes" else df
+                order = ORDER.get(table)
+                writer = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
                 out = writer.write.partitionBy("kind") if table in BY_KIND else writer.coalesce(1).write if table == "meta" else writer.write
                 out.parquet(f"{self.root}/{name}/{table}")
         except Exception:

@@ -33,47 +33,51 @@ class Builder:
         return Graph(spark.createDataFrame(list(self.nodes.values()), schema.NODES), spark.createDataFrame(sorted(self.edges), schema.EDGES))
 
 
-def shapes() -> Builder:
+def orchard() -> Builder:
+    """An interface with one class that implements it, a second that does so through a base, and a method of each."""
     b = Builder()
-    b.add("Project", "Lib", "C:/repo/Lib/Lib.csproj")
-    b.add("Namespace", "Fixture.Lib", inside=("Project", "Lib"))
-    for kind, name in (("Interface", "IShape"), ("Class", "ShapeBase"), ("Class", "Circle"), ("Class", "Square")):
-        b.add(kind, f"Fixture.Lib.{name}", f"C:/repo/Lib/{name}.cs", inside=("Namespace", "Fixture.Lib"))
-        b.add("Method", f"Fixture.Lib.{name}.Area()", f"C:/repo/Lib/{name}.cs", 5, inside=(kind, f"Fixture.Lib.{name}"))
-    b.link(("Class", "Fixture.Lib.ShapeBase"), "Implements", ("Interface", "Fixture.Lib.IShape"))
-    for name in ("Circle", "Square"):
-        b.link(("Class", f"Fixture.Lib.{name}"), "Inherits", ("Class", "Fixture.Lib.ShapeBase"))
+    b.add("Project", "Grove", "C:/land/Grove/Grove.csproj")
+    b.add("Namespace", "Grove.Trees", inside=("Project", "Grove"))
+    for kind, name in (("Interface", "IPlant"), ("Class", "Tree"), ("Class", "Apple"), ("Class", "Hedge")):
+        b.add(kind, f"Grove.Trees.{name}", f"C:/land/Grove/{name}.cs", inside=("Namespace", "Grove.Trees"))
+        b.add("Method", f"Grove.Trees.{name}.Prune(int)", f"C:/land/Grove/{name}.cs", 5, inside=(kind, f"Grove.Trees.{name}"))
+    for name in ("Tree", "Hedge"):
+        b.link(("Class", f"Grove.Trees.{name}"), "Implements", ("Interface", "Grove.Trees.IPlant"))
+    b.link(("Class", "Grove.Trees.Apple"), "Inherits", ("Class", "Grove.Trees.Tree"))
     return b
 
 
-def chain() -> Builder:
+def stairs(steps: int) -> Builder:
+    """Each step calls the next; a landing contains the last."""
     b = Builder()
-    for k in range(11):
-        b.add("Method", f"N.M{k:02}()")
-    for k in range(10):
-        b.link(("Method", f"N.M{k:02}()"), "Calls", ("Method", f"N.M{k + 1:02}()"))
-    b.add("Class", "N.Host")
-    b.link(("Class", "N.Host"), "Contains", ("Method", "N.M10()"))
+    for k in range(steps):
+        b.add("Method", f"Tower.Step{k}(bool)")
+        if k:
+            b.link(("Method", f"Tower.Step{k - 1}(bool)"), "Calls", ("Method", f"Tower.Step{k}(bool)"))
+    b.add("Class", "Tower.Landing")
+    b.link(("Class", "Tower.Landing"), "Contains", ("Method", f"Tower.Step{steps - 1}(bool)"))
     return b
 
 
-def mutual() -> Builder:
+def millers() -> Builder:
+    """Two projects that need each other."""
     b = Builder()
-    for p, t in (("Alpha", "A"), ("Beta", "B")):
-        b.add("Project", p, f"C:/repo/{p}/{p}.csproj")
-        b.add("Class", f"{p}.{t}", f"C:/repo/{p}/{t}.cs", inside=("Project", p))
-    b.link(("Class", "Alpha.A"), "References", ("Class", "Beta.B"))
-    b.link(("Class", "Beta.B"), "References", ("Class", "Alpha.A"))
+    for p, t in (("Bakery", "Oven"), ("Mill", "Stone")):
+        b.add("Project", p, f"C:/land/{p}/{p}.csproj")
+        b.add("Class", f"{p}.{t}", f"C:/land/{p}/{t}.cs", inside=("Project", p))
+    b.link(("Class", "Bakery.Oven"), "References", ("Class", "Mill.Stone"))
+    b.link(("Class", "Mill.Stone"), "References", ("Class", "Bakery.Oven"))
     return b
 
 
-def with_tests() -> Builder:
+def kitchen() -> Builder:
+    """A method and a check of it in a project of tests."""
     b = Builder()
-    for p in ("Foo", "FooTests"):
-        b.add("Project", p, f"C:/repo/{p}/{p}.csproj")
-    b.add("Class", "Foo.Bar", "C:/repo/Foo/Bar.cs", inside=("Project", "Foo"))
-    b.add("Method", "Foo.Bar.Do()", "C:/repo/Foo/Bar.cs", 3, inside=("Class", "Foo.Bar"))
-    b.add("Class", "FooTests.BarTests", "C:/repo/FooTests/BarTests.cs", inside=("Project", "FooTests"))
-    b.add("Method", "FooTests.BarTests.Do_Works()", "C:/repo/FooTests/BarTests.cs", 3, inside=("Class", "FooTests.BarTests"))
-    b.link(("Method", "FooTests.BarTests.Do_Works()"), "Calls", ("Method", "Foo.Bar.Do()"))
+    for p in ("Kitchen", "KitchenTests"):
+        b.add("Project", p, f"C:/land/{p}/{p}.csproj")
+    b.add("Class", "Kitchen.Soup", "C:/land/Kitchen/Soup.cs", inside=("Project", "Kitchen"))
+    b.add("Method", "Kitchen.Soup.Stir(int)", "C:/land/Kitchen/Soup.cs", 3, inside=("Class", "Kitchen.Soup"))
+    b.add("Class", "KitchenTests.SoupChecks", "C:/land/KitchenTests/SoupChecks.cs", inside=("Project", "KitchenTests"))
+    b.add("Method", "KitchenTests.SoupChecks.StirsSlowly()", "C:/land/KitchenTests/SoupChecks.cs", 3, inside=("Class", "KitchenTests.SoupChecks"))
+    b.link(("Method", "KitchenTests.SoupChecks.StirsSlowly()"), "Calls", ("Method", "Kitchen.Soup.Stir(int)"))
     return b

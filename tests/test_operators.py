@@ -1,5 +1,5 @@
 import pytest
-from graphs import Builder, chain, mutual, node, shapes, with_tests
+from graphs import Builder, kitchen, millers, node, orchard, stairs
 from pyspark.sql import functions as F
 
 from loomgraph import schema
@@ -14,11 +14,13 @@ def fqns(df):
 
 
 def test_traversal_contract(spark):
-    g = chain().graph(spark)
-    got = traverse.traverse(g, node("Method", "N.M10()")[0], "incoming").collect()
-    assert [(r.fqn, r.depth) for r in got] == [(f"N.M{9 - k:02}()", k + 1) for k in range(5)]
-    assert traverse.traverse(g, node("Method", "N.M10()")[0], "incoming", 5, 3).count() == 3
-    assert fqns(traverse.traverse(g, node("Method", "N.M00()")[0], "outgoing", 4)) == [f"N.M{k:02}()" for k in range(1, 5)]
+    g = stairs(8).graph(spark)
+    top, bottom = node("Method", "Tower.Step0(bool)")[0], node("Method", "Tower.Step7(bool)")[0]
+    got = traverse.traverse(g, bottom, "incoming").collect()
+    assert [(r.fqn, r.depth) for r in got] == [(f"Tower.Step{7 - d}(bool)", d) for d in range(1, 6)]  # no further than the default, and no container
+    assert [r.depth for r in traverse.traverse(g, bottom, "incoming", 5, 2).collect()] == [1, 2]
+    assert fqns(traverse.traverse(g, top, "outgoing", 3)) == [f"Tower.Step{d}(bool)" for d in range(1, 4)]
+    assert traverse.traverse(g, top, "incoming").count() == 0
     for bad in (dict(direction="both"), dict(direction="incoming", depth=0), dict(direction="incoming", max_results=0)):
         with pytest.raises(ValueError, match="incoming or outgoing|positive"):
             traverse.traverse(g, "x", **bad)
@@ -51,11 +53,11 @@ def test_one_hop(spark):
 
 
 def test_implementations_and_hierarchy(spark):
-    g = shapes().graph(spark)
-    assert fqns(traverse.implementations(g, "Fixture.Lib.IShape")) == ["Fixture.Lib.Circle", "Fixture.Lib.ShapeBase", "Fixture.Lib.Square"]
-    assert fqns(traverse.implementations(g, "Fixture.Lib.IShape.Area()")) == ["Fixture.Lib.Circle.Area()", "Fixture.Lib.ShapeBase.Area()", "Fixture.Lib.Square.Area()"]
-    up = traverse.hierarchy(g, node("Class", "Fixture.Lib.Circle")[0], "up").filter("level > 0").orderBy("level").collect()
-    assert [r.path[-1].fqn for r in up] == ["Fixture.Lib.ShapeBase", "Fixture.Lib.IShape"]
+    g = orchard().graph(spark)
+    assert fqns(traverse.implementations(g, "Grove.Trees.IPlant")) == ["Grove.Trees.Apple", "Grove.Trees.Hedge", "Grove.Trees.Tree"]
+    assert fqns(traverse.implementations(g, "Grove.Trees.IPlant.Prune(int)")) == ["Grove.Trees.Apple.Prune(int)", "Grove.Trees.Hedge.Prune(int)", "Grove.Trees.Tree.Prune(int)"]
+    up = traverse.hierarchy(g, node("Class", "Grove.Trees.Apple")[0], "up").filter("level > 0").orderBy("level").collect()
+    assert [r.path[-1].fqn for r in up] == ["Grove.Trees.Tree", "Grove.Trees.IPlant"]
 
 
 def test_diamond_is_shown_once(spark):
@@ -70,15 +72,15 @@ def test_diamond_is_shown_once(spark):
 
 
 def test_impact_of_an_interface(spark):
-    b = shapes()
-    b.add("Method", "App.Use()", "C:/repo/Lib/Use.cs")
-    b.link(("Method", "App.Use()"), "Calls", ("Method", "Fixture.Lib.Circle.Area()"))
-    got = {r.fqn: (r.depth, r.is_implementer) for r in traverse.impact(b.graph(spark), "Fixture.Lib.IShape").collect()}
+    b = orchard()
+    b.add("Method", "App.Use()", "C:/land/Grove/Use.cs")
+    b.link(("Method", "App.Use()"), "Calls", ("Method", "Grove.Trees.Apple.Prune(int)"))
+    got = {r.fqn: (r.depth, r.is_implementer) for r in traverse.impact(b.graph(spark), "Grove.Trees.IPlant").collect()}
     assert got["App.Use()"] == (1, False)
-    assert got["Fixture.Lib.Square.Area()"] == (1, True)
-    assert "Fixture.Lib.IShape" not in got
-    assert "Fixture.Lib.IShape.Area()" not in got
-    assert got["Fixture.Lib.ShapeBase"][1]
+    assert got["Grove.Trees.Hedge.Prune(int)"] == (1, True)
+    assert "Grove.Trees.IPlant" not in got
+    assert "Grove.Trees.IPlant.Prune(int)" not in got
+    assert got["Grove.Trees.Tree"][1]
 
 
 def test_type_on_a_cycle_is_in_its_closure(spark):
@@ -99,12 +101,12 @@ def test_attribution(spark):
     assert got == {"Web": "Web", "Web.Api": "Api", "a": "Api", "b": "Web", "c": None, "d": None}
 
 
-def test_mutual_projects_are_one_cycle(spark):
-    edges = containers.container_edges(mutual().graph(spark))
+def test_millers_projects_are_one_cycle(spark):
+    edges = containers.container_edges(millers().graph(spark))
     (row,) = containers.cycles(edges).collect()
-    assert (row.path, row.hops, row.weight) == (["Alpha", "Beta", "Alpha"], 2, 2)
+    assert (row.path, row.hops, row.weight) == (["Bakery", "Mill", "Bakery"], 2, 2)
     for f in (containers.components, containers.components_by_colour):
-        assert sorted(map(tuple, f(edges).collect())) == [("Alpha", "Alpha"), ("Beta", "Alpha")]
+        assert sorted(map(tuple, f(edges).collect())) == [("Bakery", "Bakery"), ("Mill", "Bakery")]
 
 
 def test_no_cycles(spark):
@@ -122,21 +124,23 @@ def test_components_agree(spark):
     assert sorted(map(tuple, containers.components(edges).collect())) == sorted(map(tuple, containers.components_by_colour(edges).collect()))
 
 
+#: For each outcome: the endpoints there are, the verb and template of a call, and how many endpoints it is linked with.
 LINKS = [
-    (["GET /api/UserProfiles/current", "GET /api/UserProfiles/{id}"], "GET", "/UserProfiles/current", "PrecedenceResolved", 1),
-    (["GET /api/RC/stats/summary", "GET /api/RC/{month:int}/{year:int}"], "GET", "/RC/stats/summary", "PrecedenceResolved", 1),
-    (["GET /api/RR/my-risks", "GET /api/RR/{id}"], "GET", "/RR/{*}", "SetEdge", 2),
-    (["GET /api/Widgets/{id}", "GET /api/Widgets/{widgetId}"], "GET", "/Widgets/42", "SetEdge", 2),
-    (["POST /api/T/compliances/{i}/reminder", "POST /api/T/risks/{i}/reminder", "POST /api/T/governances/{i}/reminder"], "POST", "/T/{*}/{*}/reminder", "SetEdge", 3),
-    (["GET /api/Vendors"], "UNKNOWN", "/Vendors", "UnknownVerb", 0),
-    (["GET /api/Vendors"], "DELETE", "/Vendors", "VerbMismatch", 0),
-    (["GET /api/Vendors"], "GET", "/Vendors/Reports/Export", "NoSkeletonMatch", 0),
-    (["GET /api/Vendors"], "GET", "/Vendors?x=1", "Unique", 1),
+    ("Unique", ["PUT /api/beds/{bed}/water"], "PUT", "/beds/9/water", 1),
+    ("Unique", ["GET /api/beds", "POST /api/beds"], "GET", "/beds?shade=half", 1),
+    ("PrecedenceResolved", ["GET /api/beds/{bed}", "GET /api/beds/shady"], "GET", "/beds/shady", 1),
+    ("PrecedenceResolved", ["GET /api/{plot}/rows/{row}", "GET /api/beds/{bed}/{row}"], "GET", "/beds/rows/3", 1),
+    ("SetEdge", ["DELETE /api/pots/clay", "DELETE /api/pots/{pot}", "GET /api/pots/{pot}"], "DELETE", "/pots/{*}", 2),
+    ("SetEdge", ["GET /api/pots/{pot}/soil", "GET /api/pots/{number:int}/soil"], "GET", "/pots/3/soil", 2),
+    ("VerbMismatch", ["GET /api/pots/{pot}", "POST /api/pots"], "PATCH", "/pots/7", 0),
+    ("NoSkeletonMatch", ["GET /api/pots/{pot}"], "GET", "/pots/7/soil/acid", 0),
+    ("UnknownVerb", ["GET /api/pots"], "UNKNOWN", "/pots", 0),
 ]
 
 
 def test_linker_matrix(spark):
-    for ends, verb, template, outcome, n in LINKS:
+    assert {x[0] for x in LINKS} == set(linker.OUTCOMES)
+    for outcome, ends, verb, template, n in LINKS:
         rows = [(*node("Endpoint", e)[:2], e.split(" ", 1)[1], e, None, None, None) for e in ends]
         rows.append((*node("FrontendCallSite", f"{verb} a.ts:1:1")[:2], template, f"{verb} a.ts:1:1", None, None, None))
         g = Graph(spark.createDataFrame(rows, schema.NODES), spark.createDataFrame([], schema.EDGES))
@@ -169,16 +173,16 @@ def sources_of(graph):
 
 
 def test_incremental_equals_full(spark):
-    old = shapes().graph(spark)
+    old = orchard().graph(spark)
     files1 = sources_of(old)
-    new = shapes()
-    del new.nodes["Method", "Fixture.Lib.Square.Area()"]
-    new.edges = {e for e in new.edges if node("Method", "Fixture.Lib.Square.Area()")[0] not in e[:2]}
+    new = orchard()
+    del new.nodes["Method", "Grove.Trees.Hedge.Prune(int)"]
+    new.edges = {e for e in new.edges if node("Method", "Grove.Trees.Hedge.Prune(int)")[0] not in e[:2]}
     full = new.graph(spark)
-    files2 = files1.withColumn("content_hash", F.when(F.col("path").endswith("Square.cs"), "2").otherwise("1"))
+    files2 = files1.withColumn("content_hash", F.when(F.col("path").endswith("Hedge.cs"), "2").otherwise("1"))
     todo = incremental.plan(old, files2, files1)
     actions = {r.path: r.action for r in todo.collect()}
-    assert actions["C:/repo/Lib/Square.cs"] == "analyze"
+    assert actions["C:/land/Grove/Hedge.cs"] == "analyze"
     paths = todo.select("path")
     own = full.nodes.join(paths.withColumnRenamed("path", "file"), "file", "left_semi")
     fresh = Graph(own.select(*schema.NODES.names), full.edges.join(own.select(F.col("id").alias("source_id")), "source_id", "left_semi").unionByName(full.edges.filter("kind = 'Contains'")).select(*schema.EDGES.names))
@@ -187,10 +191,10 @@ def test_incremental_equals_full(spark):
 
 
 def test_eviction_keeps_nodes_without_file(spark):
-    g = shapes().graph(spark)
-    left = incremental.evict(g, spark.createDataFrame([("C:/repo/Lib/Circle.cs",)], "path string"))
+    g = orchard().graph(spark)
+    left = incremental.evict(g, spark.createDataFrame([("C:/land/Grove/Apple.cs",)], "path string"))
     assert left.nodes.count() == 8
-    circle = node("Class", "Fixture.Lib.Circle")[0]
+    circle = node("Class", "Grove.Trees.Apple")[0]
     assert left.edges.filter(F.col("source_id") == circle).count() == 0
     assert left.edges.filter(F.col("target_id") == circle).count() == 1  # from the namespace
     assert scan.without_dangling(left).edges.filter(F.col("target_id") == circle).count() == 0
@@ -213,7 +217,7 @@ def test_store_round_trip(spark, tmp_path):
     s = store.GraphStore(spark, f"file://{tmp_path}/g")
     assert s.version() is None
     assert s.load().nodes.count() == 0
-    g = shapes().graph(spark)
+    g = orchard().graph(spark)
     files1 = files.hash_texts(spark.createDataFrame([("a", "x"), ("b", None)], schema.SOURCES))
     first = s.save(g, files1, {"last_analyzed": "now"})
     assert store.graphs_equal(s.load(), g)
@@ -230,7 +234,7 @@ def test_store_round_trip(spark, tmp_path):
 
 def test_failed_save_leaves_the_old_graph(spark, tmp_path):
     s = store.GraphStore(spark, f"file://{tmp_path}/g")
-    g = shapes().graph(spark)
+    g = orchard().graph(spark)
     none = spark.createDataFrame([], schema.FILES)
     first = s.save(g, none, {})
     with pytest.raises(Exception, match="boom"):
@@ -278,7 +282,7 @@ def test_source_lines(spark):
     assert [(r.line_no, r.text) for r in source_text.symbol_source(one, src, 1).orderBy("line_no").collect()] == [(2, "b"), (3, "c"), (4, "d")]
 
 
-def viz() -> Builder:
+def shared_space() -> Builder:
     b = Builder()
     for p in ("App", "Lib"):
         b.add("Project", p, f"C:/r/{p}/{p}.csproj")
@@ -289,7 +293,7 @@ def viz() -> Builder:
     b.add("Method", "N.Deep.A.M()", "C:/r/App/A.cs", inside=("Class", "N.Deep.A"))
     b.add("Class", "N.Deep.B", "C:/r/Lib/B.cs", inside=("Namespace", "N.Deep"))
     b.add("Method", "N.Deep.B.F()", "C:/r/Lib/B.cs", inside=("Class", "N.Deep.B"))
-    b.add("Class", "<anonymous type: IRepository<> & 'x' </script>", "C:/r/App/X.cs")
+    b.add("Class", "N.Pair<T> \"a & b\" </script>", "C:/r/App/X.cs")
     b.link(("Method", "N.Deep.A.M()"), "Calls", ("Method", "N.Deep.B.F()"))
     for k in ("References", "Inherits", "Implements"):
         b.link(("Class", "N.Deep.A"), k, ("Class", "N.Deep.B"))
@@ -297,13 +301,13 @@ def viz() -> Builder:
 
 
 def test_containment_tree(spark):
-    g = viz().graph(spark)
+    g = shared_space().graph(spark)
     tree = export.containment_tree(g)
     rows = {r.key: r for r in tree.collect()}
     assert sorted(r.fqn for r in rows.values() if r.parent is None) == ["App", "Lib"]
     spaces = [r for r in rows.values() if r.kind == "Namespace"]
     assert [r.name for r in spaces] == ["N.Deep", "N.Deep"]
-    orphan = next(r for r in rows.values() if "anonymous" in r.fqn)
+    orphan = next(r for r in rows.values() if "Pair" in r.fqn)
     assert rows[orphan.parent].fqn == "App"
     edges = export.tree_edges(g, tree)
     rolled = export.rolled_up(edges, export.roots(tree)).collect()
@@ -344,4 +348,4 @@ def test_stream_goes_on_after_a_failed_batch(spark, tmp_path):
 def test_tests_of_a_symbol(spark):
     from loomgraph.queries import tests_of
 
-    assert fqns(tests_of(with_tests().graph(spark), "Foo.Bar.Do()")) == ["FooTests.BarTests.Do_Works()"]
+    assert fqns(tests_of(kitchen().graph(spark), "Kitchen.Soup.Stir(int)")) == ["KitchenTests.SoupChecks.StirsSlowly()"]

@@ -2,7 +2,7 @@ import json
 from datetime import UTC, datetime
 
 import pytest
-from graphs import Builder, mutual, node, shapes, with_tests
+from graphs import Builder, kitchen, millers, node, orchard
 from pyspark.sql import functions as F
 
 from loomgraph import schema
@@ -22,16 +22,16 @@ def stored(spark, tmp_path, graph, **meta):
 
 @pytest.fixture(scope="module")
 def tools(spark, tmp_path_factory):
-    b = shapes()
-    for other in (mutual(), with_tests()):
+    b = orchard()
+    for other in (millers(), kitchen()):
         b.nodes |= other.nodes
         b.edges |= other.edges
-    b.nodes["e"] = (*node("Endpoint", "GET /api/x/{id}")[:2], "/api/x/{id}", "GET /api/x/{id}", "C:/repo/Lib/p.cs", 0, 1)
+    b.nodes["e"] = (*node("Endpoint", "GET /api/x/{id}")[:2], "/api/x/{id}", "GET /api/x/{id}", "C:/land/Grove/p.cs", 0, 1)
     b.nodes["c"] = (*node("FrontendCallSite", "GET a.ts:1:1")[:2], "/x/{*}", "GET a.ts:1:1", None, None, None)
     b.nodes["d"] = (*node("FrontendCallSite", "POST b.ts:1:1")[:2], "/x/1", "POST b.ts:1:1", None, None, None)
-    b.link(("Method", "Foo.Bar.Do()"), "Calls", ("Method", "Fixture.Lib.Circle.Area()"))
+    b.link(("Method", "Kitchen.Soup.Stir(int)"), "Calls", ("Method", "Grove.Trees.Apple.Prune(int)"))
     store = stored(spark, tmp_path_factory.mktemp("tools"), b.graph(spark), conventional_controllers="2")
-    sources = spark.createDataFrame([("C:/repo/Lib/Circle.cs", "one\ntwo\nthree\n")], schema.SOURCES)
+    sources = spark.createDataFrame([("C:/land/Grove/Apple.cs", "one\ntwo\nthree\n")], schema.SOURCES)
     return Tools(store, sources)
 
 
@@ -41,52 +41,52 @@ def rows(result, name=None):
 
 
 def test_symbols(tools):
-    assert {r.fqn for r in rows(tools.call("find_symbol", {"query": "circle"}))} == {"Fixture.Lib.Circle", "Fixture.Lib.Circle.Area()"}
-    assert [r.fqn for r in rows(tools.call("find_symbol", {"query": "CIRCLE", "kind": "class"}))] == ["Fixture.Lib.Circle"]
+    assert {r.fqn for r in rows(tools.call("find_symbol", {"query": "apple"}))} == {"Grove.Trees.Apple", "Grove.Trees.Apple.Prune(int)"}
+    assert [r.fqn for r in rows(tools.call("find_symbol", {"query": "APPLE", "kind": "class"}))] == ["Grove.Trees.Apple"]
     assert tools.call("find_symbol", {"query": "x", "kind": "nope"}).code == "invalid_parameter"
 
 
 def test_dependencies_and_usages(tools):
-    got = rows(tools.call("get_dependencies", {"fqn": "Fixture.Lib.Circle.Area()", "direction": "dependents", "depth": 3}))
-    assert {(r.fqn, r.depth) for r in got} == {("Foo.Bar.Do()", 1), ("FooTests.BarTests.Do_Works()", 2)}
-    assert [(r.fqn, r.line) for r in rows(tools.call("find_usages", {"fqn": "Fixture.Lib.Circle.Area()"}))] == [("Foo.Bar.Do()", None)]
+    got = rows(tools.call("get_dependencies", {"fqn": "Grove.Trees.Apple.Prune(int)", "direction": "dependents", "depth": 3}))
+    assert {(r.fqn, r.depth) for r in got} == {("Kitchen.Soup.Stir(int)", 1), ("KitchenTests.SoupChecks.StirsSlowly()", 2)}
+    assert [(r.fqn, r.line) for r in rows(tools.call("find_usages", {"fqn": "Grove.Trees.Apple.Prune(int)"}))] == [("Kitchen.Soup.Stir(int)", None)]
     assert tools.call("get_dependencies", {"fqn": "x", "direction": "sideways"}).code == "invalid_parameter"
 
 
 def test_not_found_gives_suggestions(tools):
-    got = tools.call("find_usages", {"fqn": "Wrong.Circle"})
+    got = tools.call("find_usages", {"fqn": "Wrong.Apple"})
     assert "No symbol" in got.text
-    assert {r.fqn for r in rows(got)} == {"Fixture.Lib.Circle", "Fixture.Lib.Circle.Area()"}
+    assert {r.fqn for r in rows(got)} == {"Grove.Trees.Apple", "Grove.Trees.Apple.Prune(int)"}
 
 
 def test_types(tools):
-    got = rows(tools.call("find_implementations", {"fqn": "Fixture.Lib.IShape.Area()"}))
-    assert {(r.project, r.fqn) for r in got} == {("Lib", f"Fixture.Lib.{x}.Area()") for x in ("Circle", "Square", "ShapeBase")}
-    assert [r.line for r in got if "Circle" in r.fqn] == [2]
-    tree = tools.call("get_type_hierarchy", {"fqn": "Fixture.Lib.ShapeBase"})
-    assert [r.name for r in rows(tree, "down")] == ["Circle", "Square"]
-    assert [r.name for r in rows(tree, "up")] == ["IShape"]
+    got = rows(tools.call("find_implementations", {"fqn": "Grove.Trees.IPlant.Prune(int)"}))
+    assert {(r.project, r.fqn) for r in got} == {("Grove", f"Grove.Trees.{x}.Prune(int)") for x in ("Apple", "Hedge", "Tree")}
+    assert [r.line for r in got if "Apple" in r.fqn] == [2]
+    tree = tools.call("get_type_hierarchy", {"fqn": "Grove.Trees.Tree"})
+    assert [r.name for r in rows(tree, "down")] == ["Apple"]
+    assert [r.name for r in rows(tree, "up")] == ["IPlant"]
 
 
 def test_impact_and_tests(tools):
-    got = tools.call("impact_analysis", {"fqn": "Fixture.Lib.IShape"})
-    assert {r.fqn: r.depth for r in rows(got)}["Foo.Bar.Do()"] == 1
-    assert {(r.project, r.n) for r in rows(got, "by_project")} == {("Lib", 6), ("Foo", 1), ("FooTests", 1)}
-    assert [(r.project, r.fqn) for r in rows(tools.call("find_tests_for_symbol", {"fqn": "Fixture.Lib.Circle.Area()"}))] == [("FooTests", "FooTests.BarTests.Do_Works()")]
+    got = tools.call("impact_analysis", {"fqn": "Grove.Trees.IPlant"})
+    assert {r.fqn: r.depth for r in rows(got)}["Kitchen.Soup.Stir(int)"] == 1
+    assert {(r.project, r.n) for r in rows(got, "by_project")} == {("Grove", 6), ("Kitchen", 1), ("KitchenTests", 1)}
+    assert [(r.project, r.fqn) for r in rows(tools.call("find_tests_for_symbol", {"fqn": "Grove.Trees.Apple.Prune(int)"}))] == [("KitchenTests", "KitchenTests.SoupChecks.StirsSlowly()")]
 
 
 def test_structure(tools):
     got = tools.call("get_architecture_overview")
-    assert [r.name for r in rows(got, "projects")] == ["Alpha", "Beta", "Foo", "FooTests", "Lib"]
-    assert [(r["from"], r["to"], r.n) for r in rows(tools.call("get_project_dependencies", {"project": "foo"}))] == [("Foo", "Lib", 1), ("FooTests", "Foo", 1)]
+    assert [r.name for r in rows(got, "projects")] == ["Bakery", "Grove", "Kitchen", "KitchenTests", "Mill"]
+    assert [(r["from"], r["to"], r.n) for r in rows(tools.call("get_project_dependencies", {"project": "kitchen"}))] == [("Kitchen", "Grove", 1), ("KitchenTests", "Kitchen", 1)]
     assert "No project named" in tools.call("get_project_dependencies", {"project": "zzz"}).text
-    assert [r.path for r in rows(tools.call("find_circular_dependencies"))] == [["Alpha", "Beta", "Alpha"]]
+    assert [r.path for r in rows(tools.call("find_circular_dependencies"))] == [["Bakery", "Mill", "Bakery"]]
     assert tools.call("find_circular_dependencies", {"scope": "file"}).code == "invalid_parameter"
 
 
 def test_endpoints_and_call_sites(tools):
     got = tools.call("list_endpoints", {"verb": " get ", "prefix": "/api"})
-    assert [(r.project, r.name, r.handlers) for r in rows(got)] == [("Lib", "/api/x/{id}", None)]
+    assert [(r.project, r.name, r.handlers) for r in rows(got)] == [("Grove", "/api/x/{id}", None)]
     assert got.counts == {"conventional_controllers": 2}
     assert [r.fqn for r in rows(tools.call("find_endpoint", {"route": "/api/x/9"}))] == ["GET /api/x/{id}"]
     assert [r.fqn for r in rows(tools.call("find_endpoint", {"route": "/other/x/9/9/x"}))] == ["GET /api/x/{id}"]
@@ -97,9 +97,9 @@ def test_endpoints_and_call_sites(tools):
 
 
 def test_source(tools):
-    got = rows(tools.call("get_symbol_source", {"fqn": "Fixture.Lib.Circle.Area()", "context_lines": 1}))
+    got = rows(tools.call("get_symbol_source", {"fqn": "Grove.Trees.Apple.Prune(int)", "context_lines": 1}))
     assert [(r.line_no, r.text) for r in got] == [(1, "one"), (2, "two"), (3, "three")]
-    assert "can't be read" in tools.call("get_symbol_source", {"fqn": "Fixture.Lib.Square"}).text
+    assert "can't be read" in tools.call("get_symbol_source", {"fqn": "Grove.Trees.Hedge"}).text
 
 
 def test_failures_have_one_shape(tools):
@@ -128,14 +128,14 @@ def test_inner_errors_are_not_shown(tools, monkeypatch):
 
 def test_caps_and_budget(spark, tmp_path):
     b = Builder()
-    b.add("Project", "Big")
-    b.add("Class", "Big.Hub")
-    b.add("Method", "Big.Hub.Process()", inside=("Class", "Big.Hub"))
+    b.add("Project", "Town")
+    b.add("Class", "Town.Well")
+    b.add("Method", "Town.Well.Draw()", inside=("Class", "Town.Well"))
     for k in range(400):
-        b.add("Method", f"Big.C{k}.M{k}()")
-        b.link(("Method", f"Big.C{k}.M{k}()"), "Calls", ("Method", "Big.Hub.Process()"))
+        b.add("Method", f"Town.House{k}.Fetch()")
+        b.link(("Method", f"Town.House{k}.Fetch()"), "Calls", ("Method", "Town.Well.Draw()"))
     t = Tools(stored(spark, tmp_path, b.graph(spark)))
-    for tool, arguments, cap in (("find_symbol", {"query": "Big"}, 20), ("get_dependencies", {"fqn": "Big.Hub.Process()", "direction": "in"}, 50), ("find_usages", {"fqn": "Big.Hub.Process()"}, 50), ("impact_analysis", {"fqn": "Big.Hub.Process()"}, 100)):
+    for tool, arguments, cap in (("find_symbol", {"query": "Town"}, 20), ("get_dependencies", {"fqn": "Town.Well.Draw()", "direction": "in"}, 50), ("find_usages", {"fqn": "Town.Well.Draw()"}, 50), ("impact_analysis", {"fqn": "Town.Well.Draw()"}, 100)):
         got = t.call(tool, arguments)
         assert got.more
         assert got.rows.count() == cap
@@ -143,11 +143,11 @@ def test_caps_and_budget(spark, tmp_path):
 
 
 def test_friendly_times():
-    now = datetime(2026, 7, 18, 9, 52, tzinfo=UTC)
-    assert friendly_time("2026-07-18T06:52:00Z", now) == "18 Jul 2026, 06:52 UTC — 3h ago"
-    assert friendly_time("2026-07-18T09:51:30+00:00", now).endswith("just now")
-    assert friendly_time("2026-07-01T09:52:00Z", now).endswith("17d ago")
-    assert friendly_time("2025-07-01T09:52:00Z", now).endswith("01 Jul 2025")
+    now = datetime(2031, 3, 5, 20, 15, tzinfo=UTC)
+    assert friendly_time("2031-03-05T15:15:00Z", now) == "05 Mar 2031, 15:15 UTC — 5h ago"
+    assert friendly_time("2031-03-05T20:14:40+00:00", now).endswith("just now")
+    assert friendly_time("2031-02-24T20:15:00Z", now).endswith("9d ago")
+    assert friendly_time("2029-12-31T20:15:00Z", now).endswith("31 Dec 2029")
     assert friendly_time("never", now) == "never"
 
 
@@ -156,7 +156,7 @@ def test_without_a_graph(spark, tmp_path):
 
 
 def test_jobs(spark, tmp_path):
-    g = shapes().graph(spark)
+    g = orchard().graph(spark)
     s = GraphStore(spark, f"file://{tmp_path}/g")
     files = g.nodes.filter("file is not null").select(F.col("file").alias("path")).distinct().withColumn("content_hash", F.lit("1"))
     asked = []
@@ -173,10 +173,10 @@ def test_jobs(spark, tmp_path):
     again = jobs.build(s, extract, files)
     assert (again.analysed, again.saved) == (0, False)
     assert s.version() == version
-    changed = files.withColumn("content_hash", F.when(F.col("path").endswith("ShapeBase.cs"), "2").otherwise("1"))
+    changed = files.withColumn("content_hash", F.when(F.col("path").endswith("Tree.cs"), "2").otherwise("1"))
     third = jobs.build(s, extract, changed)
-    # Circle and Square derive from what is in the file; nothing else refers to it.
-    assert asked[-1] == [f"C:/repo/Lib/{x}.cs" for x in ("Circle", "ShapeBase", "Square")]
+    # Apple derives from what is in the file; nothing else refers to it.
+    assert asked[-1] == [f"C:/land/Grove/{x}.cs" for x in ("Apple", "Tree")]
     assert not third.saved  # the same nodes and edges
     text = '{"schemaVersion":2,"producer":"p","project":{"root":"C:/w"},"callSites":[{"kind":"FrontendCallSite","verb":"GET","template":"/x","file":"a.ts","line":1,"column":2}]}'
     from loomgraph.sources import artifact
@@ -199,10 +199,10 @@ def test_jobs(spark, tmp_path):
 
 
 def test_watch_job(spark, tmp_path):
-    g = shapes().graph(spark)
+    g = orchard().graph(spark)
     s = GraphStore(spark, f"file://{tmp_path}/g")
     files = g.nodes.filter("file is not null").select(F.col("file").alias("path")).distinct().withColumn("content_hash", F.lit("1"))
-    spark.createDataFrame([("C:/repo/Lib/Circle.cs",)], "path string").write.json(str(tmp_path / "in"))
+    spark.createDataFrame([("C:/land/Grove/Apple.cs",)], "path string").write.json(str(tmp_path / "in"))
     events = spark.readStream.schema("path string").json(str(tmp_path / "in"))
     q = jobs.watch(s, events, lambda: files, lambda paths: g, str(tmp_path / "cp"), once=True)
     q.awaitTermination(90)
