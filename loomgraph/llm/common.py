@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
@@ -13,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored, temporaries
+
 #: Bytes of text that one step of a Python pass works on, or one document if it is longer.
 SLICE_BYTES = 6 << 20
 #: Bytes of an Arrow batch on its way to Python.
@@ -25,74 +25,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) a temporary one is made.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    import atexit
-    import shutil
-    import tempfile
-
-    made = tempfile.mkdtemp(prefix="loomgraph-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return spark.conf.get("spark.checkpoint.dir")
-
-
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Paths of the tables stored in each open scope of temporaries(), the innermost last.
-_scopes: list[list[str]] = []
-
-
-def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs a read.
-
-    Inside temporaries() the table goes with the scope, or, to be kept, with the scope around it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")  # shuffle files go with the write, which is the only use of this plan
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
-    around = _scopes[:-1] if keep else _scopes
-    if around:
-        around[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def temporaries(spark: SparkSession):
-    """Deletes the tables stored inside at the end."""
-    _scopes.append([])
-    try:
-        yield
-    finally:
-        conf = spark._jsparkSession.sessionState().newHadoopConf()
-        for name in _scopes.pop():
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files behind a frame that stored() returned, when nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for parent in parents:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def one_text_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, text), one row of each doc_id that isn't null: of rows that share one, the least text.
 
@@ -109,12 +41,12 @@ def one_text_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 
 def where_counted(joined: DataFrame, differ: DataFrame | None, found: list[str]) -> DataFrame:
-    """The columns found of joined (row, *found) made null where row.text isn't the text that counts for its doc_id."""
-    if differ is None:
-        return joined
-    named = joined.join(differ.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), F.col("row.doc_id") == F.col("_id"), "left")
-    counts = F.col("_id").isNull() | F.col("row.text").eqNullSafe(F.col("_text"))
-    return named.select("row", *(F.when(counts, F.col(c)).alias(c) for c in found))
+    """The columns found of joined (row, *found) made null where row.text is null, or isn't the text that counts for its doc_id."""
+    counts = F.col("row.text").isNotNull()
+    if differ is not None:
+        joined = joined.join(differ.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), F.col("row.doc_id") == F.col("_id"), "left")
+        counts = counts & (F.col("_id").isNull() | (F.col("row.text") == F.col("_text")))
+    return joined.select("row", *(F.when(counts, F.col(c)).alias(c) for c in found))
 
 
 def vocabulary_path(name: str) -> str:

@@ -1,7 +1,7 @@
 """Document fingerprints by spot signatures (operator 2).
 
-A spot is an occurrence of a common word; its signature is the chain of the CHAIN content words that
-follow it (words that aren't common). A document's fingerprint is its set of signatures, each a 32-bit
+A spot is an occurrence of a common word; its signature is that word with the chain of the CHAIN content words
+that follow it (words that aren't common). A document's fingerprint is its set of signatures, each a 32-bit
 hash, in order; two fingerprints are as alike as their sets' Jaccard coefficient. A text without a
 complete chain has one signature, of its whole sequence of words, so that equal short texts are alike
 and others aren't; a text without words has none.

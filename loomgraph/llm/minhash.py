@@ -17,10 +17,10 @@ coefficient is SIMILARITY or more.
    pair within a component is made, no pair is written that isn't such a link, and no bucket is capped. This is
    done for FIRST_BANDS bands first.
 5. A bucket of more than BLOCK members, or BLOCK_SHINGLES shingles, holds mostly documents that share a passage
-   without being alike. Its members are dealt out anew, each by the shingles that any set alike enough must share
-   one of: the n - ceil(0.75 n) + 1 rarest of its n, in one order for all, counted over all such members. Shingles
-   that no other of them has are passed over, so who differs in a quarter meets nobody, and rows grow with the
-   members. Groups that are still larger are compared block by block.
+   without being alike. First of all, each of its members must share with one of another component a shingle that
+   sets alike enough do share: one of the n - ceil(0.75 n) + 1 rarest of its n, in one order for all, counted over all
+   such members. Who differs from all others in a quarter of its shingles shares none and leaves, so the rows are as
+   many as the members' shingles. Those who stay are compared in their buckets, block by block if there are many.
 
 Nulls: a null text has an empty set; a null doc_id can't be linked to but is found a copy of others. Documents
 with an empty set are linked with nothing. Rows with equal doc_id are one document, with the least of their texts,
@@ -242,24 +242,26 @@ def labelled(buckets: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def in_mixed_buckets(members: DataFrame, block: int) -> DataFrame:
-    """The members (band, rep, comp, blocks) of buckets that hold several components."""
+    """The members (band, rep, n, comp, blocks) of buckets that hold several components."""
     found = members.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), F.sum("n").alias("shingles")).filter("low <> high")
     blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     mixed = common.stored(found.select("band", blocks.alias("blocks")), "mixed")
-    return common.stored(members.drop("n").join(mixed, "band"), "rest")
+    return common.stored(members.join(mixed, "band"), "rest")
 
 
-def by_rare_shingles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Members (rep, comp) with each shingle, as band, of which sets that are alike enough share one; n is the size of the set."""
+def with_rare_shingles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The reps of members (rep, comp) that share with another component a shingle of which sets that are alike enough share one."""
     own = members.select("rep", "comp").distinct()
-    each = sets.select(F.col("a").alias("rep"), "set").join(own, "rep").select("rep", "comp", F.size("set").cast("long").alias("n"), F.explode("set").alias("band"))
+    each = sets.select(F.col("a").alias("rep"), "set").join(own, "rep").select("rep", "comp", F.size("set").cast("long").alias("n"), F.explode("set").alias("x"))
     each = common.stored(each, "shingles")
-    shared = common.stored(each.groupBy("band").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
+    shared = common.stored(each.groupBy("x").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
     of_set = Window.partitionBy("rep")
-    ranked = each.join(shared, "band").withColumn("k", F.row_number().over(of_set.orderBy("df", "band"))).withColumn("m", F.count("*").over(of_set))
+    ranked = each.join(shared, "x").withColumn("k", F.row_number().over(of_set.orderBy("df", "x"))).withColumn("m", F.count("*").over(of_set))
     # The n - m shingles that no other has are the rarest, and come before these.
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    return common.stored(ranked.filter(F.col("n") - F.col("m") + F.col("k") <= first).select("band", "rep", "comp", "n"), "rare")
+    rare = common.stored(ranked.filter(F.col("n") - F.col("m") + F.col("k") <= first).select("x", "rep", "comp"), "rare")
+    mixed = rare.groupBy("x").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("x")
+    return common.stored(rare.join(mixed, "x", "left_semi").select("rep").distinct(), "near_others")
 
 
 def links(reps: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -283,10 +285,10 @@ def links(reps: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int
         sets = new if sets is None else sets.unionByName(new)
         large = rest.filter("blocks > 1")
         if large.take(1):
-            rare = by_rare_shingles(large, sets, percent)
-            rest = rest.filter("blocks = 1").unionByName(in_mixed_buckets(rare, block))
+            staying = large.drop("blocks").join(with_rare_shingles(large, sets, percent), "rep", "left_semi")
+            rest = rest.filter("blocks = 1").unionByName(in_mixed_buckets(common.stored(staying, "staying"), block))
         full = reps.select("rep", "sketch").join(sets.select(F.col("a").alias("rep"), "set"), "rep")
-        rows = rest.join(full, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rest.drop("n").join(full, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         grouped = rows.groupBy("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("rep", "comp", "block", "sketch", "set")).alias("members"))
         more = grouped.select("i", "j", "members").mapInArrow(links_in_blocks(percent), "a long, b long").distinct()
         found = common.stored(found.unionByName(more), "links")

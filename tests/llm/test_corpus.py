@@ -122,11 +122,10 @@ def test_many_unlinked_classes_of_a_bucket(spark):
     frame = table(spark, texts)
     check_components(minhash.near_duplicates(frame, block=16), {k: t for k, t in enumerate(texts)})
     sets = common.stored(minhash.sets_of(frame.select(F.col("doc_id").alias("_id"), F.lit(0).cast("long").alias("b")), common.id_and_text(frame), 5), "sets")
-    sizes = []
-    for n in (200, 400):
-        members = sets.filter(F.col("a") < n).select(F.col("a").alias("rep"), F.col("a").alias("comp"))
-        sizes.append(minhash.in_mixed_buckets(minhash.by_rare_shingles(members, sets, 75), 16).count())
-    assert sizes[1] <= 2.5 * max(sizes[0], 20)
+    members = sets.select(F.col("a").alias("rep"), F.col("a").alias("comp"))
+    near = {r.rep for r in minhash.with_rare_shingles(members, sets, 75).collect()}
+    assert {*range(20), *range(400, 420)} <= near
+    assert len(near) < 60
 
 
 def test_minhash_odd_rows(spark, empty):
@@ -164,7 +163,7 @@ def test_fingerprints(spark, docs, empty):
 
 
 def plain_spots(text):
-    """The chains of the two content words that follow common words; without any, the whole sequence of words."""
+    """Common words with the two content words that follow them; without any, the whole sequence of words."""
     marks = "".join(chr(k) for k in (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))
     lower = lambda w: "".join(c.lower() if "A" <= c <= "Z" else c for c in w)
     words = [lower(w).strip(marks) or lower(w) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
@@ -172,7 +171,7 @@ def plain_spots(text):
     for k, w in enumerate(words):
         chain = [x for x in words[k + 1 :] if x not in fingerprints.COMMON_WORDS][:2] if w in fingerprints.COMMON_WORDS else []
         if len(chain) == 2:
-            spots.add(tuple(chain))
+            spots.add((w, *chain))
     return spots or ({tuple(words)} if words else set())
 
 
@@ -574,7 +573,8 @@ def test_an_anchor_with_very_many_contexts(spark):
 
 
 def test_passages_of_odd_rows(spark):
-    passage = "".join(random.Random(3).choice("abcdefgh ") for _ in range(300))
+    r = random.Random(3)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(300))
     rows = [(1, "own " + passage), (1, "own " + passage), (2, "x"), (2, passage), (None, passage), (3, None), (3, passage), (4, None)]
     got = Counter(tuple(x)[:4] for x in substrings.removed_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == Counter({(1, 304, 0, 0): 2, (2, 1, 0, 0): 1, (2, 300, 300, 1): 1, (None, 300, 0, 0): 1, (3, 0, 0, 0): 1, (3, 300, 300, 1): 1, (4, 0, 0, 0): 1})

@@ -63,7 +63,7 @@ def test_stages_with_odd_rows(spark, small):
         if name == "lines":
             assert sorted((r.doc_id or 0, r.text) for r in kept.collect())[:2] == [(0, "A text of its own without any number, quite short."), (0, long)]
     got = sorted((r.doc_id or 0, r.text) for r in kept.collect())
-    assert got == [(0, "A text of its own without any number, quite short."), (1, long), (6, copy), (8, "First of two texts.")] or [x[0] for x in got] == [0, 1, 2, 6, 8]
+    assert got == [(0, "A text of its own without any number, quite short."), (1, long), (6, copy), (8, "First of two texts.")]
     pieces = corpus_pipeline.packed(spark, kept, small).collect()
     assert sum(p.doc_id is None for p in pieces) == 1
     for _, stage in corpus_pipeline.STAGES:
