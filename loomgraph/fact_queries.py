@@ -316,7 +316,7 @@ def ambient_fetches(spark, sf_dir):
     return registrations.ambient_fetches(part.select(F.concat(F.lit("s"), text("p_size")).alias("symbol"), F.col("p_partkey").alias("use")), declared).select("use")
 
 
-@query("SELECT p_partkey AS id FROM part WHERE (p_partkey - p_partkey % 5) % 15 <> 10 AND ((p_partkey - p_partkey % 5) % 15 <> 5 OR (p_partkey - p_partkey % 5) % 4 = 0)")
+@query("SELECT p_partkey AS id FROM part WHERE (p_partkey - p_partkey % 5) % 15 <> 10 AND ((p_partkey - p_partkey % 5) % 15 <> 5 OR (p_partkey - p_partkey % 5) % 4 = 0) UNION ALL SELECT -p_partkey FROM part WHERE p_partkey % 15 = 5 AND p_partkey % 4 = 0")
 def dynamic_imports(spark, sf_dir):
     """Every fifth expression is an import, an identifier or another; those between are properties of the one before."""
     k = F.col("p_partkey")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import Graph
-from ..sources.scratch import stored
+from ..sources.scratch import stored, temporaries
 from .attribute import namespace_of_nodes, project_of_nodes
 from .scan import dependency_edges
 
@@ -89,6 +89,13 @@ def strong_groups(pairs: list[tuple[str, str]]) -> list[list[str]]:
 
 def components_by_colour(edges: DataFrame) -> DataFrame:
     """components() without the driver: colours spread forwards, and what reaches a colour's root backwards within it is its component."""
+    with temporaries(edges.sparkSession):
+        return stored(coloured(edges), "components", keep=True)
+
+
+def coloured(edges: DataFrame) -> DataFrame:
+    """The rows of components_by_colour()."""
+    edges = stored(edges.select("from", "to").filter(F.col("from") != F.col("to")).distinct(), "edges")
     left, found = edges, None
     while left.take(1):
         nodes = left.select(F.col("from").alias("node")).unionByName(left.select(F.col("to").alias("node"))).distinct()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import symbols
 from ..schema import Graph
-from ..sources.scratch import BROADCAST_ROWS, sized, stored
+from ..sources.scratch import BROADCAST_ROWS, sized, stored, temporaries
 from .scan import by_kind, dependency_edges
 
 MAX_DEPTH, MAX_RESULTS = 5, 500
@@ -140,6 +140,13 @@ def impact(graph: Graph, fqn: str, depth: int = MAX_DEPTH, cap: int = IMPACT_CAP
     interface's member does; these are dependents themselves (depth 1 unless they are nearer) and seeds of
     further ones. What changes is no result. cap: of each seed's dependents the nearest so many count.
     """
+    with temporaries(graph.nodes.sparkSession):
+        marked = stored(impacted(graph, fqn, depth, cap), "impacted", keep=True)
+    return graph.nodes.join(sized(marked), "id")
+
+
+def impacted(graph: Graph, fqn: str, depth: int, cap: int) -> DataFrame:
+    """(id, depth, is_implementer) for impact()."""
     targets = stored(graph.nodes.filter(F.col("fqn") == fqn), "targets")
     interfaces = targets.filter(F.col("kind") == "Interface").select("id")
     inside = by_kind(graph.edges, "Contains").join(interfaces.withColumnRenamed("id", "source_id"), "source_id", "left_semi").select(F.col("target_id").alias("id"))
@@ -164,7 +171,7 @@ def impact(graph: Graph, fqn: str, depth: int = MAX_DEPTH, cap: int = IMPACT_CAP
             reached = named.withColumn("_k", F.row_number().over(nearest)).filter(F.col("_k") <= cap)
         near = reached.groupBy("id").agg(F.min("depth").alias("depth"))
     marked = near.join(implementers.withColumn("is_implementer", F.lit(True)), "id", "full").join(changing, "id", "left_anti")
-    return graph.nodes.join(marked, "id").withColumn("depth", F.coalesce("depth", F.lit(1))).withColumn("is_implementer", F.coalesce("is_implementer", F.lit(False)))
+    return marked.select("id", F.coalesce("depth", F.lit(1)).alias("depth"), F.coalesce("is_implementer", F.lit(False)).alias("is_implementer"))
 
 
 def hierarchy(graph: Graph, type_id: str, direction: str, depth: int = MAX_DEPTH) -> DataFrame:
@@ -174,6 +181,12 @@ def hierarchy(graph: Graph, type_id: str, direction: str, depth: int = MAX_DEPTH
     but not expanded. A round expands what is shown for the first time, as far as is known, and shows anew, so
     of the places of a node few are ever expanded, however many paths lead to it.
     """
+    with temporaries(graph.nodes.sparkSession):
+        return stored(grown(graph, type_id, direction, depth), "hierarchy", keep=True)
+
+
+def grown(graph: Graph, type_id: str, direction: str, depth: int) -> DataFrame:
+    """The rows of hierarchy()."""
     if direction not in ("up", "down"):
         raise ValueError("a hierarchy goes up or down")
     near, far = ("source_id", "target_id") if direction == "up" else ("target_id", "source_id")

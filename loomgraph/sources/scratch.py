@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,13 +29,43 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths of the tables stored in each open scope of temporaries(), the innermost last.
+_scopes: list[list[str]] = []
+
+
+def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs a read.
+
+    Inside temporaries() the table goes with the scope, or, to be kept, with the scope around it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")  # shuffle files go with the write, which is the only use of this plan
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+    around = _scopes[:-1] if keep else _scopes
+    if around:
+        around[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporaries(spark: SparkSession):
+    """Deletes the tables stored inside at the end; what is still to be read must have been kept, or stored around it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        conf = spark._jsparkSession.sessionState().newHadoopConf()
+        for name in _scopes.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def sized(df: DataFrame) -> DataFrame:
     """A stored table, marked for broadcast if its rows, which are counted, are few enough."""
     from pyspark.sql import functions as F
