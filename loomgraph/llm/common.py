@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stored, temporaries
+from ..sources.scratch import rows_of, stored, temporaries
 
 #: Bytes of text that one step of a Python pass works on, or one document if it is longer.
 SLICE_BYTES = 6 << 20
@@ -32,7 +32,7 @@ def one_text_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """
     rows = id_and_text(docs).filter("doc_id is not null")
     again = stored(rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again")
-    if not again.take(1):
+    if not rows_of(again):
         return rows, None
     several = rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("text").alias("most"))
     several = stored(several, "several", keep=True)

@@ -53,7 +53,7 @@ def ranked(suffixes: DataFrame, *key: str) -> DataFrame | None:
     """Of suffixes (doc_id, i, *key, ...) those whose key others share: r, the rank of the key, and its first suffix (fd, fi); None if there are none."""
     classes = suffixes.groupBy(*key).agg(F.min(F.struct("doc_id", "i")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     ranks = common.stored(classes.orderBy(*key).select(*key, "first", F.monotonically_increasing_id().alias("rank")), "ranks")
-    if not ranks.take(1):
+    if not common.rows_of(ranks):
         return None
     rest = [c for c in suffixes.columns if c not in key]
     return suffixes.join(ranks, list(key)).select(*rest, F.col("rank").alias("r"), F.col("first.doc_id").alias("fd"), F.col("first.i").alias("fi"))

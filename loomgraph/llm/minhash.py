@@ -140,7 +140,7 @@ def sets_of(wanted: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     Sets are computed where the texts are read. The ids are broadcast if they are few, which is counted;
     else both sides are shuffled.
     """
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_PAIRS else wanted
+    wanted = F.broadcast(wanted) if common.rows_of(wanted) <= BROADCAST_PAIRS else wanted
     texts = common.id_and_text(docs).join(wanted, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +277,7 @@ def links(reps: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int
     sets = None
     for part in (buckets.filter(F.col("b") < FIRST_BANDS), buckets.filter(F.col("b") >= FIRST_BANDS)):
         rest = in_mixed_buckets(labelled(part, near), block)
-        if not rest.take(1):
+        if not common.rows_of(rest):
             continue
         have = rest.select(F.col("rep").alias("_id"), F.lit(0).cast("long").alias("b")).distinct()
         have = have if sets is None else have.join(sets.select(F.col("a").alias("_id")), "_id", "left_anti")
