@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import Graph
-from ..sources.scratch import stored, temporaries
+from ..sources.scratch import rows_of, stored, temporaries
 from .attribute import namespace_of_nodes, project_of_nodes
 from .scan import dependency_edges
 
@@ -35,7 +35,7 @@ def crossing(rows: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): strongly connected components of more than one node of edges (from, to), named by their least node."""
     edges = stored(edges.select("from", "to").filter(F.col("from") != F.col("to")).distinct(), "containers")
-    if edges.count() > DRIVER_EDGES:
+    if rows_of(edges) > DRIVER_EDGES:
         return components_by_colour(edges)
     pairs = [(r["from"], r["to"]) for r in edges.collect()]
     rows = [(node, min(group)) for group in strong_groups(pairs) if len(group) > 1 for node in group]
@@ -97,7 +97,7 @@ def coloured(edges: DataFrame) -> DataFrame:
     """The rows of components_by_colour()."""
     edges = stored(edges.select("from", "to").filter(F.col("from") != F.col("to")).distinct(), "edges")
     left, found = edges, None
-    while left.take(1):
+    while rows_of(left):
         nodes = left.select(F.col("from").alias("node")).unionByName(left.select(F.col("to").alias("node"))).distinct()
         colours = stored(nodes.withColumn("colour", F.col("node")), "colours")
         while True:  # each node takes the least colour that leads to it
@@ -111,7 +111,7 @@ def coloured(edges: DataFrame) -> DataFrame:
         inside = stored(own, "own")
         reached = stored(colours.filter(F.col("node") == F.col("colour")), "reached")
         frontier = reached
-        while frontier.take(1):
+        while rows_of(frontier):
             back = inside.join(frontier.withColumnRenamed("node", "to"), "to").select(F.col("from").alias("node"), "colour").distinct()
             frontier = stored(back.join(reached, ["node", "colour"], "left_anti"), "frontier")
             reached = stored(reached.unionByName(frontier), "reached")
@@ -154,7 +154,7 @@ def shortest_cycles(inside: DataFrame) -> DataFrame:
     steps = inside.select("c1", F.col("from").alias("node"), "to", "n")
     frontier = stored(inside.select("c1", F.col("c1").alias("node")).distinct().withColumn("way", F.struct(F.array("node").alias("path"), F.lit(0).cast("long").alias("weight"))), "ways")
     seen, found = frontier.select("c1", "node"), None
-    while frontier.take(1):
+    while rows_of(frontier):
         way = F.struct(F.concat("way.path", F.array("to")).alias("path"), (F.col("way.weight") + F.col("n")).alias("weight"))
         after = frontier.join(steps, ["c1", "node"]).groupBy("c1", F.col("to").alias("node")).agg(F.min(way).alias("way"))
         after = stored(after, "ways")
@@ -176,7 +176,7 @@ def cycles(edges: DataFrame) -> DataFrame:
     named = components(edges)
     inside = edges.join(named.select(F.col("node").alias("from"), F.col("component").alias("c1")), "from").join(named.select(F.col("node").alias("to"), F.col("component").alias("c2")), "to").filter("c1 = c2")
     inside = stored(inside.select("c1", "from", "to", "n"), "inside")
-    if inside.count() > DRIVER_EDGES:
+    if rows_of(inside) > DRIVER_EDGES:
         return shortest_cycles(inside).orderBy(*order)
     after, weight, members = defaultdict(list), {}, defaultdict(set)
     for r in inside.collect():

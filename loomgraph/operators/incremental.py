@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..schema import Graph
-from ..sources.scratch import stored
+from ..sources.scratch import rows_of, stored
 from .scan import without_dangling
 
 
@@ -57,7 +57,7 @@ def without_orphan_namespaces(graph: Graph) -> Graph:
     # Live are the namespaces with a child that is none; then, going up, those with a live one.
     live = stored(inside.join(others, "child", "left_semi").select("id").distinct(), "live")
     frontier = live
-    while frontier.take(1):
+    while rows_of(frontier):
         above = inside.join(frontier.withColumnRenamed("id", "child"), "child", "left_semi").select("id").distinct()
         frontier = stored(above.join(live, "id", "left_anti"), "live")
         live = stored(live.unionByName(frontier), "live")

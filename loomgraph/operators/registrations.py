@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import routes
 from ..schema import Graph
-from ..sources.scratch import stored
+from ..sources.scratch import rows_of, stored
 
 # The framework's registration methods and their verbs, its controller base class, the client's factory, and a browser's own declarations.
 MAP_METHODS = {"MapGet": "GET", "MapPost": "POST", "MapPut": "PUT", "MapDelete": "DELETE", "MapPatch": "PATCH"}
@@ -115,7 +115,7 @@ def base_chains(bases: DataFrame) -> DataFrame:
         more = last.join(reached.select(F.col("type").alias("_at"), "base", F.col("depth").alias("_d")), "_at").filter("base <> type")
         more = more.groupBy("type", "base").agg((F.min("_d") + reach).alias("depth")).join(reached, ["type", "base"], "left_anti")
         more = stored(more, "bases")
-        if not more.take(1):
+        if not rows_of(more):
             return reached
         reached = stored(reached.unionByName(more), "bases")
         reach *= 2

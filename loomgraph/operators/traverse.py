@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import symbols
 from ..schema import Graph
-from ..sources.scratch import BROADCAST_ROWS, sized, stored, temporaries
+from ..sources.scratch import BROADCAST_ROWS, rows_of, sized, stored, temporaries
 from .scan import by_kind, dependency_edges
 
 MAX_DEPTH, MAX_RESULTS = 5, 500
@@ -35,7 +35,7 @@ def levels(edges: DataFrame, seeds: DataFrame, direction: str, depth: int | None
     near, far = ("source_id", "target_id") if direction == "outgoing" else ("target_id", "source_id")
     steps = edges.select(F.col(near).alias("at"), F.col(far).alias("next"))
     start = stored(seeds.select(F.col("id").alias("seed"), F.col("id"), F.lit(0).alias("depth")).distinct(), "frontier")
-    found, frontier, level, size = [start], start, 0, start.count()
+    found, frontier, level, size = [start], start, 0, rows_of(start)
     while (depth is None or level < depth) and size:
         level += 1
         near_rows = frontier.select("seed", F.col("id").alias("at"))
@@ -44,7 +44,7 @@ def levels(edges: DataFrame, seeds: DataFrame, direction: str, depth: int | None
             after = after.join(reduce(DataFrame.unionByName, seen).select("seed", "id"), ["seed", "id"], "left_anti")
         frontier = stored(after.withColumn("depth", F.lit(level)), "frontier")
         found.append(frontier)
-        size = frontier.count()
+        size = rows_of(frontier)
     return reduce(DataFrame.unionByName, found[1:]) if len(found) > 1 else start.limit(0)
 
 
@@ -57,7 +57,7 @@ def two_nearest(edges: DataFrame, seeds: DataFrame, direction: str, depth: int)
     near, far = ("source_id", "target_id") if direction == "outgoing" else ("target_id", "source_id")
     steps = edges.select(F.col(near).alias("at"), F.col(far).alias("next"))
     frontier = stored(seeds.select("id", F.col("id").alias("seed"), F.lit(0).alias("depth")).distinct(), "nearest")
-    found, size = frontier, frontier.count()
+    found, size = frontier, rows_of(frontier)
     for level in range(1, depth + 1):
         rows = frontier.select(F.col("id").alias("at"), "seed")
         after = (F.broadcast(rows) if size <= BROADCAST_ROWS else rows).join(steps, "at").select(F.col("next").alias("id"), "seed").distinct()
@@ -66,7 +66,7 @@ def two_nearest(edges: DataFrame, seeds: DataFrame, direction: str, depth: int)
         both = new.groupBy("id").agg(F.min("seed").alias("a"), F.max("seed").alias("b"), F.first("own").alias("own"))
         taken = F.when(F.col("own").isNull(), F.array_distinct(F.array("a", "b"))).otherwise(F.array("a"))
         frontier = stored(both.select("id", F.explode(taken).alias("seed"), F.lit(level).alias("depth")), "nearest")
-        size = frontier.count()
+        size = rows_of(frontier)
         if not size:
             break
         found = found.unionByName(frontier)
@@ -199,7 +199,7 @@ def grown(graph: Graph, type_id: str, direction: str, depth: int) -> DataFrame:
         todo = stored(todo if expanded is None else todo.join(expanded, "path", "left_anti"), "todo")
         below = sized(todo).join(steps, "id").drop("id")
         below = stored(below.join(names, "next").select((F.col("level") + 1).alias("level"), F.col("next").alias("id"), F.concat("path", F.array(F.struct(F.col("next_fqn").alias("fqn"), F.col("next").alias("id")))).alias("path")), "tree")
-        if not below.take(1):
+        if not rows_of(below):
             return shown
         expanded = todo.select("path") if expanded is None else expanded.unionByName(todo.select("path"))
         rows = rows.unionByName(below)
@@ -219,6 +219,6 @@ def first_shown(rows: DataFrame) -> DataFrame:
             return marked
         above = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))
         below = stored(marked.filter("size(path) > 1").select("path", F.explode(above).alias("_above")).join(again, "_above").select("path").distinct(), "below")
-        if not below.take(1):
+        if not rows_of(below):
             return marked
         rows = marked.join(below, "path", "left_anti").drop("already_shown")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of a stored frontier up to which it is broadcast; ids take about 40 bytes a row.
 BROADCAST_ROWS = 200_000
@@ -37,20 +38,31 @@ _scopes: list[list[str]] = []
 def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs a read.
 
-    Inside temporaries() the table goes with the scope, or, to be kept, with the scope around it.
+    Inside temporaries() the table goes with the scope, or, to be kept, with the scope around it. Its rows are counted
+    as they are written; rows_of() tells.
     """
     spark = df.sparkSession
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("n"))
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")  # shuffle files go with the write, which is the only use of this plan
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        counted.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     around = _scopes[:-1] if keep else _scopes
     if around:
         around[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._rows = seen.get["n"]
+    return out
+
+
+def rows_of(df: DataFrame) -> int:
+    """How many rows a frame has: known for what stored() returned, else counted."""
+    known = df.__dict__.get("_rows")
+    return df.count() if known is None else known
 
 
 @contextmanager
@@ -68,6 +80,4 @@ def temporaries(spark: SparkSession):
 
 def sized(df: DataFrame) -> DataFrame:
     """A stored table, marked for broadcast if its rows, which are counted, are few enough."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows_of(df) <= BROADCAST_ROWS else df
