@@ -314,3 +314,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 def op1_minhash_dedup(spark, sf_dir) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir))
+
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ORACLE_SQL = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM docs),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM ways UNION SELECT r.a, l.b FROM reach r JOIN ways l ON l.a = r.b),
+least AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, doc_id <= coalesce(least, doc_id) AS kept FROM sets LEFT JOIN least USING (doc_id)
+"""

@@ -7,9 +7,11 @@ from .fingerprints import op2_fingerprints
 from .langid import op6_language_id
 from .lines import ORACLE_SQL as OP7_SQL
 from .lines import op7_line_dedup
+from .minhash import ORACLE_SQL as OP1_SQL
 from .minhash import op1_minhash_dedup
 from .packing import op9_packing
 from .quality import op4_quality_rules
+from .substrings import ORACLE_SQL as OP8_SQL
 from .substrings import op8_substring_dedup
 from .toxicity import op10_toxicity
 from .wordpiece import op5_token_counts
@@ -20,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL}
+    return {"op1_minhash_dedup": OP1_SQL, "op7_line_dedup": OP7_SQL, "op8_substring_dedup": OP8_SQL}

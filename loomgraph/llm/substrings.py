@@ -412,3 +412,18 @@ def delete_repeats(docs: DataFrame, most: int = GROUP) -> DataFrame:
 
 def op8_substring_dedup(spark, sf_dir) -> DataFrame:
     return removed_bytes(common.documents(spark, sf_dir))
+
+
+ORACLE_SQL = """
+WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS raw, hex(raw) AS h FROM documents),
+starts AS (SELECT doc_id, raw, unnest(range(0, length(h) // 2 - 99)) AS s FROM docs),
+named AS MATERIALIZED (SELECT doc_id * 4294967296 + s AS place, hash(raw[s + 1 : s + 100]) AS name, hash(raw[s + 2 : s + 99]) AS tail FROM starts),
+firsts AS (SELECT name, tail, min(place) AS first FROM named GROUP BY name, tail HAVING count(*) > 1),
+again AS (SELECT place // 4294967296 AS doc_id, place % 4294967296 AS s FROM named JOIN firsts USING (name, tail) WHERE place > first),
+later AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS opens FROM again),
+numbered AS (SELECT doc_id, s, sum(opens) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM later),
+spans AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM numbered GROUP BY doc_id, span),
+pieces AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+cut AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS ends, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS kept FROM pieces JOIN docs USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(ends, 0) + 1))) AS kept_sha256 FROM docs LEFT JOIN cut USING (doc_id)
+"""
