@@ -153,7 +153,7 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, steps:
         for batch in batches:
             for doc_id, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found, _ = windows_of([text.encode()], TRAINED)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array([doc_id] * len(found), pa.int64()), pa.array(range(len(found)), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["lang", "doc_id", "k", "window"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array([doc_id] * len(found), pa.int64()), pa.array(range(len(found)), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["lang", "doc_id", "k", "window"])
 
     pieces = sample.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(cut, "lang string, doc_id long, k long, window binary")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "k"), "doc_id", "k", "window")
