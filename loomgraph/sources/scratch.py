@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import uuid
 from contextlib import contextmanager
+from threading import Thread
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a stored frontier up to which it is broadcast; ids take about 40 bytes a row.
 BROADCAST_ROWS = 200_000
+#: Seconds that rows_of() waits.
+WAIT = 15
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,14 +58,21 @@ def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     if around:
         around[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._rows = seen.get["n"]
+    out._seen = seen
     return out
 
 
 def rows_of(df: DataFrame) -> int:
-    """How many rows a frame has: known for what stored() returned, else counted."""
-    known = df.__dict__.get("_rows")
-    return df.count() if known is None else known
+    """How many rows a frame has: told by the write of what stored() returned, else counted.
+
+    On a very busy cluster the message of the write can get lost; after WAIT seconds the rows are counted.
+    """
+    seen, told = df.__dict__.get("_seen"), []
+    if seen is not None:
+        asking = Thread(target=lambda: told.append(seen.get["n"]), daemon=True)
+        asking.start()
+        asking.join(WAIT)
+    return told[0] if told else df.count()
 
 
 @contextmanager
