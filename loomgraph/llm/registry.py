@@ -13,6 +13,7 @@ from .packing import op9_packing
 from .prefixes import ORACLE_SQL as OP11_SQL
 from .prefixes import op11_prefix_trie
 from .quality import op4_quality_rules
+from .simhash import op12_simhash_dedup
 from .substrings import ORACLE_SQL as OP8_SQL
 from .substrings import op8_substring_dedup
 from .toxicity import op10_toxicity
@@ -20,7 +21,7 @@ from .wordpiece import op5_token_counts
 
 
 def queries() -> dict:
-    found = (op1_minhash_dedup, op2_fingerprints, op3_bpe, op4_quality_rules, op5_token_counts, op6_language_id, op7_line_dedup, op8_substring_dedup, op9_packing, op10_toxicity, op11_prefix_trie)
+    found = (op1_minhash_dedup, op2_fingerprints, op3_bpe, op4_quality_rules, op5_token_counts, op6_language_id, op7_line_dedup, op8_substring_dedup, op9_packing, op10_toxicity, op11_prefix_trie, op12_simhash_dedup)
     return {f.__name__: f for f in found}
 
 
