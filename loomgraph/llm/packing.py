@@ -10,8 +10,8 @@ where a cut at a document's end costs nothing, at a sentence's end SENTENCE_COST
 HARD_COST. Padding is linear, so f(j) needs the smallest f(i) + c[i] of a sliding window, which a
 monotone queue keeps: linear time.
 
-The stream of a partition is worked off in blocks, so memory is bounded by a block and the longest
-document. There is no shuffle: partitions are packed by themselves, and what is left at the end of
+The stream of a partition is worked off in blocks of tokens and of documents, so memory is bounded by a block and
+the longest document. There is no shuffle: partitions are packed by themselves, and what is left at the end of
 one is cut into powers of two, which need no padding.
 
 Nulls: a null text is an empty document, which is the one closing token. Repeated rows are packed
@@ -39,7 +39,8 @@ WINDOW = 2048
 SENTENCE_COST = 4
 HARD_COST = 12
 END_ID = 1
-BLOCK_TOKENS = 1 << 20
+#: Tokens, and documents, of a partition that are worked on at once.
+BLOCK_TOKENS, BLOCK_DOCS = 1 << 20, 1 << 17
 #: Letters of ASCII and Latin-1 in UTF-8.
 PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -150,11 +151,14 @@ class Packer:
         kind[ends] = 0
         kind[0] = 0
         soft = np.flatnonzero(kind < 2)
-        gaps = np.flatnonzero(np.diff(soft) > w)
-        starts = np.concatenate([[0], ends])
-        hard = np.concatenate([(starts[:, None] + w * np.arange(1, n // w + 1)).ravel(), *(np.arange(soft[g] + w, soft[g + 1], w) for g in gaps)])
-        hard = hard[hard < n]
-        kind[hard[kind[hard] == 3]] = 2
+        # Full windows after the end of a document: in rows of a window each, everything below one in its column.
+        below = np.zeros(-(-(n + 1) // w) * w, dtype=bool)
+        below[ends], below[0] = True, True
+        below = np.logical_or.accumulate(below.reshape(-1, w), axis=0).ravel()[: n + 1]
+        kind[below & (kind == 3)] = 2
+        for g in np.flatnonzero(np.diff(soft) > w):
+            inside = kind[soft[g] + w : soft[g + 1] : w]
+            inside[inside == 3] = 2
         points = np.flatnonzero(kind < 3)
         return points.tolist(), np.array([0.0, *self.costs])[kind[points]].tolist()
 
@@ -197,8 +201,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
             for part in common.slices(batch):
                 for doc_id, ids in zip(part.column(0).to_pylist(), words.ids(part.column(1)), strict=True):
                     packer.add(doc_id, np.concatenate([ids, closing]))
-                if packer.length >= BLOCK_TOKENS:
-                    yield table(packer.flush(last=False))
+                    if packer.length >= BLOCK_TOKENS or len(packer.docs) >= BLOCK_DOCS:
+                        yield table(packer.flush(last=False))
         yield table(packer.flush(last=True))
 
     return common.id_and_text(docs).mapInArrow(run, SCHEMA)

@@ -739,3 +739,38 @@ def test_toxicity_of_held_out_labels(spark):
     assert len(bad) >= 3
     assert np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good]) > 0.93
     assert np.mean([got[i].predicted == labels[i] for i in held]) > 0.93
+
+
+def test_a_million_empty_texts_are_packed_in_bounded_memory():
+    """A block holds so many documents at most; its cut points take a few bytes a token."""
+    import tracemalloc
+
+    packer = packing.Packer(np.zeros(10, dtype=bool), 2048, 4, 12, 0)
+    closing = np.asarray([1], dtype="<u4")
+    tracemalloc.start()
+    pieces = sequences = 0
+    for doc in range(1_000_000):
+        packer.add(doc, closing)
+        if len(packer.docs) >= packing.BLOCK_DOCS:
+            found = packing.table(packer.flush(last=False))
+            pieces, sequences = pieces + found.num_rows, found.column(5)[-1].as_py() + 1
+    pieces += packing.table(packer.flush(last=True)).num_rows
+    assert tracemalloc.get_traced_memory()[1] < 300_000_000
+    tracemalloc.stop()
+    assert pieces == 1_000_000 and sequences >= 1_000_000 // 2048 - 64
+
+
+def test_hard_cut_points_are_whole_windows_after_documents_and_in_long_sentences():
+    r = random.Random(31)
+    for window in (3, 8):
+        packer = packing.Packer(np.array([False, True]), window, 4, 12, 0)
+        docs = [np.array([int(r.random() < 0.05) for _ in range(r.randint(1, 40))]) for _ in range(30)]
+        for k, ids in enumerate(docs):
+            packer.add(k, ids)
+        points, _ = packer._points()
+        stream = np.concatenate(docs)
+        ends = np.cumsum([len(d) for d in docs]).tolist()
+        soft = sorted({0, *ends, *(np.flatnonzero(stream == 1) + 1).tolist()})
+        want = {*soft, *(s + window * k for s in [0, *ends] for k in range(1, len(stream)) if s + window * k < len(stream))}
+        want |= {x for a, b in zip(soft, soft[1:], strict=False) if b - a > window for x in range(a + window, b, window)}
+        assert points == sorted(want)
