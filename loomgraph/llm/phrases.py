@@ -9,11 +9,12 @@ Phrases are counted by pivot partitioning:
 1. Words are counted per language. A table of CELLS cells, so of one size whatever the input, tells for a hash of a word
    the count of the most frequent frequent word with that hash, or that there is none. It puts all words in one
    order, from rare to frequent, with ties by hash; the order need only be the same everywhere, so words that
-   share a cell cost work and change no result.
+   share a cell cost work and change no result. A map of PAIRS bits tells in the same way of two such words next to each
+   other that they may be frequent together; two that aren't are in no candidate.
 2. The pivot of a phrase is its rarest word, at its first place. For each occurrence of a word the fragment around it is
    written out in which it is the pivot: up to LONGEST - 1 words to each side, to the left as far as words are less rare,
-   to the right as far as they aren't rarer; words that aren't frequent end it. Each occurrence of a phrase of frequent
-   words so lies in one fragment around its pivot. Fragments that are equal go as one with their number, to the pivot's task.
+   to the right as far as they aren't rarer; words that aren't frequent end it, and pairs that aren't. Each occurrence of a
+   candidate so lies in one fragment around its pivot. Fragments that are equal go as one with their number, to the pivot's task.
 3. There all phrases of a fragment that contain its pivot's place are counted, pivot by pivot in bounded lots. All
    of a pivot's fragments are in one task, so what is too rare goes at once. Pivots with more than SPLIT occurrences are
    dealt over several tasks, and one with more fragments than a lot is counted in several lots; their counts are added up
@@ -43,7 +44,7 @@ from . import common
 LONGEST, MINIMUM, TOP = 5, 100, 2000
 #: A candidate goes if one that it lies in occurs in so many of a hundred of its occurrences.
 ABSORBED = 100
-CELLS = 1 << 20
+CELLS, PAIRS = 1 << 20, 1 << 22
 #: Occurrences of a pivot for each task that counts it.
 SPLIT = 1 << 18
 #: Fragments that are counted at once.
@@ -104,19 +105,65 @@ def rarity(frequent: DataFrame, cells: int = CELLS) -> np.ndarray:
     return out
 
 
-def reaches(rank: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """How far each place's fragment goes to the left, where ranks are above its own, and to the right, where they aren't below; -1 ends all."""
+class Places:
+    """The words of a language's texts in turn, a newline standing between pieces, with each distinct one's hash, count and rank, which is -1 if it can't be in a candidate."""
+
+    def __init__(self, lang: str, data: bytes, table: np.ndarray, minimum: int):
+        self.distinct, codes = coded(data.replace(b"\n", b" \n ").split(b" "))
+        self.h = hashes_of(lang, self.distinct)
+        self.f = table[(self.h & U(len(table) - 1)).astype(np.int64)]
+        rank = np.empty(len(self.distinct), dtype=np.int64)
+        rank[np.lexsort((self.h, self.f))] = np.arange(len(rank))
+        rank[self.f < minimum] = -1
+        rank[[w == b"\n" for w in self.distinct]] = -1
+        self.codes = codes[~np.array([not w for w in self.distinct], dtype=bool)[codes]]  # several spaces
+        self.rank = rank[self.codes]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where a word and the one after it may be in a candidate, and a hash of the two."""
+        at = np.flatnonzero((self.rank[:-1] >= 0) & (self.rank[1:] >= 0))
+        h = self.h[self.codes]
+        mixed = (h[at] * U(0x9E3779B97F4A7C15) ^ (h[at + 1] >> U(7))) + h[at + 1]
+        return at, (mixed ^ (mixed >> U(31))) * U(0xBF58476D1CE4E5B9)
+
+    def joined(self, pairs: np.ndarray) -> np.ndarray:
+        """For each place whether the word and the one before it may be together in a candidate."""
+        out = np.zeros(len(self.codes), dtype=bool)
+        at, h = self.pairs()
+        cell = (h & U(8 * len(pairs) - 1)).astype(np.int64)
+        out[at + 1] = pairs[cell >> 3] >> (cell & 7) & 1
+        return out
+
+
+def frequent_pairs(docs: DataFrame, table: np.ndarray, minimum: int, cells: int = PAIRS) -> np.ndarray:
+    """A bit for each hash of two words: whether any such pair is frequent."""
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, data in by_language(batches):
+            pair, n = np.unique(Places(lang, data, shared.value, minimum).pairs()[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(n)], names=["pair", "n"])
+
+    counts = language_and_text(docs).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    rows = counts.filter(F.col("n") >= minimum).select(F.col("pair").bitwiseAND(cells - 1).alias("cell")).distinct().toArrow()
+    out = np.zeros(cells, dtype=bool)
+    out[rows["cell"].to_numpy()] = True
+    return np.packbits(out, bitorder="little")
+
+
+def reaches(rank: np.ndarray, joined: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far each place's fragment goes to the left, where ranks are above its own, and to the right, where they aren't below; -1 ends all, and so does a place that isn't joined to the one before."""
     out = []
     for to_left in (True, False):
         far, open_ = np.zeros(len(rank), dtype=np.int64), rank >= 0
         for k in range(1, most):
-            other = np.full(len(rank), -1, dtype=rank.dtype)
+            other, near = np.full(len(rank), -1, dtype=rank.dtype), np.zeros(len(rank), dtype=bool)
             if to_left:
-                other[k:] = rank[:-k]
-                open_ = open_ & (other > rank)
+                other[k:], near[k - 1 :] = rank[:-k], joined[: len(rank) - k + 1]
+                open_ = open_ & near & (other > rank)
             else:
-                other[:-k] = rank[k:]
-                open_ = open_ & (other >= rank)
+                other[:-k], near[:-k] = rank[k:], joined[k:]
+                open_ = open_ & near & (other >= rank)
             if not open_.any():
                 break
             far += open_
@@ -132,39 +179,29 @@ def cut_out(flat: bytes, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.frombuffer(flat, dtype=np.uint8)[at])])
 
 
-def fragments(docs: DataFrame, table: np.ndarray, longest: int, minimum: int, split: int) -> DataFrame:
-    """(lang, pivot, salt, whole, left, words, n): pivot is its hash, left its place in the words; whole tells that the pivot has one salt."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+def fragments(docs: DataFrame, table: np.ndarray, pairs: np.ndarray, longest: int, minimum: int, split: int) -> DataFrame:
+    """(lang, pivot, salt, whole, left, words, n): pivot is half its hash, left its place in the words; whole tells that the pivot has one salt."""
+    shared = docs.sparkSession.sparkContext.broadcast((table, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table, pairs = shared.value
         for lang, data in by_language(batches):
-            # A newline is a word that ends pieces.
-            distinct, codes = coded(data.replace(b"\n", b" \n ").split(b" "))
-            h = hashes_of(lang, distinct)
-            f = table[(h & U(len(table) - 1)).astype(np.int64)]
-            order = np.lexsort((h, f))
-            rank = np.empty(len(distinct), dtype=np.int64)
-            rank[order] = np.arange(len(distinct))
-            rank[f < minimum] = -1
-            nothing = np.array([not w for w in distinct], dtype=bool)
-            rank[[w == b"\n" for w in distinct]] = -1
-            codes = codes[~nothing[codes]]  # several spaces
-            left, right = reaches(rank[codes], longest)
+            places = Places(lang, data, table, minimum)
+            left, right = reaches(places.rank, places.joined(pairs), longest)
             at = np.flatnonzero(left + right)
             if not len(at):
                 continue
-            size = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct))[codes]
+            size = np.fromiter(map(len, places.distinct), dtype=np.int64, count=len(places.distinct))[places.codes]
             ends = np.cumsum(size + 1) - 1
-            flat = b" ".join(map(distinct.__getitem__, codes.tolist()))
+            flat = b" ".join(map(places.distinct.__getitem__, places.codes.tolist()))
             strings = cut_out(flat, (ends - size)[at - left[at]], ends[at + right[at]])
-            kind = strings.dictionary_encode()
-            which = kind.indices.to_numpy().astype(np.int64) * longest + left[at]
+            which = strings.dictionary_encode().indices.to_numpy().astype(np.int64) * longest + left[at]
             _, one, n = np.unique(which, return_index=True, return_counts=True)
-            pivot, salts = h[codes[at[one]]], -(-f[codes[at[one]]] // split)
+            pivot = places.codes[at[one]]
+            salts = -(-places.f[pivot] // split)
             columns = [
                 pa.array([lang] * len(one), type=pa.string()),
-                pa.array(pivot.view(np.int64)),
+                pa.array((places.h[pivot] >> U(32)).astype(np.uint32).view(np.int32)),
                 pa.array((one % salts).astype(np.int32)),
                 pa.array(salts == 1),
                 pa.array(left[at[one]].astype(np.int32)),
@@ -173,7 +210,7 @@ def fragments(docs: DataFrame, table: np.ndarray, longest: int, minimum: int, sp
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "pivot", "salt", "whole", "left", "words", "n"])
 
-    return language_and_text(docs).mapInArrow(run, "lang string, pivot long, salt int, whole boolean, left int, words string, n long")
+    return language_and_text(docs).mapInArrow(run, "lang string, pivot int, salt int, whole boolean, left int, words string, n long")
 
 
 def phrases_in(lefts: np.ndarray, words: pa.Array, n: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -294,13 +331,14 @@ def absorbed(candidates: DataFrame, percent: int) -> DataFrame:
     return candidates.join(common.stored(inside, "inside"), ["lang", "phrase"]).filter(100 * F.col("most") >= percent * F.col("a")).select("lang", "phrase")
 
 
-def collocations(docs: DataFrame, longest: int = LONGEST, minimum: int = MINIMUM, top: int = TOP, percent: int = ABSORBED, cells: int = CELLS, split: int = SPLIT, lot: int = LOT) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = LONGEST, minimum: int = MINIMUM, top: int = TOP, percent: int = ABSORBED, cells: int = CELLS, pairs: int = PAIRS, split: int = SPLIT, lot: int = LOT) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first `top` phrases. docs needs text and lang."""
     with common.temporaries(docs.sparkSession):
         words = common.stored(word_counts(docs), "words")
         totals = common.stored(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
         frequent = common.stored(words.filter(F.col("n") >= minimum), "frequent")
-        pieces = fragments(docs, rarity(frequent, cells), longest, minimum, split)
+        table = rarity(frequent, cells)
+        pieces = fragments(docs, table, frequent_pairs(docs, table, minimum, pairs), longest, minimum, split)
         candidates = common.stored(phrase_counts(pieces, longest, minimum, lot), "candidates")
         staying = scored(candidates, frequent, totals).join(common.stored(absorbed(candidates, percent), "absorbed"), ["lang", "phrase"], "left_anti")
         order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

@@ -146,30 +146,35 @@ def witness(members: set[str], after: dict[str, list[str]]) -> list[str]:
     return []
 
 
-def shortest_cycles(inside: DataFrame) -> DataFrame:
-    """(path, hops, weight): a shortest cycle through the least member of each component, of edges inside components (c1, from, to, n).
+def stepped(inside: DataFrame) -> DataFrame:
+    """(path, hops, weight) as witness() gives them, of edges inside components (c1, from, to, n), a step of all components a join.
 
-    A level of all components is one join; of the ways to a node the least counts.
+    A component's row is its path and what was seen; a step goes to the least neighbour that wasn't, or back where there is none.
     """
-    steps = inside.select("c1", F.col("from").alias("node"), "to", "n")
-    frontier = stored(inside.select("c1", F.col("c1").alias("node")).distinct().withColumn("way", F.struct(F.array("node").alias("path"), F.lit(0).cast("long").alias("weight"))), "ways")
-    seen, found = frontier.select("c1", "node"), None
-    while rows_of(frontier):
-        way = F.struct(F.concat("way.path", F.array("to")).alias("path"), (F.col("way.weight") + F.col("n")).alias("weight"))
-        after = frontier.join(steps, ["c1", "node"]).groupBy("c1", F.col("to").alias("node")).agg(F.min(way).alias("way"))
-        after = stored(after, "ways")
-        closed = after.filter(F.col("node") == F.col("c1")).select("c1", "way")
+    edges = inside.select("c1", F.col("from").alias("end"), "to", "n")
+    ways = F.array(F.struct(F.col("c1").alias("to"), F.lit(0).cast("long").alias("n")))
+    now = stored(inside.select("c1").distinct().select("c1", ways.alias("path"), F.array("c1").alias("seen")), "ways")
+    found = None
+    while rows_of(now):
+        open_ = now.withColumn("end", F.element_at("path", -1)["to"])
+        tried = open_.join(edges, ["c1", "end"]).filter((F.col("to") == F.col("c1")) | ~F.array_contains("seen", F.col("to")))
+        chosen = stored(tried.groupBy("c1").agg(F.min(F.struct("to", "n")).alias("step")), "steps")
+        moved = stored(open_.drop("end").join(chosen, "c1", "left"), "moves")
+        closed = moved.filter(F.col("step.to") == F.col("c1")).select(F.array_append("path", F.col("step")).alias("path"))
         found = closed if found is None else found.unionByName(closed)
-        frontier = stored(after.join(seen, ["c1", "node"], "left_anti").join(closed.select("c1"), "c1", "left_anti"), "ways")
-        seen = seen.unionByName(frontier.select("c1", "node"))
-    return found.select("way.path", (F.size("way.path") - 1).alias("hops"), "way.weight")
+        on = moved.filter("step is not null and step.to <> c1").select("c1", F.array_append("path", F.col("step")).alias("path"), F.array_append("seen", F.col("step.to")).alias("seen"))
+        back = moved.filter("step is null").select("c1", F.slice("path", F.lit(1), F.size("path") - 1).alias("path"), "seen")
+        now = stored(on.unionByName(back), "ways")
+    names = F.transform("path", lambda x: x["to"])
+    weight = F.aggregate("path", F.lit(0).cast("long"), lambda total, x: total + x["n"])
+    return found.select(names.alias("path"), (F.size("path") - 1).alias("hops"), weight.alias("weight"))
 
 
 def cycles(edges: DataFrame) -> DataFrame:
     """(path, hops, weight): one cycle for each component of edges (from, to, n), heaviest first.
 
     Only edges inside components come to the driver, and no more than DRIVER_EDGES of them, which are counted; where there are
-    more, the cycles are shortest_cycles().
+    more, the same cycles are found by joins.
     """
     edges = stored(edges, "weighted")
     order = F.desc("weight"), F.desc("hops"), "path"
@@ -177,7 +182,7 @@ def cycles(edges: DataFrame) -> DataFrame:
     inside = edges.join(named.select(F.col("node").alias("from"), F.col("component").alias("c1")), "from").join(named.select(F.col("node").alias("to"), F.col("component").alias("c2")), "to").filter("c1 = c2")
     inside = stored(inside.select("c1", "from", "to", "n"), "inside")
     if rows_of(inside) > DRIVER_EDGES:
-        return shortest_cycles(inside).orderBy(*order)
+        return stepped(inside).orderBy(*order)
     after, weight, members = defaultdict(list), {}, defaultdict(set)
     for r in inside.collect():
         after[r["from"]].append(r["to"])

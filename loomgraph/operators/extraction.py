@@ -228,20 +228,42 @@ def classified_calls(calls: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- environment
 
 
-def sdk_allows(pinned: tuple[int, int, int], installed: tuple[int, int, int], policy: str | None = None) -> bool:
-    """Whether an installed SDK version satisfies a pinned one under a roll-forward policy; a band is a hundred of the patch."""
-    band = lambda v: (v[0], v[1], v[2] // 100)
-    low, high = band(pinned), band(installed)
-    match (policy or "").lower():
-        case "disable":
-            return pinned == installed
-        case "patch":
-            return low == high and installed[2] >= pinned[2]
-        case "feature" | "latestfeature":
-            return low[:2] == high[:2] and high >= low
-        case "minor" | "latestminor":
-            return low[0] == high[0] and high >= low
-        case "major" | "latestmajor":
-            return high >= low
-        case _:
-            return low == high
+# How far a pinned version may roll forward, by policy, as the level in which the installed one must lie; and where the policy
+# counts bands (hundreds of the patch), from the pinned band's start.
+ROLL_FORWARD = {"disable": "version", "patch": "band", "feature": "minor", "latestfeature": "minor", "minor": "major", "latestminor": "major", "major": "any", "latestmajor": "any"}
+WITHIN_BAND = "band"
+
+
+def version_parts(version: Column) -> Column:
+    """An array of major, minor and patch; null for what isn't three numbers, after which a hyphen and a name may follow."""
+    numbers = F.regexp_extract(version, r"^(\d{1,9}\.\d{1,9}\.\d{1,9})(-.*)?$", 1)
+    return F.when(numbers != "", F.transform(F.split(numbers, r"\."), lambda x: x.cast("long")))
+
+
+def rolled_forward(pins: DataFrame, installed: DataFrame) -> DataFrame:
+    """pins (version, policy, ...) with found: the latest version of installed (version) that satisfies the pin under its policy, or null.
+
+    A range join without ranges: what a policy allows are the versions of a level (the same version, band, minor or major version, or
+    any) that aren't before the pin, or its band. So the latest version of each level decides, and pins meet it by an
+    equality of level and prefix.
+    """
+    parts = version_parts(F.col("version"))
+    at = F.struct(parts[0].alias("major"), parts[1].alias("minor"), parts[2].alias("patch"))
+
+    def prefix(level: str, v: Column) -> Column:
+        """The first numbers of a version, of the level; a band is a hundred of the patch."""
+        whole = [v["major"], v["minor"], F.floor(v["patch"] / 100), v["patch"]]
+        return F.concat_ws(".", *(x.cast("string") for x in whole[: ("any", "major", "minor", "band", "version").index(level)]))
+
+    levels = ("any", "major", "minor", "band", "version")
+    there = installed.filter(parts.isNotNull()).select(F.explode(F.array(*(F.struct(F.lit(x).alias("level"), prefix(x, at).alias("prefix"), at.alias("at")) for x in levels))).alias("x"))
+    latest = there.groupBy("x.level", "x.prefix").agg(F.max("x.at").alias("latest"))
+    policy = F.lower(F.coalesce("policy", F.lit("")))
+    level = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in ROLL_FORWARD.items() for x in p)), policy), F.lit(WITHIN_BAND))
+    asked = pins.select(F.struct(*pins.columns).alias("pin"), level.alias("level"), at.alias("own"), policy.isin("disable", "patch").alias("exact"))
+    own = F.col("own")
+    of_level = F.coalesce(*(F.when(F.col("level") == x, prefix(x, own)) for x in levels))
+    met = asked.withColumn("prefix", of_level).join(stored(latest, "latest"), ["level", "prefix"], "left")
+    least = F.struct(own["major"].alias("major"), own["minor"].alias("minor"), F.when(F.col("exact"), own["patch"]).otherwise(F.floor(own["patch"] / 100) * 100).alias("patch"))
+    found = F.when(own["major"].isNotNull() & (F.col("latest") >= least), F.concat_ws(".", *(F.col(f"latest.{x}").cast("string") for x in ("major", "minor", "patch"))))
+    return met.select("pin.*", found.alias("found"))

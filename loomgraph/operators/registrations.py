@@ -19,8 +19,8 @@ MAP_METHODS = {"MapGet": "GET", "MapPost": "POST", "MapPut": "PUT", "MapDelete":
 CONTROLLER_BASE, NO_CONTROLLER = "ControllerBase", "NonController"
 CLIENT_FACTORY, AMBIENT = "axios.create", "/lib.dom"
 DYNAMIC = ("import", "require")
-#: Hops that a trace of an expression follows.
-MAX_HOPS = 8
+#: Hops that a trace of an expression follows, and hops from alias to alias.
+MAX_HOPS, ALIAS_HOPS = 8, 32
 
 
 def map_verb(method: Column) -> Column:
@@ -151,17 +151,25 @@ def leaf_types(types: DataFrame, chains: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- clients and dynamic imports
 
 
-def originals(names: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
-    """(name, original): where a chain of aliases (name, alias; alias null for a declaration) ends; null beyond so many hops or on a cycle."""
-    now = stored(names.select("name", F.coalesce("alias", "name").alias("at"), F.col("alias").isNotNull().cast("int").alias("n"), F.col("alias").isNull().alias("done")), "names")
-    reach = 1
-    while reach < 2 * hops:
-        up = now.select(F.col("name").alias("at"), F.col("at").alias("_at"), F.col("n").alias("_n"), F.col("done").alias("_done"))
-        joined = now.join(up, "at", "left")
-        moves = ~F.col("done") & F.col("_at").isNotNull()
-        now = stored(joined.select("name", F.when(moves, F.col("_at")).otherwise(F.col("at")).alias("at"), F.when(moves, F.col("n") + F.col("_n")).otherwise(F.col("n")).alias("n"), (F.col("done") | F.coalesce("_done", F.lit(False))).alias("done")), "names")
-        reach *= 2
-    return now.select("name", F.when(F.col("done") & (F.col("n") <= hops), F.col("at")).alias("original"))
+def originals(names: DataFrame, hops: int = ALIAS_HOPS) -> DataFrame:
+    """(name, original): where a chain of aliases (name, alias; alias null for a declaration) has come to after so many hops, or ends.
+
+    A name that isn't in the table ends a chain. Pointer doubling: jumps of 1, 2, 4, ... hops, put together to the number of hops.
+    """
+    jump = stored(names.select("name", F.coalesce("alias", "name").alias("to")), "jumps")
+    now, left = jump.select("name", F.col("name").alias("at")), hops
+
+    def after(rows: DataFrame, at: str) -> DataFrame:
+        further = jump.select(F.col("name").alias(at), F.col("to").alias("_to"))
+        return stored(rows.join(further, at, "left").select("name", F.coalesce("_to", at).alias(at)), "jumps")
+
+    while left:
+        if left & 1:
+            now = after(now, "at")
+        left >>= 1
+        if left:
+            jump = after(jump, "to")
+    return now.select("name", F.col("at").alias("original"))
 
 
 def http_clients(names: DataFrame, declarations: DataFrame) -> DataFrame:

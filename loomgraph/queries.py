@@ -845,8 +845,8 @@ def watch_filter(spark, sf_dir):
     return pages.select("page_id", watch.verdict(path, "C:/repo/.store/graph").alias("verdict"))
 
 
-# Registers the queries on facts of front ends; it needs query() from here.
-from . import fact_queries  # noqa: E402, F401
+# These register more queries; they need query() from here.
+from . import chain_queries, fact_queries  # noqa: E402, F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

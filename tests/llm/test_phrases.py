@@ -58,7 +58,7 @@ def texts():
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"cells": 2}, {"cells": 16, "split": 50}, {"lot": 40}, {"lot": 7, "split": 100, "cells": 64}, {"percent": 60, "top": 15}])
+@pytest.mark.parametrize("options", [{}, {"cells": 2, "pairs": 8}, {"cells": 16, "pairs": 64, "split": 50}, {"lot": 40}, {"lot": 7, "split": 100, "cells": 64}, {"percent": 60, "top": 15}])
 def test_collocations_equal_plain_counts(spark, options):
     """Whatever the words' order (few cells), pivots over several tasks and lots that end within a pivot."""
     rows = texts()
@@ -77,13 +77,14 @@ def test_empty_table_and_texts_without_frequent_words(spark):
     assert found(phrases.collocations(table(spark, [("en", "too few words here"), (None, None)]))) == []
 
 
-def test_each_phrase_is_owned_once():
-    """The fragments of a piece hold each phrase of frequent words once, around its rarest word's first place."""
+@pytest.mark.parametrize("share", [1.0, 0.8])
+def test_each_phrase_is_owned_once(share):
+    """The fragments of a piece hold each phrase of frequent words and pairs once, around its rarest word's first place."""
     r = np.random.default_rng(1)
-    rank = r.integers(-1, 6, 400)
-    left, right = phrases.reaches(rank, 5)
+    rank, joined = r.integers(-1, 6, 400), r.random(400) < share
+    left, right = phrases.reaches(rank, joined, 5)
     owned = Counter((p - x, p + y) for p in np.flatnonzero(rank >= 0) for x in range(left[p] + 1) for y in range(right[p] + 1) if 1 < x + y + 1 <= 5)
-    want = Counter((i, j) for i in range(400) for j in range(i + 1, min(400, i + 5)) if (rank[i : j + 1] >= 0).all())
+    want = Counter((i, j) for i in range(400) for j in range(i + 1, min(400, i + 5)) if (rank[i : j + 1] >= 0).all() and joined[i + 1 : j + 1].all())
     assert owned == want
 
 

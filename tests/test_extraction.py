@@ -119,11 +119,31 @@ def test_call_sites(spark):
     assert df.select(F.size("parts")).first()[0] == 2
 
 
-def test_sdk_policies():
-    assert x.sdk_allows((9, 0, 203), (9, 0, 210))
-    assert not x.sdk_allows((9, 0, 203), (9, 0, 310))
-    assert not x.sdk_allows((9, 0, 203), (9, 0, 201), "patch")
-    assert x.sdk_allows((9, 0, 203), (9, 0, 300), "latestFeature")
-    assert x.sdk_allows((9, 0, 203), (9, 1, 100), "minor")
-    assert x.sdk_allows((9, 0, 203), (10, 0, 100), "latestMajor")
-    assert not x.sdk_allows((9, 0, 203), (9, 0, 204), "disable")
+def band(v):
+    return v[0], v[1], v[2] // 100
+
+
+POLICIES = {
+    "disable": lambda p, v: v == p,
+    "patch": lambda p, v: band(v) == band(p) and v[2] >= p[2],
+    "feature": lambda p, v: v[:2] == p[:2] and band(v) >= band(p),
+    "latestMinor": lambda p, v: v[0] == p[0] and band(v) >= band(p),
+    "major": lambda p, v: band(v) >= band(p),
+    None: lambda p, v: band(v) == band(p),
+    "else": lambda p, v: band(v) == band(p),
+}
+
+
+def test_versions_roll_forward(spark):
+    """Every policy against all installed versions, with pins that aren't versions, previews and repeated rows."""
+    r = random.Random(4)
+    versions = [(r.randint(7, 9), r.randint(0, 1), r.choice([100, 103, 199, 200, 305])) for _ in range(9)]
+    installed = spark.createDataFrame([(".".join(map(str, v)),) for v in versions] + [("9.x",), (None,), ("9.0.100.1",)], "version string")
+    pins = [((r.randint(6, 10), r.randint(0, 1), r.choice([100, 101, 150, 200, 300])), policy) for policy in POLICIES for _ in range(25)]
+    rows = [(k, ".".join(map(str, v)) + ("-rc.1" if k % 5 == 0 else ""), policy, "mine") for k, (v, policy) in enumerate(pins)]
+    rows += [(-1, "none", "major", "mine"), (-2, None, "major", "mine")]
+    got = {x.k: (x.found, x.level) for x in x.rolled_forward(spark.createDataFrame(rows, "k int, version string, policy string, level string"), installed).collect()}
+    for k, (v, policy) in enumerate(pins):
+        fits = [w for w in versions if POLICIES[policy](v, w)]
+        assert got[k] == (".".join(map(str, max(fits))) if fits else None, "mine"), (v, policy)
+    assert got[-1] == got[-2] == (None, "mine")

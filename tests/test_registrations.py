@@ -70,12 +70,13 @@ def test_registrations(spark):
 
 
 def test_clients_and_imports(spark):
-    names = spark.createDataFrame([("api", "http"), ("http", "base"), ("base", None), ("x", "y"), ("y", "x"), *((f"n{k}", f"n{k + 1}") for k in range(12)), ("n12", None)], "name string, alias string")
+    names = spark.createDataFrame([("api", "http"), ("http", "base"), ("base", None), ("x", "y"), ("y", "x"), *((f"n{k}", f"n{k + 1}") for k in range(36)), ("n36", None), ("away", "elsewhere")], "name string, alias string")
     ends = {r.name: r.original for r in registrations.originals(names).collect()}
-    assert (ends["api"], ends["base"], ends["x"]) == ("base", "base", None)
-    assert [k for k in range(13) if ends[f"n{k}"] == "n12"] == list(range(4, 13))  # eight hops and no more
-    declared = spark.createDataFrame([("base", "axios.create"), ("n12", "make")], "name string, initializer string")
-    assert sorted(r.name for r in registrations.http_clients(names, declared).collect()) == ["api", "base", "http"]
+    assert (ends["api"], ends["base"], ends["x"], ends["away"]) == ("base", "base", "x", "elsewhere")
+    assert [ends[f"n{k}"] for k in range(37)] == [f"n{min(36, k + 32)}" for k in range(37)]  # 32 hops and no more
+    assert {r.name: r.original for r in registrations.originals(names, 5).collect()}["n3"] == "n8"
+    declared = spark.createDataFrame([("base", "axios.create"), ("n36", "axios.create")], "name string, initializer string")
+    assert {r.name for r in registrations.http_clients(names, declared).collect()} == {"api", "base", "http", *(f"n{k}" for k in range(4, 37))}
     rows = [(1, "import", None), (2, "property", 1), (3, "property", 2), (4, "identifier", 1), (5, "property", 4), (6, "identifier", 5), (7, "call", 1), (8, "binding", 9), (9, "require", None)]
     rows += [(20 + k, "property", 19 + k) for k in range(1, 10)] + [(20, "import", None)]
     got = {r.id for r in registrations.dynamic_imports(spark.createDataFrame(rows, "id int, shape string, of int")).collect()}
@@ -87,20 +88,16 @@ def test_paths_in_a_project(spark):
     assert [inside(p) for p in ("C:\\w\\app\\x.ts", "C:/w/app", "C:/w/apple/x.ts", "C:/w/app/node_modules/x.ts")] == [True, False, False, False]
 
 
-def test_shortest_cycles_are_cycles(spark):
-    r = random.Random(5)
-    pairs = sorted({(f"n{r.randrange(40):02}", f"n{r.randrange(40):02}") for _ in range(70)})
+@pytest.mark.parametrize("seed", [5, 6, 7])
+def test_cycles_are_the_same_on_the_driver_and_by_joins(spark, monkeypatch, seed):
+    """Random graphs with dead ends, so that the search has to go back."""
+    r = random.Random(seed)
+    pairs = sorted({(f"n{r.randrange(14):02}", f"n{r.randrange(14):02}") for _ in range(26)} | {(f"m{a}", f"m{b}") for a, b in ((0, 1), (1, 2), (2, 1), (1, 3), (3, 0))})
     edges = spark.createDataFrame([(a, b, k + 1) for k, (a, b) in enumerate(pairs) if a != b], "from string, to string, n long")
-    weight = {(e["from"], e["to"]): e.n for e in edges.collect()}
-    one = {min(x.path): x for x in containers.cycles(edges).collect()}
-    named = containers.components(edges)
-    inside = edges.join(named.select(F.col("node").alias("from"), F.col("component").alias("c1")), "from").join(named.select(F.col("node").alias("to"), F.col("component").alias("c2")), "to").filter("c1 = c2")
-    short = {x.path[0]: x for x in containers.shortest_cycles(inside.select("c1", "from", "to", "n")).collect()}
-    assert set(short) == set(one)
-    for start, x in short.items():
-        assert x.path[0] == x.path[-1] == start
-        assert x.weight == sum(weight[e] for e in zip(x.path, x.path[1:], strict=False))
-        assert x.hops == len(x.path) - 1 <= one[start].hops
+    one = [tuple(x) for x in containers.cycles(edges).collect()]
+    monkeypatch.setattr(containers, "DRIVER_EDGES", 0)
+    assert [tuple(x) for x in containers.cycles(edges).collect()] == one
+    assert any(x[0] == ["m0", "m1", "m3", "m0"] for x in one)
 
 
 def test_nearest_two_seeds_give_least_depths(spark):
