@@ -21,6 +21,8 @@ from .scan import by_kind, dependency_edges
 MAX_DEPTH, MAX_RESULTS = 5, 500
 #: Traversal of one seed in impact analysis ends at so many nodes.
 IMPACT_CAP = 10_000
+#: Sketches of 2 ** SKETCH_BITS registers are off by 2 % or so; seeds that seem to reach so much of the cap are counted.
+SKETCH_BITS, NEAR_CAP = 12, 0.8
 
 
 def levels(edges: DataFrame, seeds: DataFrame, direction: str, depth: int | None, keep_seeds: bool = False) -> DataFrame:
@@ -73,6 +75,49 @@ def two_nearest(edges: DataFrame, seeds: DataFrame, direction: str, depth: int)
     return found
 
 
+def reach_estimates(edges: DataFrame, seeds: DataFrame, direction: str, depth: int, ids: DataFrame) -> DataFrame:
+    """(id, n) of seeds (column id): about how many nodes each leads to within a depth, itself included, for all seeds at once.
+
+    ids: all nodes (column id) that any of the seeds leads to, and the seeds. Each has a sketch of the set of nodes within 0, 1, 2, ...
+    steps of it; a step unites the sketches of a node's neighbours with its own. Sketches have a fixed size and unite
+    before they are shuffled, so a level moves no more than one for each edge, whatever the seeds lead to.
+    """
+    near, far = ("source_id", "target_id") if direction == "outgoing" else ("target_id", "source_id")
+    ids = ids.select("id").distinct()
+    steps = stored(edges.select(F.col(near).alias("at"), F.col(far).alias("id")).distinct().join(ids.select(F.col("id").alias("at")), "at", "left_semi").join(ids, "id", "left_semi"), "steps")
+    now = stored(ids.groupBy("id").agg(F.hll_sketch_agg("id", SKETCH_BITS).alias("sketch")), "sketches")
+    for _ in range(depth):
+        after = steps.join(now, "id").select(F.col("at").alias("id"), "sketch").unionByName(now)
+        now = stored(after.groupBy("id").agg(F.hll_union_agg("sketch").alias("sketch")), "sketches")
+    return now.join(seeds.select("id").distinct(), "id", "left_semi").select("id", F.hll_sketch_estimate("sketch").alias("n"))
+
+
+def nearest_within(graph: Graph, edges: DataFrame, seeds: DataFrame, direction: str, depth: int, cap: int) -> tuple[DataFrame, DataFrame]:
+    """(seed, id, depth): of the nodes that each seed leads to the nearest `cap`, by depth, name and id; and (seed) of those that have so many.
+
+    A seed that has its nodes isn't followed further, so its rows are the cap and one level more.
+    """
+    near, far = ("source_id", "target_id") if direction == "outgoing" else ("target_id", "source_id")
+    steps = edges.select(F.col(near).alias("at"), F.col(far).alias("next"))
+    there = graph.nodes.select("id")
+    seen = frontier = stored(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")).distinct(), "frontier")
+    found, full = None, None
+    for level in range(1, depth + 1):
+        after = frontier.select("seed", F.col("id").alias("at")).join(steps, "at").select("seed", F.col("next").alias("id")).distinct()
+        after = stored(after.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(level)), "frontier")
+        seen = seen.unionByName(after)
+        rows = after.join(there, "id", "left_semi")
+        found = rows if found is None else found.unionByName(rows)
+        full = stored(found.groupBy("seed").count().filter(F.col("count") >= cap).select("seed"), "full")
+        frontier = after.join(full, "seed", "left_anti")
+        if not frontier.take(1):
+            break
+    # Only the last level of a seed with enough is more than it needs.
+    nearest = Window.partitionBy("seed").orderBy("depth", "fqn", "id")
+    named = found.join(full, "seed", "left_semi").join(graph.nodes.select("id", "fqn"), "id").withColumn("_k", F.row_number().over(nearest)).filter(F.col("_k") <= cap)
+    return found.join(full, "seed", "left_anti").unionByName(named.select(found.columns)), full
+
+
 def traverse(graph: Graph, start_id: str, direction: str, depth: int = MAX_DEPTH, max_results: int | None = MAX_RESULTS) -> DataFrame:
     """The nodes within a distance by all edges but containment, with their depth, nearest first; all of them if max_results is None.
 
@@ -140,13 +185,19 @@ def impact(graph: Graph, fqn: str, depth: int = MAX_DEPTH, cap: int = IMPACT_CAP
     interface's member does; these are dependents themselves (depth 1 unless they are nearer) and seeds of
     further ones. What changes is no result. cap: of each seed's dependents the nearest so many count.
     """
+    return capped_impact(graph, fqn, depth, cap)[0]
+
+
+def capped_impact(graph: Graph, fqn: str, depth: int = MAX_DEPTH, cap: int = IMPACT_CAP) -> tuple[DataFrame, bool]:
+    """impact(), and whether a seed has so many dependents that they were cut, so that there may be more."""
     with temporaries(graph.nodes.sparkSession):
-        marked = stored(impacted(graph, fqn, depth, cap), "impacted", keep=True)
-    return graph.nodes.join(sized(marked), "id")
+        marked, cut = impacted(graph, fqn, depth, cap)
+        marked = stored(marked, "impacted", keep=True)
+    return graph.nodes.join(sized(marked), "id"), cut
 
 
-def impacted(graph: Graph, fqn: str, depth: int, cap: int) -> DataFrame:
-    """(id, depth, is_implementer) for impact()."""
+def impacted(graph: Graph, fqn: str, depth: int, cap: int) -> tuple[DataFrame, bool]:
+    """(id, depth, is_implementer) for impact(), and whether the cap cut anything off."""
     targets = stored(graph.nodes.filter(F.col("fqn") == fqn), "targets")
     interfaces = targets.filter(F.col("kind") == "Interface").select("id")
     inside = by_kind(graph.edges, "Contains").join(interfaces.withColumnRenamed("id", "source_id"), "source_id", "left_semi").select(F.col("target_id").alias("id"))
@@ -161,17 +212,19 @@ def impacted(graph: Graph, fqn: str, depth: int, cap: int) -> DataFrame:
     seeds = changing.unionByName(implementers)
     edges = dependency_edges(graph.edges)
     found = two_nearest(edges, seeds, "incoming", depth)
-    near = found.filter(F.col("id") != F.col("seed")).groupBy("id").agg(F.min("depth").alias("depth"))
+    cut = False
     if found.select("id").distinct().count() > cap:
-        # Only then can one seed have more dependents than count; each is followed for itself.
-        reached = levels(edges, seeds, "incoming", depth)
-        if reached.groupBy("seed").count().filter(F.col("count") > cap).take(1):
-            nearest = Window.partitionBy("seed").orderBy("depth", "fqn", "id")
-            named = reached.join(graph.nodes.select("id", "fqn"), "id")
-            reached = named.withColumn("_k", F.row_number().over(nearest)).filter(F.col("_k") <= cap)
-        near = reached.groupBy("id").agg(F.min("depth").alias("depth"))
+        # Only then can one seed have as many dependents as count. Those that seem to are followed for themselves, the others still together.
+        reach = reach_estimates(edges, seeds, "incoming", depth, found)
+        large = stored(reach.filter(F.col("n") > NEAR_CAP * cap).select("id"), "large")
+        if rows_of(large):
+            own, full = nearest_within(graph, edges, large, "incoming", depth, cap)
+            cut = bool(full.take(1))
+            rest = seeds.join(large, "id", "left_anti")
+            found = two_nearest(edges, rest, "incoming", depth).select("seed", "id", "depth").unionByName(own.select("seed", "id", "depth"))
+    near = found.filter(F.col("id") != F.col("seed")).groupBy("id").agg(F.min("depth").alias("depth"))
     marked = near.join(implementers.withColumn("is_implementer", F.lit(True)), "id", "full").join(changing, "id", "left_anti")
-    return marked.select("id", F.coalesce("depth", F.lit(1)).alias("depth"), F.coalesce("is_implementer", F.lit(False)).alias("is_implementer"))
+    return marked.select("id", F.coalesce("depth", F.lit(1)).alias("depth"), F.coalesce("is_implementer", F.lit(False)).alias("is_implementer")), cut
 
 
 def hierarchy(graph: Graph, type_id: str, direction: str, depth: int = MAX_DEPTH) -> DataFrame:

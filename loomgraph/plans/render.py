@@ -44,7 +44,8 @@ def render(result: Result | Failure, budget: int = BUDGET) -> str:
     if isinstance(result, Failure):
         return result.payload()
     lines = [result.text] if result.text else []
-    lines += [f"{name}: {n}" for name, n in result.counts.items()]
+    cut = " or more, as the search was cut off" if result.lower_bound else ""
+    lines += [f"{name}: {n}{cut}" for name, n in result.counts.items()]
     for name, frame in result.frames.items():
         rows = frame.collect()
         lines.append(f"{name} ({len(rows)}{'+' if result.more and frame is result.rows else ''}):")

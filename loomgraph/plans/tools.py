@@ -34,12 +34,13 @@ UNKNOWN_PROJECT = "~unknown"
 
 @dataclass
 class Result:
-    """What a tool found: frames by name, counts, and a text where there is nothing to show."""
+    """What a tool found: frames by name, counts, whether rows (more) or counts (lower_bound) were cut, and a text where there is nothing to show."""
 
     frames: dict[str, DataFrame] = field(default_factory=dict)
     counts: dict[str, int] = field(default_factory=dict)
     more: bool = False
     text: str = ""
+    lower_bound: bool = False
 
     @property
     def rows(self) -> DataFrame:
@@ -168,10 +169,11 @@ class Tools:
         targets = self.resolve(g, fqn)
         if isinstance(targets, Result):
             return targets
-        found = stored(attribute.with_project(traverse.impact(g, fqn), g.nodes).withColumn("project", F.coalesce("project", F.lit("(unknown)"))), "impact")
+        reached, cut = traverse.capped_impact(g, fqn)
+        found = stored(attribute.with_project(reached, g.nodes).withColumn("project", F.coalesce("project", F.lit("(unknown)"))), "impact")
         rows, more = capped(found.select("kind", "fqn", "depth", "project", "is_implementer").orderBy("depth", "fqn"), IMPACT)
         by = {f"by_{c}": found.groupBy(c).agg(F.count("*").alias("n")).orderBy(F.desc("n"), c) for c in ("project", "kind")}
-        return Result({"dependents": rows, **by}, {"dependents": found.count()}, more)
+        return Result({"dependents": rows, **by}, {"dependents": found.count()}, more, lower_bound=cut)
 
     def find_tests_for_symbol(self, fqn: str) -> Result:
         g = self.graph()
