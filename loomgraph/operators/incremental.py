@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..schema import Graph
 from ..sources.scratch import rows_of, stored
+from ..sources.store import first_of_each
 from .scan import without_dangling
 
 
@@ -41,8 +42,8 @@ def evict(graph: Graph, paths: DataFrame) -> Graph:
 
 
 def merge(first: Graph, second: Graph) -> Graph:
-    """The union of two graphs; of nodes with one id the first graph's stays."""
-    new = second.nodes.join(first.nodes.select("id"), "id", "left_anti").select(*schema.NODES.names).dropDuplicates(["id"])
+    """The union of two graphs; of nodes with one id the first graph's stays, and of several in the second the least row."""
+    new = first_of_each(second.nodes.join(first.nodes.select("id"), "id", "left_anti").select(*schema.NODES.names), ["id"])
     nodes = first.nodes.select(*schema.NODES.names).unionByName(new)
     edges = first.edges.select(*schema.EDGES.names).unionByName(second.edges.select(*schema.EDGES.names)).distinct()
     return Graph(nodes, edges)

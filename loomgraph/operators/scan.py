@@ -44,17 +44,18 @@ def find_symbols(nodes: DataFrame, query: str, limit: int, kind: str | None = No
     return shortest_first(by_kind(nodes, kind).filter(F.lower("name").contains(wanted) | F.lower("fqn").contains(wanted)), limit)
 
 
-def edges_of(edges: DataFrame, node_id: str, direction: str, kind: str | None = None) -> DataFrame:
+def edges_of(graph: Graph, node_id: str, direction: str, kind: str | None = None) -> DataFrame:
     """The edges at a node: outgoing, incoming or both; a loop is one edge."""
     out, into = F.col("source_id") == node_id, F.col("target_id") == node_id
-    at = {"outgoing": out, "incoming": into, "both": out | into}[direction]
-    return edges.filter(at if kind is None else at & (F.col("kind") == kind))
+    leaving, coming = graph.edges.filter(out), graph.towards("incoming").filter(into)
+    found = {"outgoing": leaving, "incoming": coming, "both": leaving.unionByName(coming.filter(~out))}[direction]
+    return found if kind is None else found.filter(F.col("kind") == kind)
 
 
 def neighbours(graph: Graph, ids: DataFrame, direction: str) -> DataFrame:
     """For nodes (column id): id, rel_kind and neighbour_id of each dependency edge, with the neighbour's columns, null where there is no such node."""
     near, far = ("source_id", "target_id") if direction == "outgoing" else ("target_id", "source_id")
-    edges = dependency_edges(graph.edges).join(ids.select(F.col("id").alias(near)).distinct(), near, "left_semi")
+    edges = dependency_edges(graph.towards(direction)).join(ids.select(F.col("id").alias(near)).distinct(), near, "left_semi")
     named = edges.select(F.col(near).alias("id"), F.col("kind").alias("rel_kind"), F.col(far).alias("neighbour_id"))
     other = graph.nodes.select(F.col("id").alias("neighbour_id"), F.col("kind").alias("neighbour_kind"), F.col("fqn").alias("neighbour_fqn"), F.col("file").alias("neighbour_file"))
     return named.join(other, "neighbour_id", "left")

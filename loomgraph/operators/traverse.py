@@ -126,14 +126,14 @@ def traverse(graph: Graph, start_id: str, direction: str, depth: int = MAX_DEPTH
     if max_results is not None and max_results <= 0:
         raise ValueError("max_results must be positive")
     seeds = graph.nodes.sparkSession.createDataFrame([(start_id,)], "id string")
-    reached = levels(dependency_edges(graph.edges), seeds, direction, depth).select("id", "depth")
+    reached = levels(dependency_edges(graph.towards(direction)), seeds, direction, depth).select("id", "depth")
     found = graph.nodes.join(sized(reached), "id")
     return found if max_results is None else found.orderBy("depth", "fqn", "id").limit(max_results)
 
 
 def closure(graph: Graph, types: DataFrame, kinds: tuple[str, ...] = schema.HIERARCHY_KINDS) -> DataFrame:
     """(seed, id, depth): what leads to types (column id) by edges of the kinds, whatever the distance; a type on a cycle is its own result."""
-    return levels(graph.edges.filter(F.col("kind").isin(*kinds)), types, "incoming", None, keep_seeds=True)
+    return levels(graph.towards("incoming").filter(F.col("kind").isin(*kinds)), types, "incoming", None, keep_seeds=True)
 
 
 def containers(graph: Graph, members: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
@@ -210,7 +210,7 @@ def impacted(graph: Graph, fqn: str, depth: int, cap: int) -> tuple[DataFrame, b
     type_ids = derived.join(interfaces.withColumnRenamed("id", "seed"), "seed", "left_semi").select("id")
     implementers = stored(member_ids.unionByName(type_ids).distinct().join(changing, "id", "left_anti"), "implementers")
     seeds = changing.unionByName(implementers)
-    edges = dependency_edges(graph.edges)
+    edges = dependency_edges(graph.towards("incoming"))
     found = two_nearest(edges, seeds, "incoming", depth)
     cut = False
     if found.select("id").distinct().count() > cap:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import schema, testgraphs
 from .functions import routes
 from .operators import attribute, containers, endpoints, export, extraction, incremental, linker, report, scan, source_text, traverse
+from .plans import jobs
 from .schema import Graph
 from .sources import artifact, files, store
 from .streaming import watch
@@ -62,7 +63,7 @@ def find_symbol_by_kind(spark, sf_dir):
 @query("SELECT e.* FROM edges e JOIN nodes n ON n.name = 'Ship' AND n.fqn LIKE '%.T5.Ship()' AND (e.source_id = n.id OR e.target_id = n.id)", "nodes", "edges")
 def edges_by_direction(spark, sf_dir):
     g = testgraphs.graph(spark, sf_dir)
-    return scan.edges_of(g.edges, id_of(g, fqn_of(g, "T5", ".Ship()")), "both").select("source_id", "target_id", "kind")
+    return scan.edges_of(g, id_of(g, fqn_of(g, "T5", ".Ship()")), "both").select("source_id", "target_id", "kind")
 
 
 @query("SELECT e.kind AS rel_kind, s.kind AS neighbour_kind, s.fqn AS neighbour_fqn FROM edges e JOIN nodes n ON n.id = e.target_id AND n.fqn LIKE '%.T5.Ship()' LEFT JOIN nodes s ON s.id = e.source_id WHERE e.kind <> 'Contains'", "nodes", "edges")
@@ -782,12 +783,55 @@ def tree_of(g: Graph) -> tuple[DataFrame, DataFrame]:
     return tree, export.tree_edges(g, tree)
 
 
+def labels_of(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stored tree, its labels, and the edges between its nodes."""
+    kept = testgraphs.graph_store(spark, sf_dir)
+    tree, labels = jobs.containment(kept)
+    return tree, labels, export.tree_edges(kept.load(), tree)
+
+
+def named_ends(rolled: DataFrame, names: DataFrame) -> DataFrame:
+    """Rolled-up edges with the names of their ends (key, name)."""
+    return rolled.join(names.select(F.col("key").alias("source"), F.col("name").alias("a")), "source").join(names.select(F.col("key").alias("target"), F.col("name").alias("b")), "target").select("a", "b", "kind", "n")
+
+
 @query(ROOTS + "SELECT ra AS a, rb AS b, kind, CAST(count(*) AS BIGINT) AS n FROM links WHERE ra <> rb GROUP BY ALL", "nodes", "edges")
 def containment_rollup(spark, sf_dir):
-    tree, edges = tree_of(testgraphs.graph(spark, sf_dir))
-    names = tree.select("key", "name")
-    rolled = export.rolled_up(edges, export.roots(tree))
-    return rolled.join(names.select(F.col("key").alias("source"), F.col("name").alias("a")), "source").join(names.select(F.col("key").alias("target"), F.col("name").alias("b")), "target").select("a", "b", "kind", "n")
+    tree, labels, edges = labels_of(spark, sf_dir)
+    return named_ends(export.rolled_up(edges, export.above(labels, 1)), tree)
+
+
+SPACES = ROOTS + """, seen AS (SELECT id, CASE WHEN kind IN ('Endpoint', 'FrontendCallSite', 'UnresolvedCallSite', 'Project') THEN root
+  ELSE concat(root, '|', regexp_replace(regexp_replace(fqn, '\\.Ship\\(\\)$', ''), '\\.[^.]*$', '')) END AS space FROM of_node JOIN roots USING (id, kind)),
+types AS (SELECT id, CASE WHEN of_node.kind IN ('Class', 'Struct', 'Record', 'Interface', 'Enum') THEN fqn WHEN fqn LIKE '%.Ship()' THEN regexp_replace(fqn, '\\.Ship\\(\\)$', '') ELSE root END AS type FROM of_node JOIN roots USING (id, kind))
+"""
+
+
+@query(SPACES + "SELECT a.space AS a, b.space AS b, e.kind, CAST(count(*) AS BIGINT) AS n FROM edges e JOIN seen a ON a.id = e.source_id JOIN seen b ON b.id = e.target_id WHERE e.kind <> 'Contains' AND a.space <> b.space GROUP BY ALL", "nodes", "edges")
+def rollup_to_namespaces(spark, sf_dir):
+    """Edges between namespaces, each in its project; what has none stands for its project."""
+    tree, labels, edges = labels_of(spark, sf_dir)
+    projects = tree.filter("kind = 'Project'").select(F.col("key").alias("root"), F.col("name").alias("project"))
+    rooted = labels.select("key", F.element_at("path", 1).alias("root")).join(projects, "root").join(tree.select("key", "kind", "fqn"), "key")
+    names = rooted.select("key", F.when(F.col("kind") == "Namespace", F.concat_ws("|", "project", "fqn")).otherwise(F.col("project")).alias("name"))
+    return named_ends(export.rolled_up(edges, export.above(labels, ("Namespace",))), names)
+
+
+@query(SPACES + "SELECT a.type AS a, b.type AS b, e.kind, CAST(count(*) AS BIGINT) AS n FROM edges e JOIN types a ON a.id = e.source_id JOIN types b ON b.id = e.target_id WHERE e.kind <> 'Contains' AND a.type <> b.type GROUP BY ALL", "nodes", "edges")
+def rollup_to_types(spark, sf_dir):
+    """Edges between types; what lies in none stands for its project."""
+    tree, labels, edges = labels_of(spark, sf_dir)
+    names = tree.select("key", F.when(F.col("kind") == "Project", F.col("name")).otherwise(F.col("fqn")).alias("name"))
+    return named_ends(export.rolled_up(edges, export.above(labels, schema.TYPE_KINDS)), names)
+
+
+@query(ROOTS + "SELECT root AS project, CAST(count(*) AS BIGINT) AS n FROM roots WHERE root = 'ASIA' AND kind <> 'Project' GROUP BY root", "nodes", "edges")
+def subtree_sizes(spark, sf_dir):
+    """What hangs below a project, but namespaces, by its interval."""
+    tree, labels, _ = labels_of(spark, sf_dir)
+    top = tree.filter("kind = 'Project' and name = 'ASIA'").select("key").first()
+    below = export.subtree(labels, top.key).filter("kind not in ('Namespace', 'Project')")
+    return below.agg(F.lit("ASIA").alias("project"), F.count("*").alias("n"))
 
 
 @query(

@@ -44,10 +44,15 @@ SOURCES = T.StructType([T.StructField("path", T.StringType(), False), T.StructFi
 
 @dataclass(frozen=True)
 class Graph:
-    """Nodes and edges; edges are a set, and their ends need not exist."""
+    """Nodes and edges; edges are a set, and their ends need not exist. A stored graph has its edges a second time, laid out by what they lead to."""
 
     nodes: DataFrame
     edges: DataFrame
+    incoming: DataFrame | None = None
+
+    def towards(self, direction: str) -> DataFrame:
+        """The edges, laid out by the end that a step in the direction begins at, if there are such."""
+        return self.edges if direction == "outgoing" or self.incoming is None else self.incoming
 
     def select(self) -> Graph:
         return Graph(self.nodes.select(*NODES.names), self.edges.select(*EDGES.names))

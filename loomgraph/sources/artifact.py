@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema
+from .store import first_of_each
 
 VERSION = 2
 RESOLVED, UNRESOLVED = "FrontendCallSite", "UnresolvedCallSite"  # fixed values: kinds in the artifact
@@ -107,7 +108,7 @@ def validate(artifact: DataFrame, producer: str | None = None) -> None:
 
 
 def nodes(artifact: DataFrame) -> DataFrame:
-    """Graph nodes of call sites."""
+    """Graph nodes of call sites; of those with one id the least row."""
     s = artifact.select("project.root", F.explode("callSites").alias("s")).select("root", "s.*")
     place = F.concat_ws(":", "file", "line", "column")
     resolved = F.col("kind") == RESOLVED
@@ -115,7 +116,7 @@ def nodes(artifact: DataFrame) -> DataFrame:
     name = F.when(resolved, F.col("template")).otherwise(F.concat_ws(": ", "category", "reason"))
     absolute = F.when(F.col("root").isNull(), F.col("file")).otherwise(F.concat(F.regexp_replace(F.translate("root", "\\", "/"), "/+$", ""), F.lit("/"), F.col("file")))
     made = s.select("kind", name.alias("name"), fqn.alias("fqn"), absolute.alias("file"), F.col("spanStart").alias("span_start"), F.col("spanEnd").alias("span_end"))
-    return made.withColumn("id", schema.node_id(F.col("kind"), F.col("fqn"))).select(*schema.NODES.names).dropDuplicates(["id"])
+    return first_of_each(made.withColumn("id", schema.node_id(F.col("kind"), F.col("fqn"))).select(*schema.NODES.names), ["id"])
 
 
 def statistics(sites: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 from threading import Thread
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -34,8 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Paths of the tables stored in each open scope of temporaries(), the innermost last.
-_scopes: list[list[str]] = []
+#: Paths of the tables stored in each open scope of temporaries(), the innermost last; threads have scopes of their own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
@@ -54,7 +55,7 @@ def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
         counted.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
-    around = _scopes[:-1] if keep else _scopes
+    around = _scopes.get()[:-1] if keep else _scopes.get()
     if around:
         around[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -78,12 +79,14 @@ def rows_of(df: DataFrame) -> int:
 @contextmanager
 def temporaries(spark: SparkSession):
     """Deletes the tables stored inside at the end; what is still to be read must have been kept, or stored around it."""
-    _scopes.append([])
+    own: list[str] = []
+    token = _scopes.set((*_scopes.get(), own))
     try:
         yield
     finally:
+        _scopes.reset(token)
         conf = spark._jsparkSession.sessionState().newHadoopConf()
-        for name in _scopes.pop():
+        for name in own:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(conf).delete(path, True)
 

@@ -3,13 +3,13 @@
 A version is written in full before the pointer moves, so readers see the old graph or the new one, and a
 failed save leaves the old one in place. Nodes and edges are partitioned by kind, so a scan by kind reads
 that kind only. Within a kind nodes are dealt out by ranges of names and edges by ranges of what they lead from, and
-sorted, so a file spans few names and a lookup skips the others.
+sorted, so a file spans few names and a lookup skips the others. The same edges are there once more by what they lead to.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +18,9 @@ from .. import schema
 from ..schema import Graph
 
 POINTER = "CURRENT"
-TABLES = {"nodes": schema.NODES, "edges": schema.EDGES, "files": schema.FILES, "meta": schema.META}
-BY_KIND = ("nodes", "edges")
-ORDER = {"nodes": ("kind", "fqn"), "edges": ("kind", "source_id")}
+TABLES = {"nodes": schema.NODES, "edges": schema.EDGES, "incoming": schema.EDGES, "files": schema.FILES, "meta": schema.META}
+BY_KIND = ("nodes", "edges", "incoming")
+ORDER = {"nodes": ("kind", "fqn"), "edges": ("kind", "source_id"), "incoming": ("kind", "target_id")}
 
 
 class GraphStore:
@@ -48,10 +48,13 @@ class GraphStore:
     def load(self, tolerant: bool = True) -> Graph:
         """The current graph; kinds that aren't known are read as Unknown."""
         nodes, edges = self._read("nodes"), self._read("edges")
+        version = self.version()
+        # Graphs of older versions of this library have their edges once.
+        incoming = self._read("incoming") if version is None or self._fs.exists(self._path(f"{version}/incoming")) else edges
         if tolerant:
             nodes = nodes.withColumn("kind", schema.known(F.col("kind"), schema.NODE_KINDS))
-            edges = edges.withColumn("kind", schema.known(F.col("kind"), schema.EDGE_KINDS))
-        return Graph(nodes, edges)
+            edges, incoming = (df.withColumn("kind", schema.known(F.col("kind"), schema.EDGE_KINDS)) for df in (edges, incoming))
+        return Graph(nodes, edges, incoming)
 
     def unknown_kinds(self) -> DataFrame:
         """The kinds (table, kind, n) that this version of the library doesn't know."""
@@ -68,9 +71,11 @@ class GraphStore:
     def save(self, graph: Graph, files: DataFrame, meta: Mapping[str, str]) -> str:
         """Write a new version and make it current. Of nodes with one id the least row stays; edges are a set."""
         name = f"v-{uuid.uuid4().hex}"
+        edges = graph.edges.select(*schema.EDGES.names).distinct()
         tables = {
             "nodes": first_of_each(graph.nodes.select(*schema.NODES.names), ["id"]),
-            "edges": graph.edges.select(*schema.EDGES.names).distinct(),
+            "edges": edges,
+            "incoming": edges,
             "files": first_of_each(files.select(*schema.FILES.names), ["path"]),
             "meta": self.spark.createDataFrame(sorted(({"schema_version": schema.SCHEMA_VERSION} | dict(meta)).items()), schema.META),
         }
@@ -96,6 +101,19 @@ class GraphStore:
         options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(new, self._path(POINTER), options)
 
+    def derived(self, name: str, make: Callable[[Graph], DataFrame]) -> DataFrame:
+        """A table that is made of the current graph. It is kept in its version, so it is as old as the graph, made once and goes with it."""
+        version = self.version()
+        if version is None:
+            return make(self.load())
+        path = self._path(f"{version}/{name}")
+        if not self._fs.exists(path):
+            new = f"{version}/{name}.{uuid.uuid4().hex}"
+            make(self.load()).write.parquet(f"{self.root}/{new}")
+            if self._fs.exists(path) or not self._fs.rename(self._path(new), path):  # another was faster
+                self._fs.delete(self._path(new), True)
+        return self.spark.read.parquet(f"{self.root}/{version}/{name}")
+
     def vacuum(self) -> int:
         """Delete versions that aren't current; returns how many."""
         keep, gone = self.version(), 0

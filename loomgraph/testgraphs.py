@@ -151,7 +151,12 @@ def projected(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph from a store that is built once for an application and folder."""
+    """The graph of graph_store()."""
+    return graph_store(spark, sf_dir).load()
+
+
+def graph_store(spark: SparkSession, sf_dir: str) -> GraphStore:
+    """A store that is built once for an application and folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stores:
         root = f"{shared_dir(spark)}/graph-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
@@ -160,4 +165,4 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
         files = made.nodes.filter("file is not null").selectExpr("file as path", "sha2(file, 256) as content_hash")
         store.save(made, files, {"last_analyzed": "2024-01-01T00:00:00.0000000Z", "solution_path": sf_dir, "tool_version": "1"})
         _stores[key] = root
-    return GraphStore(spark, _stores[key]).load()
+    return GraphStore(spark, _stores[key])

@@ -47,9 +47,9 @@ def test_one_hop(spark):
     b.link(("Class", "A"), "Implements", ("Interface", "I"))
     b.link(("Class", "B"), "Calls", ("Class", "A"))
     b.link(("Class", "A"), "Calls", ("Class", "A"))
-    e, a = b.graph(spark).edges, node("Class", "A")[0]
-    assert [scan.edges_of(e, a, d).count() for d in ("outgoing", "incoming", "both")] == [3, 2, 4]
-    assert scan.edges_of(e, a, "outgoing", "Calls").count() == 2
+    g, a = b.graph(spark), node("Class", "A")[0]
+    assert [scan.edges_of(g, a, d).count() for d in ("outgoing", "incoming", "both")] == [3, 2, 4]
+    assert scan.edges_of(g, a, "outgoing", "Calls").count() == 2
 
 
 def test_implementations_and_hierarchy(spark):
