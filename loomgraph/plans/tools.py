@@ -28,7 +28,7 @@ WAYS = {"both": ("up", "down"), "up": ("up",), "down": ("down",)}
 #: Projects of an overview, and names of a cycle, that are shown.
 PROJECTS = 1000
 PATH = 12
-NOT_BUILT = "The graph has not been built yet; run analyze first."
+NOT_BUILT = "There is no graph here yet. Build it from its source files, then ask again."
 UNKNOWN_PROJECT = "~unknown"
 
 

@@ -115,7 +115,7 @@ def oracle(query: str, *needed: str) -> str:
     for name in reversed(list(views)):
         if name in wanted:
             wanted |= {v for v in views if v != name and f" {v}" in views[name]}
-    head = ",\n".join(f"{name} AS ({sql})" for name, sql in views.items() if name in wanted)
+    head = ",\n".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in views.items() if name in wanted)
     query = query.strip()
     if query.upper().startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {head},\n{query[len('WITH RECURSIVE'):]}"
