@@ -890,7 +890,7 @@ def watch_filter(spark, sf_dir):
 
 
 # These register more queries; they need query() from here.
-from . import chain_queries, fact_queries  # noqa: E402, F401
+from . import chain_queries, fact_queries, tool_queries  # noqa: E402, F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
