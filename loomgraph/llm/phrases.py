@@ -14,7 +14,8 @@ Phrases are counted by pivot partitioning:
 2. The pivot of a phrase is its rarest word, at its first place. For each occurrence of a word the fragment around it is
    written out in which it is the pivot: up to LONGEST - 1 words to each side, to the left as far as words are less rare,
    to the right as far as they aren't rarer; words that aren't frequent end it, and pairs that aren't. Each occurrence of a
-   candidate so lies in one fragment around its pivot. Fragments that are equal go as one with their number, to the pivot's task.
+   candidate so lies in one fragment around its pivot. A task puts together fragments that are
+   equal, with their number, and sends a pivot's in one row to the pivot's task.
 3. There all phrases of a fragment that contain its pivot's place are counted, pivot by pivot in bounded lots. All
    of a pivot's fragments are in one task, so what is too rare goes at once. Pivots with more than SPLIT occurrences are
    dealt over several tasks, and one with more fragments than a lot is counted in several lots; their counts are added up
@@ -179,12 +180,41 @@ def cut_out(flat: bytes, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.frombuffer(flat, dtype=np.uint8)[at])])
 
 
-def fragments(docs: DataFrame, table: np.ndarray, pairs: np.ndarray, longest: int, minimum: int, split: int) -> DataFrame:
-    """(lang, pivot, salt, whole, left, words, n): pivot is half its hash, left its place in the words; whole tells that the pivot has one salt."""
+FRAGMENTS = "lang string, pivot int, salt int, whole boolean, fragments array<struct<left:int,n:long,words:string>>"
+
+
+def combined(parts: list[pa.RecordBatch], lang: str, longest: int, split: int) -> pa.RecordBatch:
+    """Rows of FRAGMENTS of some fragments (pivot, f, left, words, n) of a language: equal ones put together, and those of a pivot and salt in one row."""
+    whole = pa.Table.from_batches(parts).combine_chunks()
+    words = whole["words"].combine_chunks()
+    which = words.dictionary_encode().indices.to_numpy().astype(np.int64) * longest + whole["left"].to_numpy()
+    _, one, group = np.unique(which, return_index=True, return_inverse=True)
+    n = np.zeros(len(one), dtype=np.int64)
+    np.add.at(n, group, whole["n"].to_numpy())
+    pivot = whole["pivot"].to_numpy()[one]
+    salts = -(-whole["f"].to_numpy()[one] // split)
+    salt = np.arange(len(one)) % salts
+    order = np.lexsort((salt, pivot))
+    cuts = np.flatnonzero((np.diff(pivot[order], prepend=0) != 0) | (np.diff(salt[order], prepend=0) != 0))
+    cuts = cuts if len(cuts) and cuts[0] == 0 else np.concatenate([[0], cuts])
+    first = order[cuts]
+    held = pa.StructArray.from_arrays([whole["left"].combine_chunks().take(pa.array(one[order])), pa.array(n[order]), words.take(pa.array(one[order])).cast(pa.binary()).cast(pa.string())], names=["left", "n", "words"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(order)).astype(np.int32)), held)
+    columns = [pa.array([lang] * len(cuts), type=pa.string()), pa.array(pivot[first]), pa.array(salt[first].astype(np.int32)), pa.array(salts[first] == 1), lists]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "pivot", "salt", "whole", "fragments"])
+
+
+def fragments(docs: DataFrame, table: np.ndarray, pairs: np.ndarray, longest: int, minimum: int, split: int, lot: int = LOT) -> DataFrame:
+    """Rows of FRAGMENTS: pivot is half its hash, left its place in the words; whole tells that the pivot has one salt.
+
+    A task puts together what it has of a language whenever that is a lot, and at its end.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((table, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, pairs = shared.value
+        waiting: dict[str, list[pa.RecordBatch]] = {}
+        rows = 0
         for lang, data in by_language(batches):
             places = Places(lang, data, table, minimum)
             left, right = reaches(places.rank, places.joined(pairs), longest)
@@ -198,19 +228,17 @@ def fragments(docs: DataFrame, table: np.ndarray, pairs: np.ndarray, longest: in
             which = strings.dictionary_encode().indices.to_numpy().astype(np.int64) * longest + left[at]
             _, one, n = np.unique(which, return_index=True, return_counts=True)
             pivot = places.codes[at[one]]
-            salts = -(-places.f[pivot] // split)
-            columns = [
-                pa.array([lang] * len(one), type=pa.string()),
-                pa.array((places.h[pivot] >> U(32)).astype(np.uint32).view(np.int32)),
-                pa.array((one % salts).astype(np.int32)),
-                pa.array(salts == 1),
-                pa.array(left[at[one]].astype(np.int32)),
-                strings.take(pa.array(one)).cast(pa.binary()).cast(pa.string()),
-                pa.array(n),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "pivot", "salt", "whole", "left", "words", "n"])
+            columns = [pa.array((places.h[pivot] >> U(32)).astype(np.uint32).view(np.int32)), pa.array(places.f[pivot]), pa.array(left[at[one]].astype(np.int32)), strings.take(pa.array(one)), pa.array(n)]
+            waiting.setdefault(lang, []).append(pa.RecordBatch.from_arrays(columns, names=["pivot", "f", "left", "words", "n"]))
+            rows += len(one)
+            if rows >= lot:
+                for own, parts in waiting.items():
+                    yield combined(parts, own, longest, split)
+                waiting, rows = {}, 0
+        for own, parts in waiting.items():
+            yield combined(parts, own, longest, split)
 
-    return language_and_text(docs).mapInArrow(run, "lang string, pivot int, salt int, whole boolean, left int, words string, n long")
+    return language_and_text(docs).mapInArrow(run, FRAGMENTS)
 
 
 def phrases_in(lefts: np.ndarray, words: pa.Array, n: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -256,6 +284,15 @@ def spelled(place, chosen: np.ndarray) -> list[str]:
     return [" ".join(words[c].as_py() for c in codes[a : a + m].tolist()) for a, m in zip(begin[chosen].tolist(), size[chosen].tolist(), strict=True)]
 
 
+def single(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows (lang, pivot, whole, fragments) as a row for each fragment."""
+    lists = batch.column(3)
+    row = pa.array(np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy()))
+    held = lists.flatten()
+    columns = [*(batch.column(k).take(row) for k in range(3)), *(held.field(k) for k in ("left", "words", "n"))]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "pivot", "whole", "left", "words", "n"])
+
+
 def mined(longest: int, minimum: int, lot: int):
     """For fragments in the order of language and pivot (lang, phrase, n), of phrases that are too rare only where others may add to them."""
 
@@ -279,7 +316,8 @@ def mined(longest: int, minimum: int, lot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
         rows, was_open = 0, False
-        for batch in batches:
+        for lists in batches:
+            batch = single(lists)
             while batch.num_rows:
                 waiting.append(batch.slice(0, lot - rows))
                 batch = batch.slice(lot - rows)
@@ -302,7 +340,7 @@ def mined(longest: int, minimum: int, lot: int):
 def phrase_counts(pieces: DataFrame, longest: int, minimum: int, lot: int = LOT) -> DataFrame:
     """(lang, phrase, a) of the phrases of fragments() that are frequent."""
     dealt = pieces.repartition("lang", "pivot", "salt").sortWithinPartitions("pivot", "lang", "salt")
-    made = dealt.select("lang", "pivot", "whole", "left", "words", "n").mapInArrow(mined(longest, minimum, lot), "lang string, phrase string, n long")
+    made = dealt.select("lang", "pivot", "whole", "fragments").mapInArrow(mined(longest, minimum, lot), "lang string, phrase string, n long")
     return made.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).filter(F.col("a") >= minimum)
 
 
@@ -338,7 +376,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, minimum: int = MINIMUM
         totals = common.stored(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
         frequent = common.stored(words.filter(F.col("n") >= minimum), "frequent")
         table = rarity(frequent, cells)
-        pieces = fragments(docs, table, frequent_pairs(docs, table, minimum, pairs), longest, minimum, split)
+        pieces = fragments(docs, table, frequent_pairs(docs, table, minimum, pairs), longest, minimum, split, lot)
         candidates = common.stored(phrase_counts(pieces, longest, minimum, lot), "candidates")
         staying = scored(candidates, frequent, totals).join(common.stored(absorbed(candidates, percent), "absorbed"), ["lang", "phrase"], "left_anti")
         order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
