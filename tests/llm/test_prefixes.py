@@ -100,3 +100,24 @@ def test_no_conversations_and_one_without_turns(spark):
     lone = next(c for c in range(1, 50) if c % 5 and zlib.crc32(str(c).encode()) % 9 > 2)
     rows = [(lone, 0, "user", "gone"), (lone, 1, "user", "gone too")]
     assert found(prefixes.trie(table(spark, rows), prefixes.rebuilt)) == plain(rebuilt(rows)) == [(lone, 0, None, 1, 0, 1, 0, hashlib.sha256(str(lone).encode()).hexdigest())]
+
+
+def test_a_conversation_in_several_ranges(spark):
+    """One conversation holds most turns and is numbered over several tasks."""
+    r = random.Random(6)
+    rows = [(4, t if t else None, "user", f"t{r.randrange(9)}") for t in range(700)] + [(c, t, "user", f"t{t}") for c in range(30) for t in range(3) if c != 4]
+    rows += [(9, t, *x[2:]) for t, x in enumerate(rows[:650])]
+    rows = [x for x in rows if x[0] != 9 or x[3] != f"t{x[1]}"] + [(9, 10_000, "user", "end")]
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        placed, lengths = prefixes.numbered(prefixes.turns(table(spark, rows)))
+        tasks = placed.filter("conv_id = 4").groupBy("i").count()
+        assert tasks.count() == 700 and {x["count"] for x in tasks.collect()} == {1}
+        assert {x.conv_id: x.n for x in lengths.collect()}[4] == 700
+        in_order = [x.x for x in placed.filter("conv_id = 4").orderBy("i").collect()]
+        assert in_order == [name(role, text)[:16] for c, _, role, text in rows if c == 4]
+        assert found(prefixes.trie(table(spark, rows), prefixes.rebuilt)) == plain(rebuilt(rows))
+    finally:
+        spark.conf.set(key, before)
