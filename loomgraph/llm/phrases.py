@@ -207,7 +207,7 @@ def combined(parts: list[pa.RecordBatch], lang: str, longest: int, split: int) -
 def fragments(docs: DataFrame, table: np.ndarray, pairs: np.ndarray, longest: int, minimum: int, split: int, lot: int = LOT) -> DataFrame:
     """Rows of FRAGMENTS: pivot is half its hash, left its place in the words; whole tells that the pivot has one salt.
 
-    A task puts together what it has of a language whenever that is a lot, and at its end.
+    A task puts together what it has whenever that is two lots, and at its end.
     """
     shared = docs.sparkSession.sparkContext.broadcast((table, pairs))
 
@@ -231,7 +231,7 @@ def fragments(docs: DataFrame, table: np.ndarray, pairs: np.ndarray, longest: in
             columns = [pa.array((places.h[pivot] >> U(32)).astype(np.uint32).view(np.int32)), pa.array(places.f[pivot]), pa.array(left[at[one]].astype(np.int32)), strings.take(pa.array(one)), pa.array(n)]
             waiting.setdefault(lang, []).append(pa.RecordBatch.from_arrays(columns, names=["pivot", "f", "left", "words", "n"]))
             rows += len(one)
-            if rows >= lot:
+            if rows >= 2 * lot:
                 for own, parts in waiting.items():
                     yield combined(parts, own, longest, split)
                 waiting, rows = {}, 0
