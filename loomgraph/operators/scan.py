@@ -31,17 +31,21 @@ def shortest_first(nodes: DataFrame, limit: int) -> DataFrame:
     return nodes.orderBy(F.length("fqn"), "fqn", "id").limit(limit)
 
 
-def find_symbols(nodes: DataFrame, query: str, limit: int, kind: str | None = None) -> DataFrame:
-    """Nodes whose name or full name holds the query, in any case.
+def name_test(query: str, kind: str | None = None) -> Column:
+    """Whether the name or full name of a node, of the kind if one is given, holds the query, in any case.
 
     Without a kind, % and _ in the query stand for any text and any character; with one, for themselves.
     """
     if kind is None:
         pattern = "%" + query.replace("\\", "\\\\") + "%"
-        hit: Column = F.col("name").ilike(pattern) | F.col("fqn").ilike(pattern)
-        return shortest_first(nodes.filter(hit), limit)
+        return F.col("name").ilike(pattern) | F.col("fqn").ilike(pattern)
     wanted = query.lower()
-    return shortest_first(by_kind(nodes, kind).filter(F.lower("name").contains(wanted) | F.lower("fqn").contains(wanted)), limit)
+    return (F.col("kind") == kind) & (F.lower("name").contains(wanted) | F.lower("fqn").contains(wanted))
+
+
+def find_symbols(nodes: DataFrame, query: str, limit: int, kind: str | None = None) -> DataFrame:
+    """The first nodes that name_test() finds. All names are scanned; names.find_symbols() reads an index."""
+    return shortest_first(nodes.filter(name_test(query, kind)), limit)
 
 
 def edges_of(graph: Graph, node_id: str, direction: str, kind: str | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import routes, symbols
-from ..operators import attribute, containers, endpoints, linker, scan, source_text, traverse
+from ..operators import attribute, containers, endpoints, linker, names, scan, source_text, traverse
 from ..schema import Graph
 from ..sources.scratch import stored
 from ..sources.store import GraphStore
@@ -85,12 +85,19 @@ class Tools:
         found = stored(scan.by_fqn(g.nodes, fqn), "matches")
         if found.take(1):
             return found
-        last = F.lit(fqn)
-        like = scan.find_symbols(g.nodes, g.nodes.sparkSession.range(1).select(symbols.last_segment(last).alias("x")).first().x or fqn, SUGGESTIONS)
+        like = self.like(g, g.nodes.sparkSession.range(1).select(symbols.last_segment(F.lit(fqn)).alias("x")).first().x or fqn, SUGGESTIONS)
         return Result({"suggestions": like.select("kind", "fqn", "file")}, text=f"No symbol named '{fqn}'.")
 
+    def like(self, g: Graph, query: str, limit: int, kind: str | None = None) -> DataFrame:
+        """The first symbols like a query, through the index of names if the graph has one."""
+        index = names.kept_index(self.store)
+        return names.find_symbols(index, query, limit, kind) if index else scan.find_symbols(g.nodes, query, limit, kind)
+
     def placed(self, nodes: DataFrame) -> DataFrame:
-        return source_text.with_lines(nodes, self.sources)
+        """The few nodes that a tool shows, in their order, with line."""
+        rows = nodes.withColumn("_at", F.monotonically_increasing_id())
+        near = self.sources.join(F.broadcast(rows.select(F.col("file").alias("path")).distinct()), "path", "left_semi")
+        return source_text.with_lines(rows, near).orderBy("_at").drop("_at")
 
     # ------------------------------------------------------------ symbols
 
@@ -100,7 +107,7 @@ class Tools:
             if kind.lower() not in by_lower:
                 raise invalid("kind", ("query", "kind"), f"Unknown kind '{kind}'. Valid kinds: {', '.join(schema.NODE_KINDS)}.")
             kind = by_lower[kind.lower()]
-        found = scan.find_symbols(self.graph().nodes, query, FIND + 1, kind or None)
+        found = self.like(self.graph(), query, FIND + 1, kind or None)
         rows, more = capped(found.select("kind", "fqn", "file"), FIND)
         return Result({"symbols": rows}, more=more)
 

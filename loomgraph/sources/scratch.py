@@ -63,17 +63,20 @@ def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     return out
 
 
-def rows_of(df: DataFrame) -> int:
-    """How many rows a frame has: told by the write of what stored() returned, else counted.
-
-    On a very busy cluster the message of the write can get lost; after WAIT seconds the rows are counted.
-    """
-    seen, told = df.__dict__.get("_seen"), []
+def told(seen: Observation | None) -> dict:
+    """What a write told of its rows; nothing if the message got lost, which it can on a very busy cluster, for WAIT seconds."""
+    heard: list[dict] = []
     if seen is not None:
-        asking = Thread(target=lambda: told.append(seen.get["n"]), daemon=True)
+        asking = Thread(target=lambda: heard.append(seen.get), daemon=True)
         asking.start()
         asking.join(WAIT)
-    return told[0] if told else df.count()
+    return heard[0] if heard else {}
+
+
+def rows_of(df: DataFrame) -> int:
+    """How many rows a frame has: told by the write of what stored() returned, else counted."""
+    n = told(df.__dict__.get("_seen")).get("n")
+    return df.count() if n is None else n
 
 
 @contextmanager

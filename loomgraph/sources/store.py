@@ -11,15 +11,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..schema import Graph
+from .scratch import told
 
 POINTER = "CURRENT"
 TABLES = {"nodes": schema.NODES, "edges": schema.EDGES, "incoming": schema.EDGES, "files": schema.FILES, "meta": schema.META}
 BY_KIND = ("nodes", "edges", "incoming")
+PRINTS = "table string, n long, either long, total long"
 ORDER = {"nodes": ("kind", "fqn"), "edges": ("kind", "source_id"), "incoming": ("kind", "target_id")}
 
 
@@ -69,7 +71,10 @@ class GraphStore:
         return {r.key: r.value for r in self._read("meta").collect()}
 
     def save(self, graph: Graph, files: DataFrame, meta: Mapping[str, str]) -> str:
-        """Write a new version and make it current. Of nodes with one id the least row stays; edges are a set."""
+        """Write a new version and make it current. Of nodes with one id the least row stays; edges are a set.
+
+        Its fingerprint is taken as the rows are written and kept in it.
+        """
         name = f"v-{uuid.uuid4().hex}"
         edges = graph.edges.select(*schema.EDGES.names).distinct()
         tables = {
@@ -79,12 +84,19 @@ class GraphStore:
             "files": first_of_each(files.select(*schema.FILES.names), ["path"]),
             "meta": self.spark.createDataFrame(sorted(({"schema_version": schema.SCHEMA_VERSION} | dict(meta)).items()), schema.META),
         }
+        prints = {table: Observation() for table in PRINTED}
         try:
             for table, df in tables.items():
                 order = ORDER.get(table)
                 writer = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+                if table in prints:  # above the sort, so that rows count once however often what is below runs
+                    writer = writer.observe(prints[table], *sums(F.xxhash64(*PRINTED[table])))
                 out = writer.write.partitionBy("kind") if table in BY_KIND else writer.coalesce(1).write if table == "meta" else writer.write
                 out.parquet(f"{self.root}/{name}/{table}")
+            heard = {table: told(seen) for table, seen in prints.items()}
+            if all(heard.values()):
+                rows = [(table, x["n"], x["either"], x["total"]) for table, x in heard.items()]
+                self.spark.createDataFrame(rows, PRINTS).coalesce(1).write.parquet(f"{self.root}/{name}/fingerprint")
         except Exception:
             self._fs.delete(self._path(name), True)
             raise
@@ -101,6 +113,11 @@ class GraphStore:
         options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(new, self._path(POINTER), options)
 
+    def has(self, name: str) -> bool:
+        """Whether the current version has a table of this name."""
+        version = self.version()
+        return version is not None and bool(self._fs.exists(self._path(f"{version}/{name}")))
+
     def derived(self, name: str, make: Callable[[Graph], DataFrame]) -> DataFrame:
         """A table that is made of the current graph. It is kept in its version, so it is as old as the graph, made once and goes with it."""
         version = self.version()
@@ -123,9 +140,16 @@ class GraphStore:
                 gone += bool(self._fs.delete(status.getPath(), True))
         return gone
 
+    def fingerprint(self) -> tuple:
+        """The fingerprint of the current graph: kept, or taken from its rows if its version holds none."""
+        if not self.has("fingerprint"):
+            return fingerprint(self.load(tolerant=False))
+        kept = {r.table: (r.n, r.either, r.total) for r in self.spark.read.schema(PRINTS).parquet(f"{self.root}/{self.version()}/fingerprint").collect()}
+        return tuple(kept[table] for table in PRINTED)
+
     def save_if_changed(self, graph: Graph, files: DataFrame, meta: Mapping[str, str]) -> bool:
-        """Save unless nodes and edges are the current ones."""
-        if self.version() is not None and graphs_equal(self.load(tolerant=False), graph):
+        """Save unless nodes and edges are the current ones. The current ones are read only if their fingerprint is that of the new."""
+        if self.version() is not None and self.fingerprint() == fingerprint(graph) and same_rows(self.load(tolerant=False), graph):
             return False
         self.save(graph, files, meta)
         return True
@@ -137,18 +161,24 @@ def first_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns])
 
 
+#: The tables, and their columns, that a fingerprint is taken of.
+PRINTED = {"nodes": schema.NODES.names, "edges": schema.EDGES.names}
+
+
+def sums(h: Column) -> list[Column]:
+    """Aggregates of row hashes that don't depend on the order of rows: their number, exclusive or and sum."""
+    return [F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("either"), F.sum(h % 1_000_003).alias("total")]
+
+
 def fingerprint(graph: Graph) -> tuple:
-    """Numbers that equal graphs share whatever the order of rows: counts, sums and exclusive ors of row hashes."""
+    """Numbers that equal graphs share, for nodes and edges as sets: those of sums()."""
+    return tuple(tuple(df.select(F.xxhash64(*PRINTED[table]).alias("h")).distinct().agg(*sums(F.col("h"))).first()) for table, df in (("nodes", graph.nodes), ("edges", graph.edges)))
 
-    def of(df: DataFrame, columns: list[str]) -> tuple:
-        h = F.xxhash64(*columns)
-        return tuple(df.select(h.alias("h")).distinct().agg(F.count("*"), F.bit_xor("h"), F.sum(F.col("h") % 1_000_003)).first())
 
-    return of(graph.nodes, schema.NODES.names), of(graph.edges, schema.EDGES.names)
+def same_rows(a: Graph, b: Graph) -> bool:
+    return all(not x.select(*c).distinct().exceptAll(y.select(*c).distinct()).take(1) for x, y, c in ((a.nodes, b.nodes, PRINTED["nodes"]), (a.edges, b.edges, PRINTED["edges"])))
 
 
 def graphs_equal(a: Graph, b: Graph) -> bool:
     """Whether nodes and edges are the same sets: fingerprints first, rows only if these agree."""
-    if fingerprint(a) != fingerprint(b):
-        return False
-    return all(not x.select(*c).distinct().exceptAll(y.select(*c).distinct()).take(1) for x, y, c in ((a.nodes, b.nodes, schema.NODES.names), (a.edges, b.edges, schema.EDGES.names)))
+    return fingerprint(a) == fingerprint(b) and same_rows(a, b)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import schema
-from .operators import export, incremental
+from .operators import export, incremental, names
 from .plans import jobs
 from .plans.tools import Tools
 from .queries import DERIVED, IMPACT, ROOTS, SQL, fqn_of, query, testgraphs
@@ -96,6 +97,37 @@ def implementations_by_project(spark, sf_dir):
     return found.groupBy(F.coalesce("project", F.lit("")).alias("project")).agg(F.count("*").alias("n"))
 
 
+# ---------------------------------------------------------------- the index of names
+
+#: Asked of the index: rare and common names, wildcards, too short for the index, and nothing; the last two with a kind.
+ASKED = (("T1_.Ship", None), ("customer", None), ("c%supplier#%7", None), ("t9", None), ("no such name", None), ("#00000", "Class"), ("ship", "Method"))
+
+
+def asked(text: str, kind: str | None) -> str:
+    test = f"kind = '{kind}' AND (contains(lower(name), '{text}') OR contains(lower(fqn), '{text}'))" if kind else f"name ILIKE '%{text}%' OR fqn ILIKE '%{text}%'"
+    return f"(SELECT '{text}' AS query, kind, name, fqn FROM nodes WHERE {test} ORDER BY length(fqn), fqn, id LIMIT 21)"
+
+
+@query(" UNION ALL ".join(asked(*pair) for pair in ASKED), "nodes")
+def indexed_symbols(spark, sf_dir):
+    """The first symbols like each of some queries, by way of the index."""
+    index = names.keep_index(testgraphs.graph_store(spark, sf_dir))
+    found = [names.find_symbols(index, text, 21, kind).select(F.lit(text).alias("query"), "kind", "name", "fqn") for text, kind in ASKED]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(
+    """
+WITH texts AS (SELECT id, lower(name) AS t FROM nodes UNION SELECT id, lower(fqn) FROM nodes),
+runs AS (SELECT DISTINCT id, substr(t, CAST(p AS INTEGER), 3) AS gram FROM texts, unnest(range(1, greatest(length(t) - 1, 1))) AS u(p))
+SELECT gram, CAST(count(*) AS BIGINT) AS n FROM runs GROUP BY gram""",
+    "nodes",
+)
+def indexed_runs(spark, sf_dir):
+    """How many names each run of three characters posts."""
+    return names.keep_index(testgraphs.graph_store(spark, sf_dir)).counts
+
+
 # ---------------------------------------------------------------- graphs that are written
 
 
