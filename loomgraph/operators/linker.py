@@ -2,21 +2,25 @@
 
 The match of routes is an equality join on the verb, the pattern of holes of both sides and the segments
 that are literal in both, so it is shuffled by key or broadcast like any equality join, and routes meet only those
-that they match.
+that they match. Where routes have many patterns of holes, the trie of the endpoints' routes is walked instead, a segment a join.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import routes
 from ..schema import Graph
-from ..sources.scratch import sized, stored
+from ..sources.scratch import rows_of, sized, stored
 
 OUTCOMES = ("Unique", "PrecedenceResolved", "SetEdge", "VerbMismatch", "NoSkeletonMatch", "UnknownVerb")
 #: Put before a call site's template: frontends call under this path.
 API_PREFIX = "/api"
+#: Patterns of holes, of all lengths, up to which a route is joined once for each; both ways give the same rows.
+PATTERNS = 64
 
 
 def call_routes(nodes: DataFrame, prefix: str = API_PREFIX) -> DataFrame:
@@ -38,25 +42,65 @@ def masked(rows: DataFrame, segs: str, own: str) -> DataFrame:
     return rows.withColumn("n", F.size(segs)).withColumn(own, digits)
 
 
-def with_keys(rows: DataFrame, segs: str, others: DataFrame, other: str) -> DataFrame:
-    """Each row with each mask of the other side of its length, and key: its segments with the holes of both."""
-    patterns = stored(others.select("n", other).distinct(), "masks")
+def with_keys(rows: DataFrame, segs: str, patterns: DataFrame, other: str) -> DataFrame:
+    """Each row with each pattern of the other side of its length, and key: its segments with the holes of both."""
     key = F.transform(segs, lambda s, i: F.when(F.substring(other, i + 1, F.lit(1)) == "1", F.lit(routes.HOLE)).otherwise(s))
     return rows.join(sized(patterns), "n").withColumn("key", F.array_join(key, "/"))
 
 
+def trie(ends: DataFrame, keys: list[str]) -> DataFrame:
+    """The nodes below each node of the trie of routes (keys, endpoint_segs): depth, parent and node, which are routes up to there, and key.
+
+    A node is listed under its own segment, and under "any" for calls with a hole there.
+    """
+    upto = lambda depth: F.array_join(F.slice("endpoint_segs", F.lit(1), depth), "/")
+    each = ends.select(*keys, "endpoint_segs", F.explode(F.sequence(F.lit(1), F.size("endpoint_segs"))).alias("depth"))
+    nodes = each.select(*keys, "depth", upto(F.col("depth") - 1).alias("parent"), upto(F.col("depth")).alias("node"), F.element_at("endpoint_segs", F.col("depth")).alias("seg")).distinct()
+    return nodes.select(*keys, "depth", "parent", "node", F.explode(F.array(F.concat(F.lit("="), "seg"), F.lit("any"))).alias("key"))
+
+
+def walked(calls: DataFrame, endpoints: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, segs, end) of the different routes that match: end is the endpoint's.
+
+    All calls walk down the trie together. At a node a call goes on to the nodes of its segment and of a hole, or, if it has
+    a hole there itself, to all. Rows are the beginnings of routes that match so far, each once, whatever patterns there are.
+    """
+    below = stored(trie(endpoints.select(*keys, "endpoint_segs").distinct(), keys), "trie")
+    there = sized(below)
+    longest = below.agg(F.max("depth")).first()[0] or 0
+    state = calls.select(*keys, "segs", F.lit("").alias("parent")).distinct()
+    ended = []
+    for depth in range(1, longest + 1):
+        seg = F.element_at("segs", depth)
+        wanted = F.when(seg == routes.HOLE, F.array(F.lit("any"))).otherwise(F.array(F.concat(F.lit("="), seg), F.lit(f"={routes.HOLE}")))
+        steps = state.filter(F.col("n") >= depth).withColumn("key", F.explode(wanted))
+        state = stored(steps.join(there.filter(F.col("depth") == depth).drop("depth"), [*keys, "parent", "key"]).select(*keys, "segs", F.col("node").alias("parent")), "walk")
+        if not rows_of(state):
+            break
+        ended.append(state.filter(F.col("n") == depth))
+    if not ended:
+        return state.limit(0).withColumnRenamed("parent", "end")
+    return reduce(DataFrame.unionByName, ended).withColumnRenamed("parent", "end")
+
+
 def meets(calls: DataFrame, endpoints: DataFrame, same_verb: bool) -> DataFrame:
     """Call sites joined with the endpoints whose routes they match.
 
     Where routes have few patterns of holes, as they do, a row stands for each of the other side's patterns, and
     routes match if all segments that are literal in both are equal: one equality join, whose keys are as many as routes.
+    Where they have many, the pairs of routes that match come from walked(), and are joined with their calls and endpoints.
     """
     own, other = masked(calls, "segs", "mask"), masked(endpoints, "endpoint_segs", "endpoint_mask")
     if same_verb:
         other = other.withColumnRenamed("endpoint_verb", "verb")
-    left, right = with_keys(own, "segs", other, "endpoint_mask"), with_keys(other, "endpoint_segs", own, "mask")
-    keys = ["n", "mask", "endpoint_mask", "key", *(["verb"] if same_verb else [])]
-    return left.join(right, keys).drop("n", "mask", "endpoint_mask", "key")
+    theirs, ours = (stored(rows.select("n", mask).distinct(), "masks") for rows, mask in ((other, "endpoint_mask"), (own, "mask")))
+    keys = ["n", *(["verb"] if same_verb else [])]
+    if max(rows_of(theirs), rows_of(ours)) > PATTERNS:
+        pairs = stored(walked(own, other, keys), "pairs")
+        ends = other.withColumn("end", F.array_join("endpoint_segs", "/")).drop("endpoint_mask")
+        return own.drop("mask").join(pairs, [*keys, "segs"]).join(ends, [*keys, "end"]).drop("n", "end")
+    left, right = with_keys(own, "segs", theirs, "endpoint_mask"), with_keys(other, "endpoint_segs", ours, "mask")
+    return left.join(right, [*keys, "mask", "endpoint_mask", "key"]).drop("n", "mask", "endpoint_mask", "key")
 
 
 def precedence(calls: str = "segs", candidates: str = "candidates"):

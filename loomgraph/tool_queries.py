@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import schema
-from .operators import export, incremental, names
+from .operators import export, incremental, linker, names
 from .plans import jobs
 from .plans.tools import Tools
 from .queries import DERIVED, IMPACT, ROOTS, SQL, fqn_of, query, testgraphs
@@ -128,6 +128,40 @@ def indexed_runs(spark, sf_dir):
     return names.keep_index(testgraphs.graph_store(spark, sf_dir)).counts
 
 
+# ---------------------------------------------------------------- routes with many holes
+
+SEGMENTS = 10
+
+
+def segment(key: str, k: int, every: int, factor: int) -> str:
+    """A segment as SQL: a hole if digit k of the key times a factor, to the base 2, is the last of so many, else one of four words."""
+    return f"CASE WHEN CAST(floor({key} * {factor} / {2**k}) AS BIGINT) % {every} = {every - 1} THEN '{{x}}' ELSE concat('w', CAST(CAST(floor({key} / {k + 1}) AS BIGINT) % 4 AS VARCHAR(9))) END"
+
+
+def segmented(key: str, every: int, factor: int) -> list[str]:
+    return [segment(key, k, every, factor) for k in range(SEGMENTS)]
+
+
+def listed(segments: list[str], prefix: str) -> str:
+    return ", ".join(f"{s} AS {prefix}{k}" for k, s in enumerate(segments))
+
+
+FITS = " AND ".join(f"(c{k} = e{k} OR c{k} = '{{x}}' OR e{k} = '{{x}}')" for k in range(SEGMENTS))
+
+
+@query(
+    f"""
+WITH calls AS (SELECT c_custkey AS call_id, {listed(segmented('c_custkey', 8, 11), 'c')} FROM customer),
+ends AS (SELECT p_partkey AS endpoint_id, {listed(segmented('p_partkey', 2, 37), 'e')} FROM part)
+SELECT call_id, endpoint_id FROM calls JOIN ends ON {FITS}"""
+)
+def many_hole_routes(spark, sf_dir):
+    """Routes of ten segments, any of which may be a hole, of customers and parts."""
+    calls = testgraphs.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("call_id"), F.lit("GET").alias("verb"), F.array(*map(F.expr, segmented("c_custkey", 8, 11))).alias("segs"))
+    ends = testgraphs.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("endpoint_id"), F.lit("GET").alias("endpoint_verb"), F.array(*map(F.expr, segmented("p_partkey", 2, 37))).alias("endpoint_segs"))
+    return linker.meets(calls, ends, same_verb=True).select("call_id", "endpoint_id")
+
+
 # ---------------------------------------------------------------- graphs that are written
 
 
