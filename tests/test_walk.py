@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomgraph import schema
 from loomgraph.functions import routes
 from loomgraph.operators import linker
+from loomgraph.sources.scratch import blocks
 
 
 def frames(spark, calls, ends):
@@ -80,3 +81,30 @@ def test_outcomes_are_the_same(spark, monkeypatch):
     want = sorted(map(tuple, linker.link(nodes).select(*columns).collect()))
     monkeypatch.setattr(linker, "PATTERNS", 0)
     assert sorted(map(tuple, linker.link(nodes).select(*columns).collect())) == want and len({x[1] for x in want}) >= 4
+
+
+def test_what_links_store_grows_with_routes_not_with_pairs(spark, monkeypatch):
+    """Calls of one route share their endpoints: 120 calls with a hole and 120 endpoints are 14,400 edges, of which none is stored."""
+    rows = [(*node("Endpoint", f"GET /api/en/{k}")[:2], f"/api/en/{k}", f"GET /api/en/{k}", None, None, None) for k in range(120)]
+    rows += [(*node("FrontendCallSite", f"{v} p{k}.ts:1:1")[:2], "/en/{*}", f"{v} p{k}.ts:1:1", None, None, None) for v in ("GET", "PUT") for k in range(120)]
+    nodes = spark.createDataFrame(rows, schema.NODES)
+    sizes, store = [], linker.stored
+
+    def counting(df, label):
+        out = store(df, label)
+        values = sum((F.size(c) if t.startswith("array") else F.lit(1) for c, t in out.dtypes), F.lit(0))
+        sizes.append(out.agg(F.sum(values)).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(linker, "stored", counting)
+    graph, sites = linker.relinked(schema.Graph(nodes, spark.createDataFrame([], schema.EDGES)))
+    assert graph.edges.count() == graph.edges.distinct().count() == 120 * 120
+    assert {(r.outcome, r.n) for r in linker.outcome_counts(sites).collect() if r.n} == {("SetEdge", 120), ("VerbMismatch", 120)}
+    assert max(sizes) <= 10 * len(rows)
+
+
+def test_blocks_hold_all_values_of_a_key(spark):
+    rows = spark.createDataFrame([("many", k) for k in range(500)] + [("few", k) for k in range(3)], "key string, value int")
+    found = blocks(rows, "key", "value", 50).collect()
+    assert sorted(v for r in found if r.key == "many" for v in r.value) == list(range(500))
+    assert [sorted(r.value) for r in found if r.key == "few"] == [[0, 1, 2]] and max(len(r.value) for r in found) < 120
