@@ -109,3 +109,14 @@ def test_threads_have_scopes_of_their_own(spark):
         path = own.inputFiles()[0]
     other.join()
     assert kept[0].count() == 5 and not os.path.exists(path.removeprefix("file://"))
+
+
+def test_a_graph_saved_with_one_layout(spark, tmp_path):
+    """Repeated edges are a set, which takes one shuffle of theirs; lookups by target read the edges by source."""
+    g, store = orchard().graph(spark), GraphStore(spark, str(tmp_path / "g"))
+    twice = Graph(g.nodes, g.edges.unionByName(g.edges).repartition(5))
+    store.save(twice, spark.createDataFrame([], schema.FILES), {}, both=False)
+    assert not os.path.exists(f"{store.root}/{store.version()}/incoming")
+    kept, rows = store.load(), sorted(map(tuple, g.edges.collect()))
+    assert sorted(map(tuple, kept.edges.collect())) == sorted(map(tuple, kept.towards("incoming").collect())) == rows
+    assert store.fingerprint()[1][0] == len(rows)
