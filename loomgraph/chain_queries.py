@@ -133,7 +133,7 @@ def stepped_cycles(spark, sf_dir):
     chords = part.filter(k % 4 == 1).select(name(k % 4).alias("from"), F.concat(name(F.lit(1)), F.lit("x")).alias("to"), F.lit(5).cast("long").alias("n"))
     edges = ring.unionByName(chords).unionByName(chords.select(F.col("to").alias("from"), F.col("from").alias("to"), "n"))
     named = containers.components(edges)
-    c1, c2 = (named.select(F.col("node").alias(end), F.col("component").alias(c)) for end, c in (("from", "c1"), ("to", "c2")))
+    c1, c2 = (named.select(F.col("node").alias(end), F.col("component").alias(c)).hint("merge") for end, c in (("from", "c1"), ("to", "c2")))
     whole = part.groupBy(F.floor(k / 4).alias("g")).count().filter("count = 4").select(F.concat(F.lit("c"), F.lpad(text("g"), 6, "0"), F.lit("_0")).alias("c1"))
-    inside = edges.join(c1, "from").join(c2, "to").filter("c1 = c2").select("c1", "from", "to", "n").join(whole, "c1", "left_semi")
+    inside = edges.join(c1, "from").join(c2, "to").filter("c1 = c2").select("c1", "from", "to", "n").join(whole.hint("merge"), "c1", "left_semi")
     return containers.stepped(inside)
