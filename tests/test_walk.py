@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from graphs import node
 from pyspark.sql import functions as F
@@ -108,3 +110,46 @@ def test_blocks_hold_all_values_of_a_key(spark):
     found = blocks(rows, "key", "value", 50).collect()
     assert sorted(v for r in found if r.key == "many" for v in r.value) == list(range(500))
     assert [sorted(r.value) for r in found if r.key == "few"] == [[0, 1, 2]] and max(len(r.value) for r in found) < 120
+
+
+def test_pairs_of_many_patterns_are_not_stored(spark, monkeypatch):
+    """Most segments are holes, so most of 90,000 pairs match: calls and endpoints meet in chunks, each route's many ids too, and no pair is stored."""
+    r = random.Random(3)
+    calls, ends = routes_of(r, 250, (8,), 0.8, "abc") + [("GET", ("a",) * 8)] * 50, routes_of(r, 250, (8,), 0.8, "abc") + [("GET", (routes.HOLE,) * 8)] * 50
+    sizes, store = [], linker.stored
+
+    def counting(df, label):
+        out = store(df, label)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(linker, "stored", counting)
+    for name, value in (("CHUNK", 64), ("BITS", 1000), ("PAIRS", 500)):
+        monkeypatch.setattr(linker, name, value)
+    c, e = frames(spark, calls, ends)
+    for same_verb in (True, False):
+        found, want = linker.meets(c, e, same_verb), matching(calls, ends, same_verb)
+        assert sorted((x.call_id, x.endpoint_id) for x in found.collect()) == want and len(want) > 20_000
+    assert max(sizes) <= 1000
+
+
+def test_bits_of_routes():
+    """Holes meet all; null, and what the other side doesn't spell, only holes; more endpoints than a byte holds."""
+    r, values = random.Random(7), {routes.HOLE: 0}
+    texts = [[r.choice([routes.HOLE, "a", "b", None]) for _ in range(3)] for _ in range(21)] + [["only"] * 3]
+    calls, ends = (linker.codes(pa.array(x), values, 3) for x in (texts, texts[:19]))
+    got = np.unpackbits(linker.led_to(calls, ends), axis=1, count=19).astype(bool)
+    fit = lambda a, b: all(x == routes.HOLE or y == routes.HOLE or (x is not None and x == y) for x, y in zip(a, b))
+    assert got.tolist() == [[fit(a, b) for b in texts[:19]] for a in texts]
+
+
+def test_a_walk_finds_the_pairs_of_routes(spark, monkeypatch):
+    monkeypatch.setattr(linker, "PATTERNS", 0)
+    r = random.Random(13)
+    calls, ends = routes_of(r, 80, (2, 4), 0.3), routes_of(r, 80, (2, 4), 0.3)
+    c, e = frames(spark, calls, ends)
+    found = linker.route_pairs(linker.different(c, "verb", "segs", "route"), linker.different(e, "endpoint_verb", "endpoint_segs", "end"), True)
+    text = lambda x: f"{x[0]} {'/'.join(x[1])}"
+    want = {(text(calls[int(a[1:])]), text(ends[int(b[1:])])) for a, b in matching(calls, ends, True)}
+    rows = [(x.route, x.end) for x in found.collect()]
+    assert set(rows) == want and len(rows) == len(want)
