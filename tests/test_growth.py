@@ -133,3 +133,16 @@ def test_cycles_by_joins_send_nothing_to_the_driver(spark, monkeypatch):
     inside = edges.filter("to <> 'c'").select(F.lit("a").alias("c1"), "from", "to", "n")
     assert [(r.path, r.weight) for r in containers.stepped(inside).collect()] == [(["a", "b", "a"], 3)]
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_the_build_joins_ids_not_names(spark):
+    """What orders and items are joined with is a key and 16 bytes; the edges are those of the views as they stand."""
+    sf_dir, dialect = "/root/testdata/sf0.001", testgraphs.Dialect(spark=True)
+    views = testgraphs.by_keys(testgraphs.ctes(dialect, lambda name: "{" + name + "}"), dialect)
+    for piece in views["edges"].split("UNION ALL")[:2]:
+        assert "fqn" not in piece and "sha2" not in piece
+    plain = testgraphs.ctes(dialect, lambda name: f"parquet.`{sf_dir}/{name}.parquet`")
+    head = ",\n".join(f"{name} AS ({sql})" for name, sql in plain.items())
+    want = spark.sql(f"WITH {head}\nSELECT * FROM edges")
+    made = testgraphs.projected(spark, sf_dir).edges.distinct()
+    assert made.count() == want.count() > 6000 and not made.exceptAll(want.select(made.columns)).take(1)
