@@ -8,7 +8,7 @@ from graphs import Builder, orchard
 from pyspark.sql import functions as F
 
 from loomgraph import schema, testgraphs
-from loomgraph.operators import containers, export, scan, traverse
+from loomgraph.operators import containers, export, incremental, scan, traverse
 from loomgraph.schema import Graph
 from loomgraph.sources.store import GraphStore, packed, unpacked
 
@@ -146,3 +146,20 @@ def test_the_build_joins_ids_not_names(spark):
     want = spark.sql(f"WITH {head}\nSELECT * FROM edges")
     made = testgraphs.projected(spark, sf_dir).edges.distinct()
     assert made.count() == want.count() > 6000 and not made.exceptAll(want.select(made.columns)).take(1)
+
+
+def test_eviction_shuffles_ids_as_bytes(spark):
+    g = Graph(spark.createDataFrame([("0" * 31 + "a", "Class", "A", "A", "a.cs", None, None), ("odd", "Class", "B", "B", "b.cs", None, None)], schema.NODES), spark.createDataFrame([("0" * 31 + "a", "odd", "Calls"), ("odd", "0" * 31 + "a", "Calls"), ("lost", "odd", "Calls")], schema.EDGES))
+    left = incremental.evict(g, spark.createDataFrame([("a.cs",)], "path string")).edges
+    assert sorted(map(tuple, left.collect())) == [("lost", "odd", "Calls"), ("odd", "0" * 31 + "a", "Calls")]
+    assert "unhex" in left._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nodes_that_lead_nowhere_do_not_shuffle_edges(spark, monkeypatch):
+    """2,000 callers that nobody calls: the second level is no join with all edges."""
+    monkeypatch.setattr(traverse, "BROADCAST_ROWS", 0)
+    edges = spark.createDataFrame([(f"c{k}", "t", "Calls") for k in range(2000)], schema.EDGES)
+    seeds, got = spark.createDataFrame([("t",)], "id string"), []
+    one, two = (shuffled(spark, lambda d=d: got.append(sorted(map(tuple, traverse.two_nearest(edges, seeds, "incoming", d).collect())))) for d in (1, 2))
+    assert got[0] == got[1] and len(got[0]) == 2001
+    assert two - one < 3000
