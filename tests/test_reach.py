@@ -66,6 +66,26 @@ def test_impact_equals_following_each_seed(spark, seed, cap):
     assert was_cut == cut == (cap < 100)
 
 
+@pytest.fixture(scope="module")
+def plaza(spark):
+    """A method of a type that 10,050 others call, which is more than the tool counts."""
+    b = Builder()
+    b.add("Project", "Plaza", "C:/plaza/Plaza.csproj")
+    b.add("Class", "Plaza.T10", "C:/plaza/T10.cs")
+    b.add("Method", "Plaza.T10.Ring()", "C:/plaza/T10.cs", inside=("Class", "Plaza.T10"))
+    for k in range(10_050):
+        b.add("Method", f"Plaza.M{k}()", f"C:/plaza/M{k}.cs")
+        b.link(("Method", f"Plaza.M{k}()"), "Calls", ("Method", "Plaza.T10.Ring()"))
+        b.link(("Method", f"Plaza.M{k}()"), "Calls", ("Class", "Plaza.T10"))
+    return b.graph(spark)
+
+
+def test_impact_counts_all_dependents(plaza):
+    found = traverse.impact(plaza, "Plaza.T10.Ring()")
+    assert found.groupBy("kind", "depth", "is_implementer").count().collect() == [("Method", 1, False, 10_050)]
+    assert traverse.capped_impact(plaza, "Plaza.T10.Ring()", cap=traverse.IMPACT_CAP)[1]
+
+
 def test_estimates_are_near_for_all_seeds(spark):
     b = town(4)
     g = b.graph(spark)
