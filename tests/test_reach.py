@@ -7,6 +7,7 @@ import pytest
 from graphs import Builder
 from pyspark.sql import functions as F
 
+from loomgraph import queries
 from loomgraph.operators import traverse
 from loomgraph.operators.scan import dependency_edges
 
@@ -86,6 +87,11 @@ def test_impact_counts_all_dependents(plaza):
     assert traverse.capped_impact(plaza, "Plaza.T10.Ring()", cap=traverse.IMPACT_CAP)[1]
 
 
+def test_impact_by_project_counts_all_dependents(spark, plaza, monkeypatch):
+    monkeypatch.setattr(queries.testgraphs, "graph", lambda *_: plaza)
+    assert sorted(map(tuple, queries.impact_by_project(spark, "").collect()), key=str) == [("Plaza", None, 10_050), (None, "Method", 10_050)]
+
+
 def test_estimates_are_near_for_all_seeds(spark):
     b = town(4)
     g = b.graph(spark)
