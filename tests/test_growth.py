@@ -1,5 +1,6 @@
 """What is shuffled or sent to the driver where tables are large: with broadcasts by estimated size off, or on where they mislead."""
 
+import re
 import time
 from contextlib import contextmanager
 
@@ -8,7 +9,7 @@ from graphs import Builder, orchard
 from pyspark.sql import functions as F
 
 from loomgraph import schema, testgraphs
-from loomgraph.operators import containers, export, incremental, scan, traverse
+from loomgraph.operators import containers, export, incremental, linker, scan, traverse
 from loomgraph.schema import Graph
 from loomgraph.sources.store import GraphStore, packed, unpacked
 
@@ -163,3 +164,28 @@ def test_nodes_that_lead_nowhere_do_not_shuffle_edges(spark, monkeypatch):
     one, two = (shuffled(spark, lambda d=d: got.append(sorted(map(tuple, traverse.two_nearest(edges, seeds, "incoming", d).collect())))) for d in (1, 2))
     assert got[0] == got[1] and len(got[0]) == 2001
     assert two - one < 3000
+
+
+def compiled_rows(spark, df) -> list[str]:
+    """The steps of a plan that make rows of arrays in a compiled loop, which holds all of them before the first is passed on."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df.filter("true")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert "Generate explode" in plan
+    return re.findall(r"\*\(\d+\) Generate explode.*", plan)
+
+
+def test_pairs_are_made_one_by_one(spark):
+    """Blocks of 4,096 calls and endpoints give 16 million pairs; no task holds them at once."""
+    calls, ends = (spark.range(300).select(F.concat(F.lit(x), "id").alias(f"{name}_id"), F.lit("r").alias("route")) for x, name in (("c", "call"), ("e", "endpoint")))
+    pairs = linker.expanded(calls, ends)
+    assert not compiled_rows(spark, pairs)
+    assert pairs.distinct().count() == pairs.count() == 90_000
+    left = spark.createDataFrame([(f"c{k}", ["a", "{x}"]) for k in range(30)], "call_id string, segs array<string>")
+    right = spark.createDataFrame([(f"e{k}", ["{x}", str(k)]) for k in range(20)], "endpoint_id string, endpoint_segs array<string>")
+    pairs = linker.unfolded(left, right, ["n"])
+    assert not compiled_rows(spark, pairs)
+    assert pairs.distinct().count() == pairs.count() == 600
