@@ -8,7 +8,7 @@ import pytest
 from graphs import Builder, orchard
 from pyspark.sql import functions as F
 
-from loomgraph import schema, testgraphs
+from loomgraph import queries, schema, testgraphs
 from loomgraph.operators import containers, export, incremental, linker, scan, traverse
 from loomgraph.schema import Graph
 from loomgraph.sources.store import GraphStore, packed, unpacked
@@ -189,3 +189,14 @@ def test_pairs_are_made_one_by_one(spark):
     pairs = linker.unfolded(left, right, ["n"])
     assert not compiled_rows(spark, pairs)
     assert pairs.distinct().count() == pairs.count() == 600
+
+
+def test_rows_with_long_texts_are_made_one_by_one(spark):
+    """100 calls of one route whose conflicts are one long text: a task holds the text once, not once for each call of a block."""
+    nodes = spark.createDataFrame([(f"e{k}", f"GET /{k:04}") for k in range(200)], "id string, fqn string")
+    targets = nodes.select(F.lit("r").alias("route"), F.col("id").alias("endpoint_id"))
+    sites = spark.range(100).select(F.when(F.col("id") < 99, "r").otherwise("alone").alias("route"), F.concat(F.lit("POST c"), "id").alias("fqn"))
+    got = queries.with_names(sites, targets, nodes, "conflicts")
+    assert not compiled_rows(spark, got)
+    text = " | ".join(f"GET /{k:04}" for k in range(200))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(((f"POST c{k}", text if k < 99 else None) for k in range(100)), key=str)
