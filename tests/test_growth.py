@@ -200,3 +200,30 @@ def test_rows_with_long_texts_are_made_one_by_one(spark):
     assert not compiled_rows(spark, got)
     text = " | ".join(f"GET /{k:04}" for k in range(200))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(((f"POST c{k}", text if k < 99 else None) for k in range(100)), key=str)
+
+
+def shuffle_files(spark) -> int:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(k).getName().startswith("shuffle_") for k in range(files.size()))
+
+
+def test_pruning_shuffles_ids_as_bytes(spark):
+    ids = {k: f"{k:032x}" for k in range(4)}
+    nodes = spark.createDataFrame([(i, "Class", "A", "A", None, None, None) for i in (ids[0], ids[1], "odd")], schema.NODES)
+    edges = spark.createDataFrame([(ids[0], ids[1], "Calls"), (ids[0], "odd", "Calls"), ("odd", ids[0], "Calls"), (ids[0], ids[2], "Calls"), (ids[3], ids[0], "Calls"), ("lost", "odd", "Calls")], schema.EDGES)
+    left = scan.without_dangling(Graph(nodes, edges)).edges
+    assert sorted(map(tuple, left.collect())) == [(ids[0], ids[1], "Calls"), (ids[0], "odd", "Calls"), ("odd", ids[0], "Calls")]
+    assert left._jdf.queryExecution().optimizedPlan().toString().count("unhex") >= 4
+
+
+def test_a_save_leaves_no_shuffle_files(spark, tmp_path):
+    g = orchard().graph(spark)
+    before = shuffle_files(spark)
+    store = GraphStore(spark, str(tmp_path / "g"))
+    store.save(g, spark.createDataFrame([], schema.FILES), {})
+    store.derived("kinds", lambda graph: scan.kind_counts(graph.edges))
+    for _ in range(20):
+        if shuffle_files(spark) <= before:
+            break
+        time.sleep(0.5)
+    assert shuffle_files(spark) <= before
