@@ -227,3 +227,9 @@ def test_a_save_leaves_no_shuffle_files(spark, tmp_path):
             break
         time.sleep(0.5)
     assert shuffle_files(spark) <= before
+
+
+def test_rolled_up_edges_are_not_shuffled_for_names(spark, small):
+    """Names come before edges are counted, by nodes; afterwards nothing is joined."""
+    plan = queries.rollup_to_types(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join")
