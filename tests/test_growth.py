@@ -233,3 +233,16 @@ def test_rolled_up_edges_are_not_shuffled_for_names(spark, small):
     """Names come before edges are counted, by nodes; afterwards nothing is joined."""
     plan = queries.rollup_to_types(spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("Join")
+
+
+def site(kind: str, k: int, name: str, verb: str = "GET") -> tuple:
+    fqn = f"{verb} {name}" if kind == "Endpoint" else f"{verb} {k}.ts:1:1"
+    return (f"{kind[0]}{k}" if k % 2 else f"{k:032x}", kind, name, fqn, None, None, None)
+
+
+def test_link_edges_are_made_one_by_one(spark):
+    rows = [site("Endpoint", k, f"/api/x/{k}") for k in range(10)] + [site("FrontendCallSite", k, "/x/{*}") for k in range(10, 30)]
+    nodes = spark.createDataFrame(rows, schema.NODES)
+    edges = linker.link_edges(linker.links(nodes))
+    assert not compiled_rows(spark, edges)
+    assert sorted(map(tuple, edges.collect())) == sorted((c[0], e[0], "CallsEndpoint") for c in rows[10:] for e in rows[:10])
