@@ -246,3 +246,15 @@ def test_link_edges_are_made_one_by_one(spark):
     edges = linker.link_edges(linker.links(nodes))
     assert not compiled_rows(spark, edges)
     assert sorted(map(tuple, edges.collect())) == sorted((c[0], e[0], "CallsEndpoint") for c in rows[10:] for e in rows[:10])
+
+
+def test_a_linked_graph_is_saved_from_bytes(spark, tmp_path):
+    """Ids become bytes before pairs are made, not once for each pair, and come back as they were."""
+    rows = [site("Endpoint", k, f"/api/x/{k}") for k in range(10)] + [site("FrontendCallSite", k, "/x/{*}") for k in range(10, 30)]
+    g = Graph(spark.createDataFrame(rows, schema.NODES), spark.createDataFrame([(rows[0][0], "odd", "HandledBy"), (rows[12][0], rows[1][0], "CallsEndpoint")], schema.EDGES))
+    made, _ = linker.relinked(g, as_bytes=True)
+    assert {t for c, t in made.edges.dtypes if c != "kind"} == {"binary"} and not compiled_rows(spark, made.edges)
+    store = GraphStore(spark, str(tmp_path / "g"))
+    store.save(made, spark.createDataFrame([], schema.FILES), {})
+    want = sorted([(c[0], e[0], "CallsEndpoint") for c in rows[10:] for e in rows[:10]] + [(rows[0][0], "odd", "HandledBy")])
+    assert sorted(map(tuple, store.load().edges.collect())) == sorted(map(tuple, store.load().incoming.collect())) == want
