@@ -202,9 +202,9 @@ def test_rows_with_long_texts_are_made_one_by_one(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(((f"POST c{k}", text if k < 99 else None) for k in range(100)), key=str)
 
 
-def shuffle_files(spark) -> int:
+def shuffle_files(spark) -> set[str]:
     files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
-    return sum(files.apply(k).getName().startswith("shuffle_") for k in range(files.size()))
+    return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
 
 
 def test_pruning_shuffles_ids_as_bytes(spark):
@@ -223,10 +223,10 @@ def test_a_save_leaves_no_shuffle_files(spark, tmp_path):
     store.save(g, spark.createDataFrame([], schema.FILES), {})
     store.derived("kinds", lambda graph: scan.kind_counts(graph.edges))
     for _ in range(20):
-        if shuffle_files(spark) <= before:
+        if not shuffle_files(spark) - before:
             break
         time.sleep(0.5)
-    assert shuffle_files(spark) <= before
+    assert not shuffle_files(spark) - before
 
 
 def test_rolled_up_edges_are_not_shuffled_for_names(spark, small):
